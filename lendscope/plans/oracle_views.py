@@ -115,3 +115,51 @@ def with_views(sql: str, *names: str) -> str:
         add(n)
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in order)
     return f"WITH {ctes}\n{sql}"
+
+# FE-01 .. FE-16 over the whole book (row level).
+FEATURES = """
+SELECT a.*,
+       income / (loan_amount + 1e-6) AS income_to_loan_ratio,
+       loan_amount / (income + 1e-6) AS loan_to_income_ratio,
+       CASE WHEN income IS NULL THEN NULL
+            WHEN len(list_distinct(e.income_edges)) = 5 THEN
+              CASE WHEN income <= e.income_edges[2] THEN 'Q1' WHEN income <= e.income_edges[3] THEN 'Q2'
+                   WHEN income <= e.income_edges[4] THEN 'Q3' ELSE 'Q4' END
+            ELSE CASE WHEN income < 40000.0E0 THEN 'Q1' WHEN income < 60000.0E0 THEN 'Q2'
+                      WHEN income < 90000.0E0 THEN 'Q3' ELSE 'Q4' END END AS income_quartile,
+       CASE WHEN credit_score > 0 AND credit_score <= 580 THEN 'Poor'
+            WHEN credit_score > 580 AND credit_score <= 670 THEN 'Fair'
+            WHEN credit_score > 670 AND credit_score <= 740 THEN 'Good'
+            WHEN credit_score > 740 AND credit_score <= 800 THEN 'Very Good'
+            WHEN credit_score > 800 AND credit_score <= 850 THEN 'Excellent' END AS credit_score_band,
+       (credit_score - 300) / 550.0E0 AS credit_score_normalized,
+       CASE WHEN debt_to_income > 0.0E0 AND debt_to_income <= 0.2E0 THEN 'Low'
+            WHEN debt_to_income > 0.2E0 AND debt_to_income <= 0.36E0 THEN 'Moderate'
+            WHEN debt_to_income > 0.36E0 AND debt_to_income <= 0.5E0 THEN 'High'
+            WHEN debt_to_income > 0.5E0 AND debt_to_income <= 1.0E0 THEN 'Very High'
+            WHEN debt_to_income > 1.0E0 THEN 'Extreme' END AS dti_risk_category,
+       CAST(debt_to_income > 0.43E0 AS INTEGER) AS high_dti_flag,
+       loan_term / 360.0E0 AS loan_term_risk,
+       CAST(loan_term <= 36 AS INTEGER) AS short_term_loan,
+       CAST(interest_rate > 0.15E0 AS INTEGER) AS high_interest_rate,
+       (rank() OVER (ORDER BY interest_rate) + (count(*) OVER (PARTITION BY interest_rate) - 1) / 2.0E0)
+         / count(interest_rate) OVER () AS interest_rate_percentile,
+       CASE WHEN employment_length >= 2 THEN 'Stable' WHEN employment_length >= 1 THEN 'Moderate'
+            ELSE 'New' END AS employment_stability,
+       CAST(employment_length >= 5 AS INTEGER) AS long_employment,
+       CASE home_ownership WHEN 'OWN' THEN 2.0E0 WHEN 'MORTGAGE' THEN 1.0E0 WHEN 'RENT' THEN 0.0E0
+            WHEN 'OTHER' THEN 0.0E0 ELSE 0.0E0 END AS ownership_stability,
+       CASE upper(loan_purpose) WHEN 'DEBT_CONSOLIDATION' THEN 0.12E0 WHEN 'HOME_IMPROVEMENT' THEN 0.08E0
+            WHEN 'MAJOR_PURCHASE' THEN 0.10E0 WHEN 'CAR' THEN 0.09E0 WHEN 'WEDDING' THEN 0.15E0
+            WHEN 'VACATION' THEN 0.18E0 WHEN 'MEDICAL' THEN 0.11E0 WHEN 'CREDIT_CARD' THEN 0.16E0
+            WHEN 'OTHER' THEN 0.14E0 ELSE 0.14E0 END AS purpose_risk_score,
+       {stress} AS financial_stress_score,
+       CASE WHEN pow(1.0E0 + interest_rate / 12.0E0, loan_term) - 1.0E0 = 0 THEN NULL
+            ELSE loan_amount * ((interest_rate / 12.0E0) * pow(1.0E0 + interest_rate / 12.0E0, loan_term))
+                 / (pow(1.0E0 + interest_rate / 12.0E0, loan_term) - 1.0E0) END AS monthly_payment
+FROM credit_applications a,
+     (SELECT quantile_cont(income, [0.0, 0.25, 0.5, 0.75, 1.0]) AS income_edges FROM credit_applications) e
+""".replace("{stress}", STRESS_SQL)
+
+VIEWS["features"] = FEATURES
+DEPENDS["features"] = ["credit_applications"]
