@@ -132,11 +132,11 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     # the two order positions to read per (group, p): at most groups x probs rows
     want = (targets.select(*g, "p", F.col("lo_i").alias("i"), F.lit("lo").alias("side"))
             .unionByName(targets.select(*g, "p", F.col("hi_i").alias("i"), F.lit("hi").alias("side"))))
-    cond = [(ps["below_cnt"] <= want["i"]), (want["i"] < ps["below_cnt"] + ps["cnt"])]
+    want = want.select(*[F.col(c).alias(f"_w_{c}") for c in g], "p", "i", "side")
+    cond = (F.col("below_cnt") <= F.col("i")) & (F.col("i") < F.col("below_cnt") + F.col("cnt"))
     for c in g:
-        cond.append(ps[c] == want[c])
-    hit = ps.join(F.broadcast(want), cond).select(*[want[c] for c in g], want["p"], want["side"],
-                                                  ps[value].cast("double").alias("v"))
+        cond = cond & (F.col(c) == F.col(f"_w_{c}"))
+    hit = ps.join(F.broadcast(want), cond).select(*g, "p", "side", F.col(value).cast("double").alias("v"))
     pv = hit.groupBy(*g, "p").agg(
         F.max(F.when(F.col("side") == "lo", F.col("v"))).alias("v_lo"),
         F.max(F.when(F.col("side") == "hi", F.col("v"))).alias("v_hi"))

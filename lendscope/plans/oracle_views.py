@@ -163,3 +163,31 @@ FROM credit_applications a,
 
 VIEWS["features"] = FEATURES
 DEPENDS["features"] = ["credit_applications"]
+
+PREDICTION_LOG = """
+SELECT app_id AS request_id, customer_id, 'credit_risk_model' AS model_name,
+       'v' || CAST(app_id % 3 AS VARCHAR) AS model_version,
+       pd_score, lgd_score, expected_loss, risk_rating, is_default, loan_amount,
+       json_object('loan_amount', loan_amount, 'income', income, 'credit_score', credit_score,
+                   'debt_to_income', debt_to_income, 'loan_purpose', loan_purpose,
+                   'customer_id', customer_id) AS input_features,
+       json_object('probability_of_default', pd_score, 'loss_given_default', lgd_score,
+                   'expected_loss', expected_loss, 'risk_rating', risk_rating) AS prediction_result,
+       5.0E0 + CAST((app_id * 13) % 200 AS DOUBLE) AS response_time_ms,
+       application_ts AS timestamp
+FROM scored_book
+"""
+VIEWS["prediction_log"] = PREDICTION_LOG
+DEPENDS["prediction_log"] = ["scored_book"]
+
+MODEL_METRICS = """
+SELECT model_name, model_version, date_trunc('day', timestamp) AS timestamp,
+       count(*) AS prediction_count,
+       avg(CAST((pd_score > 0.5E0) = is_default AS DOUBLE)) AS accuracy,
+       avg(response_time_ms) AS avg_prediction_time, avg(pd_score) AS avg_pd_score,
+       avg(lgd_score) AS avg_lgd_score,
+       CAST(sum(CAST(pd_score > 0.1E0 AS BIGINT)) AS BIGINT) AS high_risk_predictions
+FROM prediction_log GROUP BY 1, 2, 3
+"""
+VIEWS["model_metrics"] = MODEL_METRICS
+DEPENDS["model_metrics"] = ["prediction_log"]

@@ -119,3 +119,34 @@ def drift_samples(spark: SparkSession, sf_dir: str, apps: DataFrame | None = Non
     cat = cat.select(F.col("kv.feature").alias("feature"), "sample",
                      F.lit(None).cast("double").alias("value"), F.col("kv.category").alias("category"))
     return cont.unionByName(cat)
+
+
+def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored book as a prediction log (typed scores + JSON payloads, D-12)."""
+    from lendscope.plans.book import scored_book
+    s = scored_book(spark, sf_dir, validate=False)
+    return s.select(
+        F.col("app_id").alias("request_id"), "customer_id",
+        F.lit("credit_risk_model").alias("model_name"),
+        F.concat(F.lit("v"), (F.col("app_id") % 3).cast("string")).alias("model_version"),
+        "pd_score", "lgd_score", "expected_loss", "risk_rating", "is_default", "loan_amount",
+        F.to_json(F.struct("loan_amount", "income", "credit_score", "debt_to_income", "loan_purpose",
+                           "customer_id")).alias("input_features"),
+        F.to_json(F.struct(F.col("pd_score").alias("probability_of_default"),
+                           F.col("lgd_score").alias("loss_given_default"),
+                           "expected_loss", "risk_rating")).alias("prediction_result"),
+        (F.lit(5.0) + ((F.col("app_id") * 13) % 200).cast("double")).alias("response_time_ms"),
+        F.col("application_ts").alias("timestamp"),
+    )
+
+
+def model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily model metrics per version, rolled up from the prediction log."""
+    p = prediction_log(spark, sf_dir)
+    return p.groupBy("model_name", "model_version", F.date_trunc("day", "timestamp").alias("timestamp")).agg(
+        F.count(F.lit(1)).alias("prediction_count"),
+        F.avg(((F.col("pd_score") > 0.5) == F.col("is_default")).cast("double")).alias("accuracy"),
+        F.avg("response_time_ms").alias("avg_prediction_time"),
+        F.avg("pd_score").alias("avg_pd_score"),
+        F.avg("lgd_score").alias("avg_lgd_score"),
+        F.sum((F.col("pd_score") > 0.1).cast("long")).alias("high_risk_predictions"))
