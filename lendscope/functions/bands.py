@@ -88,3 +88,31 @@ def clip(col, lo=None, hi=None) -> Column:
 def null_if_nan(col) -> Column:
     x = _c(col)
     return F.when(F.isnan(x), F.lit(None).cast("double")).otherwise(x)
+
+
+def edge_bin(col, lo, hi, n: int) -> Column:
+    """1-based histogram bin against the edges ``lo + i * ((hi - lo) / n)``.
+
+    Same edges as an equal-width histogram over [lo, hi]: left-closed bins, the
+    last bin closed, values outside give NULL, a zero-width range widened by 0.5.
+    """
+    x = _c(col)
+    lo_c = F.lit(float(lo)) if isinstance(lo, (int, float)) else _c(lo)
+    hi_c = F.lit(float(hi)) if isinstance(hi, (int, float)) else _c(hi)
+    same = lo_c == hi_c
+    lo_e = F.when(same, lo_c - F.lit(0.5)).otherwise(lo_c)
+    hi_e = F.when(same, hi_c + F.lit(0.5)).otherwise(hi_c)
+    step = (hi_e - lo_e) / F.lit(float(n))
+    idx = F.lit(1)
+    for i in range(1, n):
+        idx = idx + (x >= lo_e + F.lit(float(i)) * step).cast("int")
+    return F.when((x >= lo_e) & (x <= hi_e), idx)
+
+
+def edge_bin_sql(x: str, lo: str, hi: str, n: int) -> str:
+    """DuckDB twin of ``edge_bin`` (for oracle SQL)."""
+    lo_e = f"(CASE WHEN {lo} = {hi} THEN {lo} - 0.5E0 ELSE {lo} END)"
+    hi_e = f"(CASE WHEN {lo} = {hi} THEN {hi} + 0.5E0 ELSE {hi} END)"
+    step = f"(({hi_e} - {lo_e}) / {float(n)}E0)".replace(".0E0", ".0")
+    terms = " + ".join(f"CAST({x} >= {lo_e} + {float(i)} * {step} AS INTEGER)" for i in range(1, n))
+    return f"(CASE WHEN {x} >= {lo_e} AND {x} <= {hi_e} THEN 1 + {terms} END)"

@@ -114,6 +114,9 @@ def with_views(sql: str, *names: str) -> str:
     for n in names:
         add(n)
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in order)
+    body = sql.lstrip()
+    if body[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{sql}"
 
 # FE-01 .. FE-16 over the whole book (row level).
