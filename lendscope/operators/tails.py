@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def kolmogorov_sf(x: float) -> float:
@@ -81,13 +82,13 @@ def chi2_sf(stat: float, dof: float) -> float:
     return _gammainc_upper_reg_cf(a, x)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ks_pvalue_udf(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     en = np.sqrt(n1.astype(float) * n2.astype(float) / (n1.astype(float) + n2.astype(float)))
     return pd.Series([kolmogorov_sf(float(e * v)) if pd.notna(v) else float("nan") for e, v in zip(en, d)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_pvalue_udf(stat: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([chi2_sf(float(s), float(k)) if pd.notna(s) and pd.notna(k) else float("nan")
                       for s, k in zip(stat, dof)])

@@ -194,3 +194,18 @@ FROM prediction_log GROUP BY 1, 2, 3
 """
 VIEWS["model_metrics"] = MODEL_METRICS
 DEPENDS["model_metrics"] = ["prediction_log"]
+
+_CONT = ["loan_amount", "interest_rate", "income", "debt_to_income", "credit_score", "employment_length", "loan_term"]
+_CAT = ["home_ownership", "loan_purpose"]
+DRIFT_SAMPLES = "\nUNION ALL\n".join(
+    [f"SELECT '{f}' AS feature, CASE WHEN application_ts < TIMESTAMP '1998-04-15 00:00:00' THEN 'reference' "
+     f"ELSE 'current' END AS sample, CAST({f} AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS category "
+     f"FROM credit_applications" for f in _CONT]
+    + [f"SELECT '{f}' AS feature, CASE WHEN application_ts < TIMESTAMP '1998-04-15 00:00:00' THEN 'reference' "
+       f"ELSE 'current' END AS sample, CAST(NULL AS DOUBLE) AS value, {f} AS category "
+       f"FROM credit_applications" for f in _CAT])
+VIEWS["drift_samples"] = DRIFT_SAMPLES
+DEPENDS["drift_samples"] = ["credit_applications"]
+
+# numeric keys are turned into text the same way in both engines ('12.0')
+CAT_KEY = "coalesce(category, CAST(value AS VARCHAR))"
