@@ -209,3 +209,48 @@ DEPENDS["drift_samples"] = ["credit_applications"]
 
 # numeric keys are turned into text the same way in both engines ('12.0')
 CAT_KEY = "coalesce(category, CAST(value AS VARCHAR))"
+
+HOURLY_METRICS = """
+SELECT a.timestamp AS ts, a.requests, a.error_rate, a.avg_response_time, a.p95_response_time,
+       s.cpu_percent, s.memory_percent
+FROM (SELECT date_trunc('hour', ts) AS timestamp, count(*) AS requests,
+             avg(CASE WHEN status_code >= 400 THEN 1.0E0 ELSE 0.0E0 END) AS error_rate,
+             avg(response_time) AS avg_response_time, quantile_cont(response_time, 0.95) AS p95_response_time
+      FROM api_metrics GROUP BY 1) a JOIN system_metrics s ON a.timestamp = s.timestamp
+"""
+VIEWS["hourly_metrics"] = HOURLY_METRICS
+DEPENDS["hourly_metrics"] = ["system_metrics"]
+
+ALERT_RULES = """
+SELECT * FROM (VALUES
+  ('high_error_rate', 'error_rate', '>', 0.05E0, 'high', 'system', true, 3, 3600),
+  ('slow_responses', 'avg_response_time', '>', 1.2E0, 'medium', 'performance', true, 2, 1800),
+  ('p95_latency', 'p95_response_time', '>=', 3.0E0, 'high', 'performance', true, 2, 1800),
+  ('high_cpu', 'cpu_percent', '>', 80.0E0, 'critical', 'system', true, 1, 7200),
+  ('high_memory', 'memory_percent', '>', 90.0E0, 'critical', 'system', true, 1, 7200),
+  ('low_traffic', 'requests', '<', 1.0E0, 'low', 'availability', false, 5, 600))
+  AS r(name, metric_name, operator, threshold, severity, alert_type, enabled, consecutive_failures, cooldown_period)
+"""
+VIEWS["alert_rules"] = ALERT_RULES
+
+METRICS_LONG = """
+SELECT ts, metric_name, value FROM (
+  SELECT ts, 'requests' AS metric_name, CAST(requests AS DOUBLE) AS value FROM hourly_metrics
+  UNION ALL SELECT ts, 'error_rate', error_rate FROM hourly_metrics
+  UNION ALL SELECT ts, 'avg_response_time', avg_response_time FROM hourly_metrics
+  UNION ALL SELECT ts, 'p95_response_time', p95_response_time FROM hourly_metrics
+  UNION ALL SELECT ts, 'cpu_percent', cpu_percent FROM hourly_metrics
+  UNION ALL SELECT ts, 'memory_percent', memory_percent FROM hourly_metrics) m WHERE value IS NOT NULL
+"""
+VIEWS["metrics_long"] = METRICS_LONG
+DEPENDS["metrics_long"] = ["hourly_metrics"]
+
+RULE_MATCHES = """
+SELECT m.ts, m.metric_name, m.value, r.name, r.operator, r.threshold, r.severity, r.alert_type,
+       coalesce(CASE r.operator WHEN '>' THEN m.value > r.threshold WHEN '<' THEN m.value < r.threshold
+            WHEN '>=' THEN m.value >= r.threshold WHEN '<=' THEN m.value <= r.threshold
+            WHEN '==' THEN m.value = r.threshold WHEN '!=' THEN m.value <> r.threshold ELSE false END, false) AS violated
+FROM metrics_long m JOIN alert_rules r ON m.metric_name = r.metric_name AND r.enabled
+"""
+VIEWS["rule_matches"] = RULE_MATCHES
+DEPENDS["rule_matches"] = ["metrics_long", "alert_rules"]
