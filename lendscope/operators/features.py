@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from lendscope.functions.bands import clip, cut, lookup
 from lendscope.operators.prefix import exact_quantiles, with_percentile_rank
+from lendscope.session import cut_lineage
 
 # --- fixed values (must equal the reference for equal results) -------------
 CREDIT_SCORE_EDGES = [0, 580, 670, 740, 800, 850]
@@ -300,6 +301,8 @@ def prepare_training_frame(apps: DataFrame, eco: DataFrame | None = None,
     names = fits.get("feature_names") or numeric_feature_columns(feats.drop(target) if target in feats.columns else feats)
     keep = (["app_id"] if "app_id" in feats.columns else []) + ["y_default", "y_lgd"][:len(y)]
     base = align_features(feats.select("*", *y), names, keep=keep)
+    # materialise once: the fits below and the transform all read this frame
+    base = cut_lineage(base)
     med = fits.get("medians")
     if med is None:
         med = fit_medians(base, names)
