@@ -32,16 +32,20 @@ RECOMMENDATIONS = {
     "significant": ["Immediate model retraining recommended", "Review data pipeline for changes"],
 }
 
-_REF = F.col("sample") == F.lit("reference")
-_CUR = F.col("sample") == F.lit("current")
+def _is_ref() -> Column:
+    return F.col("sample") == F.lit("reference")
+
+
+def _is_cur() -> Column:
+    return F.col("sample") == F.lit("current")
 
 
 def sample_profile(long: DataFrame, float_features: Sequence[str] = ()) -> DataFrame:
     """DR-01/02: sizes, distinct reference values and the test each feature gets."""
     key = F.coalesce(F.col("category"), F.col("value").cast("string"))
     prof = long.where(key.isNotNull()).groupBy("feature").agg(
-        F.sum(_REF.cast("long")).alias("n_ref"), F.sum(_CUR.cast("long")).alias("n_cur"),
-        F.count_distinct(F.when(_REF, key)).alias("distinct_ref"),
+        F.sum(_is_ref().cast("long")).alias("n_ref"), F.sum(_is_cur().cast("long")).alias("n_cur"),
+        F.count_distinct(F.when(_is_ref(), key)).alias("distinct_ref"),
         F.max(F.col("category").isNotNull()).alias("_is_cat"))
     continuous = (~F.col("_is_cat")) & ((F.col("distinct_ref") > CONTINUOUS_DISTINCT)
                                         | F.col("feature").isin(list(float_features) or [""]))
@@ -53,16 +57,16 @@ def sample_profile(long: DataFrame, float_features: Sequence[str] = ()) -> DataF
 def ks_statistics(long: DataFrame) -> DataFrame:
     """DR-03: D = max |F_ref - F_cur| per feature, plus means and population stds."""
     x = long.where(F.col("value").isNotNull())
-    vc = value_counts(x, "value", ["feature"], {"ref": _REF.cast("long"), "cur": _CUR.cast("long")})
+    vc = value_counts(x, "value", ["feature"], {"ref": _is_ref().cast("long"), "cur": _is_cur().cast("long")})
     ps = prefix_sums(vc, "value", ["feature"], ("ref", "cur"))
     f1 = (F.col("below_ref") + F.col("ref")) / F.col("total_ref")
     f2 = (F.col("below_cur") + F.col("cur")) / F.col("total_cur")
     d = ps.groupBy("feature").agg(F.max(F.abs(f1 - f2)).alias("ks_statistic"))
     mom = x.groupBy("feature").agg(
-        F.avg(F.when(_REF, F.col("value"))).alias("reference_mean"),
-        F.avg(F.when(_CUR, F.col("value"))).alias("current_mean"),
-        F.stddev_pop(F.when(_REF, F.col("value"))).alias("reference_std"),
-        F.stddev_pop(F.when(_CUR, F.col("value"))).alias("current_std"))
+        F.avg(F.when(_is_ref(), F.col("value"))).alias("reference_mean"),
+        F.avg(F.when(_is_cur(), F.col("value"))).alias("current_mean"),
+        F.stddev_pop(F.when(_is_ref(), F.col("value"))).alias("reference_std"),
+        F.stddev_pop(F.when(_is_cur(), F.col("value"))).alias("current_std"))
     return d.join(mom, "feature")
 
 
@@ -70,7 +74,7 @@ def category_counts(long: DataFrame) -> DataFrame:
     """JN-03 / SET-01: aligned frequency table over the union of categories."""
     key = F.coalesce(F.col("category"), F.col("value").cast("string"))
     return long.where(key.isNotNull()).groupBy("feature", key.alias("cat")).agg(
-        F.sum(_REF.cast("long")).alias("ref"), F.sum(_CUR.cast("long")).alias("cur"))
+        F.sum(_is_ref().cast("long")).alias("ref"), F.sum(_is_cur().cast("long")).alias("cur"))
 
 
 def chi_square(long: DataFrame) -> DataFrame:
@@ -98,10 +102,10 @@ def _psi_from_counts(counts: DataFrame, key: str) -> DataFrame:
 def psi_continuous(long: DataFrame, bins: int = PSI_BINS) -> DataFrame:
     """DR-05: equal-width bins of the reference range; current outside is ignored."""
     x = long.where(F.col("value").isNotNull())
-    fit = x.where(_REF).groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    fit = x.where(_is_ref()).groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     b = x.join(F.broadcast(fit), "feature").withColumn("bin", edge_bin(F.col("value"), F.col("lo"), F.col("hi"), bins))
     counts = b.where(F.col("bin").isNotNull()).groupBy("feature", "bin").agg(
-        F.sum(_REF.cast("long")).alias("ref"), F.sum(_CUR.cast("long")).alias("cur"))
+        F.sum(_is_ref().cast("long")).alias("ref"), F.sum(_is_cur().cast("long")).alias("cur"))
     return _psi_from_counts(counts, "bin")
 
 

@@ -30,7 +30,7 @@ def scored_book(spark: SparkSession, sf_dir: str, validate: bool = True) -> Data
 SELECT loan_purpose,
        count(*) AS applications,
        CAST(sum(CASE WHEN NOT {VALID_APP_SQL} THEN 1 ELSE 0 END) AS BIGINT) AS quarantined,
-       round(sum(CASE WHEN {VALID_APP_SQL} THEN loan_amount END), 2) AS exposure,
+       round(sum(CASE WHEN {VALID_APP_SQL} THEN loan_amount END), 3) AS exposure,
        round(avg(CASE WHEN {VALID_APP_SQL} THEN pd_score END), 6) AS avg_pd,
        round(avg(CASE WHEN {VALID_APP_SQL} THEN lgd_score END), 6) AS avg_lgd,
        round(sum(CASE WHEN {VALID_APP_SQL} THEN expected_loss END), 4) AS expected_loss,
@@ -54,7 +54,7 @@ def book_by_purpose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("loan_purpose").agg(
         F.count(F.lit(1)).alias("applications"),
         F.sum(F.when(~v, 1).otherwise(0)).cast("long").alias("quarantined"),
-        F.round(F.sum(F.when(v, F.col("loan_amount"))), 2).alias("exposure"),
+        F.round(F.sum(F.when(v, F.col("loan_amount"))), 3).alias("exposure"),
         F.round(F.avg(F.when(v, F.col("pd_score"))), 6).alias("avg_pd"),
         F.round(F.avg(F.when(v, F.col("lgd_score"))), 6).alias("avg_lgd"),
         F.round(F.sum(F.when(v, F.col("expected_loss"))), 4).alias("expected_loss"),

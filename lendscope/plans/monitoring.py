@@ -152,7 +152,7 @@ def rating_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("portfolio_summary", ops=("AGG-21", "AGG-14", "RSK-10"), sql=with_views("""
-SELECT round(sum(loan_amount), 2) AS total_exposure, count(*) AS accounts,
+SELECT round(sum(loan_amount), 3) AS total_exposure, count(*) AS accounts,
        round(avg(pd_score), 6) AS avg_pd, round(avg(lgd_score), 6) AS avg_lgd,
        round(sum(expected_loss * loan_amount), 2) AS expected_loss_amount,
        round((SELECT sum(e * e) / (sum(e) * sum(e)) FROM (SELECT sum(loan_amount) AS e FROM scored_book GROUP BY loan_purpose) s), 8)
@@ -168,7 +168,7 @@ def portfolio_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = s.agg(F.avg(F.col("is_default").cast("int")).alias("default_rate"),
                   F.avg(F.when(F.col("is_default"), F.col("loss_given_default"))).alias("avg_lgd_defaulted"),
                   F.avg("expected_loss").alias("el_mean"), F.stddev_pop("expected_loss").alias("el_std"))
-    return p.crossJoin(extra).select(_r("total_exposure", 2), "accounts", _r("avg_pd"), _r("avg_lgd"),
+    return p.crossJoin(extra).select(_r("total_exposure", 3), "accounts", _r("avg_pd"), _r("avg_lgd"),
                                      _r("expected_loss_amount", 2), _r("concentration_hhi", 8), _r("default_rate"),
                                      _r("avg_lgd_defaulted"), _r("el_mean"), _r("el_std"))
 
@@ -182,12 +182,12 @@ def exposure_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("exposure_rollup", ops=("AGG-22",), sql=with_views("""
-SELECT home_ownership, loan_purpose, count(*) AS accounts, round(sum(loan_amount), 2) AS exposure
+SELECT home_ownership, loan_purpose, count(*) AS accounts, round(sum(loan_amount), 3) AS exposure
 FROM credit_applications GROUP BY ROLLUP (home_ownership, loan_purpose)""", "credit_applications"))
 def exposure_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = ad.credit_applications(spark, sf_dir)
     return a.rollup("home_ownership", "loan_purpose").agg(
-        F.count(F.lit(1)).alias("accounts"), F.round(F.sum("loan_amount"), 2).alias("exposure"))
+        F.count(F.lit(1)).alias("accounts"), F.round(F.sum("loan_amount"), 3).alias("exposure"))
 
 
 @register("model_performance_summary", ops=("AGG-12", "AGG-02"), sql=with_views("""

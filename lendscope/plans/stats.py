@@ -17,8 +17,8 @@ def _r(c, n=8):
 
 
 _AUC_SQL = """
-SELECT {g_sel} round((sum(CASE WHEN y = 1 THEN ar END) - n1 * (n1 + 1) / 2.0E0) / (n1 * n0), 8) AS auc,
-       round(2.0E0 * ((sum(CASE WHEN y = 1 THEN ar END) - n1 * (n1 + 1) / 2.0E0) / (n1 * n0)) - 1.0E0, 8) AS gini,
+SELECT {g_sel} round((sum(CASE WHEN y = 1 THEN ar END) - n1 * (n1 + 1) / 2.0E0) / nullif(n1 * n0, 0), 8) AS auc,
+       round(2.0E0 * ((sum(CASE WHEN y = 1 THEN ar END) - n1 * (n1 + 1) / 2.0E0) / nullif(n1 * n0, 0)) - 1.0E0, 8) AS gini,
        CAST(n1 AS BIGINT) AS n_pos, CAST(n0 AS BIGINT) AS n_neg
 FROM (SELECT {g_sel} y, rank() OVER (PARTITION BY {g_part} ORDER BY s)
              + (count(*) OVER (PARTITION BY {g_part}, s) - 1) / 2.0E0 AS ar,
@@ -60,15 +60,19 @@ def document_quality_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("lang", _r("auc"), _r("gini"), "n_pos", "n_neg")
 
 
-_ROC_SQL = """
-SELECT round(s, 12) AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp,
-       round(tp / n1, 8) AS tpr, round(fp / n0, 8) AS fpr
+_ROC_RAW = """
+SELECT s, tp, fp, n1, n0
 FROM (SELECT s, sum(pos) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS tp,
              sum(neg) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS fp,
              sum(pos) OVER () AS n1, sum(neg) OVER () AS n0
       FROM (SELECT pd_score AS s, sum(CAST(is_default AS INTEGER)) AS pos,
                    sum(1 - CAST(is_default AS INTEGER)) AS neg FROM scored_book GROUP BY pd_score) v) c"""
 
+_ROC_SQL = f"""
+SELECT round(s, 12) AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp,
+       round(tp / n1, 8) AS tpr, round(fp / n0, 8) AS fpr
+FROM ({_ROC_RAW}) r"""
+
 
 @register("roc_curve", ops=("MV-03", "WIN-07"), sql=with_views(_ROC_SQL, "scored_book"))
 def roc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +86,7 @@ SELECT round(t.threshold, 12) AS optimal_threshold, round(t.j, 8) AS ks_statisti
        CAST(sum(CASE WHEN pd_score >= t.threshold AND NOT is_default THEN 1 ELSE 0 END) AS BIGINT) AS fp,
        CAST(sum(CASE WHEN pd_score < t.threshold AND NOT is_default THEN 1 ELSE 0 END) AS BIGINT) AS tn,
        CAST(sum(CASE WHEN pd_score < t.threshold AND is_default THEN 1 ELSE 0 END) AS BIGINT) AS fn
-FROM scored_book, (SELECT threshold, tpr - fpr AS j FROM ({_ROC_SQL}) r ORDER BY tpr - fpr DESC, threshold DESC LIMIT 1) t
+FROM scored_book, (SELECT s AS threshold, tp / n1 - fp / n0 AS j FROM ({_ROC_RAW}) r ORDER BY tp / n1 - fp / n0 DESC, s DESC LIMIT 1) t
 GROUP BY t.threshold, t.j""", "scored_book"))
 def optimal_threshold_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored_book(spark, sf_dir, validate=False)
