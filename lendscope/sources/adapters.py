@@ -40,7 +40,11 @@ def credit_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = t.customer.select("c_custkey", "c_acctbal", "c_mktsegment")
     # Big-to-big equi-join on the customer key: sort-merge by default; AQE turns it
     # into a broadcast join only when the customer side is measured small.
-    j = o.join(c, o.o_custkey == c.c_custkey, "inner")
+    return applications_from_joined(o.join(c, o.o_custkey == c.c_custkey, "inner"))
+
+
+def applications_from_joined(j: DataFrame) -> DataFrame:
+    """Application columns from an orders x customer row (batch or stream)."""
     k = F.col("o_orderkey")
     ck = F.col("o_custkey")
     apps = j.select(
