@@ -180,3 +180,34 @@ def request_log_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("status_code").between(200, 399).alias("success"),
                     hl.request_alerts(F.col("response_time") * 1000.0, F.col("_e") / F.col("_n"), F.col("_n"))
                     .alias("alerts"))
+
+
+DASH_AS_OF = "2024-01-31 00:00:00"
+
+
+@register("dashboard_summary", ops=("AGG-17", "AGG-01", "AGG-18", "MON-01"), sql=with_views(f"""
+SELECT a.total_requests, round(a.avg_response_time, 6) AS avg_response_time, round(a.error_rate, 6) AS error_rate,
+       round(s.cpu_percent, 6) AS cpu_usage, round(s.memory_percent, 6) AS memory_usage,
+       c.critical_alerts, c.active_alerts
+FROM (SELECT count(*) AS total_requests, avg(response_time) AS avg_response_time,
+             avg(CASE WHEN status_code >= 400 THEN 1.0E0 ELSE 0.0E0 END) AS error_rate
+      FROM api_metrics WHERE ts > TIMESTAMP '{DASH_AS_OF}' - INTERVAL 7 DAY AND ts <= TIMESTAMP '{DASH_AS_OF}') a,
+     (SELECT cpu_percent, memory_percent FROM system_metrics ORDER BY timestamp DESC LIMIT 1) s,
+     (SELECT CAST(sum(CASE WHEN violated AND severity = 'critical' THEN 1 ELSE 0 END) AS BIGINT) AS critical_alerts,
+             CAST(sum(CASE WHEN violated THEN 1 ELSE 0 END) AS BIGINT) AS active_alerts
+      FROM rule_matches WHERE ts > TIMESTAMP '{DASH_AS_OF}' - INTERVAL 24 HOUR AND ts <= TIMESTAMP '{DASH_AS_OF}') c""",
+                                                             "api_metrics", "system_metrics", "rule_matches"))
+def dashboard_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One summary row: API window, latest host sample, violations of the last day."""
+    api = ad.api_metrics(spark, sf_dir).where(ru.within("ts", DASH_AS_OF, 7 * 86400))
+    a = api.agg(F.count(F.lit(1)).alias("total_requests"), F.avg("response_time").alias("avg_response_time"),
+                F.avg((F.col("status_code") >= 400).cast("double")).alias("error_rate"))
+    sysm = ad.system_metrics(spark, sf_dir).withColumn("_k", F.lit(1))
+    s = ru.latest_per_key(sysm, ["_k"], "timestamp", "timestamp").select("cpu_percent", "memory_percent")
+    m = matched(spark, sf_dir).where(ru.within("ts", DASH_AS_OF, 86400))
+    c = m.agg(F.sum((F.col("violated") & (F.col("severity") == "critical")).cast("long")).alias("critical_alerts"),
+              F.sum(F.col("violated").cast("long")).alias("active_alerts"))
+    return a.crossJoin(s).crossJoin(c).select(
+        "total_requests", _r("avg_response_time", 6), _r("error_rate", 6),
+        F.round("cpu_percent", 6).alias("cpu_usage"), F.round("memory_percent", 6).alias("memory_usage"),
+        "critical_alerts", "active_alerts")

@@ -230,3 +230,53 @@ def display_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         tx.truncate_string("customer_id", 3).alias("customer_short"),
         tx.format_duration(F.col("employment_length") * 3600).alias("tenure_display"),
         tx.title_case_metric(F.lower("loan_purpose")).alias("purpose_title"))
+
+
+@register("batch_scoring_summary", ops=("AGG-19", "RSK-08", "VAL-02", "D-04"), sql=with_views("""
+SELECT count(*) AS total, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS successful,
+       CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS failed,
+       sum(CASE WHEN ok THEN 0 ELSE 1 END) = 0 AS success,
+       round(sum(CASE WHEN ok THEN expected_loss ELSE 0 END), 6) AS expected_loss
+FROM (SELECT *, (loan_amount > 0 AND loan_amount <= 1000000.0E0 AND loan_term BETWEEN 12 AND 360
+                 AND interest_rate BETWEEN 0.01E0 AND 0.40E0 AND income BETWEEN 1000.0E0 AND 10000000.0E0
+                 AND debt_to_income BETWEEN 0.0E0 AND 0.8E0 AND credit_score BETWEEN 300 AND 850
+                 AND employment_length BETWEEN 0 AND 50 AND length(customer_id) BETWEEN 1 AND 100
+                 AND home_ownership IN ('RENT','OWN','MORTGAGE','OTHER')
+                 AND lower(loan_purpose) IN ('debt_consolidation','credit_card','home_improvement','major_purchase',
+                                             'medical','small_business','vacation','wedding','other')) AS ok
+      FROM scored_book) s""", "scored_book"))
+def batch_scoring_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole book through the API-edge rules: failed rows are kept as error rows,
+    the batch is not aborted; successful rows carry their scores."""
+    from lendscope.operators import quality as vq
+    from lendscope.plans.book import scored_book
+    s = scored_book(spark, sf_dir, validate=False).withColumn("loan_purpose", F.lower("loan_purpose"))
+    v = vq.apply_rules(s, vq.api_request_rules(), upper_enums=False)
+    ok = F.col("is_valid")
+    return v.agg(F.count(F.lit(1)).alias("total"), F.sum(ok.cast("long")).alias("successful"),
+                 F.sum((~ok).cast("long")).alias("failed"),
+                 (F.sum((~ok).cast("long")) == 0).alias("success"),
+                 F.round(F.sum(F.when(ok, F.col("expected_loss")).otherwise(F.lit(0.0))), 6).alias("expected_loss"))
+
+
+@register("page_url_checks", ops=("VAL-10", "FN-11", "FN-12", "FN-13", "FN-20"), sql="""
+SELECT page_id, regexp_full_match(url, '^https?://[^\\s/$.?#].[^\\s]*$') AS is_url,
+       regexp_full_match(url, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}$') AS is_email,
+       CASE WHEN length(url) <= 30 THEN url ELSE substr(url, 1, 27) || '...' END AS url_short,
+       trim(translate(url, '<>:"/\\|?*', '_________'), ' .') AS file_name,
+       CASE WHEN length(html) < 1024 THEN printf('%.1f', length(html) * 1.0E0) || ' B'
+            WHEN length(html) < 1048576 THEN printf('%.1f', round(length(html) / 1024.0E0, 1)) || ' KB'
+            ELSE printf('%.1f', round(length(html) / 1048576.0E0, 1)) || ' MB' END AS html_size
+FROM pages""")
+def page_url_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lendscope.operators import quality as vq
+    from lendscope.sources.tables import Tables
+    p = Tables(spark, sf_dir).pages
+    flags = vq.pattern_flags("url")
+    n = F.length("html").cast("double")
+    size = (F.when(n < 1024, F.concat(F.format_string("%.1f", n), F.lit(" B")))
+            .when(n < 1048576, F.concat(F.format_string("%.1f", F.round(n / 1024.0, 1)), F.lit(" KB")))
+            .otherwise(F.concat(F.format_string("%.1f", F.round(n / 1048576.0, 1)), F.lit(" MB"))))
+    return p.select("page_id", flags["is_url"].alias("is_url"), flags["is_email"].alias("is_email"),
+                    tx.truncate_string("url", 30).alias("url_short"), tx.clean_filename("url").alias("file_name"),
+                    size.alias("html_size"))
