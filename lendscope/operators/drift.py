@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lendscope.functions.bands import edge_bin
 from lendscope.operators.prefix import prefix_sums, value_counts
 from lendscope.operators.tails import chi2_pvalue, ks_pvalue
+from lendscope.session import materialize
 
 # --- fixed values (must equal the reference for equal results) -------------
 MIN_SAMPLE_SIZE = 100
@@ -134,6 +135,7 @@ def recommendations(status: Column) -> Column:                            # DR-1
 
 def feature_drift(long: DataFrame, float_features: Sequence[str] = (), with_p_values: bool = True) -> DataFrame:
     """DR-01..07/09: one row per feature with the routed test, its statistic, PSI."""
+    long = materialize(long, ["feature", "sample", "value", "category"])
     prof = sample_profile(long, float_features)
     cont_feats = prof.where("continuous").select("feature")
     cont_long = long.join(F.broadcast(cont_feats), "feature", "left_semi")

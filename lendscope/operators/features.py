@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lendscope.functions.bands import clip, cut, lookup
-from lendscope.operators.prefix import exact_quantiles, with_percentile_rank
-from lendscope.session import cut_lineage
+from lendscope.operators.prefix import average_rank_table, exact_quantiles
+from lendscope.session import cut_lineage, materialize
 
 # --- fixed values (must equal the reference for equal results) -------------
 CREDIT_SCORE_EDGES = [0, 580, 670, 740, 800, 850]
@@ -116,7 +116,7 @@ def engineer_credit_features(df: DataFrame, income_fit: DataFrame | None = None,
     """FE-01 .. FE-16 on a whole application table (one pass + two small fits)."""
     check_required(df)
     cols = set(df.columns)
-    fit = income_fit if income_fit is not None else fit_income_quartiles(df)
+    fit = income_fit if income_fit is not None else fit_income_quartiles(materialize(df, ["income"]))
     out = df.crossJoin(F.broadcast(fit))  # one-row fit table
     out = out.withColumn("income_to_loan_ratio", income_to_loan_ratio())
     out = out.withColumn("loan_to_income_ratio", loan_to_income_ratio())
@@ -131,7 +131,9 @@ def engineer_credit_features(df: DataFrame, income_fit: DataFrame | None = None,
     if "interest_rate" in cols:
         out = out.withColumn("high_interest_rate", (F.col("interest_rate") > F.lit(HIGH_RATE)).cast("int"))
         if with_rate_percentile:
-            out = with_percentile_rank(out, "interest_rate", "interest_rate_percentile")
+            ranks = average_rank_table(materialize(df, ["interest_rate"]), "interest_rate").select(
+                "interest_rate", F.col("pct_rank").alias("interest_rate_percentile"))
+            out = out.join(ranks, "interest_rate", "left")
     if "employment_length" in cols:
         el = F.col("employment_length")
         out = out.withColumn("employment_stability",

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendscope.operators.prefix import exact_quantiles, prefix_sums, value_counts
+from lendscope.session import materialize
 
 # --- fixed values: default validation gates --------------------------------
 DEFAULT_GATES = {"min_auc": 0.75, "max_lgd_rmse": 0.25, "max_calibration_error": 0.05,
@@ -22,7 +23,8 @@ DEFAULT_GATES = {"min_auc": 0.75, "max_lgd_rmse": 0.25, "max_calibration_error":
 
 def _score_counts(df: DataFrame, score: str, label: str, group_cols: Sequence[str]) -> DataFrame:
     y = F.col(label).cast("int")
-    vc = value_counts(df.where(F.col(label).isNotNull()), score, group_cols,
+    df = materialize(df.where(F.col(label).isNotNull()), [*group_cols, score, label])
+    vc = value_counts(df, score, group_cols,
                       {"pos": (y == 1).cast("long"), "neg": (y == 0).cast("long")})
     return prefix_sums(vc, score, group_cols, ("cnt", "pos", "neg"))
 
@@ -118,6 +120,7 @@ def calibration(df: DataFrame, score: str, label: str, n_bins: int = 10, max_err
     the maximum clamped into the last bin (D-10).
     """
     g = list(group_cols)
+    df = materialize(df, [*g, score, label])
     edges = quantile_edges(df, score, n_bins, g)
     j = df.join(F.broadcast(edges), g) if g else df.crossJoin(F.broadcast(edges))
     p = F.col(score)

@@ -69,24 +69,26 @@ def prefix_sums(vc: DataFrame, value: str, group_cols: Sequence[str] = (),
         "_bucket", F.size(F.filter("_splits", lambda s: s < F.col(value).cast("double")))
     ).drop("_splits")
 
-    tot = b.groupBy(*g, "_bucket").agg(*[F.sum(m).alias(f"_bt_{m}") for m in measures])
-    # At most groups x nb rows: the running offset over buckets is tiny.
-    wb = Window.partitionBy(*[F.col(c) for c in g] or [F.lit(0)]).orderBy("_bucket")
+    # One exchange by (group, bucket): running sums inside the bucket and the
+    # bucket totals come from the same window pass; the totals table (at most
+    # groups x nb rows) is read back through the reused exchange.
+    wrun = Window.partitionBy(*g, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    wall = Window.partitionBy(*g, "_bucket")
+    w = b.select("*", *[F.coalesce(F.sum(m).over(wrun), F.lit(0)).alias(f"_in_{m}") for m in measures],
+                 *[F.sum(m).over(wall).alias(f"_bt_{m}") for m in measures])
+    tot = w.groupBy(*g, "_bucket").agg(*[F.first(f"_bt_{m}").alias(f"_bt_{m}") for m in measures])
+    gpart = [F.col(c) for c in g] or [F.lit(0)]
+    wb = Window.partitionBy(*gpart).orderBy("_bucket")
     off = tot.select(
         *g, "_bucket",
-        *[(F.sum(f"_bt_{m}").over(wb.rowsBetween(Window.unboundedPreceding, -1)))
+        *[F.coalesce(F.sum(f"_bt_{m}").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
           .alias(f"_off_{m}") for m in measures],
-        *[F.sum(f"_bt_{m}").over(Window.partitionBy(*[F.col(c) for c in g] or [F.lit(0)]))
-          .alias(f"total_{m}") for m in measures],
+        *[F.sum(f"_bt_{m}").over(Window.partitionBy(*gpart)).alias(f"total_{m}") for m in measures],
     )
-    out = b.join(F.broadcast(off), [*g, "_bucket"])
-    wv = Window.partitionBy(*g, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    out = w.drop(*[f"_bt_{m}" for m in measures]).join(F.broadcast(off), [*g, "_bucket"])
     for m in measures:
-        out = out.withColumn(
-            f"below_{m}",
-            F.coalesce(F.col(f"_off_{m}"), F.lit(0)) + F.coalesce(F.sum(m).over(wv), F.lit(0)),
-        )
-    return out.drop("_bucket", *[f"_off_{m}" for m in measures])
+        out = out.withColumn(f"below_{m}", F.col(f"_off_{m}") + F.col(f"_in_{m}"))
+    return out.drop("_bucket", *[f"_off_{m}" for m in measures], *[f"_in_{m}" for m in measures])
 
 
 def average_rank_table(df: DataFrame, value: str, group_cols: Sequence[str] = (),

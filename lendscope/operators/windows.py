@@ -48,15 +48,23 @@ def period_change(df: DataFrame, keys: Sequence[str], period: str, value: str,
             .drop("_prev"))
 
 
-def sliding_count(df: DataFrame, key: str, ts: str, window_seconds: int, out: str = "window_count") -> DataFrame:
-    """WIN-06: requests of the same key with ``t >= now - W`` (RANGE frame).
-
-    The frame is bounded in time, but a hot key still sorts in one task; for
-    hot keys pre-aggregate to per-second counts first (``sliding_count_bucketed``).
+def sliding_count(df: DataFrame, key: str, ts: str, window_seconds: int, out: str = "window_count",
+                  chunk_seconds: int | None = None) -> DataFrame:
+    """WIN-06: requests of the same key with ``now - W <= t <= now`` (RANGE frame).
+
+    Time is cut into chunks of ``C >= W`` seconds; every row is also copied into
+    the next chunk as context, so all rows of a frame lie in (key, chunk).  The
+    window is partitioned by (key, chunk): a hot key is spread over its chunks
+    and each task holds at most two chunks of one key.
     """
+    c = max(chunk_seconds or 3600, window_seconds)
     t = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(key).orderBy(t).rangeBetween(-window_seconds * 1_000_000, 0)
-    return df.withColumn(out, F.count(F.lit(1)).over(w))
+    base = df.withColumn("_t", t).withColumn("_chunk", F.floor(F.col("_t") / F.lit(c * 1_000_000)))
+    both = base.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False)))) \
+        .withColumn("_chunk", F.when(F.col("_own"), F.col("_chunk")).otherwise(F.col("_chunk") + 1))
+    w = Window.partitionBy(key, "_chunk").orderBy("_t").rangeBetween(-window_seconds * 1_000_000, 0)
+    counted = both.withColumn(out, F.count(F.lit(1)).over(w))
+    return counted.where("_own").drop("_t", "_chunk", "_own")
 
 
 def run_lengths(df: DataFrame, key: str, ts: str, violated: Column, tie: str,

@@ -73,3 +73,11 @@ def cut_lineage(df, spark: SparkSession | None = None):
     spark = spark or df.sparkSession
     checkpoint_dir(spark)
     return df.checkpoint(eager=True)
+
+
+def materialize(df, columns=None):
+    """Multi-pass operators (global order statistics, fits) read their input
+    several times; a reliable checkpoint of the narrow projection they need
+    replaces repeated evaluation of the upstream plan (joins, scans)."""
+    narrow = df.select(*columns) if columns else df
+    return cut_lineage(narrow)
