@@ -211,3 +211,32 @@ def dashboard_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         "total_requests", _r("avg_response_time", 6), _r("error_rate", 6),
         F.round("cpu_percent", 6).alias("cpu_usage"), F.round("memory_percent", 6).alias("memory_usage"),
         "critical_alerts", "active_alerts")
+
+
+@register("alert_lifecycle", ops=("MON-07", "MON-08", "SRC-14"))
+def alert_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event-sourced alert status: every fired alert opens as active, is
+    acknowledged one tick later when its severity is critical, and is resolved
+    at the first later tick where its rule passes; status as of the last tick."""
+    m = matched(spark, sf_dir)
+    ev = al.evaluate_rules(m)
+    fired = al.fired_alerts(ev)
+    passes = m.where(~F.col("violated")).select(F.col("name").alias("_n"), F.col("ts").alias("_pts"))
+    res = fired.join(passes, (F.col("name") == F.col("_n")) & (F.col("_pts") > F.col("ts")), "left") \
+        .groupBy("alert_id").agg(F.min("_pts").alias("resolved_at"))
+    opened = fired.select("alert_id", F.lit("active").alias("status"), F.lit("system").alias("actor"),
+                          F.lit(None).cast("timestamp_ntz").alias("suppressed_until"),
+                          F.col("ts").alias("event_ts"), F.lit(0).alias("seq"))
+    acked = fired.where(F.col("severity") == "critical").select(
+        "alert_id", F.lit("acknowledged").alias("status"), F.lit("on_call").alias("actor"),
+        F.lit(None).cast("timestamp_ntz").alias("suppressed_until"),
+        (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("event_ts"), F.lit(1).alias("seq"))
+    resolved = res.where(F.col("resolved_at").isNotNull()).select(
+        "alert_id", F.lit("resolved").alias("status"), F.lit("system").alias("actor"),
+        F.lit(None).cast("timestamp_ntz").alias("suppressed_until"), F.col("resolved_at").alias("event_ts"),
+        F.lit(2).alias("seq"))
+    events = opened.unionByName(acked).unionByName(resolved)
+    as_of = m.agg(F.max("ts").alias("_asof"))
+    events = events.crossJoin(F.broadcast(as_of)).where(F.col("event_ts") <= F.col("_asof")).drop("_asof")
+    lc = al.lifecycle(events, F.lit(None).cast("timestamp_ntz"))
+    return lc.groupBy("status").agg(F.count(F.lit(1)).alias("alerts"))

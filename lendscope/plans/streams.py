@@ -63,3 +63,15 @@ def stream_rate_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sj.run_available_now(adm, "admission", mode="append")
     return out.groupBy("rate_class").agg(F.count(F.lit(1)).alias("requests"),
                                          F.sum(F.col("allowed").cast("long")).alias("allowed"))
+
+
+@register("stream_drift_check", ops=("ST-07", "DR-05", "UDF-02"))
+def stream_drift_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Response-time PSI of each micro-batch of the event stream against the
+    histogram of the first half of the month (the reference sample)."""
+    from lendscope.sources import adapters as ad
+    ref = ad.api_metrics(spark, sf_dir).where(F.col("ts") < F.lit(ad.EVENTS_SPLIT_TS).cast("timestamp_ntz"))
+    hist = sj.reference_histogram(ref, "response_time")
+    api = sj.api_stream(_events_stream(spark, sf_dir))
+    res = sj.continuous_drift(api.select("response_time"), hist, "response_time", "drift")
+    return res.select("epoch", "batch_rows", F.round("psi", 8).alias("psi"))

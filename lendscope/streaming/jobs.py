@@ -150,3 +150,49 @@ def run_available_now(df: DataFrame, name: str, mode: str = "append") -> DataFra
             .option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(out)
+
+
+# ---- ST-07: drift per micro-batch against a fixed reference histogram -------
+def reference_histogram(reference: DataFrame, value: str, bins: int = 10) -> DataFrame:
+    """Fit once: the reference range and its bin shares (10 rows + range)."""
+    from lendscope.functions.bands import edge_bin
+    rng = reference.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    b = reference.crossJoin(F.broadcast(rng)).select(edge_bin(F.col(value), F.col("lo"), F.col("hi"), bins).alias("bin"),
+                                                     "lo", "hi")
+    c = b.groupBy("bin", "lo", "hi").agg(F.count(F.lit(1)).alias("ref"))
+    return c
+
+
+def psi_per_batch(ref_hist: DataFrame, value: str, bins: int = 10):
+    """foreachBatch body factory: PSI of each micro-batch against ``ref_hist``.
+
+    ``ref_hist`` is tiny (bins rows) and broadcast; each batch is binned and
+    counted in parallel; one result row per epoch is appended to ``out``.
+    """
+    from lendscope.functions.bands import edge_bin
+
+    def body(batch: DataFrame, epoch: int, out: str) -> None:
+        rng = ref_hist.select("lo", "hi").limit(1)
+        cur = batch.crossJoin(F.broadcast(rng)).select(
+            edge_bin(F.col(value), F.col("lo"), F.col("hi"), bins).alias("bin")).where("bin IS NOT NULL") \
+            .groupBy("bin").agg(F.count(F.lit(1)).alias("cur"))
+        j = ref_hist.select("bin", "ref").join(cur, "bin", "full_outer").fillna(0)
+        t = j.agg(F.sum("ref").alias("_tr"), F.sum("cur").alias("_tc"))
+        r = F.greatest(F.col("ref") / F.col("_tr"), F.lit(1e-10))
+        c = F.greatest(F.try_divide(F.col("cur").cast("double"), F.col("_tc").cast("double")), F.lit(1e-10))
+        res = j.crossJoin(t).agg(F.when(F.first("_tc") > 0, F.sum((c - r) * F.log(c / r))).alias("psi"),
+                                 F.first("_tc").alias("batch_rows"))
+        res.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out)
+    return body
+
+
+def continuous_drift(stream: DataFrame, ref_hist: DataFrame, value: str, name: str = "drift") -> DataFrame:
+    """ST-07: run the per-batch PSI over everything available; returns the result rows."""
+    spark = stream.sparkSession
+    base = work_dir(spark, name)
+    out, ckpt = os.path.join(base, "out"), os.path.join(base, "checkpoint")
+    body = psi_per_batch(ref_hist, value)
+    q = (stream.writeStream.option("checkpointLocation", ckpt)
+         .foreachBatch(lambda b, e: body(b, e, out)).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out)
