@@ -172,3 +172,35 @@ def drift_alert_line(report: DataFrame, score: str = "psi", threshold: float = 0
     mx = report.agg(F.max(score).alias("max_score"))
     return mx.crossJoin(top_arr).withColumn(
         "status", F.when(F.col("max_score") > threshold, "ALERT").otherwise("OK"))
+
+
+def psi_history(long: DataFrame, period_col: str, bins: int = PSI_BINS) -> DataFrame:
+    """DR-09/12 over time: PSI of every (feature, period) of the current sample
+    against the fixed reference sample.
+
+    Reference shares are one small table per feature (broadcast); current
+    counts are one aggregation over (feature, period, bin), so the reference is
+    never replicated per period.  Continuous features use the reference
+    equal-width bins, categorical ones their categories.
+    """
+    x = long.withColumn("_key", F.when(F.col("category").isNotNull(), F.col("category")))
+    ref = x.where(_is_ref())
+    fit = ref.where(F.col("value").isNotNull()).groupBy("feature").agg(F.min("value").alias("lo"),
+                                                                       F.max("value").alias("hi"))
+    xb = x.join(F.broadcast(fit), "feature", "left").withColumn(
+        "_bin", F.coalesce(F.col("_key"), edge_bin(F.col("value"), F.col("lo"), F.col("hi"), bins).cast("string")))
+    xb = xb.where(F.col("_bin").isNotNull())
+    rc = xb.where(_is_ref()).groupBy("feature", "_bin").agg(F.count(F.lit(1)).alias("ref"))
+    rt = rc.groupBy("feature").agg(F.sum("ref").alias("_tr"))
+    cc = xb.where(_is_cur()).groupBy("feature", period_col, "_bin").agg(F.count(F.lit(1)).alias("cur"))
+    ct = cc.groupBy("feature", period_col).agg(F.sum("cur").alias("_tc"))
+    # every (feature, period) sees every reference bin plus its own current bins
+    periods = ct.select("feature", period_col)
+    grid = rc.join(periods, "feature").select("feature", period_col, "_bin", "ref")
+    j = grid.join(cc, ["feature", period_col, "_bin"], "full_outer").fillna({"ref": 0, "cur": 0})
+    j = j.join(F.broadcast(rt), "feature").join(ct, ["feature", period_col])
+    r = F.greatest(F.col("ref") / F.col("_tr"), F.lit(PSI_FLOOR))
+    c = F.greatest(F.col("cur") / F.col("_tc"), F.lit(PSI_FLOOR))
+    out = j.groupBy("feature", period_col).agg(F.sum((c - r) * F.log(c / r)).alias("drift_score"))
+    return out.select("feature", period_col, F.concat(F.lit("feature_drift_"), F.col("feature")).alias("drift_type"),
+                      "drift_score", (F.col("drift_score") > F.lit(0.2)).alias("drift_detected"))

@@ -170,3 +170,69 @@ def drift_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drift_alert_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = dr.feature_drift(ad.drift_samples(spark, sf_dir), FLOAT_FEATURES, with_p_values=False)
     return dr.drift_alert_line(f, "psi", 0.2, 3).select(_r("max_score"), "top_features", "status")
+
+
+def monthly_psi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apps = ad.credit_applications(spark, sf_dir).withColumn(
+        "month", F.date_trunc("month", "application_ts").cast("timestamp_ntz"))
+    sample = F.when(F.col("application_ts") < F.lit(ad.DRIFT_SPLIT_TS).cast("timestamp_ntz"), "reference") \
+        .otherwise("current")
+    base = apps.select(sample.alias("sample"), "month", *ad.CONTINUOUS_FEATURES, *ad.CATEGORICAL_FEATURES)
+    cont = base.select("sample", "month", F.explode(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"),
+                 F.lit(None).cast("string").alias("category")) for f in FLOAT_FEATURES] + [
+        F.struct(F.lit(f).alias("feature"), F.lit(None).cast("double").alias("value"),
+                 F.col(f).alias("category")) for f in ad.CATEGORICAL_FEATURES])).alias("kv")).select(
+        "sample", "month", "kv.*")
+    return dr.psi_history(cont, "month")
+
+
+_HIST_SRC = " UNION ALL ".join(
+    [f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS category, "
+     f"date_trunc('month', application_ts) AS month, application_ts < TIMESTAMP '1998-04-15 00:00:00' AS is_ref "
+     f"FROM credit_applications" for f in FLOAT_FEATURES]
+    + [f"SELECT '{f}', CAST(NULL AS DOUBLE), {f}, date_trunc('month', application_ts), "
+       f"application_ts < TIMESTAMP '1998-04-15 00:00:00' FROM credit_applications" for f in ad.CATEGORICAL_FEATURES])
+
+_HIST_SQL = f"""
+WITH L AS ({_HIST_SRC}),
+fit AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM L WHERE is_ref AND value IS NOT NULL GROUP BY 1),
+B AS (SELECT L.feature, month, is_ref,
+             coalesce(category, CAST({edge_bin_sql('value', 'lo', 'hi', 10)} AS VARCHAR)) AS bin
+      FROM L LEFT JOIN fit ON L.feature = fit.feature),
+rc AS (SELECT feature, bin, count(*) AS ref FROM B WHERE is_ref AND bin IS NOT NULL GROUP BY 1, 2),
+rt AS (SELECT feature, sum(ref) AS tr FROM rc GROUP BY 1),
+cc AS (SELECT feature, month, bin, count(*) AS cur FROM B WHERE NOT is_ref AND bin IS NOT NULL GROUP BY 1, 2, 3),
+ct AS (SELECT feature, month, sum(cur) AS tc FROM cc GROUP BY 1, 2),
+grid AS (SELECT rc.feature, ct.month, rc.bin, rc.ref FROM rc JOIN ct ON rc.feature = ct.feature),
+j AS (SELECT coalesce(g.feature, c.feature) AS feature, coalesce(g.month, c.month) AS month,
+             coalesce(g.ref, 0) AS ref, coalesce(c.cur, 0) AS cur
+      FROM grid g FULL OUTER JOIN cc c ON g.feature = c.feature AND g.month = c.month AND g.bin = c.bin),
+psi AS (SELECT j.feature, j.month,
+               sum((greatest(cur / tc, 1e-10) - greatest(ref / tr, 1e-10)) * ln(greatest(cur / tc, 1e-10) / greatest(ref / tr, 1e-10))) AS drift_score
+        FROM j JOIN rt ON j.feature = rt.feature JOIN ct ON j.feature = ct.feature AND j.month = ct.month
+        GROUP BY 1, 2)
+"""
+
+
+@register("drift_history", ops=("DR-09", "DR-12", "PRJ-10", "SRC-13"), sql=with_views(_HIST_SQL + """
+SELECT feature, month, 'feature_drift_' || feature AS drift_type, round(drift_score, 8) AS drift_score,
+       drift_score > 0.2E0 AS drift_detected
+FROM psi WHERE month >= TIMESTAMP '2000-01-01 00:00:00'""", "credit_applications"))
+def drift_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly PSI per feature since 2000 (history filter on the drift table)."""
+    h = monthly_psi(spark, sf_dir)
+    h = h.where(F.col("drift_type").contains("feature_drift") & (F.col("month") >= F.lit("2000-01-01 00:00:00")
+                                                                 .cast("timestamp_ntz")))
+    return h.select("feature", "month", "drift_type", F.round("drift_score", 8).alias("drift_score"), "drift_detected")
+
+
+@register("drift_analysis", ops=("AGG-05", "DR-12", "SRT-03"), sql=with_views(_HIST_SQL + """
+SELECT year(month) AS year, 'feature_drift_' || feature AS drift_type, count(*) AS detections,
+       CAST(sum(CASE WHEN drift_score > 0.2E0 THEN 1 ELSE 0 END) AS BIGINT) AS drifted
+FROM psi GROUP BY 1, 2""", "credit_applications"))
+def drift_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of drift rows per year x drift type (no gap filling)."""
+    h = monthly_psi(spark, sf_dir)
+    return h.groupBy(F.year("month").alias("year"), "drift_type").agg(
+        F.count(F.lit(1)).alias("detections"), F.sum(F.col("drift_detected").cast("long")).alias("drifted"))
