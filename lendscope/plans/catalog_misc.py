@@ -280,3 +280,80 @@ def page_url_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", flags["is_url"].alias("is_url"), flags["is_email"].alias("is_email"),
                     tx.truncate_string("url", 30).alias("url_short"), tx.clean_filename("url").alias("file_name"),
                     size.alias("html_size"))
+
+
+@register("ingestion_cycle_summary", ops=("SRC-08", "SRC-11", "AGG-20", "VAL-03", "D-02"), sql=with_views("""
+WITH b AS (SELECT date_trunc('year', application_ts) AS batch, count(*) AS records,
+                  CAST(sum(CASE WHEN loan_amount BETWEEN 1000.0E0 AND 10000000.0E0 THEN 1 ELSE 0 END) AS BIGINT) AS valid
+           FROM credit_applications GROUP BY 1),
+     log AS (SELECT batch, 'credit' AS data_type, 'orders' AS source,
+                    CASE WHEN valid = records THEN 'success' WHEN valid > 0 THEN 'partial' ELSE 'error' END AS status,
+                    valid AS record_count FROM b)
+SELECT data_type, source, arg_max(status, batch) AS latest_status, CAST(sum(record_count) AS BIGINT) AS records,
+       CAST(sum(CASE WHEN status = 'success' THEN 1 ELSE 0 END) AS BIGINT) AS clean_batches, count(*) AS batches
+FROM log GROUP BY 1, 2""", "credit_applications"))
+def ingestion_cycle_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each application year is one ingestion batch: rows are validated, the
+    good ones counted as saved, one log row per batch; then the cycle summary."""
+    from lendscope.operators import quality as vq
+    a = ad.credit_applications(spark, sf_dir).withColumn(
+        "batch", F.date_trunc("year", "application_ts").cast("timestamp_ntz"))
+    rules = [r for r in vq.application_rules() if r.name == "loan_amount_range"]
+    v = vq.apply_rules(a, rules)
+    b = v.groupBy("batch").agg(F.count(F.lit(1)).alias("records"), F.sum(F.col("is_valid").cast("long")).alias("valid"))
+    log = b.select("batch", F.lit("credit").alias("data_type"), F.lit("orders").alias("source"),
+                   F.when(F.col("valid") == F.col("records"), "success").when(F.col("valid") > 0, "partial")
+                   .otherwise("error").alias("status"), F.col("valid").alias("record_count"))
+    return log.groupBy("data_type", "source").agg(
+        F.max_by("status", "batch").alias("latest_status"), F.sum("record_count").cast("long").alias("records"),
+        F.sum((F.col("status") == "success").cast("long")).alias("clean_batches"),
+        F.count(F.lit(1)).alias("batches"))
+
+
+_PORT_METRICS = ["total_exposure", "avg_pd", "avg_lgd", "default_rate", "el_mean"]
+
+
+@register("portfolio_metric_table", ops=("PRJ-17", "FN-20", "PRJ-15"), sql=with_views("""
+SELECT array_to_string(list_transform(string_split(metric, '_'), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS "Metric",
+       printf('%.4f', floor(value * 10000.0E0 + 0.5E0) / 10000.0E0) AS "Value"
+FROM (SELECT sum(loan_amount) AS total_exposure, avg(pd_score) AS avg_pd, avg(lgd_score) AS avg_lgd,
+             avg(CAST(is_default AS INTEGER)) AS default_rate, avg(expected_loss) AS el_mean FROM scored_book)
+UNPIVOT (value FOR metric IN (total_exposure, avg_pd, avg_lgd, default_rate, el_mean))""", "scored_book"))
+def portfolio_metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lendscope.plans.book import scored_book
+    s = scored_book(spark, sf_dir, validate=False)
+    one = s.agg(F.sum("loan_amount").alias("total_exposure"), F.avg("pd_score").alias("avg_pd"),
+                F.avg("lgd_score").alias("avg_lgd"), F.avg(F.col("is_default").cast("int")).alias("default_rate"),
+                F.avg("expected_loss").alias("el_mean"))
+    long = one.unpivot([], _PORT_METRICS, "metric", "value")
+    return long.select(tx.title_case_metric("metric").alias("Metric"),
+                       F.format_string("%.4f", F.floor(F.col("value") * 10000.0 + 0.5) / 10000.0).alias("Value"))
+
+
+@register("outlier_counts", ops=("FE-25",), sql=with_views("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, CAST(sum(CASE WHEN abs({c} - m) > 3.0E0 * s THEN 1 ELSE 0 END) AS BIGINT) AS outliers "
+    f"FROM credit_applications, (SELECT avg({c}) AS m, stddev_pop({c}) AS s FROM credit_applications) f"
+    for c in _SCALED), "credit_applications"))
+def outlier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """3-sigma rule per numeric column (fit row broadcast, one pass)."""
+    a = ad.credit_applications(spark, sf_dir)
+    fit = fe.fit_scaler(a, _SCALED)   # population mean / std per feature (std 0 -> 1)
+    raw = a.agg(*[F.stddev_pop(c).alias(c) for c in _SCALED])
+    wide = fit.groupBy().pivot("feature", _SCALED).agg(F.first("mean"))
+    j = a.crossJoin(F.broadcast(wide.select([F.col(c).alias(f"_m_{c}") for c in _SCALED]))) \
+        .crossJoin(F.broadcast(raw.select([F.col(c).alias(f"_s_{c}") for c in _SCALED])))
+    counts = j.agg(*[F.sum(fe.outlier_flag(c, F.col(f"_m_{c}"), F.col(f"_s_{c}")).cast("long")).alias(c)
+                     for c in _SCALED])
+    return counts.unpivot([], _SCALED, "feature", "outliers")
+
+
+@register("customer_prediction_history", ops=("WIN-05", "PRJ-08", "SRT-01"), sql=with_views("""
+SELECT customer_id, request_id, rn, round(pd_score, 8) AS pd_score
+FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY timestamp DESC, request_id) AS rn
+      FROM prediction_log) t WHERE rn <= 3""", "prediction_log"))
+def customer_prediction_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newest three predictions of every customer (salted top-N)."""
+    from lendscope.operators.windows import top_n_per_key
+    p = ad.prediction_log(spark, sf_dir)
+    h = top_n_per_key(p, ["customer_id"], [F.col("timestamp").desc()], 3, tie_cols=["request_id"])
+    return h.select("customer_id", "request_id", "rn", F.round("pd_score", 8).alias("pd_score"))
