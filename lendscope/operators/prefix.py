@@ -49,21 +49,28 @@ def value_counts(df: DataFrame, value: str, group_cols: Sequence[str] = (),
 
 def prefix_sums(vc: DataFrame, value: str, group_cols: Sequence[str] = (),
                 measures: Sequence[str] = ("cnt",), n_buckets: int | None = None,
-                accuracy: int = 10000) -> DataFrame:
+                accuracy: int = 10000, bounded_groups: bool = True, keep_bucket: bool = False) -> DataFrame:
     """Add ``below_<m>`` = sum of measure ``m`` over values strictly below.
 
     ``vc`` must hold one row per (group, value) (see ``value_counts``).
     Also adds ``total_<m>`` = group total of the measure.
+
+    ``bounded_groups`` (features, samples, models): split points per group and
+    broadcast offsets.  Otherwise (e.g. one group per time bin, growing with
+    the time span) one global set of split points is broadcast and the
+    per-(group, bucket) offsets are joined by key, so nothing that grows with
+    the number of groups is broadcast.
     """
     g = list(group_cols)
     nb = _n_buckets(vc, n_buckets)
     probs = [i / nb for i in range(1, nb)]
-    splits = vc.groupBy(*g).agg(
-        F.percentile_approx(F.col(value).cast("double"), probs, accuracy).alias("_splits"))
-    # groups x (nb-1) doubles: bounded by the group cardinality contract above.
-    if g:
+    if g and bounded_groups:
+        splits = vc.groupBy(*g).agg(
+            F.percentile_approx(F.col(value).cast("double"), probs, accuracy).alias("_splits"))
+        # groups x (nb-1) doubles: bounded by the group cardinality contract above.
         b = vc.join(F.broadcast(splits), g)
     else:
+        splits = vc.agg(F.percentile_approx(F.col(value).cast("double"), probs, accuracy).alias("_splits"))
         b = vc.crossJoin(F.broadcast(splits))
     b = b.withColumn(
         "_bucket", F.size(F.filter("_splits", lambda s: s < F.col(value).cast("double")))
@@ -85,10 +92,12 @@ def prefix_sums(vc: DataFrame, value: str, group_cols: Sequence[str] = (),
           .alias(f"_off_{m}") for m in measures],
         *[F.sum(f"_bt_{m}").over(Window.partitionBy(*gpart)).alias(f"total_{m}") for m in measures],
     )
-    out = w.drop(*[f"_bt_{m}" for m in measures]).join(F.broadcast(off), [*g, "_bucket"])
+    off_side = F.broadcast(off) if (bounded_groups or not g) else off
+    out = w.drop(*[f"_bt_{m}" for m in measures]).join(off_side, [*g, "_bucket"])
     for m in measures:
         out = out.withColumn(f"below_{m}", F.col(f"_off_{m}") + F.col(f"_in_{m}"))
-    return out.drop("_bucket", *[f"_off_{m}" for m in measures], *[f"_in_{m}" for m in measures])
+    out = out.drop(*[f"_off_{m}" for m in measures], *[f"_in_{m}" for m in measures])
+    return out if keep_bucket else out.drop("_bucket")
 
 
 def average_rank_table(df: DataFrame, value: str, group_cols: Sequence[str] = (),
@@ -114,31 +123,46 @@ def with_percentile_rank(df: DataFrame, value: str, out_col: str,
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                    group_cols: Sequence[str] = (), n_buckets: int | None = None) -> DataFrame:
+                    group_cols: Sequence[str] = (), n_buckets: int | None = None,
+                    bounded_groups: bool = True) -> DataFrame:
     """Exact linear-interpolation quantiles (= ``percentile`` / ``quantile_cont``).
 
-    Returns one row per (group, p) with column ``q``.  No task ever holds more
-    than one bucket of distinct values.
+    Returns one row per (group, p) with column ``q``.  The two order positions
+    each quantile needs are first located in a (group, bucket) range table and
+    then read with an equi-join on (group, bucket), so no task ever holds more
+    than one bucket of distinct values, hot groups included.
     """
     g = list(group_cols)
-    vc = value_counts(df, value, g)
-    ps = prefix_sums(vc, value, g, ("cnt",), n_buckets)
+    from lendscope.session import materialize   # multi-pass: read the narrow input once
+    vc = value_counts(materialize(df, [*g, value]), value, g)
+    ps = prefix_sums(vc, value, g, ("cnt",), n_buckets, bounded_groups=bounded_groups, keep_bucket=True)
     spark = df.sparkSession
     probs_df = spark.createDataFrame([(float(p),) for p in probs], "p double")
-    totals = ps.groupBy(*g).agg(F.max("total_cnt").alias("n"))
+    ranges = ps.groupBy(*g, "_bucket").agg(F.min("below_cnt").alias("_lo"),
+                                           F.max(F.col("below_cnt") + F.col("cnt")).alias("_hi"),
+                                           F.max("total_cnt").alias("n"))
+    totals = ranges.groupBy(*g).agg(F.max("n").alias("n"))
     pos = (F.col("n") - 1) * F.col("p")
     targets = (totals.crossJoin(F.broadcast(probs_df))
                .select(*g, "p", F.floor(pos).cast("long").alias("lo_i"),
                        F.ceil(pos).cast("long").alias("hi_i"),
                        (pos - F.floor(pos)).alias("frac")))
-    # the two order positions to read per (group, p): at most groups x probs rows
     want = (targets.select(*g, "p", F.col("lo_i").alias("i"), F.lit("lo").alias("side"))
             .unionByName(targets.select(*g, "p", F.col("hi_i").alias("i"), F.lit("hi").alias("side"))))
-    want = want.select(*[F.col(c).alias(f"_w_{c}") for c in g], "p", "i", "side")
-    cond = (F.col("below_cnt") <= F.col("i")) & (F.col("i") < F.col("below_cnt") + F.col("cnt"))
+    rng = ranges.select(*[F.col(c).alias(f"_w_{c}") for c in g], "_bucket", "_lo", "_hi")
+    cond = (F.col("_lo") <= F.col("i")) & (F.col("i") < F.col("_hi"))
     for c in g:
         cond = cond & (F.col(c) == F.col(f"_w_{c}"))
-    hit = ps.join(F.broadcast(want), cond).select(*g, "p", "side", F.col(value).cast("double").alias("v"))
+    rng_side = F.broadcast(rng) if (bounded_groups or not g) else rng
+    located = want.join(rng_side, cond).select(*g, "p", "i", "side", "_bucket")
+    loc = located.select(*[F.col(c).alias(f"_w_{c}") for c in g], "p", "i", "side",
+                         F.col("_bucket").alias("_wb"))
+    cond2 = (F.col("_bucket") == F.col("_wb")) & (F.col("below_cnt") <= F.col("i")) & \
+        (F.col("i") < F.col("below_cnt") + F.col("cnt"))
+    for c in g:
+        cond2 = cond2 & (F.col(c) == F.col(f"_w_{c}"))
+    loc_side = F.broadcast(loc) if (bounded_groups or not g) else loc
+    hit = ps.join(loc_side, cond2).select(*g, "p", "side", F.col(value).cast("double").alias("v"))
     pv = hit.groupBy(*g, "p").agg(
         F.max(F.when(F.col("side") == "lo", F.col("v"))).alias("v_lo"),
         F.max(F.when(F.col("side") == "hi", F.col("v"))).alias("v_hi"))

@@ -79,5 +79,9 @@ def materialize(df, columns=None):
     """Multi-pass operators (global order statistics, fits) read their input
     several times; a reliable checkpoint of the narrow projection they need
     replaces repeated evaluation of the upstream plan (joins, scans)."""
+    if getattr(df, "_lendscope_materialized", False):
+        return df.select(*columns) if columns else df
     narrow = df.select(*columns) if columns else df
-    return cut_lineage(narrow)
+    out = cut_lineage(narrow)
+    out._lendscope_materialized = True
+    return out

@@ -164,7 +164,10 @@ def hourly_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("requests"),
         F.avg((F.col("status_code") >= 400).cast("double")).alias("error_rate"),
         F.avg("response_time").alias("avg_response_time"))
-    p95 = quantile_columns(a, "response_time", [0.95], ["timestamp"], ["p95_response_time"])
+    p95 = quantile_columns(a, "response_time", [0.95], ["timestamp"], ["p95_response_time"], bounded_groups=False)
     s = system_metrics(spark, sf_dir).select(F.col("timestamp").cast("timestamp_ntz").alias("timestamp"),
                                              "cpu_percent", "memory_percent")
-    return agg.join(p95, "timestamp").join(s, "timestamp").withColumnRenamed("timestamp", "ts")
+    out = agg.join(p95, "timestamp").join(s, "timestamp").withColumnRenamed("timestamp", "ts")
+    # one row per hour, read by several consumers (rules, health, dashboard): materialise once
+    from lendscope.session import cut_lineage
+    return cut_lineage(out)
