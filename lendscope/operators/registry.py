@@ -72,3 +72,18 @@ def recommendation(registry: DataFrame) -> DataFrame:
         F.max_by("model_version", F.struct("created_at", "model_version")).alias("_newest")).select(
         F.when(F.col("_active").isNotNull(), F.lit("continue_current")).otherwise(F.lit("activate_latest"))
         .alias("action"), F.coalesce("_active", "_newest").alias("model_version"))
+
+
+# --- fixed values (must equal the reference for equal results) -------------
+COMPARISON_METRICS = ["pd_auc", "lgd_rmse", "expected_loss_mean", "accuracy", "precision", "recall",
+                      "f1_score", "brier_score", "response_time_ms"]
+
+
+def check_comparison_request(versions, metrics) -> None:
+    """VAL-09: 2..5 distinct versions; metric names from the known set (SET-03)."""
+    distinct = list(dict.fromkeys(versions))
+    if not 2 <= len(distinct) <= 5:
+        raise ValueError("between 2 and 5 distinct model versions are required")
+    invalid = sorted(set(metrics) - set(COMPARISON_METRICS))
+    if invalid:
+        raise ValueError(f"Invalid metrics: {invalid}")

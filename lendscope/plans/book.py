@@ -25,7 +25,8 @@ def scored_book(spark: SparkSession, sf_dir: str, validate: bool = True) -> Data
 
 
 @register("book_by_purpose", ops=("SRC-07", "VAL-01", "VAL-03", "FE-02", "FE-05", "FE-14",
-                                  "RSK-01", "RSK-02", "RSK-03", "RSK-05", "RSK-10", "AGG-21"),
+                                  "RSK-01", "RSK-02", "RSK-03", "RSK-04", "RSK-05", "RSK-06", "RSK-10",
+                                  "AGG-21", "FN-24"),
           sql=with_views(f"""
 SELECT loan_purpose,
        count(*) AS applications,

@@ -357,3 +357,67 @@ def customer_prediction_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = ad.prediction_log(spark, sf_dir)
     h = top_n_per_key(p, ["customer_id"], [F.col("timestamp").desc()], 3, tie_cols=["request_id"])
     return h.select("customer_id", "request_id", "rn", F.round("pd_score", 8).alias("pd_score"))
+
+
+@register("registry_sql_listing", ops=("SRC-18", "SRT-01", "PRJ-18"), sql=with_views(f"""
+SELECT model_version, status, round(accuracy, 8) AS accuracy FROM ({_VERSION_METRICS_SQL}) v
+ORDER BY created_at DESC, model_version""".replace("SELECT model_version, round(avg", "SELECT model_version, 'inactive' AS status, round(avg"), "prediction_log"))
+def registry_sql_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry read back through ``spark.sql`` on a temp view, newest first."""
+    registry_from_log(spark, sf_dir).createOrReplaceTempView("model_registry")
+    return spark.sql("""
+        SELECT model_version, status,
+               round(CAST(from_json(performance_metrics, 'map<string,double>')['accuracy'] AS DOUBLE), 8) AS accuracy
+        FROM model_registry ORDER BY created_at DESC, model_version""")
+
+
+@register("category_set_changes", ops=("SET-02", "SET-03", "SET-01", "JN-03"), sql=with_views("""
+SELECT feature, category, change FROM (
+  SELECT feature, category, 'new_in_current' AS change FROM
+    (SELECT DISTINCT feature, category FROM drift_samples WHERE sample = 'current' AND category IS NOT NULL
+     EXCEPT SELECT DISTINCT feature, category FROM drift_samples WHERE sample = 'reference' AND category IS NOT NULL) a
+  UNION ALL
+  SELECT feature, category, 'missing_in_current' FROM
+    (SELECT DISTINCT feature, category FROM drift_samples WHERE sample = 'reference' AND category IS NOT NULL
+     EXCEPT SELECT DISTINCT feature, category FROM drift_samples WHERE sample = 'current' AND category IS NOT NULL) b
+  UNION ALL
+  SELECT feature, category, 'shared' FROM
+    (SELECT DISTINCT feature, category FROM drift_samples WHERE sample = 'reference' AND category IS NOT NULL
+     INTERSECT SELECT DISTINCT feature, category FROM drift_samples WHERE sample = 'current' AND category IS NOT NULL) c) t""",
+                                                            "drift_samples"))
+def category_set_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category sets of the two samples: differences both ways and the overlap."""
+    long = ad.drift_samples(spark, sf_dir).where(F.col("category").isNotNull())
+    ref = long.where(F.col("sample") == "reference").select("feature", "category").distinct()
+    cur = long.where(F.col("sample") == "current").select("feature", "category").distinct()
+    new = cur.join(ref, ["feature", "category"], "left_anti").withColumn("change", F.lit("new_in_current"))
+    gone = ref.subtract(cur).withColumn("change", F.lit("missing_in_current"))
+    both = ref.intersect(cur).withColumn("change", F.lit("shared"))
+    return new.unionByName(gone).unionByName(both)
+
+
+@register("multi_source_applications", ops=("SET-04", "SET-05", "D-22"), sql=with_views("""
+WITH a AS (SELECT customer_id, loan_amount, 'orders' AS source FROM credit_applications
+           WHERE application_ts >= TIMESTAMP '2010-01-01 00:00:00'),
+     b AS (SELECT customer_id, loan_amount, 'orders_all' AS source FROM credit_applications),
+     chosen AS (SELECT * FROM a UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a)),
+     prospects AS (SELECT CAST(c_custkey AS VARCHAR) AS customer_id, CAST(NULL AS DOUBLE) AS loan_amount,
+                          'customers' AS source FROM customer
+                   WHERE c_custkey NOT IN (SELECT o_custkey FROM orders))
+SELECT source, count(*) AS records, count(loan_amount) AS with_amount
+FROM (SELECT * FROM chosen UNION ALL SELECT * FROM prospects) u GROUP BY source""", "credit_applications"))
+def multi_source_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fallback source (first non-empty) plus prospects from a second mapping
+    with fewer columns, appended by name."""
+    from lendscope.sources.tables import Tables
+    apps = ad.credit_applications(spark, sf_dir)
+    a = apps.where(F.col("application_ts") >= F.lit("2010-01-01 00:00:00").cast("timestamp_ntz")) \
+        .select("customer_id", "loan_amount", F.lit("orders").alias("source"))
+    b = apps.select("customer_id", "loan_amount", F.lit("orders_all").alias("source"))
+    a_empty = a.limit(1).groupBy().count().withColumnRenamed("count", "_a")   # 0 or 1, no full scan
+    chosen = a.unionByName(b.crossJoin(F.broadcast(a_empty)).where(F.col("_a") == 0).drop("_a"))
+    t = Tables(spark, sf_dir)
+    prospects = t.customer.join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti") \
+        .select(F.col("c_custkey").cast("string").alias("customer_id"), F.lit("customers").alias("source"))
+    u = chosen.unionByName(prospects, allowMissingColumns=True)
+    return u.groupBy("source").agg(F.count(F.lit(1)).alias("records"), F.count("loan_amount").alias("with_amount"))

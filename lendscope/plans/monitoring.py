@@ -20,7 +20,7 @@ def _r(c, n=6):
     return F.round(F.col(c), n).alias(c)
 
 
-@register("api_summary_by_endpoint", ops=("AGG-01", "PRJ-06"), sql=with_views(f"""
+@register("api_summary_by_endpoint", ops=("AGG-01", "PRJ-06", "FN-01"), sql=with_views(f"""
 SELECT endpoint, count(*) AS total_requests, round(avg(response_time), 6) AS avg_response_time,
        round(quantile_cont(response_time, 0.95), 6) AS p95_response_time,
        round(quantile_cont(response_time, 0.99), 6) AS p99_response_time,

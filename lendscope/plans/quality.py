@@ -107,7 +107,7 @@ _FEATURE_TEXT = ["income_quartile", "credit_score_band", "dti_risk_category", "e
 
 @register("credit_features", ops=("FE-01", "FE-02", "FE-03", "FE-04", "FE-05", "FE-06", "FE-07", "FE-08",
                                   "FE-09", "FE-10", "FE-11", "FE-12", "FE-13", "FE-14", "FE-15", "FE-16",
-                                  "WIN-01", "FN-22", "FN-23", "JN-04"),
+                                  "WIN-01", "FN-22", "FN-23", "JN-04", "VAL-08", "UDF-04"),
           sql=with_views("SELECT app_id, " + ", ".join(_FEATURE_TEXT) + ", "
                          + ", ".join(f"round({c}, 6) AS {c}" for c in _FEATURE_OUT[:-1])
                          + ", round(monthly_payment * 12.0E0 / (income + 1e-6), 6) AS payment_to_income_ratio"

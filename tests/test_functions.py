@@ -118,3 +118,30 @@ def test_registry_upsert_and_best(spark):
                                  "model_name string, model_version string, metric string, value double")
     best = {r["metric"]: r["best_version"] for r in rg.best_per_metric(long).collect()}
     assert best == {"accuracy": "v1", "response_time_ms": "v2"}
+
+
+def test_metric_display_and_uptime(spark):
+    df = spark.createDataFrame([("error_rate", 0.0123), ("avg_response_time", 0.25), ("avg_response_time", 1.5),
+                                ("total_predictions", 12345.0), ("score", 0.5)], "m string, v double")
+    got = [r[0] for r in df.select(tx.format_metric("m", "v")).collect()]
+    assert got == ["1.2%", "250ms", "1.50s", "12,345", "0.50"]
+    up = spark.createDataFrame([(90061,)], "s long")
+    assert up.select(tx.format_uptime("s")).collect()[0][0] == "1d 1h 1m"
+
+
+def test_comparison_request_checks():
+    rg.check_comparison_request(["v1", "v2"], ["pd_auc"])
+    with pytest.raises(ValueError):
+        rg.check_comparison_request(["v1", "v1"], ["pd_auc"])
+    with pytest.raises(ValueError):
+        rg.check_comparison_request(["v1", "v2"], ["pd_auc", "made_up"])
+
+
+def test_sinks_roundtrip(spark, tmp_path):
+    from lendscope.sources import sinks
+    from lendscope.sources.adapters import credit_applications
+    apps = credit_applications(spark, "/root/testdata/sf0.001")
+    v = sinks.append_applications(apps, str(tmp_path / "apps"), str(tmp_path / "quarantine"), "b1").collect()[0]
+    good = spark.read.parquet(str(tmp_path / "apps")).count()
+    bad = spark.read.parquet(str(tmp_path / "quarantine")).count()
+    assert good == v["valid_records"] and good + bad == v["total_records"]
