@@ -25,7 +25,8 @@ def top_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     single window over ``salt * n`` rows.
     """
     ordering = list(order) + [F.col(c) for c in tie_cols]
-    hash_src = [F.col(c) for c in tie_cols] or [F.monotonically_increasing_id()]
+    # deterministic salt (a retried task must put every row in the same sub-group)
+    hash_src = [F.col(c) for c in tie_cols] or [F.col(c) for c in df.columns]
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*hash_src), F.lit(salt)))
     w1 = Window.partitionBy(*keys, "_salt").orderBy(*ordering)
     stage1 = salted.withColumn("_rn1", F.row_number().over(w1)).where(F.col("_rn1") <= n)

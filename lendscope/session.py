@@ -59,12 +59,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local runs) is a fresh scratch folder created and registered.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-    if not d:
-        d = tempfile.mkdtemp(prefix="lendscope-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", d)
-        spark.sparkContext.setCheckpointDir(d)
+    if d:
+        return d
+    try:
+        sc = spark.sparkContext          # not available on Spark Connect
+    except Exception:
+        sc = None
+    if sc is None:
+        raise RuntimeError("spark.checkpoint.dir is not set for this session")
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    # only for sessions without a shared checkpoint folder (tests, local runs)
+    d = tempfile.mkdtemp(prefix="lendscope-ckpt-", dir="/tmp")
+    sc.setCheckpointDir(d)
     return d
 
 
