@@ -59,16 +59,35 @@ def stream_scoring_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("loan_purpose", "decision", "applications", F.round("expected_loss", 6).alias("expected_loss"))
 
 
+# API-key tiers (fixed values of this library): unknown clients fall to 'free'.
+CLIENT_TIERS = [(1, "standard"), (2, "premium"), (3, "enterprise")]
+
+
 @register("stream_rate_admission", ops=("ST-03", "ST-05", "D-17"))
 def stream_rate_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sliding-log admission per client with keyed state (brute-force tested)."""
+    """Sliding-log admission per (client, tier) with keyed state; the tier comes
+    from a broadcast lookup table, unknown clients are 'free' (brute-force tested)."""
     api = sj.api_stream(_events_stream(spark, sf_dir))
-    adm = sj.sliding_admission(api, "predictions", limit=3, window_s=3600)
+    tiers = spark.createDataFrame(CLIENT_TIERS, "client_id long, tier string")
+    api = api.join(F.broadcast(tiers), "client_id", "left").withColumn("tier", F.coalesce("tier", F.lit("free")))
+    adm = sj.sliding_admission(api, class_col="tier")
     out = sj.run_available_now(adm, "admission", mode="append")
     return out.groupBy("rate_class").agg(F.count(F.lit(1)).alias("requests"),
                                          F.sum(F.col("allowed").cast("long")).alias("allowed"))
 
 
+@register("stream_request_dedup", ops=("ST-06", "SET-06", "FN-04"))
+def stream_request_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated identical requests inside 300 s are suppressed on the stream."""
+    from lendscope.functions import jsonx as jx
+    ev = _events_stream(spark, sf_dir)
+    api = sj.api_stream(ev).withColumn("request_hash", F.md5(F.to_json(F.struct("client_id", "endpoint"))))
+    d = sj.dedup_requests(api, "request_hash", "ts", "300 seconds")
+    out = sj.run_available_now(d, "dedup", mode="append")
+    return out.agg(F.count(F.lit(1)).alias("unique_requests"),
+                   F.count_distinct("request_hash").alias("distinct_hashes"))
+
+
 @register("stream_drift_check", ops=("ST-07", "DR-05", "UDF-02"))
 def stream_drift_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Response-time PSI of each micro-batch of the event stream against the

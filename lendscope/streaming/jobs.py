@@ -29,6 +29,7 @@ RATE_LIMITS = {  # path class -> (max requests, window seconds)
     "batch": (10, 300),
 }
 TIER_QUOTAS = {"free": 100, "standard": 1000, "premium": 10000, "enterprise": 100000}  # per rolling hour
+TIER_WINDOW_S = 3600
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -88,13 +89,15 @@ def dedup_requests(stream: DataFrame, hash_col: str, ts: str, ttl: str = "300 se
 
 
 # ---- keyed state: sliding-log admission (ST-03 / ST-05) --------------------
-ADMISSION_SCHEMA = "client_id long, rate_class string, request_id long, ts timestamp, allowed boolean, remaining int"
+ADMISSION_SCHEMA = ("client_id long, rate_class string, request_id long, ts timestamp, allowed boolean, "
+                    "remaining int, reset_at timestamp")
 ADMISSION_STATE = "log array<timestamp>"
 
 
 def _admission(limit: int, window_s: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
         lim = TIER_QUOTAS.get(key[1], limit)          # ST-05: tier classes carry their own quota
+        win = pd.Timedelta(seconds=TIER_WINDOW_S if key[1] in TIER_QUOTAS else window_s)
         if state.hasTimedOut:                          # idle longer than the window: drop the log
             state.remove()
             return
@@ -103,16 +106,18 @@ def _admission(limit: int, window_s: int):
             pdf = pdf.sort_values(["ts", "request_id"], kind="mergesort")
             out = []
             for rid, ts in zip(pdf["request_id"], pdf["ts"]):
-                cut = ts - pd.Timedelta(seconds=window_s)
+                cut = ts - win
                 log = [t for t in log if t >= cut]           # keep t >= now - W
                 ok = len(log) < lim
                 if ok:
                     log.append(ts)                            # denied requests are not recorded
-                out.append((key[0], key[1], int(rid), ts, ok, max(lim - len(log), 0)))
-            yield pd.DataFrame(out, columns=["client_id", "rate_class", "request_id", "ts", "allowed", "remaining"])
+                reset = (min(log) + win) if log else ts + win   # oldest kept request + W
+                out.append((key[0], key[1], int(rid), ts, ok, max(lim - len(log), 0), reset))
+            yield pd.DataFrame(out, columns=["client_id", "rate_class", "request_id", "ts", "allowed", "remaining",
+                                             "reset_at"])
         state.update((log,))
         if log:
-            expiry = int(pd.Timestamp(max(log)).timestamp() * 1000) + window_s * 1000
+            expiry = int(pd.Timestamp(max(log)).timestamp() * 1000) + int(win.total_seconds() * 1000)
             state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
     return fn
 

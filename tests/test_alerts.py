@@ -36,3 +36,27 @@ def test_compare_unknown_operator_is_false(spark):
     df = spark.createDataFrame([(1.0, "~", 0.0), (1.0, ">", 0.0), (1.0, "!=", 1.0)], "v double, op string, t double")
     got = [r[0] for r in df.select(al.compare(F.col("v"), F.col("op"), F.col("t"))).collect()]
     assert got == [False, True, False]
+
+
+def test_admission_matches_brute_force(spark, tmp_path):
+    """Sliding-log admission on a file stream vs a plain-Python replay."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+    from lendscope.streaming import jobs as sj
+    t0 = dt.datetime(2024, 1, 1)
+    offs = [0, 10, 20, 30, 65, 70, 71, 130, 131, 132, 133, 200]
+    pdf = pd.DataFrame({"client_id": [7] * len(offs), "request_id": list(range(len(offs))),
+                        "ts": [t0 + dt.timedelta(seconds=o) for o in offs]})
+    src = tmp_path / "src"
+    spark.createDataFrame(pdf, "client_id long, request_id long, ts timestamp").coalesce(1).write.parquet(str(src))
+    stream = spark.readStream.schema("client_id long, request_id long, ts timestamp").parquet(str(src))
+    out = sj.run_available_now(sj.sliding_admission(stream, "default", limit=3, window_s=60), "adm-test")
+    got = [r["allowed"] for r in out.orderBy("request_id").collect()]
+    log, expect = [], []
+    for o in offs:
+        log = [x for x in log if x >= o - 60]
+        ok = len(log) < 3
+        if ok:
+            log.append(o)
+        expect.append(ok)
+    assert got == expect
