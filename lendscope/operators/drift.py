@@ -104,7 +104,7 @@ def psi_continuous(long: DataFrame, bins: int = PSI_BINS) -> DataFrame:
     """DR-05: equal-width bins of the reference range; current outside is ignored."""
     x = long.where(F.col("value").isNotNull())
     fit = x.where(_is_ref()).groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    b = x.join(F.broadcast(fit), "feature").withColumn("bin", edge_bin(F.col("value"), F.col("lo"), F.col("hi"), bins))
+    b = x.join(fit, "feature").withColumn("bin", edge_bin(F.col("value"), F.col("lo"), F.col("hi"), bins))
     counts = b.where(F.col("bin").isNotNull()).groupBy("feature", "bin").agg(
         F.sum(_is_ref().cast("long")).alias("ref"), F.sum(_is_cur().cast("long")).alias("cur"))
     return _psi_from_counts(counts, "bin")
@@ -138,8 +138,8 @@ def feature_drift(long: DataFrame, float_features: Sequence[str] = (), with_p_va
     long = materialize(long, ["feature", "sample", "value", "category"])
     prof = sample_profile(long, float_features)
     cont_feats = prof.where("continuous").select("feature")
-    cont_long = long.join(F.broadcast(cont_feats), "feature", "left_semi")
-    cat_long = long.join(F.broadcast(cont_feats), "feature", "left_anti")
+    cont_long = long.join(cont_feats, "feature", "left_semi")
+    cat_long = long.join(cont_feats, "feature", "left_anti")
     ks = ks_statistics(cont_long)
     chi = chi_square(cat_long)
     psi = psi_continuous(cont_long).unionByName(psi_categorical(cat_long))
@@ -187,7 +187,7 @@ def psi_history(long: DataFrame, period_col: str, bins: int = PSI_BINS) -> DataF
     ref = x.where(_is_ref())
     fit = ref.where(F.col("value").isNotNull()).groupBy("feature").agg(F.min("value").alias("lo"),
                                                                        F.max("value").alias("hi"))
-    xb = x.join(F.broadcast(fit), "feature", "left").withColumn(
+    xb = x.join(fit, "feature", "left").withColumn(
         "_bin", F.coalesce(F.col("_key"), edge_bin(F.col("value"), F.col("lo"), F.col("hi"), bins).cast("string")))
     xb = xb.where(F.col("_bin").isNotNull())
     rc = xb.where(_is_ref()).groupBy("feature", "_bin").agg(F.count(F.lit(1)).alias("ref"))
@@ -198,7 +198,7 @@ def psi_history(long: DataFrame, period_col: str, bins: int = PSI_BINS) -> DataF
     periods = ct.select("feature", period_col)
     grid = rc.join(periods, "feature").select("feature", period_col, "_bin", "ref")
     j = grid.join(cc, ["feature", period_col, "_bin"], "full_outer").fillna({"ref": 0, "cur": 0})
-    j = j.join(F.broadcast(rt), "feature").join(ct, ["feature", period_col])
+    j = j.join(rt, "feature").join(ct, ["feature", period_col])
     r = F.greatest(F.col("ref") / F.col("_tr"), F.lit(PSI_FLOOR))
     c = F.greatest(F.col("cur") / F.col("_tc"), F.lit(PSI_FLOOR))
     out = j.groupBy("feature", period_col).agg(F.sum((c - r) * F.log(c / r)).alias("drift_score"))

@@ -122,7 +122,7 @@ def calibration(df: DataFrame, score: str, label: str, n_bins: int = 10, max_err
     g = list(group_cols)
     df = materialize(df, [*g, score, label])
     edges = quantile_edges(df, score, n_bins, g)
-    j = df.join(F.broadcast(edges), g) if g else df.crossJoin(F.broadcast(edges))
+    j = df.join(edges, g) if g else df.crossJoin(F.broadcast(edges))
     p = F.col(score)
     inner = F.slice("edges", 2, n_bins - 1)
     err_bin = F.size(F.filter(inner, lambda e: e < p))

@@ -14,8 +14,10 @@ work is split in three steps:
    bucket's offset; a window partitioned by (group, bucket) adds the running
    sum inside the bucket.
 
-``group_cols`` must have a bounded number of values (features, samples,
-models) because the per-group split arrays and bucket offsets are broadcast.
+Explicit broadcasts are used only for tables whose size is fixed (one row of
+split points, at most ``nb`` bucket offsets, the probability list); tables that
+grow with the number of groups are joined by key and AQE decides at run time,
+from their measured size, whether to broadcast them or shuffle.
 """
 
 from __future__ import annotations
@@ -67,8 +69,9 @@ def prefix_sums(vc: DataFrame, value: str, group_cols: Sequence[str] = (),
     if g and bounded_groups:
         splits = vc.groupBy(*g).agg(
             F.percentile_approx(F.col(value).cast("double"), probs, accuracy).alias("_splits"))
-        # groups x (nb-1) doubles: bounded by the group cardinality contract above.
-        b = vc.join(F.broadcast(splits), g)
+        # groups x (nb-1) doubles: AQE broadcasts it when its measured size is under
+        # the threshold and falls back to a shuffle join beyond it.
+        b = vc.join(splits, g)
     else:
         splits = vc.agg(F.percentile_approx(F.col(value).cast("double"), probs, accuracy).alias("_splits"))
         b = vc.crossJoin(F.broadcast(splits))
@@ -92,7 +95,7 @@ def prefix_sums(vc: DataFrame, value: str, group_cols: Sequence[str] = (),
           .alias(f"_off_{m}") for m in measures],
         *[F.sum(f"_bt_{m}").over(Window.partitionBy(*gpart)).alias(f"total_{m}") for m in measures],
     )
-    off_side = F.broadcast(off) if (bounded_groups or not g) else off
+    off_side = F.broadcast(off) if not g else off   # no groups: at most nb rows
     out = w.drop(*[f"_bt_{m}" for m in measures]).join(off_side, [*g, "_bucket"])
     for m in measures:
         out = out.withColumn(f"below_{m}", F.col(f"_off_{m}") + F.col(f"_in_{m}"))
@@ -153,7 +156,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     cond = (F.col("_lo") <= F.col("i")) & (F.col("i") < F.col("_hi"))
     for c in g:
         cond = cond & (F.col(c) == F.col(f"_w_{c}"))
-    rng_side = F.broadcast(rng) if (bounded_groups or not g) else rng
+    rng_side = F.broadcast(rng) if not g else rng
     located = want.join(rng_side, cond).select(*g, "p", "i", "side", "_bucket")
     loc = located.select(*[F.col(c).alias(f"_w_{c}") for c in g], "p", "i", "side",
                          F.col("_bucket").alias("_wb"))
@@ -161,7 +164,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
         (F.col("i") < F.col("below_cnt") + F.col("cnt"))
     for c in g:
         cond2 = cond2 & (F.col(c) == F.col(f"_w_{c}"))
-    loc_side = F.broadcast(loc) if (bounded_groups or not g) else loc
+    loc_side = F.broadcast(loc) if not g else loc
     hit = ps.join(loc_side, cond2).select(*g, "p", "side", F.col(value).cast("double").alias("v"))
     pv = hit.groupBy(*g, "p").agg(
         F.max(F.when(F.col("side") == "lo", F.col("v"))).alias("v_lo"),

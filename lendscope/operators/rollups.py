@@ -126,7 +126,7 @@ def range_histogram(df: DataFrame, value: str, bins: int = 20, fit: DataFrame |
     """AGG-08 / AGG-26: ``bins`` equal-width bins over the (fitted) min..max range."""
     g = list(group_cols)
     fit = fit if fit is not None else df.groupBy(*g).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    j = df.join(F.broadcast(fit), g) if g else df.crossJoin(F.broadcast(fit))
+    j = df.join(fit, g) if g else df.crossJoin(F.broadcast(fit))
     b = j.select(*g, equal_width_bin(F.col(value), F.col("lo"), F.col("hi"), bins).alias("bin"))
     return b.where("bin IS NOT NULL").groupBy(*g, "bin").agg(F.count(F.lit(1)).alias("count"))
 
