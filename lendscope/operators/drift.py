@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendscope.functions.bands import edge_bin
-from lendscope.operators.prefix import prefix_sums, value_counts
+from lendscope.operators.prefix import MAX_BROADCAST_GROUPS, broadcast_if, prefix_sums, value_counts
 from lendscope.operators.tails import chi2_pvalue, ks_pvalue
 from lendscope.session import materialize
 
@@ -55,11 +55,11 @@ def sample_profile(long: DataFrame, float_features: Sequence[str] = ()) -> DataF
     return prof.select("feature", "n_ref", "n_cur", "distinct_ref", continuous.alias("continuous"), test.alias("test"))
 
 
-def ks_statistics(long: DataFrame) -> DataFrame:
+def ks_statistics(long: DataFrame, small_groups: bool = False) -> DataFrame:
     """DR-03: D = max |F_ref - F_cur| per feature, plus means and population stds."""
     x = long.where(F.col("value").isNotNull())
     vc = value_counts(x, "value", ["feature"], {"ref": _is_ref().cast("long"), "cur": _is_cur().cast("long")})
-    ps = prefix_sums(vc, "value", ["feature"], ("ref", "cur"))
+    ps = prefix_sums(vc, "value", ["feature"], ("ref", "cur"), small_groups=small_groups)
     f1 = (F.col("below_ref") + F.col("ref")) / F.col("total_ref")
     f2 = (F.col("below_cur") + F.col("cur")) / F.col("total_cur")
     d = ps.groupBy("feature").agg(F.max(F.abs(f1 - f2)).alias("ks_statistic"))
@@ -100,11 +100,11 @@ def _psi_from_counts(counts: DataFrame, key: str) -> DataFrame:
         F.when(F.min("_tc") > 0, F.sum(term)).alias("psi"))  # all current outside range -> NULL
 
 
-def psi_continuous(long: DataFrame, bins: int = PSI_BINS) -> DataFrame:
+def psi_continuous(long: DataFrame, bins: int = PSI_BINS, small_groups: bool = False) -> DataFrame:
     """DR-05: equal-width bins of the reference range; current outside is ignored."""
     x = long.where(F.col("value").isNotNull())
     fit = x.where(_is_ref()).groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    b = x.join(fit, "feature").withColumn("bin", edge_bin(F.col("value"), F.col("lo"), F.col("hi"), bins))
+    b = x.join(broadcast_if(fit, small_groups), "feature").withColumn("bin", edge_bin(F.col("value"), F.col("lo"), F.col("hi"), bins))
     counts = b.where(F.col("bin").isNotNull()).groupBy("feature", "bin").agg(
         F.sum(_is_ref().cast("long")).alias("ref"), F.sum(_is_cur().cast("long")).alias("cur"))
     return _psi_from_counts(counts, "bin")
@@ -137,12 +137,22 @@ def feature_drift(long: DataFrame, float_features: Sequence[str] = (), with_p_va
     """DR-01..07/09: one row per feature with the routed test, its statistic, PSI."""
     long = materialize(long, ["feature", "sample", "value", "category"])
     prof = sample_profile(long, float_features)
-    cont_feats = prof.where("continuous").select("feature")
-    cont_long = long.join(cont_feats, "feature", "left_semi")
-    cat_long = long.join(cont_feats, "feature", "left_anti")
-    ks = ks_statistics(cont_long)
+    # one row per feature: count it; under the limit the profile is read once on
+    # the driver and the routing becomes a filter, above it a key join
+    rows = prof.limit(MAX_BROADCAST_GROUPS + 1).collect()
+    small = len(rows) <= MAX_BROADCAST_GROUPS
+    if small:
+        prof = long.sparkSession.createDataFrame(rows, prof.schema)
+        cont = [r["feature"] for r in rows if r["continuous"]] or [""]
+        cont_long = long.where(F.col("feature").isin(cont))
+        cat_long = long.where(~F.col("feature").isin(cont))
+    else:
+        cont_feats = prof.where("continuous").select("feature")
+        cont_long = long.join(cont_feats, "feature", "left_semi")
+        cat_long = long.join(cont_feats, "feature", "left_anti")
+    ks = ks_statistics(cont_long, small)
     chi = chi_square(cat_long)
-    psi = psi_continuous(cont_long).unionByName(psi_categorical(cat_long))
+    psi = psi_continuous(cont_long, small_groups=small).unionByName(psi_categorical(cat_long))
     out = prof.join(ks, "feature", "left").join(chi, "feature", "left").join(psi, "feature", "left")
     stat = (F.when(F.col("test") == "ks_test", F.col("ks_statistic"))
             .when(F.col("test") == "chi_square", F.col("chi2_statistic")).otherwise(F.lit(0.0)))

@@ -15,9 +15,11 @@ work is split in three steps:
    sum inside the bucket.
 
 Explicit broadcasts are used only for tables whose size is fixed (one row of
-split points, at most ``nb`` bucket offsets, the probability list); tables that
-grow with the number of groups are joined by key and AQE decides at run time,
-from their measured size, whether to broadcast them or shuffle.
+split points, at most ``nb`` bucket offsets, the probability list) or, with
+``small_groups=True``, after the caller has counted the groups (see
+``drift.feature_drift``); otherwise tables that grow with the number of groups
+are joined by key and AQE decides at run time, from their measured size,
+whether to broadcast them or shuffle.
 """
 
 from __future__ import annotations
@@ -51,7 +53,8 @@ def value_counts(df: DataFrame, value: str, group_cols: Sequence[str] = (),
 
 def prefix_sums(vc: DataFrame, value: str, group_cols: Sequence[str] = (),
                 measures: Sequence[str] = ("cnt",), n_buckets: int | None = None,
-                accuracy: int = 10000, bounded_groups: bool = True, keep_bucket: bool = False) -> DataFrame:
+                accuracy: int = 10000, bounded_groups: bool = True, keep_bucket: bool = False,
+                small_groups: bool = False) -> DataFrame:
     """Add ``below_<m>`` = sum of measure ``m`` over values strictly below.
 
     ``vc`` must hold one row per (group, value) (see ``value_counts``).
@@ -71,7 +74,7 @@ def prefix_sums(vc: DataFrame, value: str, group_cols: Sequence[str] = (),
             F.percentile_approx(F.col(value).cast("double"), probs, accuracy).alias("_splits"))
         # groups x (nb-1) doubles: AQE broadcasts it when its measured size is under
         # the threshold and falls back to a shuffle join beyond it.
-        b = vc.join(splits, g)
+        b = vc.join(F.broadcast(splits) if small_groups else splits, g)
     else:
         splits = vc.agg(F.percentile_approx(F.col(value).cast("double"), probs, accuracy).alias("_splits"))
         b = vc.crossJoin(F.broadcast(splits))
@@ -95,7 +98,7 @@ def prefix_sums(vc: DataFrame, value: str, group_cols: Sequence[str] = (),
           .alias(f"_off_{m}") for m in measures],
         *[F.sum(f"_bt_{m}").over(Window.partitionBy(*gpart)).alias(f"total_{m}") for m in measures],
     )
-    off_side = F.broadcast(off) if not g else off   # no groups: at most nb rows
+    off_side = F.broadcast(off) if (not g or small_groups) else off   # no groups: at most nb rows
     out = w.drop(*[f"_bt_{m}" for m in measures]).join(off_side, [*g, "_bucket"])
     for m in measures:
         out = out.withColumn(f"below_{m}", F.col(f"_off_{m}") + F.col(f"_in_{m}"))
@@ -179,3 +182,11 @@ def quantile_row(df: DataFrame, value: str, probs: Sequence[float],
     q = exact_quantiles(df, value, probs, group_cols)
     return q.groupBy(*group_cols).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("p", "q"))), lambda s: s["q"]).alias(name))
+
+
+MAX_BROADCAST_GROUPS = 10000
+
+
+def broadcast_if(df: DataFrame, small: bool) -> DataFrame:
+    """Broadcast hint only after a size check said ``small``."""
+    return F.broadcast(df) if small else df
