@@ -36,7 +36,7 @@ def rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("rule_violation_runs", ops=("WIN-02",), sql=with_views("""
-SELECT name, max(run_len) AS longest_run, CAST(sum(CASE WHEN run_len = 1 THEN 1 ELSE 0 END) AS BIGINT) AS runs
+SELECT name, CAST(max(run_len) AS BIGINT) AS longest_run, CAST(sum(CASE WHEN run_len = 1 THEN 1 ELSE 0 END) AS BIGINT) AS runs
 FROM (SELECT name, CASE WHEN violated THEN sum(CAST(violated AS INTEGER)) OVER (PARTITION BY name, grp ORDER BY ts
                                                           ROWS UNBOUNDED PRECEDING) ELSE 0 END AS run_len
       FROM (SELECT *, sum(CASE WHEN violated THEN 0 ELSE 1 END) OVER (PARTITION BY name ORDER BY ts
@@ -93,11 +93,11 @@ def hourly_health_inputs(spark, sf_dir):
 SELECT ts, greatest(100 - (CASE WHEN error_rate > 0.05E0 THEN 20 ELSE 0 END)
          - (CASE WHEN avg_response_time > 1.0E0 THEN 15 ELSE 0 END) - (CASE WHEN memory_usage > 90.0E0 THEN 25 ELSE 0 END)
          - (CASE WHEN cpu_usage > 80.0E0 THEN 20 ELSE 0 END) - (CASE WHEN critical_alerts > 0 THEN 30 ELSE 0 END), 0) AS health_score,
-       len(list_filter([CASE WHEN error_rate > 0.05E0 THEN 'High API error rate' END,
+       CAST(len(list_filter([CASE WHEN error_rate > 0.05E0 THEN 'High API error rate' END,
                         CASE WHEN avg_response_time > 1.0E0 THEN 'Slow API response time' END,
                         CASE WHEN memory_usage > 90.0E0 THEN 'High memory usage' END,
                         CASE WHEN cpu_usage > 80.0E0 THEN 'High CPU usage' END,
-                        CASE WHEN critical_alerts > 0 THEN 'Critical alerts active' END], lambda x: x IS NOT NULL)) AS issue_count
+                        CASE WHEN critical_alerts > 0 THEN 'Critical alerts active' END], lambda x: x IS NOT NULL)) AS INTEGER) AS issue_count
 FROM ({_HOURLY_HEALTH_SQL}) i""", "hourly_metrics", "rule_matches"))
 def health_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = hl.health_a(hourly_health_inputs(spark, sf_dir))

@@ -348,7 +348,7 @@ def outlier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("customer_prediction_history", ops=("WIN-05", "PRJ-08", "SRT-01"), sql=with_views("""
-SELECT customer_id, request_id, rn, round(pd_score, 8) AS pd_score
+SELECT customer_id, request_id, CAST(rn AS INTEGER) AS rn, round(pd_score, 8) AS pd_score
 FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY timestamp DESC, request_id) AS rn
       FROM prediction_log) t WHERE rn <= 3""", "prediction_log"))
 def customer_prediction_history(spark: SparkSession, sf_dir: str) -> DataFrame:

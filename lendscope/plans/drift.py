@@ -228,7 +228,7 @@ def drift_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("drift_analysis", ops=("AGG-05", "DR-12", "SRT-03"), sql=with_views(_HIST_SQL + """
-SELECT year(month) AS year, 'feature_drift_' || feature AS drift_type, count(*) AS detections,
+SELECT CAST(year(month) AS INTEGER) AS year, 'feature_drift_' || feature AS drift_type, count(*) AS detections,
        CAST(sum(CASE WHEN drift_score > 0.2E0 THEN 1 ELSE 0 END) AS BIGINT) AS drifted
 FROM psi GROUP BY 1, 2""", "credit_applications"))
 def drift_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,7 +135,7 @@ def calibration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("calibration_table", ops=("MV-10", "D-10"), sql=with_views(f"""
-SELECT least(len(list_filter(e.edges, lambda x: x <= pd_score)), 10) AS bin, count(*) AS count,
+SELECT CAST(least(len(list_filter(e.edges, lambda x: x <= pd_score)), 10) AS INTEGER) AS bin, count(*) AS count,
        round(avg(CAST(is_default AS DOUBLE)), 8) AS observed_rate, round(avg(pd_score), 8) AS expected_rate,
        round(avg(CAST(is_default AS DOUBLE)) - avg(pd_score), 8) AS difference
 FROM scored_book, {_EDGES} e GROUP BY 1""", "scored_book"))
@@ -158,7 +158,7 @@ WITH a AS (SELECT min(expected_loss) AS el_min, max(expected_loss) AS el_max,
                                CASE WHEN el_max > 1.0E0 OR el_min < 0 THEN 'Expected loss out of range' END,
                                CASE WHEN pd_hi_dti IS NOT NULL AND pd_hi_dti <= pd_lo_dti THEN 'High DTI not showing higher risk' END],
                               lambda x: x IS NOT NULL) AS violations FROM a, m)
-SELECT 4 AS total_rules_checked, violations, len(violations) AS violation_count,
+SELECT 4 AS total_rules_checked, violations, CAST(len(violations) AS INTEGER) AS violation_count,
        round((4 - len(violations)) / 4.0E0, 8) AS pass_rate, (4 - len(violations)) / 4.0E0 >= 0.95E0 AS pass
 FROM v""", "scored_book"))
 def business_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

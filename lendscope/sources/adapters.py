@@ -90,7 +90,7 @@ def api_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def system_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly host samples derived from the request log (formulas are fixed values)."""
     a = api_metrics(spark, sf_dir)
-    h = a.groupBy(F.date_trunc("hour", "ts").alias("timestamp")).agg(
+    h = a.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("timestamp")).agg(
         F.count(F.lit(1)).alias("total_requests"),
         F.avg((F.col("status_code") >= 400).cast("double")).alias("error_rate"),
         F.avg("response_time").alias("avg_response_time"))

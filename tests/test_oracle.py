@@ -15,10 +15,13 @@ ORACLE = E.oracle_sql()
 def test_query_matches_oracle(spark, duck, name):
     df = QUERIES[name](spark, SF_SMALL)
     rows = [tuple(r) for r in df.collect()]
-    res = duck.execute(ORACLE[name])
-    dcols = [d[0] for d in res.description]
+    rel = duck.sql(ORACLE[name])
+    dcols = rel.columns
+    from check_types import spark_type
+    st = {f.name: spark_type(f.dataType) for f in df.schema.fields}
+    assert st == {c: str(t) for c, t in zip(rel.columns, rel.types)}
     c1, r1 = canon(df.columns, rows)
-    c2, r2 = canon(dcols, res.fetchall())
+    c2, r2 = canon(dcols, rel.fetchall())
     assert c1 == c2
     assert r1 == r2
 
