@@ -116,7 +116,9 @@ def engineer_credit_features(df: DataFrame, income_fit: DataFrame | None = None,
     """FE-01 .. FE-16 on a whole application table (one pass + two small fits)."""
     check_required(df)
     cols = set(df.columns)
-    fit = income_fit if income_fit is not None else fit_income_quartiles(materialize(df, ["income"]))
+    # both data-dependent fits read one narrow checkpoint of the input
+    narrow = materialize(df, ["income"] + (["interest_rate"] if "interest_rate" in cols and with_rate_percentile else []))
+    fit = income_fit if income_fit is not None else fit_income_quartiles(narrow)
     out = df.crossJoin(F.broadcast(fit))  # one-row fit table
     out = out.withColumn("income_to_loan_ratio", income_to_loan_ratio())
     out = out.withColumn("loan_to_income_ratio", loan_to_income_ratio())
@@ -131,7 +133,7 @@ def engineer_credit_features(df: DataFrame, income_fit: DataFrame | None = None,
     if "interest_rate" in cols:
         out = out.withColumn("high_interest_rate", (F.col("interest_rate") > F.lit(HIGH_RATE)).cast("int"))
         if with_rate_percentile:
-            ranks = average_rank_table(materialize(df, ["interest_rate"]), "interest_rate").select(
+            ranks = average_rank_table(narrow, "interest_rate").select(
                 "interest_rate", F.col("pct_rank").alias("interest_rate_percentile"))
             out = out.join(ranks, "interest_rate", "left")
     if "employment_length" in cols:
