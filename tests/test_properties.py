@@ -60,3 +60,55 @@ def test_fixed_histogram_totals(spark, vals):
     h = ru.fixed_histogram(df, "p", 10, 0.0, 1.0).collect()
     assert len(h) == 10
     assert sum(r["count"] for r in h) == sum(1 for v in vals if 0.0 <= v <= 1.0)
+
+
+def _brute_ks(ref, cur):
+    pts = sorted(set(ref) | set(cur))
+    f1 = lambda v: sum(1 for x in ref if x <= v) / len(ref)
+    f2 = lambda v: sum(1 for x in cur if x <= v) / len(cur)
+    return max(abs(f1(v) - f2(v)) for v in pts)
+
+
+def _brute_psi(ref, cur, bins=10):
+    lo, hi = min(ref), max(ref)
+    if lo == hi:
+        lo, hi = lo - 0.5, hi + 0.5
+    edges = np.linspace(lo, hi, bins + 1)
+    rc, _ = np.histogram(ref, bins=edges)
+    cc, _ = np.histogram(cur, bins=edges)
+    if cc.sum() == 0:
+        return None
+    r = np.maximum(rc / rc.sum(), 1e-10)
+    c = np.maximum(cc / cc.sum(), 1e-10)
+    return float(np.sum((c - r) * np.log(c / r)))
+
+
+samples = st.lists(st.integers(0, 30).map(lambda v: v / 4.0), min_size=100, max_size=160)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(samples, samples)
+def test_ks_and_psi_match_brute_force(spark, ref, cur):
+    from lendscope.operators import drift as dr
+    rows = [("f", "reference", v, None) for v in ref] + [("f", "current", v, None) for v in cur]
+    long = spark.createDataFrame(rows, "feature string, sample string, value double, category string")
+    r = dr.feature_drift(long, ["f"], with_p_values=False).collect()[0]
+    assert r["ks_statistic"] == pytest.approx(_brute_ks(ref, cur))
+    want = _brute_psi(ref, cur)
+    assert (r["psi"] is None and want is None) or r["psi"] == pytest.approx(want, rel=1e-9, abs=1e-12)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.sampled_from(["a", "b", "c", "d"]), min_size=100, max_size=150),
+       st.lists(st.sampled_from(["a", "b", "c", "e"]), min_size=100, max_size=150))
+def test_chi_square_matches_numpy(spark, ref, cur):
+    from lendscope.operators import drift as dr
+    rows = [("g", "reference", None, v) for v in ref] + [("g", "current", None, v) for v in cur]
+    long = spark.createDataFrame(rows, "feature string, sample string, value double, category string")
+    got = dr.chi_square(long).collect()[0]
+    cats = sorted(set(ref) | set(cur))
+    rf = np.array([ref.count(c) for c in cats], dtype=float)
+    cf = np.array([cur.count(c) for c in cats], dtype=float)
+    exp = np.maximum(rf / rf.sum() * cf.sum(), 1e-10)
+    assert got["chi2_statistic"] == pytest.approx(float(np.sum((cf - exp) ** 2 / exp)))
+    assert got["degrees_of_freedom"] == len(cats) - 1
