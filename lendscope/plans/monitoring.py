@@ -303,3 +303,21 @@ FROM api_metrics""", "api_metrics"))
 def client_sliding_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = ad.api_metrics(spark, sf_dir)
     return wn.sliding_count(a, "client_id", "ts", 60).select("request_id", "client_id", "window_count")
+
+
+@register("model_performance_totals", ops=("AGG-12", "AGG-10"), sql=with_views("""
+SELECT model_version, CAST(sum(prediction_count) AS BIGINT) AS total_predictions,
+       round(avg(prediction_count), 6) AS mean_predictions, round(avg(avg_prediction_time), 6) AS mean_time_ms,
+       round(avg(avg_pd_score), 6) AS mean_pd, round(avg(CASE WHEN avg_pd_score > 0.15E0 THEN 1.0E0 ELSE 0.0E0 END), 6)
+         AS high_pd_share
+FROM model_metrics GROUP BY model_version""", "model_metrics"))
+def model_performance_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per version: total and mean daily predictions, mean time, mean PD and the
+    share of days whose mean PD exceeds 0.15."""
+    m = ad.model_metrics(spark, sf_dir)
+    return m.groupBy("model_version").agg(
+        F.sum("prediction_count").cast("long").alias("total_predictions"),
+        F.round(F.avg("prediction_count"), 6).alias("mean_predictions"),
+        F.round(F.avg("avg_prediction_time"), 6).alias("mean_time_ms"),
+        F.round(F.avg("avg_pd_score"), 6).alias("mean_pd"),
+        F.round(F.avg((F.col("avg_pd_score") > 0.15).cast("double")), 6).alias("high_pd_share"))
