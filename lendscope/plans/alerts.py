@@ -221,9 +221,13 @@ def alert_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = matched(spark, sf_dir)
     ev = al.evaluate_rules(m)
     fired = al.fired_alerts(ev)
-    passes = m.where(~F.col("violated")).select(F.col("name").alias("_n"), F.col("ts").alias("_pts"))
-    res = fired.join(passes, (F.col("name") == F.col("_n")) & (F.col("_pts") > F.col("ts")), "left") \
-        .groupBy("alert_id").agg(F.min("_pts").alias("resolved_at"))
+    # first passing tick after each firing: one ordered pass over the rule's
+    # tick series (no pairing of alerts with all later ticks)
+    from pyspark.sql import Window
+    ticks = m.select("name", "ts", (~F.col("violated")).alias("_pass"))
+    nxt = Window.partitionBy("name").orderBy("ts").rowsBetween(1, Window.unboundedFollowing)
+    ticks = ticks.withColumn("resolved_at", F.min(F.when(F.col("_pass"), F.col("ts"))).over(nxt))
+    res = fired.join(ticks.select("name", "ts", "resolved_at"), ["name", "ts"], "left").select("alert_id", "resolved_at")
     opened = fired.select("alert_id", F.lit("active").alias("status"), F.lit("system").alias("actor"),
                           F.lit(None).cast("timestamp_ntz").alias("suppressed_until"),
                           F.col("ts").alias("event_ts"), F.lit(0).alias("seq"))
