@@ -125,3 +125,17 @@ def lifecycle(events: DataFrame, as_of: Column) -> DataFrame:
     return latest.select("alert_id", effective.alias("status"), F.col("s.actor").alias("actor"),
                          F.col("s.event_ts").alias("updated_at"),
                          (effective != "resolved").alias("is_active"))
+
+
+# ---- UDF-02: alert channels as sinks ------------------------------------------
+def deliver(routed: DataFrame, path: str) -> None:
+    """Table sink for routed alerts, one folder per channel (e-mail / webhook
+    delivery is outside the library; their rows land here for a sender)."""
+    routed.write.mode("append").partitionBy("channel").parquet(path)
+
+
+def channel_sink(path: str):
+    """foreachBatch body delivering each micro-batch of routed alerts."""
+    def body(batch: DataFrame, epoch: int) -> None:
+        deliver(batch.withColumn("epoch", F.lit(epoch)), path)
+    return body

@@ -214,3 +214,21 @@ def psi_history(long: DataFrame, period_col: str, bins: int = PSI_BINS) -> DataF
     out = j.groupBy("feature", period_col).agg(F.sum((c - r) * F.log(c / r)).alias("drift_score"))
     return out.select("feature", period_col, F.concat(F.lit("feature_drift_"), F.col("feature")).alias("drift_type"),
                       "drift_score", (F.col("drift_score") > F.lit(0.2)).alias("drift_detected"))
+
+
+# ---- UDF-01: plug-in drift detectors ------------------------------------------
+DETECTORS = {
+    "ks_test": lambda long: ks_statistics(long),
+    "chi_square": lambda long: chi_square(long),
+    "psi_continuous": lambda long: psi_continuous(long),
+    "psi_categorical": lambda long: psi_categorical(long),
+}
+
+
+def register_detector(name: str, fn) -> None:
+    """Add a detector: a function from long-form samples to one row per feature."""
+    DETECTORS[name] = fn
+
+
+def run_detector(name: str, long: DataFrame) -> DataFrame:
+    return DETECTORS[name](long)

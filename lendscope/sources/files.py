@@ -103,3 +103,16 @@ def credit_card_defaults(spark: SparkSession, path: str) -> DataFrame:
         F.size(F.filter(F.array(*[F.col(c).cast("int") for c in pay]), lambda x: x > 0)).alias("delinquencies"),
         F.coalesce(F.try_divide(F.col("BILL_AMT1").cast("double"), limit_bal), F.lit(0.5)).alias("utilization"),
         default.alias("is_default"), F.when(default, F.lit(0.65)).otherwise(F.lit(0.0)).alias("loss_given_default"))
+
+
+def assemble_economic_factors(series: DataFrame, mapping: dict | None = None) -> DataFrame:
+    """FE-20: latest value of each indicator series pivoted into one snapshot row;
+    the row is kept only when more than two fields are present."""
+    mapping = mapping or {"FEDFUNDS": "fed_funds_rate", "UNRATE": "unemployment_rate",
+                          "TREASURY_AVG": "avg_interest_rate"}
+    latest = latest_value(series.where(F.col("series_id").isin(list(mapping))))
+    named = latest.select(lookup(F.col("series_id"), mapping).alias("name"), "value", "date")
+    wide = named.groupBy().pivot("name", list(mapping.values())).agg(F.first("value"))
+    present = F.size(F.array_compact(F.array(*[F.col(c) for c in mapping.values()])))
+    # data_timestamp and data_source count as fields, as in the snapshot record
+    return wide.withColumn("_n", present + F.lit(2)).where(F.col("_n") > 2).drop("_n")

@@ -30,3 +30,26 @@ def test_german_mapping(spark):
     r = r[0]
     assert r["credit_score"] == 750 and r["employment_length"] == 10 and r["home_ownership"] == "OWN"
     assert r["income"] == 1169 / 6 * 36 and r["debt_to_income"] == 0.4 and not r["is_default"]
+
+
+def test_assemble_economic_factors(spark):
+    import datetime as dt
+    rows = [("FEDFUNDS", dt.date(2024, 5, 1), 5.33), ("FEDFUNDS", dt.date(2024, 6, 1), 5.25),
+            ("UNRATE", dt.date(2024, 6, 1), 4.0)]
+    s = spark.createDataFrame(rows, "series_id string, date date, value double")
+    r = sf.assemble_economic_factors(s).collect()
+    assert len(r) == 1 and r[0]["fed_funds_rate"] == 5.25 and r[0]["unemployment_rate"] == 4.0
+    assert r[0]["avg_interest_rate"] is None
+
+
+def test_model_register_and_reload(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from lendscope.ml import training as tr
+    rows = [(i, float(i % 7), float(i % 5), i % 2, 0.3 + (i % 3) / 10) for i in range(200)]
+    df = spark.createDataFrame(rows, "app_id long, a double, b double, y_default int, y_lgd double")
+    pd_m, lgd_m = tr.train(df, ["a", "b"], "logistic", "random_forest")
+    reg = tr.register_model(spark, pd_m, lgd_m, str(tmp_path), "m", "v1", ["a", "b"], {"pd_auc": 0.5})
+    assert reg.collect()[0]["status"] == "active"
+    p2, l2 = tr.load_model(reg.collect()[0]["model_path"])
+    out = tr.predict(p2, l2, df).agg(F.min("pd_score"), F.max("pd_score")).collect()[0]
+    assert 0.0 <= out[0] <= out[1] <= 1.0
