@@ -30,7 +30,9 @@ DEFAULT_RULES = [
 
 
 def rules_table(spark: SparkSession, rules=None) -> DataFrame:
-    return spark.createDataFrame(rules or DEFAULT_RULES, RULE_SCHEMA)
+    """Rules as data; ``rule_order`` keeps the registration order (used by routing)."""
+    rows = [tuple(r) + (i,) for i, r in enumerate(rules or DEFAULT_RULES)]
+    return spark.createDataFrame(rows, RULE_SCHEMA + ", rule_order int")
 
 
 def compare(value: Column, op: Column, threshold: Column) -> Column:
@@ -103,9 +105,10 @@ def fired_alerts(evaluated: DataFrame) -> DataFrame:
 
 
 def route(alerts: DataFrame, rules: DataFrame) -> DataFrame:
-    """JN-07: 'logging' plus the channels of the first rule (by name) with the same
-    metric or the same alert type; one row per (alert, channel)."""
-    r = rules.select(F.col("name").alias("_rule"), F.col("metric_name").alias("_metric"),
+    """JN-07: 'logging' plus the channels of the first rule (registration order,
+    enabled or not) with the same metric or the same alert type; one row per
+    distinct (alert, channel)."""
+    r = rules.select(F.col("rule_order").alias("_rule"), F.col("metric_name").alias("_metric"),
                      F.col("alert_type").alias("_type"), "notification_channels")
     cond = (F.col("metric_name") == F.col("_metric")) | (F.col("alert_type") == F.col("_type"))
     j = alerts.join(F.broadcast(r), cond, "left")

@@ -60,3 +60,16 @@ def test_admission_matches_brute_force(spark, tmp_path):
             log.append(o)
         expect.append(ok)
     assert got == expect
+
+
+def test_routing_takes_first_rule_in_registration_order(spark):
+    rules = al.rules_table(spark, [
+        ("b_rule", "cpu", ">", 1.0, "high", "system", True, 1, 60, ["email"]),
+        ("a_rule", "cpu", ">", 2.0, "high", "system", True, 1, 60, ["webhook"]),
+        ("c_rule", "mem", ">", 2.0, "low", "capacity", False, 1, 60, ["pager", "logging"])])
+    alerts = spark.createDataFrame([("x1", "cpu", "other"), ("x2", "disk", "capacity"), ("x3", "disk", "none")],
+                                   "alert_id string, metric_name string, alert_type string")
+    got = {}
+    for r in al.route(alerts, rules).collect():
+        got.setdefault(r["alert_id"], set()).add(r["channel"])
+    assert got == {"x1": {"logging", "email"}, "x2": {"logging", "pager"}, "x3": {"logging"}}
