@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lendscope.functions.bands import clip, cut, lookup
-from lendscope.operators.prefix import average_rank_table, exact_quantiles
+from lendscope.operators.prefix import asof_rank, average_rank_table, exact_quantiles
 from lendscope.session import cut_lineage, materialize
 
 # --- fixed values (must equal the reference for equal results) -------------
@@ -111,8 +111,13 @@ def income_quartile(col: str = "income", edges: str = "income_edges") -> Column:
     return F.when(distinct, q).otherwise(fixed)
 
 
+def fit_rate_ranks(df: DataFrame) -> DataFrame:
+    """FE-10 fit: distinct training rates with their average-tie percentile."""
+    return average_rank_table(materialize(df, ["interest_rate"]), "interest_rate")
+
+
 def engineer_credit_features(df: DataFrame, income_fit: DataFrame | None = None,
-                             with_rate_percentile: bool = True) -> DataFrame:
+                             with_rate_percentile: bool = True, rate_fit: DataFrame | None = None) -> DataFrame:
     """FE-01 .. FE-16 on a whole application table (one pass + two small fits)."""
     check_required(df)
     cols = set(df.columns)
@@ -132,7 +137,9 @@ def engineer_credit_features(df: DataFrame, income_fit: DataFrame | None = None,
         out = out.withColumn("short_term_loan", (F.col("loan_term") <= 36).cast("int"))
     if "interest_rate" in cols:
         out = out.withColumn("high_interest_rate", (F.col("interest_rate") > F.lit(HIGH_RATE)).cast("int"))
-        if with_rate_percentile:
+        if with_rate_percentile and rate_fit is not None:
+            out = asof_rank(out, "interest_rate", "interest_rate_percentile", rate_fit)   # D-08
+        elif with_rate_percentile:
             ranks = average_rank_table(narrow, "interest_rate").select(
                 "interest_rate", F.col("pct_rank").alias("interest_rate_percentile"))
             out = out.join(ranks, "interest_rate", "left")
@@ -296,7 +303,11 @@ def prepare_training_frame(apps: DataFrame, eco: DataFrame | None = None,
     returned ``fits`` back reproduces the training transform at scoring time.
     """
     fits = dict(fits or {})
-    feats = engineer_credit_features(apps, income_fit=fits.get("income"))
+    training = "income" not in fits or fits.get("income") is None
+    if training:   # fit on this table; scoring passes the stored fits back (D-08)
+        fits["income"] = cut_lineage(fit_income_quartiles(apps))
+        fits["rate"] = cut_lineage(fit_rate_ranks(apps))
+    feats = engineer_credit_features(apps, income_fit=fits["income"], rate_fit=None if training else fits.get("rate"))
     if eco is not None:
         feats = attach_economics(feats, economic_features(eco))
     y = [F.coalesce(F.col(target).cast("int"), F.lit(0)).alias("y_default")] if target in feats.columns else []
@@ -315,5 +326,5 @@ def prepare_training_frame(apps: DataFrame, eco: DataFrame | None = None,
     if sc is None:
         sc = fit_scaler(base, names)
     base = standardize(base, sc, names)
-    return base, list(names), {"income": fits.get("income"), "medians": med, "scaler": sc,
-                               "feature_names": list(names)}
+    return base, list(names), {"income": fits["income"], "rate": fits.get("rate"), "medians": med,
+                               "scaler": sc, "feature_names": list(names)}

@@ -113,7 +113,7 @@ def average_rank_table(df: DataFrame, value: str, group_cols: Sequence[str] = ()
     ps = prefix_sums(vc, value, group_cols, ("cnt",), n_buckets)
     avg_rank = F.col("below_cnt") + (F.col("cnt") + F.lit(1)) / F.lit(2.0)
     return ps.select(*group_cols, value, "cnt", avg_rank.alias("avg_rank"),
-                     (avg_rank / F.col("total_cnt")).alias("pct_rank"))
+                     (avg_rank / F.col("total_cnt")).alias("pct_rank"), "below_cnt", "total_cnt")
 
 
 def with_percentile_rank(df: DataFrame, value: str, out_col: str,
@@ -190,3 +190,43 @@ MAX_BROADCAST_GROUPS = 10000
 def broadcast_if(df: DataFrame, small: bool) -> DataFrame:
     """Broadcast hint only after a size check said ``small``."""
     return F.broadcast(df) if small else df
+
+
+def asof_rank(df: DataFrame, value: str, out_col: str, fit: DataFrame, n_buckets: int | None = None) -> DataFrame:
+    """Place ``value`` in a *stored* distribution (D-08: scoring uses the training fit).
+
+    ``fit`` is an ``average_rank_table`` of the training data.  A value found in
+    the fit gets its training percentile rank; any other value gets the share of
+    training values below it.  Both sides are cut by one set of split points
+    from the fit; inside a bucket an ordered window carries the last fitted
+    value forward, and buckets without an earlier fitted value take the share
+    of all lower buckets.  Scoring values are de-duplicated first, so a hot value
+    is one row, and the result is joined back on the value.
+    """
+    nb = _n_buckets(fit, n_buckets)
+    probs = [i / nb for i in range(1, nb)]
+    f = fit.select(F.col(value).cast("double").alias("_v"), "pct_rank",
+                   ((F.col("below_cnt") + F.col("cnt")) / F.col("total_cnt")).alias("_le"))
+    splits = f.agg(F.percentile_approx("_v", probs, 10000).alias("_splits"))
+    bucket = F.size(F.filter("_splits", lambda sp: sp < F.col("_v")))
+    fb = f.crossJoin(F.broadcast(splits)).withColumn("_b", bucket).drop("_splits")
+    xs = df.select(F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull()).distinct()
+    xb = xs.crossJoin(F.broadcast(splits)).withColumn("_b", bucket).drop("_splits")
+    # share of training values at or below the last fitted value of each lower bucket (<= nb rows)
+    last = fb.groupBy("_b").agg(F.max_by("_le", "_v").alias("_last_le"))
+    # for every bucket holding scoring values: the best share among lower fit buckets
+    # (both sides have at most nb rows)
+    lb = last.select(F.col("_b").alias("_lb"), "_last_le")
+    prev = (xb.select("_b").distinct().join(F.broadcast(lb), F.col("_lb") < F.col("_b"), "left")
+            .groupBy("_b").agg(F.coalesce(F.max("_last_le"), F.lit(0.0)).alias("_prev_le")))
+    u = (fb.select("_b", "_v", F.lit(1).alias("_fit"), F.struct("_v", "pct_rank", "_le").alias("_f"))
+         .unionByName(xb.select("_b", "_v", F.lit(0).alias("_fit"),
+                                F.lit(None).cast("struct<_v:double,pct_rank:double,_le:double>").alias("_f"))))
+    w = Window.partitionBy("_b").orderBy(F.col("_v"), F.col("_fit").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    carried = u.withColumn("_lf", F.last("_f", ignorenulls=True).over(w)).where(F.col("_fit") == 0)
+    carried = carried.join(F.broadcast(prev), "_b", "left")
+    pct = (F.when(F.col("_lf").isNull(), F.coalesce(F.col("_prev_le"), F.lit(0.0)))
+           .when(F.col("_lf._v") == F.col("_v"), F.col("_lf.pct_rank"))
+           .otherwise(F.col("_lf._le")))
+    table = carried.select(F.col("_v").alias("_key"), pct.alias(out_col))
+    return df.join(table, F.col(value).cast("double") == F.col("_key"), "left").drop("_key")

@@ -129,3 +129,31 @@ def income_quartile_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     tot = g.agg(F.sum("applications").alias("_n"))
     return g.crossJoin(tot).select("income_quartile", "applications",
                                    F.round(F.col("applications") / F.col("_n"), 6).alias("share"))
+
+
+@register("out_of_time_features", ops=("FE-03", "FE-10", "FE-23", "D-08", "JN-02"), sql=with_views("""
+WITH ref AS (SELECT * FROM credit_applications WHERE application_ts < TIMESTAMP '1998-04-15 00:00:00'),
+     cur AS (SELECT * FROM credit_applications WHERE application_ts >= TIMESTAMP '1998-04-15 00:00:00'),
+     f0 AS (SELECT interest_rate AS v, count(*) AS cnt FROM ref GROUP BY 1),
+     fit AS (SELECT v, cnt, sum(cnt) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING) - cnt AS below,
+                    sum(cnt) OVER () AS n FROM f0),
+     e AS (SELECT quantile_cont(income, [0.0, 0.25, 0.5, 0.75, 1.0]) AS edges FROM ref)
+SELECT c.app_id,
+       round(CASE WHEN f.v IS NULL THEN 0.0E0 WHEN f.v = c.interest_rate THEN (f.below + (f.cnt + 1) / 2.0E0) / f.n
+                  ELSE (f.below + f.cnt) / f.n END, 8) AS interest_rate_percentile,
+       CASE WHEN c.income IS NULL THEN NULL
+            WHEN len(list_distinct(e.edges)) = 5 THEN
+              CASE WHEN c.income <= e.edges[2] THEN 'Q1' WHEN c.income <= e.edges[3] THEN 'Q2'
+                   WHEN c.income <= e.edges[4] THEN 'Q3' ELSE 'Q4' END
+            ELSE CASE WHEN c.income < 40000.0E0 THEN 'Q1' WHEN c.income < 60000.0E0 THEN 'Q2'
+                      WHEN c.income < 90000.0E0 THEN 'Q3' ELSE 'Q4' END END AS income_quartile
+FROM cur c ASOF LEFT JOIN fit f ON c.interest_rate >= f.v, e""", "credit_applications"))
+def out_of_time_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fits (income quartile edges, rate ranks) from the reference period, applied
+    to later applications: the scoring transform reuses the training fit (D-08)."""
+    from lendscope.sources.adapters import DRIFT_SPLIT_TS
+    apps = credit_applications(spark, sf_dir)
+    split = F.lit(DRIFT_SPLIT_TS).cast("timestamp_ntz")
+    ref, cur = apps.where(F.col("application_ts") < split), apps.where(F.col("application_ts") >= split)
+    f = fe.engineer_credit_features(cur, income_fit=fe.fit_income_quartiles(ref), rate_fit=fe.fit_rate_ranks(ref))
+    return f.select("app_id", F.round("interest_rate_percentile", 8).alias("interest_rate_percentile"), "income_quartile")

@@ -112,3 +112,20 @@ def test_chi_square_matches_numpy(spark, ref, cur):
     exp = np.maximum(rf / rf.sum() * cf.sum(), 1e-10)
     assert got["chi2_statistic"] == pytest.approx(float(np.sum((cf - exp) ** 2 / exp)))
     assert got["degrees_of_freedom"] == len(cats) - 1
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.integers(0, 40).map(float), min_size=1, max_size=60),
+       st.lists(st.integers(-5, 45).map(float), min_size=1, max_size=30))
+def test_asof_rank_against_training_distribution(spark, train, score):
+    from lendscope.operators.prefix import asof_rank
+    tr = spark.createDataFrame([(v,) for v in train], "x double")
+    sc = spark.createDataFrame([(i, v) for i, v in enumerate(score)], "id long, x double")
+    fit = average_rank_table(tr, "x", n_buckets=4)
+    got = {r["id"]: r["p"] for r in asof_rank(sc, "x", "p", fit, n_buckets=4).collect()}
+    n = len(train)
+    for i, v in enumerate(score):
+        below = sum(1 for t in train if t < v)
+        eq = sum(1 for t in train if t == v)
+        want = (below + (eq + 1) / 2) / n if eq else below / n
+        assert got[i] == pytest.approx(want)
