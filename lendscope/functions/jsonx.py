@@ -32,15 +32,21 @@ def canonical_hash(df: DataFrame, cols=None, algorithm: str = "md5") -> Column:
     raise ValueError(f"Unsupported hash algorithm: {algorithm}")
 
 
+def _present(c: Column) -> Column:
+    """Header present and non-empty (an empty header counts as missing)."""
+    return c.isNotNull() & (c != F.lit(""))
+
+
 def short_client_id(api_key: Column, forwarded: Column, remote: Column) -> Column:   # FN-05
     first_ip = F.trim(F.split(forwarded, ",").getItem(0))
-    return F.coalesce(F.when(api_key.isNotNull(), F.substring(F.md5(api_key), 1, 16)),
-                      F.when(forwarded.isNotNull(), F.concat(F.lit("ip_"), first_ip)),
+    return F.coalesce(F.when(_present(api_key), F.substring(F.md5(api_key), 1, 16)),
+                      F.when(_present(forwarded), F.concat(F.lit("ip_"), first_ip)),
                       F.concat(F.lit("ip_"), F.coalesce(remote, F.lit("unknown"))))
 
 
 def client_ip(forwarded: Column, real_ip: Column, host: Column) -> Column:     # FN-06
-    return F.coalesce(F.trim(F.split(forwarded, ",").getItem(0)), real_ip, host, F.lit("unknown"))
+    return F.coalesce(F.when(_present(forwarded), F.trim(F.split(forwarded, ",").getItem(0))),
+                      F.when(_present(real_ip), real_ip), host, F.lit("unknown"))
 
 
 def redact_headers(headers: Column) -> Column:                               # FN-07

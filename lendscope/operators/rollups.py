@@ -221,3 +221,14 @@ def facets(df: DataFrame, text_col: str, num_col: str, max_values: int = 1000) -
     rng = df.agg(F.min(num_col).alias("min"), F.max(num_col).alias("max"), F.count(F.lit(1)).alias("rows"),
                  F.count_distinct(text_col).alias("distinct_values"))
     return rng.crossJoin(vals)
+
+
+def prediction_lookup(log: DataFrame, request_id) -> DataFrame:
+    """PRJ-08: first log row of one request (status 'completed', success true)."""
+    hit = log.where(F.col("request_id") == F.lit(request_id)).orderBy("timestamp").limit(1)
+    return hit.select("*", F.lit(True).alias("success"), F.lit("completed").alias("status"))
+
+
+def critical_flag(col: str, threshold: float) -> Column:
+    """PRJ-16: rows whose value exceeds the threshold."""
+    return F.coalesce(F.col(col) > F.lit(threshold), F.lit(False))

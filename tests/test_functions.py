@@ -145,3 +145,17 @@ def test_sinks_roundtrip(spark, tmp_path):
     good = spark.read.parquet(str(tmp_path / "apps")).count()
     bad = spark.read.parquet(str(tmp_path / "quarantine")).count()
     assert good == v["valid_records"] and good + bad == v["total_records"]
+
+
+def test_lookup_flag_and_client_ids(spark):
+    from lendscope.operators import rollups as ru
+    log = spark.createDataFrame([(1, dt.datetime(2024, 1, 2), 0.2), (1, dt.datetime(2024, 1, 1), 0.4),
+                                 (2, dt.datetime(2024, 1, 1), 0.1)], "request_id long, timestamp timestamp_ntz, pd double")
+    r = ru.prediction_lookup(log, 1).collect()
+    assert len(r) == 1 and r[0]["pd"] == 0.4 and r[0]["status"] == "completed"
+    assert [x[0] for x in log.select(ru.critical_flag("pd", 0.15)).collect()] == [True, True, False]
+    import hashlib
+    ids = spark.createDataFrame([("key123", None, "10.0.0.1"), (None, "1.1.1.1, 2.2.2.2", "10.0.0.1"),
+                                 (None, None, None)], "k string, f string, r string")
+    got = [x[0] for x in ids.select(jx.short_client_id(F.col("k"), F.col("f"), F.col("r"))).collect()]
+    assert got == [hashlib.md5(b"key123").hexdigest()[:16], "ip_1.1.1.1", "ip_unknown"]
