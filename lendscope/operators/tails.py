@@ -1,7 +1,7 @@
 """Distribution tails for test statistics, evaluated on tiny per-feature tables.
 
 Only one number per (feature, test) reaches these functions, so a vectorised
-pandas UDF over the result table is enough; no SciPy is needed.
+pandas UDF over the result table is enough.
 """
 
 from __future__ import annotations
