@@ -79,7 +79,6 @@ def stream_rate_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("stream_request_dedup", ops=("ST-06", "SET-06", "FN-04"))
 def stream_request_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated identical requests inside 300 s are suppressed on the stream."""
-    from lendscope.functions import jsonx as jx
     ev = _events_stream(spark, sf_dir)
     api = sj.api_stream(ev).withColumn("request_hash", F.md5(F.to_json(F.struct("client_id", "endpoint"))))
     d = sj.dedup_requests(api, "request_hash", "ts", "300 seconds")
