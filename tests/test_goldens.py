@@ -120,3 +120,21 @@ def test_training_fits_reused_at_scoring(spark):
     # standardised with the training mean/std: the scoring mean is not forced to 0
     m = score.agg(F.avg("loan_amount")).collect()[0][0]
     assert m is not None
+
+
+def test_purpose_lookup_case_and_unknown(spark):
+    df = spark.createDataFrame([("car",), ("CAR",), ("small_business",), (None,)], "loan_purpose string")
+    got = [r[0] for r in df.select(bands.lookup(F.upper("loan_purpose"), fe.PURPOSE_RISK, fe.PURPOSE_RISK_DEFAULT)).collect()]
+    assert got == [0.09, 0.09, 0.14, 0.14]
+
+
+def test_all_scores_tied_auc_is_half(spark):
+    df = spark.createDataFrame([(0.3, i % 2) for i in range(10)], "s double, y int")
+    assert mv.auc(df, "s", "y").collect()[0]["auc"] == pytest.approx(0.5)
+
+
+def test_drift_minimum_sample_of_100_runs_the_test(spark):
+    rows = [("f", s, float(i), None) for s in ("reference", "current") for i in range(100)]
+    long = spark.createDataFrame(rows, "feature string, sample string, value double, category string")
+    r = dr.feature_drift(long, ["f"], with_p_values=False).collect()[0]
+    assert r["test"] == "ks_test" and r["n_ref"] == 100
