@@ -42,11 +42,15 @@ def _is_cur() -> Column:
 
 
 def sample_profile(long: DataFrame, float_features: Sequence[str] = ()) -> DataFrame:
-    """DR-01/02: sizes, distinct reference values and the test each feature gets."""
-    key = F.coalesce(F.col("category"), F.col("value").cast("string"))
-    prof = long.where(key.isNotNull()).groupBy("feature").agg(
+    """DR-01/02: sizes, distinct reference values and the test each feature gets.
+
+    Distinct values are counted on the typed (value, category) pair, so no
+    number is formatted as text on the way.
+    """
+    present = F.col("category").isNotNull() | F.col("value").isNotNull()
+    prof = long.where(present).groupBy("feature").agg(
         F.sum(_is_ref().cast("long")).alias("n_ref"), F.sum(_is_cur().cast("long")).alias("n_cur"),
-        F.count_distinct(F.when(_is_ref(), key)).alias("distinct_ref"),
+        F.count_distinct(F.when(_is_ref(), F.struct("value", "category"))).alias("distinct_ref"),
         F.max(F.col("category").isNotNull()).alias("_is_cat"))
     continuous = (~F.col("_is_cat")) & ((F.col("distinct_ref") > CONTINUOUS_DISTINCT)
                                         | F.col("feature").isin(list(float_features) or [""]))
