@@ -98,3 +98,17 @@ def materialize(df, columns=None):
     out = cut_lineage(narrow)
     out._lendscope_materialized = True
     return out
+
+
+def drop_materialized(spark: SparkSession) -> bool:
+    """Remove the tables written by ``cut_lineage`` for this checkpoint folder.
+
+    Call it when a job is finished (the results it returned must not be read
+    after this).  Uses the Hadoop file system of the folder, so it works for
+    any shared storage the cluster names.
+    """
+    base = os.path.join(checkpoint_dir(spark), "lendscope-tables")
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(path) and fs.delete(path, True))

@@ -159,3 +159,10 @@ def test_lookup_flag_and_client_ids(spark):
                                  (None, None, None)], "k string, f string, r string")
     got = [x[0] for x in ids.select(jx.short_client_id(F.col("k"), F.col("f"), F.col("r"))).collect()]
     assert got == [hashlib.md5(b"key123").hexdigest()[:16], "ip_1.1.1.1", "ip_unknown"]
+
+
+def test_materialize_and_drop(spark):
+    from lendscope.session import drop_materialized, materialize
+    df = materialize(spark.range(10).withColumnRenamed("id", "x"), ["x"])
+    assert df.count() == 10
+    assert drop_materialized(spark)
