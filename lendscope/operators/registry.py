@@ -16,10 +16,17 @@ METRIC_DIRECTION = {"pd_auc": True, "accuracy": True, "precision": True, "recall
 
 
 def upsert(current: DataFrame, updates: DataFrame, keys: Sequence[str], order_col: str) -> DataFrame:
-    """SRC-14: last write per key wins (union + latest by ``order_col``), per key partition."""
-    u = current.unionByName(updates, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(F.col(order_col).desc_nulls_last())
-    return u.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """SRC-14: last write per key wins.
+
+    ``max_by`` over (order, arrival side) is a partial aggregate, so a key with
+    many versions is combined map-side instead of being sorted in one task;
+    on equal order values the update wins.
+    """
+    u = current.withColumn("_side", F.lit(0)).unionByName(
+        updates.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    cols = [c for c in u.columns if c != "_side"]
+    latest = u.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(F.col(order_col), F.col("_side"))).alias("_r"))
+    return latest.select(*[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
 def delete_keys(current: DataFrame, keys_df: DataFrame, keys: Sequence[str]) -> DataFrame:
