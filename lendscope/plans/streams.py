@@ -97,3 +97,15 @@ def stream_drift_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     api = sj.api_stream(_events_stream(spark, sf_dir))
     res = sj.continuous_drift(api.select("response_time"), hist, "response_time", "drift")
     return res.select("epoch", "batch_rows", F.round("psi", 8).alias("psi"))
+
+
+@register("stream_hourly_requests", ops=("ST-02", "SRC-12"), sql="""
+SELECT date_trunc('hour', ts) AS hour, event_type AS endpoint, count(*) AS count
+FROM events GROUP BY 1, 2
+HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def stream_hourly_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tumbling one-hour counts per endpoint, emitted when the watermark closes the hour."""
+    api = sj.api_stream(_events_stream(spark, sf_dir))
+    h = sj.hourly_counts(api, "ts", "endpoint")
+    out = sj.run_available_now(h, "hourly", mode="append")
+    return out.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "endpoint", "count")
