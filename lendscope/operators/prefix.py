@@ -7,15 +7,16 @@ work is split in three steps:
 
 1. ``value_counts``: one row per distinct (group, value) with summed measures
    (map-side combined, so a value held by a third of all rows is one row).
-2. Range buckets: ``percentile_approx`` splits over the distinct values (one
-   bounded sketch) assign every distinct value to a bucket; splits only balance
-   work, any split set gives the same exact answer.
-3. Per-bucket totals (at most groups x buckets rows, broadcast) give each
-   bucket's offset; a window partitioned by (group, bucket) adds the running
-   sum inside the bucket.
-
-Explicit broadcasts are used only for tables whose size is fixed (one row of
-split points, at most ``nb`` bucket offsets, the probability list) or, with
+2. Range buckets: ``repartitionByRange`` over (group, value) — Spark samples
+   the bounds and places every distinct value by binary search — and the
+   partition id is the bucket; ids increase with the value, so any bounds give
+   the same exact answer (they only balance work).
+3. A window partitioned by (group, bucket) adds the running sum inside the
+   bucket; per-bucket totals (one row per (group, bucket)) give each bucket's
+   offset.
+
+Explicit broadcasts are used only for tables whose size is fixed (at most
+``nb`` bucket offsets, the probability list) or, with
 ``small_groups=True``, after the caller has counted the groups (see
 ``drift.feature_drift``); otherwise tables that grow with the number of groups
 are joined by key and AQE decides at run time, from their measured size,
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 64
+MIN_BUCKETS = 8
 
 
 def _n_buckets(df: DataFrame, n_buckets: int | None) -> int:
@@ -39,7 +41,7 @@ def _n_buckets(df: DataFrame, n_buckets: int | None) -> int:
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     except Exception:  # pragma: no cover - conf always present
         parts = DEFAULT_BUCKETS
-    return max(DEFAULT_BUCKETS, 2 * parts)
+    return max(MIN_BUCKETS, parts)
 
 
 def value_counts(df: DataFrame, value: str, group_cols: Sequence[str] = (),
@@ -60,27 +62,24 @@ def prefix_sums(vc: DataFrame, value: str, group_cols: Sequence[str] = (),
     ``vc`` must hold one row per (group, value) (see ``value_counts``).
     Also adds ``total_<m>`` = group total of the measure.
 
-    ``bounded_groups`` (features, samples, models): split points per group and
-    broadcast offsets.  Otherwise (e.g. one group per time bin, growing with
-    the time span) one global set of split points is broadcast and the
-    per-(group, bucket) offsets are joined by key, so nothing that grows with
-    the number of groups is broadcast.
+    Buckets are range partitions of (group, value).  ``small_groups`` (after
+    the caller counted the groups) lets the per-(group, bucket) offsets be
+    broadcast; otherwise they are joined by key and AQE decides.
+    ``bounded_groups`` and ``accuracy`` are accepted for compatibility.
     """
     g = list(group_cols)
     nb = _n_buckets(vc, n_buckets)
-    probs = [i / nb for i in range(1, nb)]
-    if g and bounded_groups:
-        splits = vc.groupBy(*g).agg(
-            F.percentile_approx(F.col(value).cast("double"), probs, accuracy).alias("_splits"))
-        # groups x (nb-1) doubles: AQE broadcasts it when its measured size is under
-        # the threshold and falls back to a shuffle join beyond it.
-        b = vc.join(F.broadcast(splits) if small_groups else splits, g)
-    else:
-        splits = vc.agg(F.percentile_approx(F.col(value).cast("double"), probs, accuracy).alias("_splits"))
-        b = vc.crossJoin(F.broadcast(splits))
-    b = b.withColumn(
-        "_bucket", F.size(F.filter("_splits", lambda s: s < F.col(value).cast("double")))
-    ).drop("_splits")
+    # Range partitions over (group, value): Spark samples the bounds and places
+    # each row by binary search (O(log nb) per row for any nb, so nb can follow
+    # the cluster size); partition ids increase with (group, value), which is
+    # all the running sums need.  Nothing proportional to the groups is broadcast.
+    b = vc.repartitionByRange(nb, *[F.col(c) for c in g], F.col(value)) \
+        .withColumn("_bucket", F.spark_partition_id())
+    # The sampled bounds belong to one evaluation: every later use (running sums,
+    # totals, position lookups) must see the same bucket ids, also after a task
+    # retry, so the bucketed distinct values are written once.
+    from lendscope.session import cut_lineage
+    b = cut_lineage(b)
 
     # One exchange by (group, bucket): running sums inside the bucket and the
     # bucket totals come from the same window pass; the totals table (at most
@@ -204,24 +203,23 @@ def asof_rank(df: DataFrame, value: str, out_col: str, fit: DataFrame, n_buckets
     is one row, and the result is joined back on the value.
     """
     nb = _n_buckets(fit, n_buckets)
-    probs = [i / nb for i in range(1, nb)]
     f = fit.select(F.col(value).cast("double").alias("_v"), "pct_rank",
                    ((F.col("below_cnt") + F.col("cnt")) / F.col("total_cnt")).alias("_le"))
-    splits = f.agg(F.percentile_approx("_v", probs, 10000).alias("_splits"))
-    bucket = F.size(F.filter("_splits", lambda sp: sp < F.col("_v")))
-    fb = f.crossJoin(F.broadcast(splits)).withColumn("_b", bucket).drop("_splits")
     xs = df.select(F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull()).distinct()
-    xb = xs.crossJoin(F.broadcast(splits)).withColumn("_b", bucket).drop("_splits")
-    # share of training values at or below the last fitted value of each lower bucket (<= nb rows)
-    last = fb.groupBy("_b").agg(F.max_by("_le", "_v").alias("_last_le"))
-    # for every bucket holding scoring values: the best share among lower fit buckets
-    # (both sides have at most nb rows)
-    lb = last.select(F.col("_b").alias("_lb"), "_last_le")
-    prev = (xb.select("_b").distinct().join(F.broadcast(lb), F.col("_lb") < F.col("_b"), "left")
-            .groupBy("_b").agg(F.coalesce(F.max("_last_le"), F.lit(0.0)).alias("_prev_le")))
-    u = (fb.select("_b", "_v", F.lit(1).alias("_fit"), F.struct("_v", "pct_rank", "_le").alias("_f"))
-         .unionByName(xb.select("_b", "_v", F.lit(0).alias("_fit"),
+    u = (f.select("_v", F.lit(1).alias("_fit"), F.struct("_v", "pct_rank", "_le").alias("_f"))
+         .unionByName(xs.select("_v", F.lit(0).alias("_fit"),
                                 F.lit(None).cast("struct<_v:double,pct_rank:double,_le:double>").alias("_f"))))
+    # one range partitioning for fitted and scoring values: ids increase with the value
+    u = u.repartitionByRange(nb, "_v").withColumn("_b", F.spark_partition_id())
+    from lendscope.session import cut_lineage
+    u = cut_lineage(u)   # fixed bucket ids for both uses below
+    # share of training values at or below the last fitted value of every lower bucket
+    # (a table of at most nb rows)
+    per_b = u.groupBy("_b").agg(F.max_by(F.when(F.col("_fit") == 1, F.col("_f._le")),
+                                         F.when(F.col("_fit") == 1, F.col("_v"))).alias("_last_le"))
+    prev = per_b.select("_b", F.coalesce(F.max("_last_le").over(
+        Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        .alias("_prev_le"))
     w = Window.partitionBy("_b").orderBy(F.col("_v"), F.col("_fit").desc()).rowsBetween(Window.unboundedPreceding, 0)
     carried = u.withColumn("_lf", F.last("_f", ignorenulls=True).over(w)).where(F.col("_fit") == 0)
     carried = carried.join(F.broadcast(prev), "_b", "left")

@@ -112,3 +112,31 @@ def drop_materialized(spark: SparkSession) -> bool:
     path = jvm.org.apache.hadoop.fs.Path(base)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(path) and fs.delete(path, True))
+
+
+def size_for_input(spark: SparkSession, input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024,
+                   cores: int | None = None) -> dict:
+    """Size scan splits and shuffle partitions from the input volume.
+
+    Shuffle partitions ~ input / 256 MB (never below 2x the cores, so every core
+    has work), scan splits of 256 MB for inputs above 1 TB (128 MB below), and
+    AQE's advisory size equal to the target so coalescing and skew splitting aim
+    at partitions that fit comfortably in an executor's memory.  At 100 TB this
+    gives ~400 000 shuffle partitions before AQE coalesces what is small.
+    Returns the settings applied.
+    """
+    try:
+        cores = cores or spark.sparkContext.defaultParallelism
+    except Exception:
+        cores = cores or 8
+    shuffle = max(2 * cores, int(input_bytes // target_partition_bytes))
+    split = 256 * 1024 * 1024 if input_bytes > (1 << 40) else 128 * 1024 * 1024
+    settings = {
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.files.maxPartitionBytes": str(split),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+    }
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    return settings

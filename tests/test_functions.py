@@ -166,3 +166,12 @@ def test_materialize_and_drop(spark):
     df = materialize(spark.range(10).withColumnRenamed("id", "x"), ["x"])
     assert df.count() == 10
     assert drop_materialized(spark)
+
+
+def test_size_for_input(spark):
+    from lendscope.session import size_for_input
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    s = size_for_input(spark, 100 * (1 << 40), cores=8000)
+    assert int(s["spark.sql.shuffle.partitions"]) == 409600
+    assert s["spark.sql.files.maxPartitionBytes"] == str(256 * 1024 * 1024)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
