@@ -14,7 +14,9 @@ PYTHON_OK = {"alert_evaluations", "alert_routing", "alert_hourly_trend", "alert_
              "feature_drift_report", "stream_rate_admission"}
 NAMES = ["book_by_purpose", "credit_features", "pd_auc", "roc_curve", "calibration_table",
          "feature_drift_statistics", "api_summary_by_endpoint", "api_latency_last_100",
-         "latest_application_per_customer", "request_log_levels", "client_sliding_requests"]
+         "latest_application_per_customer", "request_log_levels", "client_sliding_requests",
+         "api_timeseries_5min", "drift_history", "out_of_time_features", "customer_prediction_history",
+         "scaler_fit", "optimal_threshold_confusion", "health_by_hour"]
 
 
 @pytest.mark.parametrize("name", NAMES)
