@@ -25,12 +25,11 @@ def register(name: str, sql: str | None = None, ops: tuple[str, ...] = ()):
     return deco
 
 
+PLAN_MODULES = ("book", "quality", "monitoring", "stats", "drift", "catalog_misc", "alerts", "streams", "training")
+
+
 def load_all() -> None:
-    """Import every plan module so that its queries register."""
-    from lendscope.plans import book  # noqa: F401
-    for mod in ("quality", "monitoring", "stats", "drift", "catalog_misc", "alerts", "registry_ops", "streams", "training"):
-        try:
-            __import__(f"lendscope.plans.{mod}")
-        except ModuleNotFoundError as e:  # modules are added as the build widens
-            if e.name != f"lendscope.plans.{mod}":
-                raise
+    """Import every plan module so that its queries register (idempotent)."""
+    import importlib
+    for mod in PLAN_MODULES:
+        importlib.import_module(f"lendscope.plans.{mod}")
