@@ -121,8 +121,11 @@ def engineer_credit_features(df: DataFrame, income_fit: DataFrame | None = None,
     """FE-01 .. FE-16 on a whole application table (one pass + two small fits)."""
     check_required(df)
     cols = set(df.columns)
-    # both data-dependent fits read one narrow checkpoint of the input
-    narrow = materialize(df, ["income"] + (["interest_rate"] if "interest_rate" in cols and with_rate_percentile else []))
+    # the data-dependent fits computed here read one narrow checkpoint of the input
+    need_rate = "interest_rate" in cols and with_rate_percentile and rate_fit is None
+    narrow = None
+    if income_fit is None or need_rate:
+        narrow = materialize(df, ["income"] + (["interest_rate"] if need_rate else []))
     fit = income_fit if income_fit is not None else fit_income_quartiles(narrow)
     out = df.crossJoin(F.broadcast(fit))  # one-row fit table
     out = out.withColumn("income_to_loan_ratio", income_to_loan_ratio())
