@@ -140,9 +140,23 @@ def sliding_admission(requests: DataFrame, rate_class: str = "default", limit: i
         GroupStateTimeout.EventTimeTimeout if requests.isStreaming else GroupStateTimeout.NoTimeout)
 
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb_state(spark: SparkSession) -> None:
+    """Keyed state (windows, dedup, admission logs) off the JVM heap, so state
+    larger than executor memory spills to local disk and checkpoints
+    incrementally; only set when the session has not chosen a provider."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    current = spark.conf.get(key, None)
+    if not current or current.endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set(key, ROCKSDB_PROVIDER)
+
+
 def run_available_now(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Drain everything available into a parquet table and return it as a batch frame."""
     spark = df.sparkSession
+    use_rocksdb_state(spark)
     base = work_dir(spark, name)
     out, ckpt = os.path.join(base, "out"), os.path.join(base, "checkpoint")
     if mode == "complete":
