@@ -129,3 +129,33 @@ def test_asof_rank_against_training_distribution(spark, train, score):
         eq = sum(1 for t in train if t == v)
         want = (below + (eq + 1) / 2) / n if eq else below / n
         assert got[i] == pytest.approx(want)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(1, 3), st.integers(0, 400)), min_size=1, max_size=60))
+def test_chunked_sliding_count_matches_brute_force(spark, rows):
+    import datetime as dt
+    from lendscope.operators.windows import sliding_count
+    t0 = dt.datetime(2024, 1, 1)
+    data = [(i, k, t0 + dt.timedelta(seconds=s)) for i, (k, s) in enumerate(rows)]
+    df = spark.createDataFrame(data, "rid long, k long, ts timestamp_ntz")
+    got = {r["rid"]: r["n"] for r in sliding_count(df, "k", "ts", 60, "n", chunk_seconds=100).collect()}
+    for rid, k, ts in data:
+        want = sum(1 for _, k2, t2 in data if k2 == k and ts - dt.timedelta(seconds=60) <= t2 <= ts)
+        assert got[rid] == want
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(1, 3), st.integers(0, 5)), min_size=1, max_size=60), st.integers(1, 4))
+def test_salted_top_n_matches_brute_force(spark, rows, n):
+    from pyspark.sql import functions as F
+    from lendscope.operators.windows import top_n_per_key
+    data = [(i, k, v) for i, (k, v) in enumerate(rows)]
+    df = spark.createDataFrame(data, "rid long, k long, v long")
+    got = sorted((r["k"], r["rid"], r["rn"]) for r in
+                 top_n_per_key(df, ["k"], [F.col("v").desc()], n, tie_cols=["rid"], salt=3).collect())
+    want = []
+    for k in {k for _, k, _ in data}:
+        ordered = sorted([d for d in data if d[1] == k], key=lambda d: (-d[2], d[0]))[:n]
+        want += [(k, d[0], i + 1) for i, d in enumerate(ordered)]
+    assert got == sorted(want)
