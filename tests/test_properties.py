@@ -159,3 +159,18 @@ def test_salted_top_n_matches_brute_force(spark, rows, n):
         ordered = sorted([d for d in data if d[1] == k], key=lambda d: (-d[2], d[0]))[:n]
         want += [(k, d[0], i + 1) for i, d in enumerate(ordered)]
     assert got == sorted(want)
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.integers(0, 1), min_size=5, max_size=80))
+def test_stratified_split_exact_proportions(spark, labels):
+    import math
+    from lendscope.ml.training import stratified_split
+    df = spark.createDataFrame([(i, y) for i, y in enumerate(labels)], "app_id long, y_default int")
+    rows = stratified_split(df, "y_default", "app_id", 0.2, 5).collect()
+    assert len(rows) == len(labels)
+    for cls in (0, 1):
+        mine = [r for r in rows if r["y_default"] == cls]
+        assert sum(r["is_test"] for r in mine) == math.floor(len(mine) * 0.2)
+        folds = [sum(1 for r in mine if r["fold"] == f) for f in range(5)]
+        assert max(folds) - min(folds) <= 1 if mine else True
