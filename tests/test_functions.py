@@ -175,3 +175,17 @@ def test_size_for_input(spark):
     assert int(s["spark.sql.shuffle.partitions"]) == 409600
     assert s["spark.sql.files.maxPartitionBytes"] == str(256 * 1024 * 1024)
     spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_result_envelope_and_verdict(spark):
+    from lendscope.sources.adapters import credit_applications
+    apps = credit_applications(spark, "/root/testdata/sf0.001")
+    v = vq.batch_verdict(vq.apply_rules(apps, vq.application_rules()))
+    as_of = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    ok = vq.result_envelope(v, "credit", as_of).collect()[0]
+    bad = vq.result_envelope(v, "unknown", as_of).collect()[0]
+    assert ok["version"] == "1.0.0" and ok["is_valid"] == ok["all_valid"]
+    assert bad["is_valid"] is False
+    sp = vq.suspicious_patterns(apps, ["loan_term", "loan_amount"], strict=True).collect()
+    flags = {r["column"]: r["suspicious"] for r in sp}
+    assert flags["loan_term"] is True      # whole numbers only: flagged in strict mode (D-05)
