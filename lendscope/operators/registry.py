@@ -94,3 +94,13 @@ def check_comparison_request(versions, metrics) -> None:
     invalid = sorted(set(metrics) - set(COMPARISON_METRICS))
     if invalid:
         raise ValueError(f"Invalid metrics: {invalid}")
+
+
+def compare_versions(registry: DataFrame, stats: DataFrame, versions) -> tuple[DataFrame, DataFrame]:
+    """JN-08 / MV-15: side-by-side rows for the requested versions (registry left
+    join prediction stats) and the requested versions the registry lacks."""
+    spark = registry.sparkSession
+    req = spark.createDataFrame([(v,) for v in dict.fromkeys(versions)], "model_version string")
+    rows = req.join(registry, "model_version", "inner").join(stats, "model_version", "left")
+    missing = req.join(registry.select("model_version"), "model_version", "left_anti")
+    return rows, missing

@@ -189,3 +189,12 @@ def test_result_envelope_and_verdict(spark):
     sp = vq.suspicious_patterns(apps, ["loan_term", "loan_amount"], strict=True).collect()
     flags = {r["column"]: r["suspicious"] for r in sp}
     assert flags["loan_term"] is True      # whole numbers only: flagged in strict mode (D-05)
+
+
+def test_compare_versions_reports_unknown(spark):
+    reg = spark.createDataFrame([("v1", "active"), ("v2", "inactive")], "model_version string, status string")
+    stats = spark.createDataFrame([("v1", 10)], "model_version string, total_predictions long")
+    rows, missing = rg.compare_versions(reg, stats, ["v1", "v2", "v9"])
+    got = {r["model_version"]: r["total_predictions"] for r in rows.collect()}
+    assert got == {"v1": 10, "v2": None}
+    assert [r[0] for r in missing.collect()] == ["v9"]
