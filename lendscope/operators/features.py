@@ -175,8 +175,9 @@ def economic_features(snapshot: DataFrame) -> DataFrame:
     fed = F.col("fed_funds_rate").cast("double")
     un = F.col("unemployment_rate").cast("double")
     avg = F.col("avg_interest_rate").cast("double")
-    fed_n = F.least(fed / F.lit(10.0), F.lit(1.0))
-    un_n = F.least(un / F.lit(15.0), F.lit(1.0))
+    # least() skips NULLs, so a missing input must stay missing explicitly
+    fed_n = F.when(fed.isNotNull(), F.least(fed / F.lit(10.0), F.lit(1.0)))
+    un_n = F.when(un.isNotNull(), F.least(un / F.lit(15.0), F.lit(1.0)))
     comps = F.array_compact(F.array(un_n, fed_n))
     stress = F.when(F.size(comps) > 0,
                     F.aggregate(comps, F.lit(0.0), lambda a, x: a + x) / F.size(comps))

@@ -49,8 +49,8 @@ def risk_score(pd_col: Column, lgd_col: Column) -> Column:
 
 
 def risk_rating(score: Column) -> Column:                                        # RSK-03
-    """digitize on RATING_EDGES, clamped to 1..10 (D-09)."""
-    return F.least(F.greatest(digitize(score, RATING_EDGES), F.lit(1)), F.lit(10))
+    """digitize on RATING_EDGES, clamped to 1..10 (D-09); NULL score -> NULL rating."""
+    return F.when(score.isNotNull(), F.least(F.greatest(digitize(score, RATING_EDGES), F.lit(1)), F.lit(10)))
 
 
 def risk_category(rating: Column) -> Column:                                     # RSK-04
@@ -71,7 +71,7 @@ def decision_struct(pd_col: Column, rating: Column) -> Column:
 
 
 def pd_confidence(pd_col: Column) -> Column:                                     # RSK-06
-    return F.least(F.lit(0.5) + F.abs(pd_col - F.lit(0.5)), F.lit(0.95))
+    return F.when(pd_col.isNotNull(), F.least(F.lit(0.5) + F.abs(pd_col - F.lit(0.5)), F.lit(0.95)))
 
 
 def display_risk_level(pd_col: Column) -> Column:                                # RSK-07

@@ -138,3 +138,20 @@ def test_drift_minimum_sample_of_100_runs_the_test(spark):
     long = spark.createDataFrame(rows, "feature string, sample string, value double, category string")
     r = dr.feature_drift(long, ["f"], with_p_values=False).collect()[0]
     assert r["test"] == "ks_test" and r["n_ref"] == 100
+
+
+def test_economic_features_presence_rules(spark):
+    snap = spark.createDataFrame([(5.25, 3.8, 4.2), (None, None, 4.5), (12.0, None, None)],
+                                 "fed_funds_rate double, unemployment_rate double, avg_interest_rate double")
+    r = fe.economic_features(snap).collect()
+    assert r[0]["economic_stress_index"] == pytest.approx((3.8 / 15 + 5.25 / 10) / 2)
+    assert r[0]["fed_rate_high"] == 1 and r[0]["unemployment_high"] == 0 and r[0]["high_rate_environment"] == 1
+    assert r[1]["economic_stress_index"] is None and r[1]["high_economic_stress"] is None
+    assert r[2]["fed_rate_normalized"] == 1.0 and r[2]["high_economic_stress"] == 1
+
+
+def test_null_scores_stay_null(spark):
+    df = spark.createDataFrame([(None,), (0.3,)], "p double")
+    r = df.select(sc.risk_rating(F.col("p")).alias("r"), sc.pd_confidence(F.col("p")).alias("c")).collect()
+    assert r[0]["r"] is None and r[0]["c"] is None
+    assert r[1]["r"] == 6 and r[1]["c"] == pytest.approx(0.7)
