@@ -56,36 +56,45 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder of the cluster.
 
-    Read from ``spark.checkpoint.dir``; only when the session has none (tests,
-    local runs) is a fresh scratch folder created and registered.
+    Read from ``spark.checkpoint.dir``.  A scratch folder is made and registered
+    only in a local session that names none (tests, the bench); on a cluster a
+    missing setting is an error, because executors do not share local folders.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
         return d
     try:
         sc = spark.sparkContext          # not available on Spark Connect
-    except Exception:
-        sc = None
-    if sc is None:
-        raise RuntimeError("spark.checkpoint.dir is not set for this session")
+    except Exception as e:
+        raise RuntimeError("spark.checkpoint.dir is not set for this session") from e
     current = sc.getCheckpointDir()
     if current:
         return current
-    # only for sessions without a shared checkpoint folder (tests, local runs)
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     d = tempfile.mkdtemp(prefix="lendscope-ckpt-", dir="/tmp")
     sc.setCheckpointDir(d)
     return d
 
 
+# Folder of the tables this driver process writes; jobs that share the checkpoint folder have their own.
+_RUN = f"run-{os.getpid()}-{uuid.uuid4().hex[:12]}"
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This run's own sub-folder of the shared checkpoint folder."""
+    return "/".join([checkpoint_dir(spark).rstrip("/"), "lendscope-tables", _RUN])
+
+
 def cut_lineage(df, spark: SparkSession | None = None):
     """Materialise ``df`` as a Parquet table in the shared checkpoint folder and
     read it back: the lineage is cut, the data survives executor loss, and later
     passes get columnar, vectorised reads with column pruning and pushdown
     (much cheaper than re-reading serialised RDD checkpoint blocks)."""
     spark = spark or df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), "lendscope-tables", uuid.uuid4().hex)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    path = f"{run_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def materialize(df, columns=None):
@@ -101,15 +110,13 @@ def materialize(df, columns=None):
 
 
 def drop_materialized(spark: SparkSession) -> bool:
-    """Remove the tables written by ``cut_lineage`` for this checkpoint folder.
+    """Remove the tables that this run wrote (never those of other runs).
 
-    Call it when a job is finished (the results it returned must not be read
-    after this).  Uses the Hadoop file system of the folder, so it works for
-    any shared storage the cluster names.
+    Call it when the results are written; they must not be read after this.
+    Uses the Hadoop file system of the folder, so it works for any shared storage.
     """
-    base = os.path.join(checkpoint_dir(spark), "lendscope-tables")
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(base)
+    path = jvm.org.apache.hadoop.fs.Path(run_dir(spark))
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(path) and fs.delete(path, True))
 
@@ -119,7 +126,7 @@ def size_for_input(spark: SparkSession, input_bytes: int, target_partition_bytes
     """Size scan splits and shuffle partitions from the input volume.
 
     Shuffle partitions ~ input / 256 MB (never below 2x the cores, so every core
-    has work), scan splits of 256 MB for inputs above 1 TB (128 MB below), and
+    has work), scan splits of at most 256 MB and never fewer than the cores, and
     AQE's advisory size equal to the target so coalescing and skew splitting aim
     at partitions that fit comfortably in an executor's memory.  At 100 TB this
     gives ~400 000 shuffle partitions before AQE coalesces what is small.
@@ -130,7 +137,7 @@ def size_for_input(spark: SparkSession, input_bytes: int, target_partition_bytes
     except Exception:
         cores = cores or 8
     shuffle = max(2 * cores, int(input_bytes // target_partition_bytes))
-    split = 256 * 1024 * 1024 if input_bytes > (1 << 40) else 128 * 1024 * 1024
+    split = max(1 << 20, min(target_partition_bytes, input_bytes // max(1, 2 * cores)))
     settings = {
         "spark.sql.shuffle.partitions": str(shuffle),
         "spark.sql.files.maxPartitionBytes": str(split),
