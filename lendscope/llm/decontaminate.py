@@ -77,7 +77,7 @@ def candidates(docs: DataFrame, wins: DataFrame, id_col: str, text_col: str) ->
 
 def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text",
          item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """id, key, covered (distinct word places), items: one row for each document that holds a window."""
+    """id, key, total (words), covered (distinct word places), items: a row for each document that holds a window."""
     wins = materialize(windows(benchmark, width, item_col, item_text_col))
     places = materialize(candidates(docs, wins, id_col, text_col))
     keys = materialize(places.select("id", "key").distinct())
@@ -90,9 +90,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str
     both = texts.alias("t").join(wanted.alias("p"), same(F.col("t.id"), F.col("p.id"))
                                  & (F.col("t.key") == F.col("p.key")))
     sure = F.filter("places", lambda p: F.slice(F.col("t.ws"), p["start"] + 1, p["len"]) == p["ws"])
-    found = both.select("t.id", "t.key", sure.alias("sure")).where(F.size("sure") > 0).dropDuplicates(["id", "key"])
+    found = both.select("t.id", "t.key", F.size("t.ws").alias("total"), sure.alias("sure")).where(F.size("sure") > 0).dropDuplicates(["id", "key"])
     return found.select(
-        "id", "key",
+        "id", "key", "total",
         F.array_distinct(F.flatten(F.transform("sure", lambda p: F.sequence(p["start"], p["start"] + p["len"] - 1))))
         .alias("covered"),
         F.array_distinct(F.flatten(F.transform("sure", lambda p: p["items"]))).alias("items"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lendscope.llm import bloom_dedup, decontaminate, license_scan, shard_tree
+from lendscope.llm import (bloom_dedup, decontaminate, grammar_secrets, jaccard_join, kernel_langid, license_scan,
+                           mixing, shard_tree)
 from lendscope.llm.common import read
 
 QUERIES: dict = {}
@@ -19,6 +20,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(read(spark, sf_dir, "documents"), mixing.label_domain(read(spark, sf_dir, "labels")))
+
+
 @query
 def op2_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
@@ -37,6 +43,21 @@ def op5_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_dedup.dedup(read(spark, sf_dir, "documents"))
 
 
+@query
+def op7_kernel_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernel_langid.identify(read(spark, sf_dir, "documents"))
+
+
+@query
+def op8_grammar_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grammar_secrets.scan(read(spark, sf_dir, "documents"))
+
+
+@query
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.groups(read(spark, sf_dir, "documents"))
+
+
 @query
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
