@@ -23,6 +23,10 @@ ignored (``mix`` keeps them).
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
@@ -88,44 +92,49 @@ def posteriors(docs: DataFrame, model: LogisticRegressionModel | int | None, nam
     return model.transform(_features(rows)).select("row", "id", "key", "tokens", padded.alias("p"))
 
 
-def _folded(residuals: list[list[float]], step: float, pull: float) -> tuple[Column, Column]:
-    """(rate, extrapolated rate) of a row after the steps with these residuals."""
-    if not residuals:
-        return F.lit(1.0), F.lit(1.0)
-    seen = F.array(*(F.struct(F.array(*map(F.lit, e)).alias("e"), F.lit(k / (k + 3.0)).alias("m"))
-                     for k, e in enumerate(residuals)))
-
-    def one(acc, x):
-        grad = F.aggregate(F.zip_with("p", x["e"], lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        r = F.greatest(F.lit(0.0), acc["y"] - step * (grad + pull * (acc["y"] - 1.0)))
-        return F.struct(r.alias("r"), (r + x["m"] * (r - acc["r"])).alias("y"))
-
-    out = F.aggregate(seen, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")), one)
-    return out["r"], out["y"]
+def _folded(p: np.ndarray, residuals: list[list[float]], step: float, pull: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rates, extrapolated rates) of rows with posteriors p after the steps with these residuals."""
+    r = y = np.ones(len(p))
+    for k, e in enumerate(residuals):
+        new = np.maximum(0.0, y - step * (p @ np.array(e) + pull * (y - 1.0)))
+        r, y = new, new + k / (k + 3.0) * (new - r)
+    return r, y
 
 
 def fit_rates(stored: DataFrame, targets: list[float], steps: int = STEPS, pull: float = PULL,
-              tolerance: float = TOLERANCE) -> Column:
-    """Rate of a row of ``stored`` (tokens, p) as a column."""
+              tolerance: float = TOLERANCE) -> Callable[[Column], Column]:
+    """From the column of posteriors to the column of rates, fitted to ``stored`` (tokens, p)."""
     total = float(stored.agg(F.sum("tokens")).first()[0] or 0)
     if total == 0:
-        return F.lit(1.0)
+        return lambda p: F.lit(1.0)
     step, residuals = 1.0 / (1.0 + pull), []
+    names = [f"d{d}" for d in range(len(targets))]
+    flat = stored.select("tokens", *(F.get("p", F.lit(d)).alias(n) for d, n in enumerate(names)))
     for _ in range(steps):
-        _, y = _folded(residuals, step, pull)
-        w = F.col("tokens") * y
-        got = stored.agg(*(F.sum(w * F.get("p", F.lit(d))).alias(f"d{d}") for d in range(len(targets)))).first()
+        def expected(batches: Iterator[pd.DataFrame], so_far=tuple(residuals)) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                p = b[names].to_numpy()
+                _, y = _folded(p, list(so_far), step, pull)
+                yield pd.DataFrame([(b["tokens"].to_numpy() * y) @ p], columns=names)
+
+        got = flat.mapInPandas(expected, ", ".join(f"{n} double" for n in names)).agg(
+            *(F.sum(n).alias(n) for n in names)).first()
         # rounded, so that the order of a parallel sum does not show in later steps
-        e = [round((got[f"d{d}"] or 0.0) / total - t, 12) for d, t in enumerate(targets)]
+        e = [round((got[n] or 0.0) / total - t, 9) for n, t in zip(names, targets)]
         if residuals and max(abs(a - b) for a, b in zip(e, residuals[-1])) < tolerance:
             break
         residuals.append(e)
-    return _folded(residuals, step, pull)[0]
+
+    @F.pandas_udf("double")
+    def rate(p: pd.Series) -> pd.Series:
+        return pd.Series(_folded(np.stack(p.to_numpy()), residuals, step, pull)[0] if len(p) else [], dtype=float)
+
+    return rate
 
 
 def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id",
-           text_col: str = "text") -> tuple[DataFrame, Column, LogisticRegressionModel | int | None]:
-    """The stored posteriors (id, key, tokens, p), the rate as a column over them, and the classifier."""
+           text_col: str = "text") -> tuple[DataFrame, Callable, LogisticRegressionModel | int | None]:
+    """The stored posteriors (id, key, tokens, p), the function from p to the rate, and the classifier."""
     if not targets or any(t < 0 for t in targets.values()) or sum(targets.values()) <= 0:
         raise ValueError("targets must be weights of 0 or more, one above 0")
     names, whole = list(targets), sum(targets.values())
@@ -146,7 +155,7 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
 
     ``labels``: doc_id, domain (see ``label_domain``)."""
     stored, rate, _ = fitted(docs, labels, targets, id_col, text_col)
-    out = stored.withColumn("rate", rate)
+    out = stored.withColumn("rate", rate(F.col("p")))
     return out.select(F.col("id").alias(id_col), F.col("tokens").alias("n_tokens"),
                       *(F.get("p", F.lit(i)).alias(f"p_{n}") for i, n in enumerate(targets)), "rate",
                       copies(F.col("rate"), F.col("id"), F.col("key")).alias("copies"))
@@ -158,7 +167,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
 
     Posteriors are computed again beside the rows, which is cheaper than shuffling the texts."""
     _, rate, model = fitted(docs, labels, targets, id_col, text_col)
-    out = posteriors(docs, model, list(targets), text_col, id_col).withColumn("rate", rate)
+    out = posteriors(docs, model, list(targets), text_col, id_col).withColumn("rate", rate(F.col("p")))
     n = copies(F.col("rate"), F.col("id"), F.col("key"))
     return out.select("row", n.alias("n")).where("n > 0").withColumn(
         "copy", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
