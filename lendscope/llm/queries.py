@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lendscope.llm import (bloom_dedup, decontaminate, grammar_secrets, jaccard_join, kernel_langid, license_scan,
-                           mixing, shard_tree)
+                           mixing, shard_tree, suffix_dedup)
 from lendscope.llm.common import read
 
 QUERIES: dict = {}
@@ -43,6 +43,11 @@ def op5_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_dedup.dedup(read(spark, sf_dir, "documents"))
 
 
+@query
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(read(spark, sf_dir, "documents"))
+
+
 @query
 def op7_kernel_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernel_langid.identify(read(spark, sf_dir, "documents"))
