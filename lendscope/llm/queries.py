@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lendscope.llm import (bloom_dedup, decontaminate, grammar_secrets, jaccard_join, kernel_langid, license_scan,
-                           mixing, shard_tree, suffix_dedup)
+                           line_dedup, mixing, shard_tree, suffix_dedup)
 from lendscope.llm.common import read
 
 QUERIES: dict = {}
@@ -33,6 +33,11 @@ def op2_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(read(spark, sf_dir, "documents"))
+
+
 @query
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents"))
