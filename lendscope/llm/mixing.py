@@ -68,7 +68,8 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, names: list[str], sample:
     drawn = own.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) < share).select(
         F.col("doc_id").alias("__id"), "label")
     # about ``sample`` rows whatever the input, hence the broadcast
-    train = docs.join(F.broadcast(drawn), F.col(id_col) == F.col("__id")).select("label", tokens(F.col(text_col)).alias("toks"))
+    train = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
+        F.broadcast(drawn), F.col("id") == F.col("__id")).select("label", tokens(F.col("text")).alias("toks"))
     train = materialize(_features(train).select("label", vector_to_array("features").alias("f")))
     seen = sorted(int(r["label"]) for r in train.select("label").distinct().collect())
     if len(seen) < 2:
