@@ -5,34 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lendscope.functions.bands import edge_bin_sql
 from lendscope.operators import features as fe
 from lendscope.operators import scoring as sc
 from lendscope.plans.oracle_views import DECISION_SQL, with_views
 from lendscope.plans.registry import register
-from lendscope.sources.tables import Tables
+from lendscope.sources.adapters import EVENTS_SPLIT_TS
+from lendscope.sources.tables import Tables, table_path
 from lendscope.streaming import jobs as sj
 
 
 def _events_stream(spark, sf_dir):
-    schema = Tables(spark, sf_dir).events.schema
-    return sj.event_stream(spark, sf_dir, schema, glob="events.parquet")
+    return sj.event_stream(spark, table_path(sf_dir, "events"), Tables(spark, sf_dir).events.schema)
 
 
 @register("stream_api_windows", ops=("ST-01", "SRC-12", "SRC-19", "MON-09"), sql="""
 SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, count(*) AS requests,
        round(avg(value / 100.0E0), 6) AS avg_response_time,
+       round(quantile_cont(value / 100.0E0, 0.95), 6) AS p95_response_time,
        round(avg(CASE WHEN event_type = 'error' THEN 1.0E0 ELSE 0.0E0 END), 6) AS error_rate
-FROM events GROUP BY 1
-HAVING time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+FROM events GROUP BY 1""")
 def stream_api_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Append mode: a window is emitted once the watermark (max event time - 10
-    min) passes its end, and its state is dropped; the oracle is the batch
-    aggregate over the same closed windows."""
+    """Event-time windows of a bounded drain: all windows, the last ones too, in whatever order the files are."""
     api = sj.api_stream(_events_stream(spark, sf_dir))
-    w = sj.tumbling_api_metrics(api, "5 minutes")
-    out = sj.run_available_now(w, "api_windows", mode="append")
+    w = sj.tumbling_api_metrics(api, "5 minutes", exact=True)
+    out = sj.run_available_now(w, "api_windows", mode="complete")
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "requests",
                       F.round("avg_response_time", 6).alias("avg_response_time"),
+                      F.round("p95_response_time", 6).alias("p95_response_time"),
                       F.round("error_rate", 6).alias("error_rate"))
 
 
@@ -45,7 +45,7 @@ def stream_scoring_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored without any shuffle, and rolled up per purpose and decision."""
     from lendscope.sources import adapters as ad
     t = Tables(spark, sf_dir)
-    orders = sj.event_stream(spark, sf_dir, t.orders.schema, glob="orders.parquet")
+    orders = sj.event_stream(spark, table_path(sf_dir, "orders"), t.orders.schema)
     cust = t.customer.select("c_custkey", "c_acctbal", "c_mktsegment")
     j = orders.join(cust, orders.o_custkey == cust.c_custkey)   # stream-static join
     apps = ad.applications_from_joined(j)
@@ -63,49 +63,69 @@ def stream_scoring_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 CLIENT_TIERS = [(1, "standard"), (2, "premium"), (3, "enterprise")]
 
 
-@register("stream_rate_admission", ops=("ST-03", "ST-05", "D-17"))
+@register("stream_rate_admission", ops=("ST-03", "ST-05", "D-17"), sql="""
+WITH tiers(client_id, tier) AS (VALUES (1, 'standard'), (2, 'premium'), (3, 'enterprise')),
+req AS (SELECT user_id, coalesce(tier, 'free') AS tier, date_trunc('millisecond', ts) AS t0, ts, event_id
+        FROM events LEFT JOIN tiers ON user_id = client_id),
+logs AS (SELECT user_id, tier, count(*) AS n, list(ts ORDER BY ts, event_id) AS times,
+                CASE tier WHEN 'free' THEN 100 WHEN 'standard' THEN 1000 WHEN 'premium' THEN 10000 ELSE 100000 END AS quota
+         FROM req GROUP BY user_id, tier),
+done AS (SELECT tier, n, len(list_reduce(list_transform(times, lambda t: [t]),
+           lambda acc, x: CASE WHEN len(list_filter(acc, lambda t: t >= x[1] - INTERVAL 1 HOUR)) < quota
+                               THEN list_concat(acc, x) ELSE acc END)) AS ok FROM logs)
+SELECT tier AS rate_class, CAST(sum(n) AS BIGINT) AS requests, CAST(sum(ok) AS BIGINT) AS allowed FROM done GROUP BY 1""")
 def stream_rate_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sliding-log admission per (client, tier) with keyed state; the tier comes
-    from a broadcast lookup table, unknown clients are 'free' (brute-force tested)."""
+    from a broadcast lookup table of three rows, unknown clients are 'free'."""
     api = sj.api_stream(_events_stream(spark, sf_dir))
     tiers = spark.createDataFrame(CLIENT_TIERS, "client_id long, tier string")
     api = api.join(F.broadcast(tiers), "client_id", "left").withColumn("tier", F.coalesce("tier", F.lit("free")))
-    adm = sj.sliding_admission(api, class_col="tier")
-    out = sj.run_available_now(adm, "admission", mode="append")
+    out = sj.sliding_admission(api, class_col="tier")
     return out.groupBy("rate_class").agg(F.count(F.lit(1)).alias("requests"),
                                          F.sum(F.col("allowed").cast("long")).alias("allowed"))
 
 
-@register("stream_request_dedup", ops=("ST-06", "SET-06", "FN-04"))
+@register("stream_request_dedup", ops=("ST-06", "SET-06", "FN-04"), sql="""
+WITH logs AS (SELECT user_id, event_type, list(ts ORDER BY ts, event_id) AS times FROM events GROUP BY 1, 2),
+done AS (SELECT list_reduce(list_transform(times, lambda t: [t]), lambda acc, x:
+           CASE WHEN x[1] - acc[-1] >= INTERVAL 300 SECOND THEN list_concat(acc, x) ELSE acc END) AS kept FROM logs)
+SELECT CAST(sum(len(kept)) AS BIGINT) AS unique_requests, count(*) AS distinct_hashes FROM done""")
 def stream_request_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated identical requests inside 300 s are suppressed on the stream."""
+    """Repeats of an accepted request inside 300 s are suppressed on the stream."""
     ev = _events_stream(spark, sf_dir)
     api = sj.api_stream(ev).withColumn("request_hash", F.md5(F.to_json(F.struct("client_id", "endpoint"))))
-    d = sj.dedup_requests(api, "request_hash", "ts", "300 seconds")
-    out = sj.run_available_now(d, "dedup", mode="append")
+    out = sj.dedup_requests(api, "request_hash", "ts", 300)
     return out.agg(F.count(F.lit(1)).alias("unique_requests"),
                    F.count_distinct("request_hash").alias("distinct_hashes"))
 
 
-@register("stream_drift_check", ops=("ST-07", "DR-05", "UDF-02"))
+@register("stream_drift_check", ops=("ST-07", "DR-05", "UDF-02"), sql=f"""
+WITH a AS (SELECT ts, value / 100.0E0 AS v, ts < TIMESTAMP '{EVENTS_SPLIT_TS}' AS is_ref FROM events),
+fit AS (SELECT min(v) AS lo, max(v) AS hi FROM a WHERE is_ref),
+b AS (SELECT is_ref, date_trunc('day', ts)::TIMESTAMP AS day, {edge_bin_sql('v', 'lo', 'hi', 10)} AS bin FROM a, fit),
+ref AS (SELECT bin, count(*) AS r, sum(count(*)) OVER () AS tr FROM b WHERE is_ref AND bin IS NOT NULL GROUP BY bin),
+cur AS (SELECT day, bin, count(*) AS c FROM b WHERE NOT is_ref AND bin IS NOT NULL GROUP BY ALL),
+days AS (SELECT day, CAST(sum(c) AS BIGINT) AS tc FROM cur GROUP BY day),
+j AS (SELECT day, tc, greatest(r / tr, 1e-10) AS p, greatest(coalesce(c, 0) / tc, 1e-10) AS q
+      FROM days CROSS JOIN ref LEFT JOIN cur USING (day, bin))
+SELECT day, tc AS batch_rows, round(sum((q - p) * ln(q / p)), 8) AS psi FROM j GROUP BY day, tc""")
 def stream_drift_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Response-time PSI of each micro-batch of the event stream against the
-    histogram of the first half of the month (the reference sample)."""
+    """Response-time PSI of each day of the second half of the month, as a stream, against the
+    histogram of the first half (the reference sample)."""
     from lendscope.sources import adapters as ad
-    ref = ad.api_metrics(spark, sf_dir).where(F.col("ts") < F.lit(ad.EVENTS_SPLIT_TS).cast("timestamp_ntz"))
+    split = F.lit(EVENTS_SPLIT_TS)
+    ref = ad.api_metrics(spark, sf_dir).where(F.col("ts") < split.cast("timestamp_ntz"))
     hist = sj.reference_histogram(ref, "response_time")
-    api = sj.api_stream(_events_stream(spark, sf_dir))
-    res = sj.continuous_drift(api.select("response_time"), hist, "response_time", "drift")
-    return res.select("epoch", "batch_rows", F.round("psi", 8).alias("psi"))
+    api = sj.api_stream(_events_stream(spark, sf_dir)).where(F.col("ts") >= split.cast("timestamp"))
+    res = sj.daily_drift(api.select("ts", "response_time"), hist, "response_time", "ts")
+    return res.select(F.col("day").cast("timestamp_ntz").alias("day"), "batch_rows", F.round("psi", 8).alias("psi"))
 
 
 @register("stream_hourly_requests", ops=("ST-02", "SRC-12"), sql="""
-SELECT date_trunc('hour', ts) AS hour, event_type AS endpoint, count(*) AS count
-FROM events GROUP BY 1, 2
-HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+SELECT date_trunc('hour', ts) AS hour, event_type AS endpoint, count(*) AS count FROM events GROUP BY 1, 2""")
 def stream_hourly_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tumbling one-hour counts per endpoint, emitted when the watermark closes the hour."""
+    """Tumbling one-hour counts per endpoint, all hours of the drain."""
     api = sj.api_stream(_events_stream(spark, sf_dir))
     h = sj.hourly_counts(api, "ts", "endpoint")
-    out = sj.run_available_now(h, "hourly", mode="append")
+    out = sj.run_available_now(h, "hourly", mode="complete")
     return out.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "endpoint", "count")

@@ -9,16 +9,16 @@ up in the progress metrics.
 
 from __future__ import annotations
 
-import os
 import uuid
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
 
-from lendscope.session import checkpoint_dir
+from lendscope.session import run_dir
 
 WATERMARK = "10 minutes"
 
@@ -33,21 +33,19 @@ TIER_WINDOW_S = 3600
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder for one streaming run under the shared checkpoint folder."""
-    return os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
+    """A fresh folder for one streaming run under this run's part of the shared checkpoint folder."""
+    return f"{run_dir(spark)}/streams/{name}-{uuid.uuid4().hex[:8]}"
 
 
-def event_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files: int | None = None,
-                 glob: str | None = None) -> DataFrame:
-    """SRC-19: new files of a drop folder become micro-batches."""
+def event_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
+    """SRC-19: a table (one file or a folder of part files) or drop folder as a stream; new files become micro-batches."""
     r = spark.readStream.format(fmt).schema(schema)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     if fmt == "csv":
         r = r.option("header", "true")
-    return r.load(path)
+    # as a pattern, since a plain path must be a folder for a stream while a pattern finds both
+    return r.load(f"{path[:-1]}[{path[-1]}]")
 
 
 def api_stream(events: DataFrame) -> DataFrame:
@@ -83,61 +81,154 @@ def hourly_counts(stream: DataFrame, ts: str, key: str | None = None) -> DataFra
             .select(F.col("w.start").alias("hour"), *([key] if key else []), "count"))
 
 
-def dedup_requests(stream: DataFrame, hash_col: str, ts: str, ttl: str = "300 seconds") -> DataFrame:
-    """ST-06: repeated requests inside the TTL are suppressed (bounded state)."""
-    return stream.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([hash_col])
+# ---- keyed state in event-time order: admission (ST-03 / ST-05) and dedup (ST-06) ----
+FOLD_SCHEMA = ("kind int, key1 string, key2 string, request_id long, ts timestamp, allowed boolean, remaining int, "
+               "reset_at timestamp")
+STATE, DECISION = 0, 1      # kinds of rows: a remembered request, a decided one
 
 
-# ---- keyed state: sliding-log admission (ST-03 / ST-05) --------------------
-ADMISSION_SCHEMA = ("client_id long, rate_class string, request_id long, ts timestamp, allowed boolean, "
-                    "remaining int, reset_at timestamp")
-ADMISSION_STATE = "log array<timestamp>"
+class SlidingLog:
+    """At most ``limit`` recorded requests in the last ``window`` seconds; denied requests are not recorded.
 
+    A request that comes later than newer ones were decided is judged at the newest time seen."""
 
-def _admission(limit: int, window_s: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        lim = TIER_QUOTAS.get(key[1], limit)          # ST-05: tier classes carry their own quota
-        win = pd.Timedelta(seconds=TIER_WINDOW_S if key[1] in TIER_QUOTAS else window_s)
-        if state.hasTimedOut:                          # idle longer than the window: drop the log
-            state.remove()
-            return
-        log = list(state.get[0]) if state.exists else []
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["ts", "request_id"], kind="mergesort")
+    def __init__(self, limit: int, window_s: int):
+        self.limit, self.window, self.log, self.now = limit, pd.Timedelta(seconds=window_s), deque(), None
+
+    def remember(self, ts) -> None:
+        self.log.append(ts)
+        self.now = ts
+
+    def decide(self, ts):
+        self.now = ts if self.now is None or ts > self.now else self.now
+        while self.log and self.log[0] < self.now - self.window:     # keep t >= now - W
+            self.log.popleft()
+        ok = len(self.log) < self.limit
+        if ok:
+            self.log.append(self.now)
+        # the oldest kept request + W
+        return ok, max(self.limit - len(self.log), 0), (self.log[0] if self.log else self.now) + self.window
+
+
+class LastAccepted(SlidingLog):
+    """A repeat younger than the TTL of the last accepted request is suppressed."""
+
+    def __init__(self, ttl_s: int):
+        super().__init__(1, ttl_s)
+
+    def decide(self, ts):
+        self.now = ts if self.now is None or ts > self.now else self.now
+        ok = not self.log or self.now - self.log[-1] >= self.window    # a repeat counts while its age < TTL
+        if ok:
+            self.log.clear()
+            self.log.append(self.now)
+        return ok, 0, self.log[-1] + self.window
+
+
+def _folder(make):
+    """mapInPandas body over rows in order of (key1, key2, kind, ts, request_id); one key's memory is its log."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, fold = None, None
+        columns = [c.split()[0] for c in FOLD_SCHEMA.split(", ")]
+
+        def remembered():
+            return [(STATE, *key, None, t, None, None, None) for t in fold.log] if key is not None else []
+        for pdf in batches:
             out = []
-            for rid, ts in zip(pdf["request_id"], pdf["ts"]):
-                cut = ts - win
-                log = [t for t in log if t >= cut]           # keep t >= now - W
-                ok = len(log) < lim
-                if ok:
-                    log.append(ts)                            # denied requests are not recorded
-                reset = (min(log) + win) if log else ts + win   # oldest kept request + W
-                out.append((key[0], key[1], int(rid), ts, ok, max(lim - len(log), 0), reset))
-            yield pd.DataFrame(out, columns=["client_id", "rate_class", "request_id", "ts", "allowed", "remaining",
-                                             "reset_at"])
-        state.update((log,))
-        if log:
-            expiry = int(pd.Timestamp(max(log)).timestamp() * 1000) + int(win.total_seconds() * 1000)
-            state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-    return fn
+            for kind, k1, k2, rid, ts in zip(pdf["kind"], pdf["key1"], pdf["key2"], pdf["request_id"], pdf["ts"]):
+                if (k1, k2) != key:
+                    out += remembered()
+                    key, fold = (k1, k2), make(k2)
+                if kind == STATE:
+                    fold.remember(ts)
+                else:
+                    out.append((DECISION, k1, k2, rid, ts, *fold.decide(ts)))
+            yield pd.DataFrame(out, columns=columns).astype({"request_id": "Int64", "allowed": "boolean", "remaining": "Int32"})
+        if key is not None:
+            yield pd.DataFrame(remembered(), columns=columns).astype(
+                {"request_id": "Int64", "allowed": "boolean", "remaining": "Int32"})
+    return run
+
+
+def decide(requests: DataFrame, state: DataFrame | None, make) -> DataFrame:
+    """Decisions and new state for a batch of requests (key1, key2, request_id, ts).
+
+    Rows are dealt by key and sorted by event time by Spark, so the order does not depend on Arrow
+    batches, files or partitions, and a busy client streams through one task without being gathered."""
+    rows = requests.select(F.lit(DECISION).alias("kind"), F.col("key1").cast("string").alias("key1"),
+                           F.col("key2").cast("string").alias("key2"), "request_id", "ts")
+    if state is not None:
+        rows = rows.union(state.select("kind", "key1", "key2", F.lit(None).cast("long"), "ts"))
+    return (rows.repartition("key1", "key2").sortWithinPartitions("key1", "key2", "kind", "ts", "request_id")
+            .mapInPandas(_folder(make), FOLD_SCHEMA))
+
+
+def fold_stream(requests: DataFrame, make, longest_s: int, name: str) -> DataFrame:
+    """Runs ``decide`` over everything available of a stream; the decisions as a batch frame.
+
+    Each epoch reads the state table of the one before and writes its own rows, so a restarted epoch
+    gives the same result.  Remembered requests older than ``longest_s`` are left behind."""
+    spark = requests.sparkSession
+    base = work_dir(spark, name)
+    out, ckpt = f"{base}/out", f"{base}/checkpoint"
+    schema = T._parse_datatype_string(FOLD_SCHEMA)
+
+    def body(batch: DataFrame, epoch: int) -> None:
+        state = spark.read.schema(schema).parquet(f"{out}/epoch={epoch - 1}").where(F.col("kind") == STATE) if epoch else None
+        decide(batch, state, make).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        if epoch:
+            last = spark.read.schema(schema).parquet(f"{out}/epoch={epoch}")
+            seen = last.agg(F.max("ts")).first()[0]
+            idle = state.join(last.select("key1", "key2").distinct(), ["key1", "key2"], "left_anti")
+            if seen is not None:
+                idle = idle.where(F.col("ts") >= F.lit(seen) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(longest_s)))
+            idle.select("kind", "key1", "key2", "request_id", "ts", "allowed", "remaining", "reset_at").write.mode(
+                "append").parquet(f"{out}/epoch={epoch}")
+
+    q = requests.writeStream.option("checkpointLocation", ckpt).foreachBatch(body).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{out}/epoch=*").where(F.col("kind") == DECISION).drop("kind")
+
+
+def limits_of(rate_class: str | None, limit: int | None = None, window_s: int | None = None) -> tuple[int, int]:
+    """(requests, seconds): tier classes carry an hourly quota, path classes their own window."""
+    if rate_class in TIER_QUOTAS:
+        return TIER_QUOTAS[rate_class], TIER_WINDOW_S
+    n, w = RATE_LIMITS.get(rate_class, RATE_LIMITS["default"])
+    return limit or n, window_s or w
 
 
 def sliding_admission(requests: DataFrame, rate_class: str = "default", limit: int | None = None,
-                      window_s: int | None = None, class_col: str | None = None) -> DataFrame:
-    """ST-03 / ST-05 on a stream: state keyed by (client, rate class), D-17.
+                      window_s: int | None = None, class_col: str | None = None, name: str = "admission") -> DataFrame:
+    """ST-03 / ST-05: client_id, rate_class, request_id, ts, allowed, remaining, reset_at of every request.
 
-    ``class_col`` names a column holding the class per request (e.g. a tier
-    from a broadcast tier table); tiers use their hourly quota.
-    """
-    lim, win = RATE_LIMITS.get(rate_class, (100, 60))
-    lim, win = limit or lim, window_s or win
+    State is kept by (client, rate class), D-17.  ``class_col`` names a column holding the class of
+    each request (e.g. a tier from a broadcast tier table).  ``requests`` may be a stream or a table."""
     cls = F.col(class_col) if class_col else F.lit(rate_class)
-    r = requests.withColumn("rate_class", cls).select("client_id", "rate_class", "request_id", "ts")
-    if requests.isStreaming:
-        r = r.withWatermark("ts", WATERMARK)
-    return r.groupBy("client_id", "rate_class").applyInPandasWithState(
-        _admission(lim, win), ADMISSION_SCHEMA, ADMISSION_STATE, "append",
-        GroupStateTimeout.EventTimeTimeout if requests.isStreaming else GroupStateTimeout.NoTimeout)
+    rows = requests.select(F.col("client_id").alias("key1"), cls.alias("key2"), "request_id", "ts")
+
+    def make(key):
+        return SlidingLog(*limits_of(key, limit, window_s))
+
+    longest = max([TIER_WINDOW_S, window_s or 0, *(w for _, w in RATE_LIMITS.values())])
+    out = (fold_stream(rows, make, longest, name) if requests.isStreaming
+           else decide(rows, None, make).where(F.col("kind") == DECISION))
+    return out.select(F.col("key1").cast(requests.schema["client_id"].dataType).alias("client_id"),
+                      F.col("key2").alias("rate_class"), "request_id", "ts", "allowed", "remaining", "reset_at")
+
+
+def dedup_requests(requests: DataFrame, hash_col: str, ts: str, ttl_s: int = 300, id_col: str = "request_id",
+                   name: str = "dedup") -> DataFrame:
+    """ST-06: request_hash, request_id, ts of the requests that are not a repeat of an accepted one younger than the TTL."""
+    rows = requests.select(F.col(hash_col).alias("key1"), F.lit("").alias("key2"), F.col(id_col).alias("request_id"),
+                           F.col(ts).alias("ts"))
+
+    def make(_):
+        return LastAccepted(ttl_s)
+
+    out = (fold_stream(rows, make, ttl_s, name) if requests.isStreaming
+           else decide(rows, None, make).where(F.col("kind") == DECISION))
+    return out.where("allowed").select(F.col("key1").alias("request_hash"), "request_id", "ts")
 
 
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -154,11 +245,14 @@ def use_rocksdb_state(spark: SparkSession) -> None:
 
 
 def run_available_now(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drain everything available into a parquet table and return it as a batch frame."""
+    """Drain everything available into a parquet table and return it as a batch frame.
+
+    ``complete`` is for aggregates: the last windows are emitted too, and rows of files that are
+    not in order of time are never late.  Its state is one row a group."""
     spark = df.sparkSession
     use_rocksdb_state(spark)
     base = work_dir(spark, name)
-    out, ckpt = os.path.join(base, "out"), os.path.join(base, "checkpoint")
+    out, ckpt = f"{base}/out", f"{base}/checkpoint"
     if mode == "complete":
         def sink(batch: DataFrame, epoch: int) -> None:
             batch.write.mode("overwrite").parquet(out)
@@ -168,7 +262,7 @@ def run_available_now(df: DataFrame, name: str, mode: str = "append") -> DataFra
         q = df.writeStream.outputMode(mode).format("parquet").option("path", out) \
             .option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.schema(df.schema).parquet(out)
 
 
 # ---- ST-07: drift per micro-batch against a fixed reference histogram -------
@@ -182,36 +276,21 @@ def reference_histogram(reference: DataFrame, value: str, bins: int = 10) -> Dat
     return c
 
 
-def psi_per_batch(ref_hist: DataFrame, value: str, bins: int = 10):
-    """foreachBatch body factory: PSI of each micro-batch against ``ref_hist``.
+def daily_drift(stream: DataFrame, ref_hist: DataFrame, value: str, ts: str, bins: int = 10,
+                name: str = "drift") -> DataFrame:
+    """ST-07: day, batch_rows, psi - the PSI of each day of the stream against ``ref_hist`` (at most ``bins`` + 1 rows).
 
-    ``ref_hist`` is tiny (bins rows) and broadcast; each batch is binned and
-    counted in parallel; one result row per epoch is appended to ``out``.
-    """
+    Days of event time, so the result does not depend on how rows arrive in files."""
     from lendscope.functions.bands import edge_bin
-
-    def body(batch: DataFrame, epoch: int, out: str) -> None:
-        rng = ref_hist.select("lo", "hi").limit(1)
-        cur = batch.crossJoin(F.broadcast(rng)).select(
-            edge_bin(F.col(value), F.col("lo"), F.col("hi"), bins).alias("bin")).where("bin IS NOT NULL") \
-            .groupBy("bin").agg(F.count(F.lit(1)).alias("cur"))
-        j = ref_hist.select("bin", "ref").join(cur, "bin", "full_outer").fillna(0)
-        t = j.agg(F.sum("ref").alias("_tr"), F.sum("cur").alias("_tc"))
-        r = F.greatest(F.col("ref") / F.col("_tr"), F.lit(1e-10))
-        c = F.greatest(F.try_divide(F.col("cur").cast("double"), F.col("_tc").cast("double")), F.lit(1e-10))
-        res = j.crossJoin(t).agg(F.when(F.first("_tc") > 0, F.sum((c - r) * F.log(c / r))).alias("psi"),
-                                 F.first("_tc").alias("batch_rows"))
-        res.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out)
-    return body
-
-
-def continuous_drift(stream: DataFrame, ref_hist: DataFrame, value: str, name: str = "drift") -> DataFrame:
-    """ST-07: run the per-batch PSI over everything available; returns the result rows."""
-    spark = stream.sparkSession
-    base = work_dir(spark, name)
-    out, ckpt = os.path.join(base, "out"), os.path.join(base, "checkpoint")
-    body = psi_per_batch(ref_hist, value)
-    q = (stream.writeStream.option("checkpointLocation", ckpt)
-         .foreachBatch(lambda b, e: body(b, e, out)).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+    rng = ref_hist.select("lo", "hi").distinct()
+    binned = stream.crossJoin(F.broadcast(rng)).select(
+        F.window(ts, "1 day").alias("w"), edge_bin(F.col(value), F.col("lo"), F.col("hi"), bins).alias("bin"))
+    counts = run_available_now(binned.where("bin IS NOT NULL").groupBy("w", "bin").agg(F.count(F.lit(1)).alias("cur")),
+                               name, mode="complete").select(F.col("w.start").alias("day"), "bin", "cur")
+    total = ref_hist.where("bin IS NOT NULL")
+    ref = total.crossJoin(F.broadcast(total.agg(F.sum("ref").alias("tr")))).select("bin", "ref", "tr")
+    days = counts.groupBy("day").agg(F.sum("cur").alias("tc"))
+    j = days.crossJoin(F.broadcast(ref)).join(counts, ["day", "bin"], "left").fillna(0, ["cur"])
+    r = F.greatest(F.col("ref") / F.col("tr"), F.lit(1e-10))
+    c = F.greatest(F.col("cur") / F.col("tc"), F.lit(1e-10))
+    return j.groupBy("day").agg(F.max("tc").alias("batch_rows"), F.sum((c - r) * F.log(c / r)).alias("psi"))

@@ -13,7 +13,7 @@ SF_SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from lendscope.session import checkpoint_dir, get_spark
-    s = get_spark(master="local[*]", shuffle_partitions=8)
+    s = get_spark(master=os.environ.get("TEST_MASTER", "local[*]"), shuffle_partitions=8)
     checkpoint_dir(s)
     yield s
 

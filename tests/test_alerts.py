@@ -50,7 +50,7 @@ def test_admission_matches_brute_force(spark, tmp_path):
     src = tmp_path / "src"
     spark.createDataFrame(pdf, "client_id long, request_id long, ts timestamp").coalesce(1).write.parquet(str(src))
     stream = spark.readStream.schema("client_id long, request_id long, ts timestamp").parquet(str(src))
-    out = sj.run_available_now(sj.sliding_admission(stream, "default", limit=3, window_s=60), "adm-test")
+    out = sj.sliding_admission(stream, "default", limit=3, window_s=60, name="adm-test")
     got = [r["allowed"] for r in out.orderBy("request_id").collect()]
     log, expect = [], []
     for o in offs:
