@@ -88,19 +88,31 @@ def title_case_metric(x) -> Column:                                         # FN
     return F.initcap(F.regexp_replace(_c(x), "_", " "))
 
 
+# --- fixed values (must equal the reference for equal results) -------------
+SCORE_METRICS = ("accuracy", "precision", "recall", "f1_score", "auc_score")
+TIME_METRICS = ("response_time", "prediction_time")
+RATE_METRICS = ("error_rate", "drift_rate")
+USAGE_METRICS = ("cpu_usage", "memory_usage", "disk_usage")
+COUNT_METRICS = ("request_count", "prediction_count")
+
+
 def format_metric(name, value) -> Column:                                    # FN-19
-    n, v = _c(name), _c(value)
-    return (F.when(n.contains("rate") | n.contains("accuracy"), F.concat(F.format_string("%.1f", v * 100.0), F.lit("%")))
-            .when(n.contains("time") & (v < 1.0), F.concat(F.format_string("%.0f", v * 1000.0), F.lit("ms")))
-            .when(n.contains("time"), F.concat(F.format_string("%.2f", v), F.lit("s")))
-            .when(n.contains("count") | n.contains("total"), F.format_number(v, 0))
-            .otherwise(F.format_string("%.2f", v)))
+    n, v = _c(name), _c(value).cast("double")
+    return (F.when(n.isin(*SCORE_METRICS), F.concat(F.format_string("%.4f", v), F.lit(" ("),
+                                                    F.format_string("%.1f", v * 100.0), F.lit("%)")))
+            .when(n.isin(*TIME_METRICS) & (v < 1.0), F.concat(F.format_string("%.1f", v * 1000.0), F.lit("ms")))
+            .when(n.isin(*TIME_METRICS), F.concat(F.format_string("%.2f", v), F.lit("s")))
+            .when(n.isin(*RATE_METRICS), F.concat(F.format_string("%.2f", v * 100.0), F.lit("%")))
+            .when(n.isin(*USAGE_METRICS), F.concat(F.format_string("%.1f", v), F.lit("%")))
+            .when(n.isin(*COUNT_METRICS), F.format_number(v.cast("long"), 0))
+            .otherwise(F.format_string("%.4f", v)))
 
 
 def format_uptime(seconds) -> Column:                                        # FN-21
     t = _c(seconds).cast("long")
-    return F.concat(F.floor(t / 86400).cast("string"), F.lit("d "), F.floor((t % 86400) / 3600).cast("string"),
-                    F.lit("h "), F.floor((t % 3600) / 60).cast("string"), F.lit("m"))
+    d, h, m = (F.floor(x).cast("string") for x in (t / 86400, (t % 86400) / 3600, (t % 3600) / 60))
+    return (F.when(t >= 86400, F.concat(d, F.lit("d "), h, F.lit("h "), m, F.lit("m")))
+            .when(t >= 3600, F.concat(h, F.lit("h "), m, F.lit("m"))).otherwise(F.concat(m, F.lit("m"))))
 
 
 def version_stamp(ts) -> Column:                                             # FN-28

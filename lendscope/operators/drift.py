@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendscope.functions.bands import edge_bin
-from lendscope.operators.prefix import MAX_BROADCAST_GROUPS, broadcast_if, prefix_sums, value_counts
+from lendscope.operators.prefix import prefix_sums
 from lendscope.operators.tails import chi2_pvalue, ks_pvalue
 from lendscope.session import materialize
 
@@ -26,13 +26,12 @@ PSI_BINS = 10
 PSI_FLOOR = 1e-10
 PERFORMANCE_TOLERANCE = 0.05
 RECOMMENDATIONS = {
-    "insufficient_data": ["Collect more data for reliable drift detection"],
-    "stable": ["Continue monitoring"],
-    "minor": [],
-    "moderate": ["Investigate feature distributions", "Consider model retraining"],
-    "significant": ["Immediate model retraining recommended", "Review data pipeline for changes"],
+    "stable": ["Model performance is stable", "Continue regular monitoring"],
+    "moderate_drift": ["Monitor closely and prepare for retraining", "Analyze prediction accuracy trends"],
+    "significant_drift": ["Consider retraining model with recent data", "Review feature importance and distributions"],
 }
 
+
 def _is_ref() -> Column:
     return F.col("sample") == F.lit("reference")
 
@@ -41,16 +40,25 @@ def _is_cur() -> Column:
     return F.col("sample") == F.lit("current")
 
 
-def sample_profile(long: DataFrame, float_features: Sequence[str] = ()) -> DataFrame:
-    """DR-01/02: sizes, distinct reference values and the test each feature gets.
+def value_table(long: DataFrame) -> DataFrame:
+    """feature, value, category, ref, cur: how often each sample holds each distinct value.
 
-    Distinct values are counted on the typed (value, category) pair, so no
-    number is formatted as text on the way.
-    """
+    Partial aggregation folds repeated values before the shuffle; every test below is computed from
+    this table, so the exploded samples are scanned once and never written."""
     present = F.col("category").isNotNull() | F.col("value").isNotNull()
-    prof = long.where(present).groupBy("feature").agg(
-        F.sum(_is_ref().cast("long")).alias("n_ref"), F.sum(_is_cur().cast("long")).alias("n_cur"),
-        F.count_distinct(F.when(_is_ref(), F.struct("value", "category"))).alias("distinct_ref"),
+    return long.where(present).groupBy("feature", "value", "category").agg(
+        F.sum(_is_ref().cast("long")).alias("ref"), F.sum(_is_cur().cast("long")).alias("cur"))
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    return df if "ref" in df.columns else value_table(df)
+
+
+def sample_profile(values: DataFrame, float_features: Sequence[str] = ()) -> DataFrame:
+    """DR-01/02: sizes, distinct reference values and the test each feature gets (samples or a value table)."""
+    prof = _counted(values).groupBy("feature").agg(
+        F.sum("ref").alias("n_ref"), F.sum("cur").alias("n_cur"),
+        F.sum((F.col("ref") > 0).cast("long")).alias("distinct_ref"),
         F.max(F.col("category").isNotNull()).alias("_is_cat"))
     continuous = (~F.col("_is_cat")) & ((F.col("distinct_ref") > CONTINUOUS_DISTINCT)
                                         | F.col("feature").isin(list(float_features) or [""]))
@@ -59,32 +67,38 @@ def sample_profile(long: DataFrame, float_features: Sequence[str] = ()) -> DataF
     return prof.select("feature", "n_ref", "n_cur", "distinct_ref", continuous.alias("continuous"), test.alias("test"))
 
 
-def ks_statistics(long: DataFrame, small_groups: bool = False) -> DataFrame:
+def ks_statistics(values: DataFrame) -> DataFrame:
     """DR-03: D = max |F_ref - F_cur| per feature, plus means and population stds."""
-    x = long.where(F.col("value").isNotNull())
-    vc = value_counts(x, "value", ["feature"], {"ref": _is_ref().cast("long"), "cur": _is_cur().cast("long")})
-    ps = prefix_sums(vc, "value", ["feature"], ("ref", "cur"), small_groups=small_groups)
+    vc = _counted(values).where(F.col("value").isNotNull()).groupBy("feature", "value").agg(
+        F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
+    ps = prefix_sums(vc, "value", ["feature"], ("ref", "cur"))
     f1 = (F.col("below_ref") + F.col("ref")) / F.col("total_ref")
     f2 = (F.col("below_cur") + F.col("cur")) / F.col("total_cur")
-    d = ps.groupBy("feature").agg(F.max(F.abs(f1 - f2)).alias("ks_statistic"))
-    mom = x.groupBy("feature").agg(
-        F.avg(F.when(_is_ref(), F.col("value"))).alias("reference_mean"),
-        F.avg(F.when(_is_cur(), F.col("value"))).alias("current_mean"),
-        F.stddev_pop(F.when(_is_ref(), F.col("value"))).alias("reference_std"),
-        F.stddev_pop(F.when(_is_cur(), F.col("value"))).alias("current_std"))
-    return d.join(mom, "feature")
+
+    def mean(c):
+        return F.try_divide(F.sum(F.col("value") * F.col(c)), F.sum(c))
+
+    out = ps.groupBy("feature").agg(F.max(F.abs(f1 - f2)).alias("ks_statistic"),
+                                    mean("ref").alias("reference_mean"), mean("cur").alias("current_mean"))
+    # deviations around the means, in a second pass over the counts
+    dev = vc.join(out.select("feature", "reference_mean", "current_mean"), "feature").groupBy("feature").agg(
+        F.sqrt(F.try_divide(F.sum(F.pow(F.col("value") - F.col("reference_mean"), 2) * F.col("ref")), F.sum("ref")))
+        .alias("reference_std"),
+        F.sqrt(F.try_divide(F.sum(F.pow(F.col("value") - F.col("current_mean"), 2) * F.col("cur")), F.sum("cur")))
+        .alias("current_std"))
+    return out.join(dev, "feature")
 
 
-def category_counts(long: DataFrame) -> DataFrame:
+def category_counts(values: DataFrame) -> DataFrame:
     """JN-03 / SET-01: aligned frequency table over the union of categories."""
     key = F.coalesce(F.col("category"), F.col("value").cast("string"))
-    return long.where(key.isNotNull()).groupBy("feature", key.alias("cat")).agg(
-        F.sum(_is_ref().cast("long")).alias("ref"), F.sum(_is_cur().cast("long")).alias("cur"))
+    return _counted(values).where(key.isNotNull()).groupBy("feature", key.alias("cat")).agg(
+        F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
 
 
-def chi_square(long: DataFrame) -> DataFrame:
+def chi_square(values: DataFrame) -> DataFrame:
     """DR-04: chi-square statistic of current counts against reference shares."""
-    cc = category_counts(long)
+    cc = category_counts(values)
     tot = cc.groupBy("feature").agg(F.sum("ref").alias("_tr"), F.sum("cur").alias("_tc"),
                                     F.count(F.lit(1)).alias("_k"))
     j = cc.join(tot, "feature")
@@ -104,19 +118,19 @@ def _psi_from_counts(counts: DataFrame, key: str) -> DataFrame:
         F.when(F.min("_tc") > 0, F.sum(term)).alias("psi"))  # all current outside range -> NULL
 
 
-def psi_continuous(long: DataFrame, bins: int = PSI_BINS, small_groups: bool = False) -> DataFrame:
+def psi_continuous(values: DataFrame, bins: int = PSI_BINS) -> DataFrame:
     """DR-05: equal-width bins of the reference range; current outside is ignored."""
-    x = long.where(F.col("value").isNotNull())
-    fit = x.where(_is_ref()).groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    b = x.join(broadcast_if(fit, small_groups), "feature").withColumn("bin", edge_bin(F.col("value"), F.col("lo"), F.col("hi"), bins))
+    x = _counted(values).where(F.col("value").isNotNull())
+    fit = x.where("ref > 0").groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    b = x.join(fit, "feature").withColumn("bin", edge_bin(F.col("value"), F.col("lo"), F.col("hi"), bins))
     counts = b.where(F.col("bin").isNotNull()).groupBy("feature", "bin").agg(
-        F.sum(_is_ref().cast("long")).alias("ref"), F.sum(_is_cur().cast("long")).alias("cur"))
+        F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
     return _psi_from_counts(counts, "bin")
 
 
-def psi_categorical(long: DataFrame) -> DataFrame:
+def psi_categorical(values: DataFrame) -> DataFrame:
     """DR-06: PSI over the union of categories."""
-    return _psi_from_counts(category_counts(long), "cat")
+    return _psi_from_counts(category_counts(values), "cat")
 
 
 def psi_severity(psi: Column) -> Column:                                  # DR-07
@@ -126,7 +140,7 @@ def psi_severity(psi: Column) -> Column:                                  # DR-0
 
 def drift_status(score: Column) -> Column:                                # DR-13
     return (F.when(score.isNull(), "insufficient_data").when(score < 0.1, "stable")
-            .when(score < 0.3, "minor").when(score < 0.5, "moderate").otherwise("significant"))
+            .when(score < 0.3, "minor_drift").when(score < 0.5, "moderate_drift").otherwise("significant_drift"))
 
 
 def recommendations(status: Column) -> Column:                            # DR-14
@@ -139,24 +153,12 @@ def recommendations(status: Column) -> Column:                            # DR-1
 
 def feature_drift(long: DataFrame, float_features: Sequence[str] = (), with_p_values: bool = True) -> DataFrame:
     """DR-01..07/09: one row per feature with the routed test, its statistic, PSI."""
-    long = materialize(long, ["feature", "sample", "value", "category"])
-    prof = sample_profile(long, float_features)
-    # one row per feature: count it; under the limit the profile is read once on
-    # the driver and the routing becomes a filter, above it a key join
-    rows = prof.limit(MAX_BROADCAST_GROUPS + 1).collect()
-    small = len(rows) <= MAX_BROADCAST_GROUPS
-    if small:
-        prof = long.sparkSession.createDataFrame(rows, prof.schema)
-        cont = [r["feature"] for r in rows if r["continuous"]] or [""]
-        cont_long = long.where(F.col("feature").isin(cont))
-        cat_long = long.where(~F.col("feature").isin(cont))
-    else:
-        cont_feats = prof.where("continuous").select("feature")
-        cont_long = long.join(cont_feats, "feature", "left_semi")
-        cat_long = long.join(cont_feats, "feature", "left_anti")
-    ks = ks_statistics(cont_long, small)
-    chi = chi_square(cat_long)
-    psi = psi_continuous(cont_long, small_groups=small).unionByName(psi_categorical(cat_long))
+    values = materialize(value_table(long))
+    prof = materialize(sample_profile(values, float_features))      # one row a feature
+    numeric = prof.where("continuous").select("feature")
+    cont, cat = values.join(numeric, "feature", "left_semi"), values.join(numeric, "feature", "left_anti")
+    ks, chi = ks_statistics(cont), chi_square(cat)
+    psi = psi_continuous(cont).unionByName(psi_categorical(cat))
     out = prof.join(ks, "feature", "left").join(chi, "feature", "left").join(psi, "feature", "left")
     stat = (F.when(F.col("test") == "ks_test", F.col("ks_statistic"))
             .when(F.col("test") == "chi_square", F.col("chi2_statistic")).otherwise(F.lit(0.0)))

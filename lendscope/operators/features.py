@@ -143,8 +143,9 @@ def engineer_credit_features(df: DataFrame, income_fit: DataFrame | None = None,
         if with_rate_percentile and rate_fit is not None:
             out = asof_rank(out, "interest_rate", "interest_rate_percentile", rate_fit)   # D-08
         elif with_rate_percentile:
-            ranks = average_rank_table(narrow, "interest_rate").select(
-                "interest_rate", F.col("pct_rank").alias("interest_rate_percentile"))
+            # one row a distinct rate; stored, so that its size decides between broadcast and shuffle
+            ranks = cut_lineage(average_rank_table(narrow, "interest_rate").select(
+                "interest_rate", F.col("pct_rank").alias("interest_rate_percentile")))
             out = out.join(ranks, "interest_rate", "left")
     if "employment_length" in cols:
         el = F.col("employment_length")
@@ -212,26 +213,34 @@ def macro_stress_index(unemployment="unemployment_rate", fed="fed_funds_rate", g
 
 
 def attach_economics(apps: DataFrame, eco: DataFrame, prefix: str = "eco_") -> DataFrame:
-    """JN-01: every economic feature of a one-row table becomes an ``eco_*`` column."""
-    renamed = eco.select([F.col(c).alias(prefix + c) for c in eco.columns])
-    return apps.crossJoin(F.broadcast(renamed.limit(1)))
+    """JN-01: every economic feature becomes an ``eco_*`` column; of several snapshots the newest (``eff_from``) counts."""
+    row = F.struct(*eco.columns)
+    newest = eco.agg((F.max_by(row, "eff_from") if "eff_from" in eco.columns else F.max(row)).alias("e"))
+    renamed = newest.select(*[F.col(f"e.{c}").alias(prefix + c) for c in eco.columns])
+    return apps.crossJoin(F.broadcast(renamed))      # one row
 
 
 def attach_economics_asof(apps: DataFrame, eco: DataFrame, ts_col: str = "application_ts",
                           eff_col: str = "eff_from", prefix: str = "eco_") -> DataFrame:
     """JN-02: latest snapshot with ``eff_from <= ts`` for each application.
 
-    Snapshots form a small table (one row per publication date), so it is
-    broadcast as intervals ``[eff_from, eff_to)`` and joined with a range
-    condition; no shuffle of the application side.
+    Each snapshot gets one row for every day on which it holds, and applications meet it by day;
+    the last snapshot holds for all later days.  So the join is an equi-join whose right side is one
+    row a day of the snapshots' span (more on days of a change), never a nested loop.
     """
     from pyspark.sql import Window
-    w = Window.partitionBy(F.lit(1)).orderBy(eff_col)  # snapshot table: a few hundred rows
-    iv = eco.withColumn("_eff_to", F.lead(eff_col).over(w))
-    renamed = iv.select([F.col(c).alias(prefix + c) for c in eco.columns] + [F.col("_eff_to")])
-    cond = (F.col(ts_col) >= F.col(prefix + eff_col)) & (
+    w = Window.orderBy(eff_col)     # the snapshot table: one row a publication
+    iv = eco.withColumn("_eff_to", F.lead(eff_col).over(w)).withColumn("_last", F.max(F.to_date(eff_col)).over(w.rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)))
+    until = F.coalesce(F.to_date("_eff_to"), F.col("_last"))
+    days = iv.withColumn("_day", F.explode(F.sequence(F.to_date(eff_col), F.greatest(until, F.to_date(eff_col)))))
+    renamed = days.select([F.col(c).alias(prefix + c) for c in eco.columns] + ["_eff_to", "_day"])
+    last = eco.agg(F.max(F.to_date(eff_col)).alias("_last"))      # one row
+    day = F.least(F.to_date(ts_col), F.col("_last"))
+    cond = (F.col("_app_day") == F.col("_day")) & (F.col(ts_col) >= F.col(prefix + eff_col)) & (
         F.col("_eff_to").isNull() | (F.col(ts_col) < F.col("_eff_to")))
-    return apps.join(F.broadcast(renamed), cond, "left").drop("_eff_to")
+    return (apps.crossJoin(F.broadcast(last)).withColumn("_app_day", day).drop("_last").join(renamed, cond, "left")
+            .drop("_eff_to", "_day", "_app_day"))
 
 
 # ---- model-input preparation (PRJ-04/05, VAL-11, FE-21..24) ----------------
@@ -249,13 +258,21 @@ def align_features(df: DataFrame, feature_names: Sequence[str], keep: Sequence[s
                               for f in feature_names])
 
 
-def fit_medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """VAL-11 fit: exact median per column as a long table (feature, median)."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"),
-                                                  F.col(c).cast("double").alias("v")) for c in cols]))
-                     .alias("kv")).select("kv.feature", "kv.v")
-    q = exact_quantiles(long, "v", [0.5], ["feature"])
-    return q.select("feature", F.col("q").alias("median"))
+def fit_medians(df: DataFrame, cols: Sequence[str], every: bool = False) -> DataFrame:
+    """VAL-11 fit: (feature, median), with an exact median for each column that has missing values to fill.
+
+    One aggregate counts the missing values; columns without any get no median (NULL) unless
+    ``every`` asks for it."""
+    if every or not cols:
+        gaps = list(cols)
+    else:
+        counts = df.agg(*[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in cols]).first()
+        gaps = [c for c in cols if counts[c]]
+    out = df.sparkSession.createDataFrame([(c, None) for c in cols if c not in gaps], "feature string, median double")
+    for c in gaps:
+        q = exact_quantiles(df.select(F.col(c).cast("double").alias("v")), "v", [0.5])
+        out = out.unionByName(q.select(F.lit(c).alias("feature"), F.col("q").alias("median")))
+    return out
 
 
 def impute(df: DataFrame, medians: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values (must equal the reference for equal results) -------------
-HEALTH_A_DEDUCTIONS = [  # (column, op, threshold, points, issue)
-    ("error_rate", ">", 0.05, 20, "High API error rate"),
-    ("avg_response_time", ">", 1.0, 15, "Slow API response time"),
-    ("memory_usage", ">", 90.0, 25, "High memory usage"),
-    ("cpu_usage", ">", 80.0, 20, "High CPU usage"),
-    ("critical_alerts", ">", 0, 30, "Critical alerts active"),
+HEALTH_A_DEDUCTIONS = [  # (column, factor of the shown value, threshold, points, issue)
+    ("error_rate", 100.0, 0.05, 20, "High API error rate: %.2f%%"),
+    ("avg_response_time", 1.0, 1.0, 15, "Slow API response time: %.2fs"),
+    ("memory_usage", 1.0, 90.0, 25, "High memory usage: %.1f%%"),
+    ("cpu_usage", 1.0, 80.0, 20, "High CPU usage: %.1f%%"),
+    ("critical_alerts", 1, 0, 30, "Critical alerts active: %d"),
 ]
 HEALTH_A_DRIFT_POINTS = 25
 HEALTH_B_COMPONENTS = {
@@ -29,10 +29,11 @@ def health_a(df: DataFrame, drift_col: str | None = None) -> DataFrame:
     """MON-01: 100 minus deductions; healthy >= 90, warning >= 70, else critical."""
     score = F.lit(100)
     issues = []
-    for col, _, thr, pts, text in HEALTH_A_DEDUCTIONS:
+    for col, factor, thr, pts, text in HEALTH_A_DEDUCTIONS:
         hit = F.coalesce(F.col(col) > F.lit(thr), F.lit(False))
         score = score - F.when(hit, F.lit(pts)).otherwise(F.lit(0))
-        issues.append(F.when(hit, F.lit(text)))
+        shown = F.col(col) * F.lit(factor) if "f" in text else F.col(col).cast("long")
+        issues.append(F.when(hit, F.format_string(text, shown)))
     if drift_col:
         hit = F.coalesce(F.col(drift_col), F.lit(False))
         score = score - F.when(hit, F.lit(HEALTH_A_DRIFT_POINTS)).otherwise(F.lit(0))

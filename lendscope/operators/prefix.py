@@ -16,11 +16,9 @@ work is split in three steps:
    offset.
 
 Explicit broadcasts are used only for tables whose size is fixed (at most
-``nb`` bucket offsets, the probability list) or, with
-``small_groups=True``, after the caller has counted the groups (see
-``drift.feature_drift``); otherwise tables that grow with the number of groups
-are joined by key and AQE decides at run time, from their measured size,
-whether to broadcast them or shuffle.
+``nb`` bucket offsets, the probability list); tables that grow with the number
+of groups are joined by key and AQE decides at run time, from their measured
+size, whether to broadcast them or shuffle.
 """
 
 from __future__ import annotations
@@ -55,17 +53,15 @@ def value_counts(df: DataFrame, value: str, group_cols: Sequence[str] = (),
 
 def prefix_sums(vc: DataFrame, value: str, group_cols: Sequence[str] = (),
                 measures: Sequence[str] = ("cnt",), n_buckets: int | None = None,
-                accuracy: int = 10000, bounded_groups: bool = True, keep_bucket: bool = False,
-                small_groups: bool = False) -> DataFrame:
+                keep_bucket: bool = False) -> DataFrame:
     """Add ``below_<m>`` = sum of measure ``m`` over values strictly below.
 
     ``vc`` must hold one row per (group, value) (see ``value_counts``).
     Also adds ``total_<m>`` = group total of the measure.
 
-    Buckets are range partitions of (group, value).  ``small_groups`` (after
-    the caller counted the groups) lets the per-(group, bucket) offsets be
-    broadcast; otherwise they are joined by key and AQE decides.
-    ``bounded_groups`` and ``accuracy`` are accepted for compatibility.
+    Buckets are range partitions of (group, value).  The per-(group, bucket)
+    offsets are joined by key and AQE decides; without groups they are at most
+    ``nb`` rows and broadcast.
     """
     g = list(group_cols)
     nb = _n_buckets(vc, n_buckets)
@@ -97,7 +93,7 @@ def prefix_sums(vc: DataFrame, value: str, group_cols: Sequence[str] = (),
           .alias(f"_off_{m}") for m in measures],
         *[F.sum(f"_bt_{m}").over(Window.partitionBy(*gpart)).alias(f"total_{m}") for m in measures],
     )
-    off_side = F.broadcast(off) if (not g or small_groups) else off   # no groups: at most nb rows
+    off_side = F.broadcast(off) if not g else off   # no groups: at most nb rows
     out = w.drop(*[f"_bt_{m}" for m in measures]).join(off_side, [*g, "_bucket"])
     for m in measures:
         out = out.withColumn(f"below_{m}", F.col(f"_off_{m}") + F.col(f"_in_{m}"))
@@ -128,8 +124,7 @@ def with_percentile_rank(df: DataFrame, value: str, out_col: str,
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                    group_cols: Sequence[str] = (), n_buckets: int | None = None,
-                    bounded_groups: bool = True) -> DataFrame:
+                    group_cols: Sequence[str] = (), n_buckets: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles (= ``percentile`` / ``quantile_cont``).
 
     Returns one row per (group, p) with column ``q``.  The two order positions
@@ -140,7 +135,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     g = list(group_cols)
     from lendscope.session import materialize   # multi-pass: read the narrow input once
     vc = value_counts(materialize(df, [*g, value]), value, g)
-    ps = prefix_sums(vc, value, g, ("cnt",), n_buckets, bounded_groups=bounded_groups, keep_bucket=True)
+    ps = prefix_sums(vc, value, g, ("cnt",), n_buckets, keep_bucket=True)
     spark = df.sparkSession
     probs_df = spark.createDataFrame([(float(p),) for p in probs], "p double")
     ranges = ps.groupBy(*g, "_bucket").agg(F.min("below_cnt").alias("_lo"),
@@ -183,14 +178,6 @@ def quantile_row(df: DataFrame, value: str, probs: Sequence[float],
         F.transform(F.array_sort(F.collect_list(F.struct("p", "q"))), lambda s: s["q"]).alias(name))
 
 
-MAX_BROADCAST_GROUPS = 10000
-
-
-def broadcast_if(df: DataFrame, small: bool) -> DataFrame:
-    """Broadcast hint only after a size check said ``small``."""
-    return F.broadcast(df) if small else df
-
-
 def asof_rank(df: DataFrame, value: str, out_col: str, fit: DataFrame, n_buckets: int | None = None) -> DataFrame:
     """Place ``value`` in a *stored* distribution (D-08: scoring uses the training fit).
 

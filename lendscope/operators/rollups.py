@@ -32,14 +32,13 @@ def within(ts: str, as_of, seconds: int, strict: bool = True) -> Column:
 
 
 def quantile_columns(df: DataFrame, value: str, probs: Sequence[float], group_cols: Sequence[str],
-                     names: Sequence[str], accuracy: int | None = None,
-                     bounded_groups: bool = True) -> DataFrame:
+                     names: Sequence[str], accuracy: int | None = None) -> DataFrame:
     """Wide (group, name_1, name_2, ...) table of linear-interpolated quantiles."""
     g = list(group_cols)
     if accuracy:
         agg = df.groupBy(*g).agg(F.percentile_approx(value, list(probs), accuracy).alias("_q"))
         return agg.select(*g, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    q = exact_quantiles(df, value, probs, g, bounded_groups=bounded_groups)
+    q = exact_quantiles(df, value, probs, g)
     return q.groupBy(*g).agg(*[F.max(F.when(F.col("p") == F.lit(float(p)), F.col("q"))).alias(n)
                               for p, n in zip(probs, names)])
 
@@ -102,7 +101,7 @@ def api_timeseries(api: DataFrame, bin_seconds: int = 300, fill_gaps: bool = Tru
                                F.avg("response_time").alias("avg_response_time"),
                                F.avg((F.col("status_code") >= 400).cast("double")).alias("error_rate"))
     # one group per time bin: the group count grows with the time span
-    p95 = quantile_columns(b, "response_time", [0.95], ["bin"], ["p95_response_time"], bounded_groups=False)
+    p95 = quantile_columns(b, "response_time", [0.95], ["bin"], ["p95_response_time"])
     out = agg.join(p95, "bin", "left")
     if fill_gaps:
         out = gap_fill(out, "bin", bin_seconds, {"requests": 0})
@@ -213,14 +212,11 @@ def pivot_matrix(df: DataFrame, index: str, columns: str, values: str, column_va
     return df.groupBy(index).pivot(columns, list(column_values) if column_values else None).agg(F.first(values))
 
 
-def facets(df: DataFrame, text_col: str, num_col: str, max_values: int = 1000) -> DataFrame:
-    """AGG-25: distinct values of a text column (bounded), numeric range, row count."""
-    distinct = df.select(text_col).where(F.col(text_col).isNotNull()).distinct()
-    top = distinct.orderBy(text_col).limit(max_values)   # feature: a bounded option list
-    vals = top.agg(F.array_sort(F.collect_list(text_col)).alias("values"))
-    rng = df.agg(F.min(num_col).alias("min"), F.max(num_col).alias("max"), F.count(F.lit(1)).alias("rows"),
-                 F.count_distinct(text_col).alias("distinct_values"))
-    return rng.crossJoin(vals)
+def facets(df: DataFrame, text_col: str, num_col: str) -> DataFrame:
+    """AGG-25: one row for each distinct text value with its row count, and the numeric range over all rows."""
+    values = df.where(F.col(text_col).isNotNull()).groupBy(F.col(text_col).alias("value")).agg(F.count(F.lit(1)).alias("rows"))
+    rng = df.agg(F.min(num_col).alias("min"), F.max(num_col).alias("max"), F.count(F.lit(1)).alias("total_rows"))
+    return values.crossJoin(F.broadcast(rng))      # one row
 
 
 def prediction_lookup(log: DataFrame, request_id) -> DataFrame:

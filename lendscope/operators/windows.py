@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_SALT = 32
+DEFAULT_SALT = 64
 
 
 def top_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
@@ -20,16 +20,12 @@ def top_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     """WIN-04/05, SRT-03/05/06: first ``n`` rows per key under ``order`` (+ unique tie-break).
 
     Stage 1 splits every key into ``salt`` sub-groups by a hash of the tie-break
-    columns (default: the number of shuffle partitions), so a key holding a
-    third of all rows is spread over the whole cluster.
-    Stage 2 ranks at most ``salt * n`` rows per key.  With no keys, stage 2 is a
-    single window over ``salt * n`` rows.
+    columns, so a key holding a third of all rows is spread over ``salt`` tasks;
+    the row_number filter also lets Spark cut each group before the shuffle.
+    Stage 2 ranks at most ``salt * n`` rows per key, whatever the cluster's size.
+    With no keys, stage 2 is a single window over ``salt * n`` rows.
     """
-    if salt is None:   # follow the cluster: a hot key is spread over as many tasks as there are partitions
-        try:
-            salt = max(DEFAULT_SALT, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        except Exception:
-            salt = DEFAULT_SALT
+    salt = salt or DEFAULT_SALT
     ordering = list(order) + [F.col(c) for c in tie_cols]
     # deterministic salt (a retried task must put every row in the same sub-group)
     hash_src = [F.col(c) for c in tie_cols] or [F.col(c) for c in df.columns]

@@ -21,8 +21,9 @@ def _r(c, n=8):
     return F.round(F.col(c), n).alias(c)
 
 
-def matched(spark, sf_dir):
-    h = ad.hourly_metrics(spark, sf_dir)
+def matched(spark, sf_dir, hourly=None):
+    """Rules matched with the hourly ticks; ``hourly``: a frame the caller has already."""
+    h = hourly if hourly is not None else ad.hourly_metrics(spark, sf_dir)
     return al.match_rules(al.long_metrics(h, "ts", METRIC_COLS), al.rules_table(spark))
 
 
@@ -82,7 +83,7 @@ LEFT JOIN (SELECT ts, count(*) AS critical_alerts FROM rule_matches WHERE violat
 
 def hourly_health_inputs(spark, sf_dir):
     h = ad.hourly_metrics(spark, sf_dir)
-    crit = matched(spark, sf_dir).where(F.col("violated") & (F.col("severity") == "critical")) \
+    crit = matched(spark, sf_dir, h).where(F.col("violated") & (F.col("severity") == "critical")) \
         .groupBy("ts").agg(F.count(F.lit(1)).alias("critical_alerts"))
     return h.join(crit, "ts", "left").select(
         "ts", "error_rate", "avg_response_time", F.col("memory_percent").alias("memory_usage"),
@@ -93,15 +94,16 @@ def hourly_health_inputs(spark, sf_dir):
 SELECT ts, greatest(100 - (CASE WHEN error_rate > 0.05E0 THEN 20 ELSE 0 END)
          - (CASE WHEN avg_response_time > 1.0E0 THEN 15 ELSE 0 END) - (CASE WHEN memory_usage > 90.0E0 THEN 25 ELSE 0 END)
          - (CASE WHEN cpu_usage > 80.0E0 THEN 20 ELSE 0 END) - (CASE WHEN critical_alerts > 0 THEN 30 ELSE 0 END), 0) AS health_score,
-       CAST(len(list_filter([CASE WHEN error_rate > 0.05E0 THEN 'High API error rate' END,
-                        CASE WHEN avg_response_time > 1.0E0 THEN 'Slow API response time' END,
-                        CASE WHEN memory_usage > 90.0E0 THEN 'High memory usage' END,
-                        CASE WHEN cpu_usage > 80.0E0 THEN 'High CPU usage' END,
-                        CASE WHEN critical_alerts > 0 THEN 'Critical alerts active' END], lambda x: x IS NOT NULL)) AS INTEGER) AS issue_count
+       array_to_string(list_filter([CASE WHEN error_rate > 0.05E0 THEN printf('High API error rate: %.2f%%', error_rate * 100) END,
+                        CASE WHEN avg_response_time > 1.0E0 THEN printf('Slow API response time: %.2fs', avg_response_time) END,
+                        CASE WHEN memory_usage > 90.0E0 THEN printf('High memory usage: %.1f%%', memory_usage) END,
+                        CASE WHEN cpu_usage > 80.0E0 THEN printf('High CPU usage: %.1f%%', cpu_usage) END,
+                        CASE WHEN critical_alerts > 0 THEN printf('Critical alerts active: %d', critical_alerts) END],
+                        lambda x: x IS NOT NULL), '; ') AS issues
 FROM ({_HOURLY_HEALTH_SQL}) i""", "hourly_metrics", "rule_matches"))
 def health_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = hl.health_a(hourly_health_inputs(spark, sf_dir))
-    return h.select("ts", "health_score", F.size("issues").alias("issue_count"))
+    return h.select("ts", "health_score", F.array_join("issues", "; ").alias("issues"))
 
 
 @register("health_status_mix", ops=("MON-01", "MON-02"), sql=with_views(f"""
@@ -204,7 +206,9 @@ def dashboard_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.avg((F.col("status_code") >= 400).cast("double")).alias("error_rate"))
     sysm = ad.system_metrics(spark, sf_dir).withColumn("_k", F.lit(1))
     s = ru.latest_per_key(sysm, ["_k"], "timestamp", "timestamp").select("cpu_percent", "memory_percent")
-    m = matched(spark, sf_dir).where(ru.within("ts", DASH_AS_OF, 86400))
+    m = matched(spark, sf_dir, ad.hourly_metrics(spark, sf_dir, F.expr(f"TIMESTAMP_NTZ '{DASH_AS_OF}' - INTERVAL 25 HOURS"),
+                                                 F.expr(f"TIMESTAMP_NTZ '{DASH_AS_OF}' + INTERVAL 1 HOUR"))).where(
+        ru.within("ts", DASH_AS_OF, 86400))
     c = m.agg(F.sum((F.col("violated") & (F.col("severity") == "critical")).cast("long")).alias("critical_alerts"),
               F.sum(F.col("violated").cast("long")).alias("active_alerts"))
     return a.crossJoin(s).crossJoin(c).select(
@@ -225,7 +229,8 @@ def alert_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     # tick series (no pairing of alerts with all later ticks)
     from pyspark.sql import Window
     ticks = m.select("name", "ts", (~F.col("violated")).alias("_pass"))
-    nxt = Window.partitionBy("name").orderBy("ts").rowsBetween(1, Window.unboundedFollowing)
+    # newest first, so that the frame only grows
+    nxt = Window.partitionBy("name").orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, -1)
     ticks = ticks.withColumn("resolved_at", F.min(F.when(F.col("_pass"), F.col("ts"))).over(nxt))
     res = fired.join(ticks.select("name", "ts", "resolved_at"), ["name", "ts"], "left").select("alert_id", "resolved_at")
     opened = fired.select("alert_id", F.lit("active").alias("status"), F.lit("system").alias("actor"),

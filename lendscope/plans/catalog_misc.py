@@ -12,6 +12,7 @@ from lendscope.operators import registry as rg
 from lendscope.operators import scoring as sc
 from lendscope.plans.oracle_views import with_views
 from lendscope.plans.registry import register
+from lendscope.session import materialize
 from lendscope.sources import adapters as ad
 
 API_AS_OF = "2024-01-31 00:00:00"
@@ -188,7 +189,7 @@ def scaler_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = ad.credit_applications(spark, sf_dir)
     cols = [c for c in fe.numeric_feature_columns(a) if c in _SCALED]
     s = fe.fit_scaler(a, cols)
-    m = fe.fit_medians(a, cols)
+    m = fe.fit_medians(materialize(a, cols), cols, every=True)
     return s.join(m, "feature").select("feature", _r("mean", 6), _r("std", 6), _r("median", 6))
 
 

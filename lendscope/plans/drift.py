@@ -72,7 +72,7 @@ SELECT p.feature, p.n_ref, p.n_cur, p.test,
        CASE WHEN psi.psi < 0.1E0 THEN 'no_significant_change' WHEN psi.psi < 0.2E0 THEN 'moderate_change'
             ELSE 'significant_change' END AS psi_severity,
        CASE WHEN psi.psi IS NULL THEN 'insufficient_data' WHEN psi.psi < 0.1E0 THEN 'stable'
-            WHEN psi.psi < 0.3E0 THEN 'minor' WHEN psi.psi < 0.5E0 THEN 'moderate' ELSE 'significant' END AS status
+            WHEN psi.psi < 0.3E0 THEN 'minor_drift' WHEN psi.psi < 0.5E0 THEN 'moderate_drift' ELSE 'significant_drift' END AS status
 FROM prof2 p LEFT JOIN ks ON p.feature = ks.feature LEFT JOIN chi ON p.feature = chi.feature
 LEFT JOIN psi ON p.feature = psi.feature"""
 

@@ -265,9 +265,9 @@ def purpose_rating_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("document_facets", ops=("AGG-25",), sql="""
-SELECT min(n_chars) AS min, max(n_chars) AS max, count(*) AS rows, count(DISTINCT lang) AS distinct_values,
-       list_sort(list(DISTINCT lang)) AS "values"
-FROM documents""")
+SELECT lang AS value, count(*) AS rows, any_value(lo) AS min, any_value(hi) AS max, any_value(n) AS total_rows
+FROM documents, (SELECT min(n_chars) AS lo, max(n_chars) AS hi, count(*) AS n FROM documents) t
+WHERE lang IS NOT NULL GROUP BY lang""")
 def document_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ru.facets(Tables(spark, sf_dir).documents, "lang", "n_chars")
 

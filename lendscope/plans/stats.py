@@ -153,9 +153,9 @@ WITH a AS (SELECT min(expected_loss) AS el_min, max(expected_loss) AS el_max,
      m AS (SELECT bool_and(coalesce(mm >= prev, true)) AS mono
            FROM (SELECT mm, lag(mm) OVER (ORDER BY risk_rating) AS prev
                  FROM (SELECT risk_rating, avg(pd_score) AS mm FROM scored_book GROUP BY 1) r) x),
-     v AS (SELECT list_filter([CASE WHEN pd_hi_score > 0.1E0 THEN 'High credit score avg PD too high' END,
+     v AS (SELECT list_filter([CASE WHEN pd_hi_score > 0.1E0 THEN printf('High credit score avg PD too high: %.2f%%', pd_hi_score * 100) END,
                                CASE WHEN NOT mono THEN 'Risk ratings not monotonic with PD' END,
-                               CASE WHEN el_max > 1.0E0 OR el_min < 0 THEN 'Expected loss out of range' END,
+                               CASE WHEN el_max > 1.0E0 OR el_min < 0 THEN printf('Expected loss out of range: [%.3f, %.3f]', el_min, el_max) END,
                                CASE WHEN pd_hi_dti IS NOT NULL AND pd_hi_dti <= pd_lo_dti THEN 'High DTI not showing higher risk' END],
                               lambda x: x IS NOT NULL) AS violations FROM a, m)
 SELECT 4 AS total_rules_checked, violations, CAST(len(violations) AS INTEGER) AS violation_count,

@@ -156,15 +156,20 @@ def model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum((F.col("pd_score") > 0.1).cast("long")).alias("high_risk_predictions"))
 
 
-def hourly_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly evaluation ticks: API roll-up joined with the host samples."""
+def hourly_metrics(spark: SparkSession, sf_dir: str, since=None, until=None) -> DataFrame:
+    """Hourly evaluation ticks: API roll-up joined with the host samples.
+
+    ``since`` / ``until`` (whole hours) bound the requests that are read."""
     from lendscope.operators.rollups import quantile_columns
-    a = api_metrics(spark, sf_dir).withColumn("timestamp", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    a = api_metrics(spark, sf_dir)
+    if since is not None:
+        a = a.where((F.col("ts") >= since) & (F.col("ts") < until))
+    a = a.withColumn("timestamp", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
     agg = a.groupBy("timestamp").agg(
         F.count(F.lit(1)).alias("requests"),
         F.avg((F.col("status_code") >= 400).cast("double")).alias("error_rate"),
         F.avg("response_time").alias("avg_response_time"))
-    p95 = quantile_columns(a, "response_time", [0.95], ["timestamp"], ["p95_response_time"], bounded_groups=False)
+    p95 = quantile_columns(a, "response_time", [0.95], ["timestamp"], ["p95_response_time"])
     s = system_metrics(spark, sf_dir).select(F.col("timestamp").cast("timestamp_ntz").alias("timestamp"),
                                              "cpu_percent", "memory_percent")
     out = agg.join(p95, "timestamp").join(s, "timestamp").withColumnRenamed("timestamp", "ts")

@@ -5,7 +5,7 @@ HTTP fetching is out of scope; these read what a fetcher lands in storage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lendscope.functions.bands import lookup
@@ -20,10 +20,11 @@ GERMAN_COLUMNS = ["checking_status", "duration", "credit_history", "purpose", "c
                   "existing_credits", "job", "num_dependents", "own_telephone", "foreign_worker", "class"]
 GERMAN_SCORE = {"A30": 500, "A31": 550, "A32": 650, "A33": 700, "A34": 750}
 GERMAN_EMPLOYMENT = {"A71": 0, "A72": 1, "A73": 4, "A74": 7, "A75": 10}
-GERMAN_HOUSING = {"A151": "RENT", "A152": "OWN", "A153": "OTHER"}
-GERMAN_PURPOSE = {"A40": "car", "A41": "car", "A42": "major_purchase", "A43": "major_purchase",
-                  "A44": "major_purchase", "A45": "home_improvement", "A46": "medical", "A48": "other",
-                  "A49": "debt_consolidation", "A410": "other"}
+GERMAN_HOUSING = {"A151": "RENT", "A152": "OWN", "A153": "MORTGAGE"}
+GERMAN_PURPOSE = {"A40": "new_car", "A41": "used_car", "A42": "furniture", "A43": "radio_tv", "A44": "appliances",
+                  "A45": "repairs", "A46": "education", "A47": "vacation", "A48": "retraining", "A49": "business",
+                  "A410": "other"}
+CARD_EMPLOYMENT = {"1": 10, "2": 7, "3": 5, "4": 3, "5": 1, "6": 1}   # by education level
 
 
 def economic_series(spark: SparkSession, path: str, limit: int = 100) -> DataFrame:
@@ -60,20 +61,32 @@ def paired_series(series: DataFrame, ids=("DRSFRMACBS", "MORTGAGE30US"), last: i
     return s.crossJoin(present).where(F.col("_k") == len(ids)).drop("_k")
 
 
+def with_row_index(df: DataFrame, name: str) -> DataFrame:
+    """Adds the 0-based place of a row in the order in which files are read, without gaps.
+
+    Rows are numbered within their partition and shifted by the counts of the partitions before;
+    the counts are one row a partition, hence the broadcast."""
+    own = df.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
+    counts = own.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    start = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return own.join(F.broadcast(start), "_part").withColumn(
+        name, F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_n", "_start")
+
+
 def german_credit(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-04 + PRJ-02: space-separated file -> application schema; malformed rows dropped.
-
-    The row id comes from the file position (``monotonically_increasing_id`` is
-    not dense), so ``customer_id`` uses ``zipWithIndex``-free numbering by the
-    caller-supplied key when present; here a stable hash of the raw row.
-    """
-    schema = ", ".join(f"{c} {'int' if c in ('duration', 'credit_amount', 'installment_commitment', 'residence_since', 'age', 'existing_credits', 'num_dependents', 'class') else 'string'}"
-                       for c in GERMAN_COLUMNS)
-    raw = spark.read.csv(path, sep=" ", header=False, schema=schema, mode="DROPMALFORMED")
+    """SRC-04 + PRJ-02: space-separated file -> application schema; malformed rows are left out.
+
+    ``customer_id`` is GER_ and the row's place in the file plus 1000 (malformed rows count)."""
+    ints = ("duration", "credit_amount", "installment_commitment", "residence_since", "age", "existing_credits",
+            "num_dependents", "class")
+    schema = ", ".join(f"{c} {'int' if c in ints else 'string'}" for c in GERMAN_COLUMNS) + ", _bad string"
+    raw = with_row_index(spark.read.csv(path, sep=" ", header=False, schema=schema, mode="PERMISSIVE",
+                                        columnNameOfCorruptRecord="_bad"), "_row").where(F.col("_bad").isNull())
     score = lookup(F.col("credit_history"), GERMAN_SCORE, 650)
     default = F.col("class") == 2
     return raw.select(
-        F.concat(F.lit("GER_"), (F.abs(F.xxhash64(*GERMAN_COLUMNS)) % 1000000 + 1000).cast("string")).alias("customer_id"),
+        F.concat(F.lit("GER_"), (F.col("_row") + 1000).cast("string")).alias("customer_id"),
         F.col("credit_amount").cast("double").alias("loan_amount"),
         F.col("duration").alias("loan_term"),
         (F.lit(0.08) + (F.lit(750) - score) / F.lit(10000.0)).alias("interest_rate"),
@@ -88,20 +101,34 @@ def german_credit(spark: SparkSession, path: str) -> DataFrame:
 
 
 def credit_card_defaults(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-05 + PRJ-03 (D-22: projected to the table schema)."""
+    """SRC-05 + PRJ-03: whole card file -> application schema.
+
+    Delinquencies count the columns PAY_0 to PAY_5 that the file has; the reference's random
+    application date is left out."""
     raw = spark.read.csv(path, header=True, inferSchema=False)
-    pay = [c for c in ["PAY_0", "PAY_2", "PAY_3", "PAY_4", "PAY_5", "PAY_6"] if c in raw.columns]
-    p0 = F.col("PAY_0").cast("double")
-    limit_bal = F.col("LIMIT_BAL").cast("double")
-    default = F.col("default payment next month").cast("int") == 1 if "default payment next month" in raw.columns \
-        else F.lit(False)
+
+    def num(c: str, missing: float) -> Column:
+        return F.coalesce(F.col(c).cast("double"), F.lit(missing)) if c in raw.columns else F.lit(missing)
+
+    p0, limit_bal, bill = num("PAY_0", 0.0), num("LIMIT_BAL", 50000.0), num("BILL_AMT1", 10000.0)
+    label = "default payment next month"
+    default = F.coalesce(F.col(label).cast("int") == 1, F.lit(False)) if label in raw.columns else F.lit(False)
+    late = F.lit(0)
+    for k in range(6):
+        late = late + (num(f"PAY_{k}", 0.0) > 0).cast("int")
+    education = F.coalesce(F.col("EDUCATION").cast("int").cast("string"), F.lit("3")) if "EDUCATION" in raw.columns else F.lit("3")
     return raw.select(
-        F.concat(F.lit("CC_"), F.col("ID")).alias("customer_id"), limit_bal.alias("loan_amount"),
-        F.lit(36).alias("loan_term"), (F.lit(0.15) + F.lit(0.02) * p0).alias("interest_rate"),
-        (limit_bal * 2).alias("income"), (F.lit(0.3) + F.lit(0.1) * p0).alias("debt_to_income"),
-        (F.lit(750) - F.lit(50) * p0).cast("int").alias("credit_score"),
-        F.size(F.filter(F.array(*[F.col(c).cast("int") for c in pay]), lambda x: x > 0)).alias("delinquencies"),
-        F.coalesce(F.try_divide(F.col("BILL_AMT1").cast("double"), limit_bal), F.lit(0.5)).alias("utilization"),
+        F.concat(F.lit("CC_"), F.col("ID").cast("int").cast("string")).alias("customer_id"), bill.alias("loan_amount"),
+        F.lit(36).alias("loan_term"), (F.lit(0.15) + p0 * F.lit(0.02)).alias("interest_rate"),
+        (limit_bal * 2).alias("income"), (F.lit(0.3) + p0 * F.lit(0.1)).alias("debt_to_income"),
+        (F.lit(750) - p0.cast("int") * 50).alias("credit_score"),
+        lookup(education, CARD_EMPLOYMENT, 5).cast("int").alias("employment_length"),
+        F.lit("RENT").alias("home_ownership"), F.lit("credit_card").alias("loan_purpose"),
+        F.lit(5).alias("number_of_accounts"), late.alias("delinquencies_past_2_years"),
+        F.when(num("LIMIT_BAL", 0.0) > 0, num("BILL_AMT1", 0.0) / num("LIMIT_BAL", 1.0)).otherwise(F.lit(0.5))
+        .alias("revolving_utilization"),
+        F.when(p0 > 0, F.lit(1.0)).otherwise(F.lit(24.0)).alias("months_since_last_delinquency"),
+        F.lit("Verified").alias("verification_status"),
         default.alias("is_default"), F.when(default, F.lit(0.65)).otherwise(F.lit(0.0)).alias("loss_given_default"))
 
 

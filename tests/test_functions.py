@@ -121,12 +121,23 @@ def test_registry_upsert_and_best(spark):
 
 
 def test_metric_display_and_uptime(spark):
-    df = spark.createDataFrame([("error_rate", 0.0123), ("avg_response_time", 0.25), ("avg_response_time", 1.5),
-                                ("total_predictions", 12345.0), ("score", 0.5)], "m string, v double")
+    df = spark.createDataFrame([("accuracy", 0.85), ("response_time", 0.25), ("prediction_time", 1.5), ("error_rate", 0.0123),
+                                ("cpu_usage", 45.67), ("request_count", 12345.0), ("score", 0.5)], "m string, v double")
     got = [r[0] for r in df.select(tx.format_metric("m", "v")).collect()]
-    assert got == ["1.2%", "250ms", "1.50s", "12,345", "0.50"]
-    up = spark.createDataFrame([(90061,)], "s long")
-    assert up.select(tx.format_uptime("s")).collect()[0][0] == "1d 1h 1m"
+    assert got == ["0.8500 (85.0%)", "250.0ms", "1.50s", "1.23%", "45.7%", "12,345", "0.5000"]
+    up = spark.createDataFrame([(90061,), (3720,), (59,), (86400,)], "s long")
+    assert [r[0] for r in up.select(tx.format_uptime("s")).collect()] == ["1d 1h 1m", "1h 2m", "0m", "1d 0h 0m"]
+
+
+def test_drift_status_and_recommendations(spark):
+    from lendscope.operators import drift as dr
+    df = spark.createDataFrame([(None,), (0.05,), (0.2,), (0.4,), (0.9,)], "s double")
+    got = [tuple(r) for r in df.select(dr.drift_status(F.col("s")).alias("t"), dr.recommendations(dr.drift_status(F.col("s")))).collect()]
+    assert got == [("insufficient_data", []), ("stable", ["Model performance is stable", "Continue regular monitoring"]),
+                   ("minor_drift", []),
+                   ("moderate_drift", ["Monitor closely and prepare for retraining", "Analyze prediction accuracy trends"]),
+                   ("significant_drift", ["Consider retraining model with recent data",
+                                          "Review feature importance and distributions"])]
 
 
 def test_comparison_request_checks():

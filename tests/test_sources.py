@@ -23,13 +23,43 @@ def test_german_mapping(spark):
     d = tempfile.mkdtemp(prefix="lendscope-src-", dir="/tmp")
     line = "A11 6 A34 A43 1169 A65 A75 4 A93 A101 4 A121 67 A143 A152 2 A173 1 A192 A201 1"
     bad = "A11 six A34"
+    third = line.replace("A43", "A410").replace("A152", "A153").replace("A201 1", "A201 2")
     with open(os.path.join(d, "german.data"), "w") as f:
-        f.write(line + "\n" + bad + "\n")
-    r = sf.german_credit(spark, os.path.join(d, "german.data")).collect()
-    assert len(r) == 1
-    r = r[0]
+        f.write("\n".join([line, bad, third]) + "\n")
+    r, t = sf.german_credit(spark, os.path.join(d, "german.data")).orderBy("customer_id").collect()
     assert r["credit_score"] == 750 and r["employment_length"] == 10 and r["home_ownership"] == "OWN"
     assert r["income"] == 1169 / 6 * 36 and r["debt_to_income"] == 0.4 and not r["is_default"]
+    assert r["customer_id"] == "GER_1000" and r["loan_purpose"] == "radio_tv" and r["loss_given_default"] == 0.0
+    assert t["customer_id"] == "GER_1002" and t["loan_purpose"] == "other" and t["home_ownership"] == "MORTGAGE"
+    assert t["is_default"] and t["loss_given_default"] == 0.45
+
+
+def test_german_ids_are_unique(spark):
+    d = tempfile.mkdtemp(prefix="lendscope-src-", dir="/tmp")
+    line = "A11 6 A34 A43 1169 A65 A75 4 A93 A101 4 A121 67 A143 A152 2 A173 1 A192 A201 1"
+    with open(os.path.join(d, "german.data"), "w") as f:
+        f.write((line + "\n") * 3000)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        ids = [x["customer_id"] for x in sf.german_credit(spark, os.path.join(d, "german.data")).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(int(i[4:]) for i in ids) == list(range(1000, 4000))
+
+
+def test_credit_card_mapping(spark):
+    d = tempfile.mkdtemp(prefix="lendscope-src-", dir="/tmp")
+    with open(os.path.join(d, "cards.csv"), "w") as f:
+        f.write("ID,LIMIT_BAL,EDUCATION,PAY_0,PAY_2,PAY_3,PAY_4,PAY_5,PAY_6,BILL_AMT1,default payment next month\n"
+                "1,20000,2,2,2,-1,-1,-2,2,3913,1\n2,0,9,0,0,0,0,0,2,100,0\n")
+    a, b = sf.credit_card_defaults(spark, d).orderBy("customer_id").collect()
+    assert a["customer_id"] == "CC_1" and a["loan_amount"] == 3913.0 and a["income"] == 40000.0
+    assert a["credit_score"] == 650 and a["debt_to_income"] == 0.5 and a["employment_length"] == 7
+    assert a["delinquencies_past_2_years"] == 2 and a["revolving_utilization"] == 3913 / 20000
+    assert a["months_since_last_delinquency"] == 1.0 and a["home_ownership"] == "RENT" and a["loan_purpose"] == "credit_card"
+    assert a["is_default"] and a["loss_given_default"] == 0.65 and a["interest_rate"] == 0.15 + 2 * 0.02
+    assert b["delinquencies_past_2_years"] == 0 and b["revolving_utilization"] == 0.5 and b["employment_length"] == 5
 
 
 def test_assemble_economic_factors(spark):
