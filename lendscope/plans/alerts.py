@@ -51,20 +51,37 @@ def rule_violation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  F.sum((F.col("run_len") == 1).cast("long")).alias("runs"))
 
 
-@register("alert_evaluations", ops=("ST-04", "WIN-02", "MON-08", "SRC-14"))
+@register("alert_evaluations", ops=("ST-04", "WIN-02", "MON-08", "SRC-14"), sql=with_views("""
+SELECT alert_id, ts, name, severity, alert_type, metric_name, round(value, 8) AS current_value,
+       threshold AS threshold_value, 'Alert: ' || name AS title FROM fired""", "fired"))
 def alert_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fired alerts of the consecutive-failure / cooldown machine (brute-force tested)."""
-    return al.fired_alerts(al.evaluate_rules(matched(spark, sf_dir)))
+    """Fired alerts of the consecutive-failure / cooldown machine."""
+    return al.fired_alerts(al.evaluate_rules(matched(spark, sf_dir))).withColumn("current_value", F.round("current_value", 8))
 
 
-@register("alert_routing", ops=("JN-07", "UDF-02"))
+# channels of the default rules, in order of registration
+_CHANNELS_SQL = """(SELECT * FROM (VALUES (0, 'error_rate', 'system', ['logging', 'email']), (1, 'avg_response_time', 'performance', ['logging']),
+  (2, 'p95_response_time', 'performance', ['webhook']), (3, 'cpu_percent', 'system', ['logging', 'webhook']),
+  (4, 'memory_percent', 'system', ['email']), (5, 'requests', 'availability', ['logging'])) c(i, metric, type, channels))"""
+
+
+@register("alert_routing", ops=("JN-07", "UDF-02"), sql=with_views(f"""
+SELECT channel, severity, count(*) AS deliveries
+FROM (SELECT alert_id, severity, unnest(list_distinct(list_concat(['logging'], coalesce(arg_min(channels, i), [])))) AS channel
+      FROM fired LEFT JOIN {_CHANNELS_SQL} c ON metric_name = metric OR alert_type = type GROUP BY alert_id, severity) d
+GROUP BY 1, 2""", "fired"))
 def alert_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     fired = al.fired_alerts(al.evaluate_rules(matched(spark, sf_dir)))
     return al.route(fired, al.rules_table(spark)).groupBy("channel", "severity").agg(
         F.count(F.lit(1)).alias("deliveries"))
 
 
-@register("alert_hourly_trend", ops=("AGG-04", "JN-09", "ST-02"))
+@register("alert_hourly_trend", ops=("AGG-04", "JN-09", "ST-02"), sql=with_views("""
+SELECT c.hour, count(alert_id) AS alerts, count(*) FILTER (WHERE severity = 'critical') AS critical,
+       count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'medium') AS medium,
+       count(*) FILTER (WHERE severity = 'low') AS low
+FROM (SELECT unnest(generate_series(min(date_trunc('hour', ts))::TIMESTAMP, max(date_trunc('hour', ts))::TIMESTAMP, INTERVAL 1 HOUR)) AS hour FROM fired) c
+LEFT JOIN fired f ON date_trunc('hour', f.ts) = c.hour GROUP BY 1""", "fired"))
 def alert_hourly_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     fired = al.fired_alerts(al.evaluate_rules(matched(spark, sf_dir)))
     h = fired.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(
@@ -217,7 +234,14 @@ def dashboard_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         "critical_alerts", "active_alerts")
 
 
-@register("alert_lifecycle", ops=("MON-07", "MON-08", "SRC-14"))
+@register("alert_lifecycle", ops=("MON-07", "MON-08", "SRC-14"), sql=with_views("""
+SELECT CASE WHEN resolved_at IS NOT NULL AND resolved_at >= acked_at THEN 'resolved'
+            WHEN acked_at IS NOT NULL AND acked_at <= newest THEN 'acknowledged'
+            WHEN resolved_at IS NOT NULL THEN 'resolved' ELSE 'active' END AS status, count(*) AS alerts
+FROM (SELECT f.alert_id, CASE WHEN f.severity = 'critical' THEN f.ts + INTERVAL 1 HOUR END AS acked_at,
+             (SELECT min(m.ts) FROM rule_matches m WHERE m.name = f.name AND m.ts > f.ts AND NOT m.violated) AS resolved_at,
+             (SELECT max(ts) FROM rule_matches) AS newest FROM fired f) x
+GROUP BY 1""", "fired"))
 def alert_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event-sourced alert status: every fired alert opens as active, is
     acknowledged one tick later when its severity is critical, and is resolved

@@ -100,6 +100,29 @@ def feature_drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
                       _r("reference_mean", 6), _r("current_mean", 6), _r("reference_std", 6), _r("current_std", 6))
 
 
+@register("feature_drift_moments", ops=("DR-03", "DR-09", "DR-14"), sql=with_views(f"""
+SELECT f.feature, 'feature_drift_' || f.feature AS drift_type, f.test, f.psi, f.status,
+       CASE f.status WHEN 'stable' THEN ['Model performance is stable', 'Continue regular monitoring']
+            WHEN 'moderate_drift' THEN ['Monitor closely and prepare for retraining', 'Analyze prediction accuracy trends']
+            WHEN 'significant_drift' THEN ['Consider retraining model with recent data', 'Review feature importance and distributions']
+            ELSE CAST([] AS VARCHAR[]) END AS recommendations,
+       CASE WHEN f.test = 'ks_test' THEN m.rm END AS reference_mean, CASE WHEN f.test = 'ks_test' THEN m.cm END AS current_mean,
+       CASE WHEN f.test = 'ks_test' THEN m.rs END AS reference_std, CASE WHEN f.test = 'ks_test' THEN m.cs END AS current_std
+FROM ({drift_sql('SELECT * FROM drift_samples', FLOAT_FEATURES)}) f
+JOIN (SELECT feature, round(avg(value) FILTER (WHERE sample = 'reference'), 6) AS rm,
+             round(avg(value) FILTER (WHERE sample = 'current'), 6) AS cm,
+             round(stddev_pop(value) FILTER (WHERE sample = 'reference'), 6) AS rs,
+             round(stddev_pop(value) FILTER (WHERE sample = 'current'), 6) AS cs
+      FROM drift_samples GROUP BY feature) m USING (feature)""", "drift_samples"))
+def feature_drift_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drift report without p-values."""
+    rep = dr.feature_drift(ad.drift_samples(spark, sf_dir), FLOAT_FEATURES, with_p_values=False)
+    st = dr.drift_status(F.col("psi"))
+    return rep.select("feature", "drift_type", "test", _r("psi"), st.alias("status"),
+                      dr.recommendations(st).alias("recommendations"), _r("reference_mean", 6),
+                      _r("current_mean", 6), _r("reference_std", 6), _r("current_std", 6))
+
+
 _PRED_SRC = ("SELECT 'pd_score' AS feature, CASE WHEN application_ts < TIMESTAMP '1998-04-15 00:00:00' "
              "THEN 'reference' ELSE 'current' END AS sample, pd_score AS value, CAST(NULL AS VARCHAR) AS category "
              "FROM scored_book")
@@ -166,7 +189,10 @@ def drift_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.crossJoin(p.select(F.round("psi", 8).alias("prediction_psi")))
 
 
-@register("drift_alert_top3", ops=("DR-16", "SRT-05"))
+@register("drift_alert_top3", ops=("DR-16", "SRT-05"), sql=with_views(f"""
+SELECT round(max(psi), 8) AS max_score, list(feature ORDER BY psi DESC, feature)[1:3] AS top_features,
+       CASE WHEN max(psi) > 0.2E0 THEN 'ALERT' ELSE 'OK' END AS status
+FROM ({drift_sql('SELECT * FROM drift_samples', FLOAT_FEATURES)}) f WHERE psi IS NOT NULL""", "drift_samples"))
 def drift_alert_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = dr.feature_drift(ad.drift_samples(spark, sf_dir), FLOAT_FEATURES, with_p_values=False)
     return dr.drift_alert_line(f, "psi", 0.2, 3).select(_r("max_score"), "top_features", "status")

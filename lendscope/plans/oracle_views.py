@@ -254,3 +254,23 @@ FROM metrics_long m JOIN alert_rules r ON m.metric_name = r.metric_name AND r.en
 """
 VIEWS["rule_matches"] = RULE_MATCHES
 DEPENDS["rule_matches"] = ["metrics_long", "alert_rules"]
+
+# Fold over each rule's ticks in order: count up on a violation, fire when the count reaches the rule's
+# number and the last firing is older than the cooldown, start again on firing and on a pass.
+FIRED = """
+SELECT f.name, f.ts, m.metric_name, m.value, m.threshold, m.severity, m.alert_type,
+       md5(f.name || ',' || m.metric_name || ',' || strftime(f.ts, '%Y-%m-%d %H:%M:%S')) AS alert_id
+FROM (SELECT name, unnest(s.fired) AS ts FROM (
+        SELECT name, list_reduce(list_prepend({'n': 0, 'last': CAST(NULL AS TIMESTAMP), 'fired': CAST([] AS TIMESTAMP[]), 'v': false}, ticks),
+          lambda acc, x: CASE
+            WHEN NOT x.v THEN {'n': 0, 'last': acc.last, 'fired': acc.fired, 'v': false}
+            WHEN acc.n + 1 >= need AND (acc.last IS NULL OR x.fired[1] - acc.last > to_seconds(cooldown))
+              THEN {'n': 0, 'last': x.fired[1], 'fired': list_concat(acc.fired, x.fired), 'v': true}
+            ELSE {'n': acc.n + 1, 'last': acc.last, 'fired': acc.fired, 'v': true} END) AS s
+        FROM (SELECT m.name, any_value(r.consecutive_failures) AS need, any_value(r.cooldown_period) AS cooldown,
+                     list({'n': 0, 'last': CAST(NULL AS TIMESTAMP), 'fired': [CAST(m.ts AS TIMESTAMP)], 'v': m.violated} ORDER BY m.ts) AS ticks
+              FROM rule_matches m JOIN alert_rules r ON m.name = r.name GROUP BY m.name) t) u) f
+JOIN rule_matches m ON m.name = f.name AND m.ts = f.ts
+"""
+VIEWS["fired"] = FIRED
+DEPENDS["fired"] = ["rule_matches"]

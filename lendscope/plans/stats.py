@@ -124,11 +124,14 @@ def lgd_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EDGES = "(SELECT quantile_cont(pd_score, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS edges FROM scored_book)"
 
 
-@register("calibration_error", ops=("MV-09",), sql=with_views(f"""
+_CALIBRATION_SQL = f"""
 SELECT round(avg(abs(obs - exp)), 8) AS calibration_error
 FROM (SELECT len(list_filter(e.edges[2:10], lambda x: x < pd_score)) AS bin,
              avg(CAST(is_default AS DOUBLE)) AS obs, avg(pd_score) AS exp
-      FROM scored_book, {_EDGES} e GROUP BY 1) b""", "scored_book"))
+      FROM scored_book, {_EDGES} e GROUP BY 1) b"""
+
+
+@register("calibration_error", ops=("MV-09",), sql=with_views(_CALIBRATION_SQL, "scored_book"))
 def calibration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     err, _ = mv.calibration(scored_book(spark, sf_dir, validate=False), "pd_score", "is_default")
     return err.select(_r("calibration_error"))
@@ -144,7 +147,7 @@ def calibration_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("bin", "count", _r("observed_rate"), _r("expected_rate"), _r("difference"))
 
 
-@register("business_rules", ops=("MV-11",), sql=with_views("""
+_RULES_SQL = """
 WITH a AS (SELECT min(expected_loss) AS el_min, max(expected_loss) AS el_max,
                   avg(CASE WHEN (credit_score - 300) / 550.0E0 > 0.8E0 THEN pd_score END) AS pd_hi_score,
                   avg(CASE WHEN debt_to_income > 0.5E0 THEN pd_score END) AS pd_hi_dti,
@@ -160,7 +163,10 @@ WITH a AS (SELECT min(expected_loss) AS el_min, max(expected_loss) AS el_max,
                               lambda x: x IS NOT NULL) AS violations FROM a, m)
 SELECT 4 AS total_rules_checked, violations, CAST(len(violations) AS INTEGER) AS violation_count,
        round((4 - len(violations)) / 4.0E0, 8) AS pass_rate, (4 - len(violations)) / 4.0E0 >= 0.95E0 AS pass
-FROM v""", "scored_book"))
+FROM v"""
+
+
+@register("business_rules", ops=("MV-11",), sql=with_views(_RULES_SQL, "scored_book"))
 def business_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored_book(spark, sf_dir, validate=False)
     b = mv.business_rules(s)
@@ -197,11 +203,19 @@ def perturbation_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        score)
 
 
-@register("model_validation_verdict", ops=("MV-14", "MV-15"))
+@register("model_validation_verdict", ops=("MV-14", "MV-15"), sql=with_views(f"""
+SELECT auc, auc >= 0.75E0 AS pd_pass, lgd_rmse, lgd_rmse <= 0.25E0 AND outside = 0 AS lgd_pass, calibration_error,
+       calibration_error <= 0.05E0 AS calibration_pass, pass_rate AS business_rules_pass_rate, pass_rate >= 0.95E0 AS business_rules_pass,
+       auc >= 0.75E0 AND lgd_rmse <= 0.25E0 AND outside = 0 AND calibration_error <= 0.05E0 AND pass_rate >= 0.95E0 AS overall_pass
+FROM ({auc_sql(_BOOK_SRC)}) a,
+     (SELECT round(sqrt(avg((lgd_score - loss_given_default) ^ 2)), 8) AS lgd_rmse,
+             sum(CASE WHEN lgd_score < 0 OR lgd_score > 1 THEN 1 ELSE 0 END) AS outside FROM scored_book WHERE is_default) l,
+     ({_CALIBRATION_SQL}) c, (SELECT pass_rate FROM ({_RULES_SQL}) q) r""", "scored_book"))
 def model_validation_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored_book(spark, sf_dir, validate=False)
     a = mv.auc(s, "pd_score", "is_default")
     lg = mv.lgd_metrics(s, "lgd_score", "loss_given_default", "is_default")
     err, _ = mv.calibration(s, "pd_score", "is_default")
     br = mv.business_rules(s)
-    return mv.overall_verdict(a, lg, err, br)
+    v = mv.overall_verdict(a, lg, err, br)
+    return v.withColumns({c: F.round(c, 8) for c in ("auc", "lgd_rmse", "calibration_error", "business_rules_pass_rate")})
