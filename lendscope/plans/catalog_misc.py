@@ -128,15 +128,81 @@ def endpoint_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("request_dedup", ops=("SET-06", "FN-04", "ST-06"), sql=with_views("""
-SELECT count(*) AS total_requests,
-       count(DISTINCT (customer_id, loan_term, credit_score, home_ownership, loan_purpose)) AS unique_requests
-FROM credit_applications""", "credit_applications"))
+SELECT CAST(sum(n) AS BIGINT) AS total_requests, count(*) AS unique_requests, CAST(sum(len(kept)) AS BIGINT) AS accepted_requests
+FROM (SELECT n, list_reduce(times, lambda acc, x:
+               CASE WHEN x[1] - acc[-1] >= INTERVAL 300 SECOND THEN list_concat(acc, x) ELSE acc END) AS kept
+      FROM (SELECT count(*) AS n, list([CAST(application_ts AS TIMESTAMP)] ORDER BY application_ts) AS times FROM credit_applications
+            GROUP BY customer_id, loan_term, credit_score, home_ownership, loan_purpose) g) f""", "credit_applications"))
 def request_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests, distinct requests, and those that are no repeat of an accepted one younger than 300 s."""
+    from lendscope.streaming import jobs as sj
     a = ad.credit_applications(spark, sf_dir)
     cols = ["customer_id", "loan_term", "credit_score", "home_ownership", "loan_purpose"]
-    h = a.withColumn("request_hash", jx.canonical_hash(a, cols))
-    uniq = h.dropDuplicates(["request_hash"]).agg(F.count(F.lit(1)).alias("unique_requests"))
-    return a.agg(F.count(F.lit(1)).alias("total_requests")).crossJoin(uniq)
+    h = a.select(jx.canonical_hash(a, cols).alias("request_hash"), F.col("app_id").cast("long").alias("request_id"),
+                 F.col("application_ts").cast("timestamp").alias("ts"))
+    kept = sj.dedup_requests(h, "request_hash", "ts", 300).agg(F.count(F.lit(1)).alias("accepted_requests"))
+    hashes = h.groupBy("request_hash").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.sum("n").alias("total_requests"), F.count(F.lit(1)).alias("unique_requests"))
+    return hashes.crossJoin(kept)
+
+
+# Scenarios of the stress report (fixed values of this library): name, change of the expected loss.
+SCENARIOS = [("baseline", 0.0), ("adverse", 0.35), ("severe", 0.8)]
+
+
+@register("stress_scenarios", ops=("RSK-11",), sql=with_views("""
+SELECT scenario, loss_impact, accounts, round(base_el * (1.0E0 + loss_impact), 4) AS scenario_el,
+       round(base_amount * (1.0E0 + loss_impact) / 1e6, 4) AS scenario_el_millions
+FROM (VALUES ('baseline', 0.0E0), ('adverse', 0.35E0), ('severe', 0.8E0)) s(scenario, loss_impact),
+     (SELECT sum(expected_loss) AS base_el, sum(expected_loss * loan_amount) AS base_amount, count(*) AS accounts FROM scored_book) b""",
+                                                            "scored_book"))
+def stress_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected loss of the whole book under each scenario."""
+    from lendscope.plans.book import scored_book
+    table = spark.createDataFrame(SCENARIOS, "scenario string, loss_impact double")
+    out = sc.stress_scenarios(scored_book(spark, sf_dir, validate=False), table)
+    return out.select("scenario", "loss_impact", "accounts", F.round("scenario_el", 4).alias("scenario_el"),
+                      F.round(F.col("scenario_el_amount") / 1e6, 4).alias("scenario_el_millions"))
+
+
+@register("prediction_lookup", ops=("PRJ-08",), sql=with_views("""
+SELECT app_id AS request_id, 'v' || (app_id % 3) AS model_version, round(pd_score, 8) AS pd_score, risk_rating,
+       true AS success, 'completed' AS status
+FROM scored_book WHERE app_id = (SELECT max(o_orderkey) FROM orders)""", "scored_book"))
+def prediction_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point lookup of one prediction (the newest order's)."""
+    from lendscope.operators import rollups as ru
+    from lendscope.sources.tables import Tables
+    newest = Tables(spark, sf_dir).orders.agg(F.max("o_orderkey")).first()[0]
+    hit = ru.prediction_lookup(ad.prediction_log(spark, sf_dir), newest)
+    return hit.select("request_id", "model_version", _r("pd_score"), "risk_rating", "success", "status")
+
+
+@register("metric_display", ops=("FN-10", "FN-13", "FN-19", "FN-21"), sql=with_views("""
+SELECT endpoint, CASE WHEN avg_rt < 1 THEN printf('%.1fms', avg_rt * 1000) ELSE printf('%.2fs', avg_rt) END AS response_time,
+       printf('%.2f%%', err * 100) AS error_rate, printf('%.4f (%.1f%%)', 1 - err, (1 - err) * 100) AS accuracy,
+       format('{:,}', n) AS request_count,
+       CASE WHEN busy >= 86400 THEN (busy // 86400) || 'd ' || (busy % 86400 // 3600) || 'h ' || (busy % 3600 // 60) || 'm'
+            WHEN busy >= 3600 THEN (busy // 3600) || 'h ' || (busy % 3600 // 60) || 'm' ELSE (busy // 60) || 'm' END AS busy_time,
+       CASE WHEN size < 1024 THEN printf('%.1f B', size) WHEN size < 1048576 THEN printf('%.1f KB', size / 1024)
+            ELSE printf('%.1f MB', size / 1048576) END AS payload,
+       CASE WHEN size >= 1e6 THEN printf('%.1fM', size / 1e6) WHEN size >= 1e3 THEN printf('%.1fK', size / 1e3)
+            ELSE printf('%.1f', size) END AS payload_count
+FROM (SELECT endpoint, avg(response_time) AS avg_rt, avg(CASE WHEN status_code >= 400 THEN 1.0E0 ELSE 0.0E0 END) AS err,
+             count(*) AS n, CAST(floor(sum(response_time)) AS BIGINT) AS busy, CAST(sum(strlen(metadata)) AS DOUBLE) AS size
+      FROM api_metrics GROUP BY 1) a""", "api_metrics"))
+def metric_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Display forms of each endpoint's metrics."""
+    a = ad.api_metrics(spark, sf_dir).groupBy("endpoint").agg(
+        F.avg("response_time").alias("rt"), F.avg((F.col("status_code") >= 400).cast("double")).alias("err"),
+        F.count(F.lit(1)).alias("n"), F.floor(F.sum("response_time")).cast("long").alias("busy"),
+        F.sum(F.octet_length("metadata")).cast("double").alias("size"))
+    return a.select("endpoint", tx.format_metric(F.lit("response_time"), F.col("rt")).alias("response_time"),
+                    tx.format_metric(F.lit("error_rate"), F.col("err")).alias("error_rate"),
+                    tx.format_metric(F.lit("accuracy"), 1 - F.col("err")).alias("accuracy"),
+                    tx.format_metric(F.lit("request_count"), F.col("n")).alias("request_count"),
+                    tx.format_uptime("busy").alias("busy_time"), tx.file_size_human("size").alias("payload"),
+                    tx.format_large_number("size").alias("payload_count"))
 
 
 # Economic snapshots: fixed publication table (values of this library, one row per date).
