@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendscope.llm.common import ascii_lower, materialize, next_pow2
+from lendscope.llm.common import ascii_lower, join_hot, materialize, next_pow2
 
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 25
 BITS_PER_ROW = 8
@@ -62,10 +62,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     rows = flagged.where("maybe").select("id", "sha")
     groups = rows.groupBy("sha").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    # Joined by one more key than grouped by, so both sides are plain exchanges and AQE can
-    # split the partition of a hot text.
-    k = F.xxhash64("sha")
-    pairs = rows.withColumn("k", k).join(groups.withColumn("k", k), ["k", "sha"]).select(
+    pairs = join_hot(rows, groups, ["sha"]).select(
         F.col("id").alias(id_col), "keep_id", "group_size",
         F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
     return alone.unionByName(pairs)

@@ -44,9 +44,26 @@ def next_pow2(n: int) -> int:
     return 1 << max(0, math.ceil(math.log2(max(1, n))))
 
 
+def join_hot(rows: DataFrame, other: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join with a table that is aggregated by ``on``.
+
+    One more key than that (a bit, which hardly adds to the rows) makes both sides plain exchanges,
+    and AQE can split the partition of a hot key."""
+    bit = F.pmod(F.hash(on[0]), F.lit(2))
+    return rows.withColumn("__bit", bit).join(other.withColumn("__bit", bit), ["__bit", *on], how).drop("__bit")
+
+
+BROADCAST_ROWS = 200_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """A stored narrow table with a broadcast hint if it has at most BROADCAST_ROWS rows; beyond that the join shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-__all__ = ["WORD", "WORD_ANY_CASE", "ascii_lower", "materialize", "n_words", "next_pow2", "read", "same",
+__all__ = ["WORD", "WORD_ANY_CASE", "ascii_lower", "join_hot", "materialize", "n_words", "next_pow2", "read", "same", "sized",
            "text_key", "words"]

@@ -12,10 +12,12 @@ Suffixes are never gathered as a whole.  They are dealt by content:
    an anchor (winnowing), so two equal windows have the same anchor at the same place.  About 3 % of
    the positions are anchors; only (hash, document, position) of them shuffles, and the anchors
    whose hash occurs once are done with.
-2. Contexts.  For each other anchor its context is cut out: all bytes that a window around it can
-   have.  Occurrences of one context after its first one are covered as a whole.  That
-   folds the groups of copies, however large.
-3. Suffix order.  First occurrences of different contexts of one anchor meet in one task: the
+2. Contexts.  The context of an anchor is all bytes that a window around it can have; a hash of it
+   goes along.  Occurrences of one context after its first one are covered as a whole: within a
+   document that is found during the scan, across documents by an aggregate.  That folds the
+   groups of copies, however large.
+3. Suffix order.  Where an anchor has different contexts, their bytes are cut out of the texts and
+   the first occurrences meet in one task: the
    suffixes that start before the anchor are sorted there, place by place, and LPF is taken from
    the previous and next smaller position in each run of suffixes with LENGTH common bytes.  An
    anchor with more than GROUP contexts (a passage between ever different neighbours) is not
@@ -42,13 +44,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendscope.llm.common import materialize, text_key
+from lendscope.llm.common import join_hot, materialize, sized, text_key
 from lendscope.llm.nptext import chunks, mix, powers, sums
 
 LENGTH = 100
 GRAM = 32
-GROUP = 4096
-BROADCAST_ROWS = 200_000
+GROUP = 200_000                   # contexts of one anchor that one task sorts (34 MB)
 BATCH_ROWS = 2048                 # contexts sorted at once
 NO_ID = 1 << 62
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -63,25 +64,38 @@ def _slide(a: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[:len(out) - (width - size)], out[width - size:]) if size < width else out
 
 
-def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, position, hash) of the anchors of a chunk of texts."""
+def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(text number, position, hash, context hash, bytes after the anchor's start) of the anchors of a chunk of texts."""
     a = np.frombuffer(b"".join(texts), np.uint8)
     width = length - gram + 1
-    empty = np.zeros(0, np.int64)
     if len(a) < length:
-        return empty, empty, empty
-    ends = np.cumsum([len(t) for t in texts])
-    begin = ends - [len(t) for t in texts]
-    s = sums(a)
+        return (np.zeros(0, np.int64),) * 5
+    sizes = np.array([len(t) for t in texts])
+    ends = np.cumsum(sizes)
+    begin = ends - sizes
+    s, (_, down) = sums(a), powers(len(a) + 1)
     n = len(a) - gram + 1
-    h = mix((s[gram:] - s[:n]) * powers(len(a))[1][:n])
-    own = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    h = mix((s[gram:] - s[:n]) * down[:n])
+    own = np.repeat(np.arange(len(texts)), sizes)
     h[own[:n] != own[gram - 1:]] = NONE
     least = _slide(h, width, np.minimum)
     least[own[:len(least)] != own[length - 1:]] = 0          # windows across two texts do not count
     around = _slide(np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)]), width, np.maximum)
     at = np.flatnonzero((around == h) & (h != NONE))
-    return own[at], at - begin[own[at]], h[at].view(np.int64)
+    own, h = own[at], h[at]
+    first, last = np.maximum(at - (length - gram), begin[own]), np.minimum(at + length, ends[own])
+    c = mix((s[last] - s[first]) * down[first] + (at - first).astype(np.uint64))
+    return own, at - begin[own], h.view(np.int64), c.view(np.int64), last - at
+
+
+def first_in_text(own: np.ndarray, h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Which anchors are the first with their context in their text."""
+    key = np.stack([own, h, c])
+    order = np.lexsort(key[::-1])          # stable: equal contexts stay in order of position
+    k = key[:, order]
+    out = np.zeros(len(own), bool)
+    out[order] = np.concatenate([[True], (k[:, 1:] != k[:, :-1]).any(0)]) if len(own) else False
+    return out
 
 
 def order_suffixes(group: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,33 +139,40 @@ def _vertex(id_col: Column, key: Column) -> Column:
     return F.coalesce(id_col.cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(key, 2))
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def _join_hot(rows: DataFrame, other: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join with a table that is aggregated by ``on``: one more key makes both sides plain exchanges, which AQE can split."""
-    h = F.xxhash64(*on)
-    return rows.withColumn("__h", h).join(other.withColumn("__h", h), ["__h", *on], how).drop("__h")
+def _find_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        texts, vs = [bytes(t) for t in b["text"]], b["v"].to_numpy()
+        for lo, hi in chunks(texts):
+            own, pos, h, c, r = anchors(texts[lo:hi])
+            k = first_in_text(own, h, c)
+            yield pd.DataFrame({"h": h[k], "c": c[k], "v": vs[lo:hi][own[k]], "pos": pos[k].astype(np.int32),
+                                "r": r[k].astype(np.int32)})
 
 
-def _find_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _find_own_repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         texts, vs = [bytes(t) for t in b["text"]], b["v"].to_numpy()
         for lo, hi in chunks(texts):
-            own, pos, h = anchors(texts[lo:hi])
-            yield pd.DataFrame({"h": h, "v": vs[lo:hi][own], "pos": pos.astype(np.int32)})
+            own, pos, h, c, r = anchors(texts[lo:hi])
+            k = ~first_in_text(own, h, c)
+            own, start, stop = own[k], pos[k] - np.minimum(pos[k], LENGTH - GRAM), pos[k] + r[k]
+            if len(own):
+                # in order of position; overlapping neighbours make one stretch
+                new = np.concatenate([[True], (own[1:] != own[:-1]) | (start[1:] > np.maximum.accumulate(
+                    stop + own * (1 << 40))[:-1] - own[1:] * (1 << 40))])
+                at = np.flatnonzero(new)
+                yield pd.DataFrame({"v": vs[lo:hi][own[at]], "start": start[at], "stop": np.maximum.reduceat(stop, at)})
 
 
 def _cut_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     reach = LENGTH - GRAM
     for b in batches:
-        for v, text, pos, h in zip(b["v"], b["text"], b["pos"], b["h"]):
-            pos = np.asarray(pos)
+        for v, text, pos, h, many in zip(b["v"], b["text"], b["pos"], b["h"], b["many"]):
+            pos, h, many = np.asarray(pos), np.asarray(h), np.asarray(many)
             left = np.minimum(pos, reach)
             for at in range(0, len(pos), 20_000):
                 p, k = pos[at:at + 20_000], left[at:at + 20_000]
-                yield pd.DataFrame({"h": np.asarray(h)[at:at + 20_000], "v": v, "pos": p, "l": k,
+                yield pd.DataFrame({"h": h[at:at + 20_000], "many": many[at:at + 20_000], "v": v, "pos": p, "l": k,
                                     "ctx": [text[x - y:x + LENGTH] for x, y in zip(p, k)]})
 
 
@@ -191,30 +212,27 @@ def _suffix_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def stretches(docs: DataFrame) -> DataFrame:
     """v, start, stop: covered stretches, which may overlap.  ``docs``: v, text (binary), one row for each."""
-    found = docs.mapInPandas(_find_anchors, "h long, v long, pos int")
+    inside = docs.mapInPandas(_find_own_repeats, "v long, start long, stop long")
+    found = docs.mapInPandas(_find_anchors, "h long, c long, v long, pos int, r int")
     repeated = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    mine = materialize(_join_hot(found, repeated, ["h"]).groupBy("v").agg(
-        F.collect_list("pos").alias("pos"), F.collect_list("h").alias("h")))
-    # a document's anchors are fewer than its bytes
-    texts = docs.join(_sized(mine.select("v")), "v", "left_semi")
-    contexts = texts.join(mine, "v").mapInPandas(_cut_contexts, "h long, v long, pos int, l int, ctx binary")
-    contexts = materialize(contexts.select("h", "v", "pos", "l", F.xxhash64("ctx").alias("c1"),
-                                           F.xxhash64(F.lit(1), "ctx").alias("c2"), F.length("ctx").alias("n"), "ctx"))
-    same_ctx = ["h", "l", "c1", "c2"]
-    firsts = materialize(contexts.groupBy(*same_ctx).agg(
-        F.min(F.struct("v", "pos")).alias("g"), F.count("*").alias("times")))
-    later = _join_hot(contexts.drop("ctx"), firsts.where("times > 1").drop("times"), same_ctx).where(
-        (F.struct("v", "pos") != F.col("g")) & (F.col("n") >= LENGTH)).select(
-        "v", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") - F.col("l") + F.col("n")).alias("stop"))
+    met = materialize(join_hot(found, repeated, ["h"]))
+    firsts = materialize(met.groupBy("h", "c").agg(F.min(F.struct("v", "pos")).alias("g"), F.count("*").alias("times")))
+    left = F.least("pos", F.lit(LENGTH - GRAM))
+    later = join_hot(met, firsts.where("times > 1").drop("times"), ["h", "c"]).where(
+        F.struct("v", "pos") != F.col("g")).select(
+        "v", (F.col("pos") - left).cast("long").alias("start"), (F.col("pos") + F.col("r")).cast("long").alias("stop"))
 
     several = firsts.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    reps = _join_hot(firsts.select("h", F.col("g.v").alias("v"), F.col("g.pos").alias("pos")), several, ["h"])
-    own = materialize(contexts.select("h", "v", "pos", "l", "n", "ctx").join(reps, ["h", "v", "pos"]).where(F.col("n") >= LENGTH))
-    few = own.where(F.col("kinds") <= GROUP).select("h", "v", "pos", "l", "ctx")
-    sorted_few = few.repartition("h").sortWithinPartitions("h").mapInPandas(
-        _suffix_order, "v long, start long, stop long")
-    return (later.select("v", F.col("start").cast("long"), F.col("stop").cast("long")).union(sorted_few)
-            .union(_dealt_on(own.where(F.col("kinds") > GROUP))))
+    reps = join_hot(firsts.select("h", F.col("g.v").alias("v"), F.col("g.pos").alias("pos")), several, ["h"])
+    # a document's anchors are fewer than its bytes
+    lists = materialize(reps.groupBy("v").agg(F.collect_list("pos").alias("pos"), F.collect_list("h").alias("h"),
+                                              F.collect_list(F.col("kinds") > GROUP).alias("many")))
+    cut = docs.join(sized(lists.select("v")), "v", "left_semi").join(lists, "v").mapInPandas(
+        _cut_contexts, "h long, many boolean, v long, pos int, l int, ctx binary")
+    own = materialize(cut)
+    few = own.where("not many").drop("many").repartition("h").sortWithinPartitions("h")
+    return inside.union(later).union(few.mapInPandas(_suffix_order, "v long, start long, stop long")).union(
+        _dealt_on(own.where("many").withColumn("n", F.length("ctx"))))
 
 
 def _dealt_on(many: DataFrame) -> DataFrame:
@@ -227,7 +245,7 @@ def _dealt_on(many: DataFrame) -> DataFrame:
         "v", (F.col("pos") - F.col("l") + F.col("at")).alias("start")))
     on = ["h", "before", "s1", "s2"]
     first = flat.groupBy(*on).agg(F.min(F.struct("v", "start")).alias("g"), F.count("*").alias("times")).where("times > 1")
-    return _join_hot(flat, first.drop("times"), on).where(F.struct("v", "start") != F.col("g")).select(
+    return join_hot(flat, first.drop("times"), on).where(F.struct("v", "start") != F.col("g")).select(
         "v", F.col("start").cast("long"), (F.col("start") + LENGTH).cast("long").alias("stop"))
 
 
@@ -262,10 +280,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = materialize(docs.select(F.col(id_col).alias("id"), v.alias("v"), F.octet_length(text).cast("long").alias("n_bytes"),
                                    F.sha2(text, 256).alias("sha")))
     groups = rows.groupBy("sha").agg(F.min("v").alias("first"), F.count("*").alias("times"))
-    again = materialize(_join_hot(rows.select("sha", "v"), groups.where("times > 1"), ["sha"]).where(
+    again = materialize(join_hot(rows.select("sha", "v"), groups.where("times > 1"), ["sha"]).where(
         F.col("v") != F.col("first")).select("v").distinct())
     single = docs.select(v.alias("v"), text.alias("text")).where(F.octet_length("text") >= LENGTH).join(
-        _sized(again), "v", "left_anti")
+        sized(again), "v", "left_anti")
     repeated_ids = materialize(rows.groupBy("v").agg(F.count("*").alias("k")).where("k > 1").select("v"))
     # rows that repeat an id are one document (a few; rows of other ids need no shuffle)
     if not repeated_ids.isEmpty():
@@ -275,7 +293,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     cover = materialize(stretches(single)).groupBy("v").agg(
         F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     cover = materialize(cover)
-    texts = single.join(_sized(cover.select("v")), "v", "left_semi")
+    texts = single.join(sized(cover.select("v")), "v", "left_semi")
     cleaned = texts.join(cover, "v").mapInPandas(_remove, "v long, removed long, spans long, kept string")
 
     gone = again.select("v", F.lit(True).alias("copy"))
