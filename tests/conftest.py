@@ -12,10 +12,11 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from lendscope.session import checkpoint_dir, get_spark
+    from lendscope.session import checkpoint_dir, drop_materialized, get_spark
     s = get_spark(master=os.environ.get("TEST_MASTER", "local[*]"), shuffle_partitions=8)
     checkpoint_dir(s)
     yield s
+    drop_materialized(s)      # what this run wrote in the checkpoint folder
 
 
 @pytest.fixture(scope="session")
