@@ -55,6 +55,7 @@ def prefixes(wins: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
     placed = wins.select("window", "len", F.posexplode("ws").alias("off", "w"))
     vocab = materialize(placed.select("w").distinct())
     df = doc_words(docs, id_col, text_col).join(sized(vocab), "w").groupBy("w").agg(F.count("*").alias("n"))
+    df = materialize(df)                   # read twice below
     rarest = Window.partitionBy("window").orderBy("n", "w", "off")
     # words that the corpus does not have rule their window out, so an inner join is enough:
     # such a window keeps fewer words than it has and is dropped
