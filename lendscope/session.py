@@ -19,10 +19,6 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Broadcast joins are only ever requested explicitly on sides with a size
-    # bound (rule tables, fit tables, literal lookups); AQE may still convert a
-    # sort-merge join at run time when it sees a small side.
-    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
 }
 
 
