@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendscope.llm.common import materialize
+from lendscope.llm.common import join_hot, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,20 +21,14 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: every neighbour above a vertex is tied to the smallest vertex around it
         both = pairs.union(pairs.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = _joined(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = join_hot(both.where("v > u"), low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: every vertex and its smaller neighbours are tied to the smallest of them
         large = materialize(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = _joined(large, least).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        small = join_hot(large, least, ["u"]).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
         small = materialize(small.where("u <> v").distinct())
         if small.exceptAll(pairs).isEmpty() and pairs.exceptAll(small).isEmpty():
             break
         pairs = small
     return pairs.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("label")).union(
         pairs.select("v", F.col("v").alias("label")).distinct())
-
-
-def _joined(rows: DataFrame, low: DataFrame) -> DataFrame:
-    # one more join key than the grouping had: both sides are plain exchanges, which AQE can split
-    k = F.xxhash64("u")
-    return rows.withColumn("k", k).join(low.withColumn("k", k), ["k", "u"]).drop("k")

@@ -10,14 +10,18 @@ of a set are ordered - shingles known to be frequent last, the others by hash -
 t - ceil(0.8 t) + 1 of them are keys, one of which two linked sets must share.  The boundary is
 the size at which enumerating starts to cost more rows than it saves in list scans.
 
-Lists are scanned in two rounds, so that a group of near copies does not become all its pairs:
- 1. every class is verified against one member: the smallest class of the lists, taking the one
-    it shares most lists with;
+Lists are scanned in rounds, so that a group of near copies does not become all its pairs:
+ 1. in each of ROUNDS rounds every class is verified against one member of another component: the
+    first class of its lists in an order that changes by round, taking the one it shares most
+    lists with;
  2. of the classes that share a list but not yet a component, all pairs that can still link by
-    their sizes and places in the lists are verified.
-So no link between two components is lost, and pairs inside a component are not formed.
+    their sizes, their places in the lists and their bitmaps are verified.
+So no link between two components is lost, and pairs inside a component are not formed.  The
+bitmap of a set has bit i set if an odd number of its shingles hash to i; two bitmaps differ in at
+most as many bits as the sets differ in shingles, so it rules out pairs without their sets.
 
-The table of frequent shingles only sets the order: any order gives the same links.  It has at
+The table of frequent shingles only sets the order: any order gives the same links.  It is made
+of all rows (shingles that repeat within a chunk of texts, counted over all chunks) and has at
 most FREQUENT rows, hence the broadcast.
 
 Defined results: a text without words (null, empty) has no shingle, n_shingles 0, and is a
@@ -37,14 +41,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendscope.llm.common import materialize, text_key
+from lendscope.llm.common import join_hot, materialize, sized, text_key
 from lendscope.llm.components import components
 from lendscope.llm.nptext import chunks, mix, shingle_sets
 
 WIDTH = 5
 NUM, DEN = 80, 100                 # similarity of at least NUM / DEN
-FREQUENT = 1 << 16
-LOCAL_REPEATS = 8                  # repeats within one chunk of texts that make a shingle a candidate for FREQUENT
+FREQUENT = 1 << 17
+LOCAL_REPEATS = 2                  # repeats within one chunk of texts that make a shingle a candidate for FREQUENT
+ROUNDS = 3
+BITS = 1024
 COUNT_BYTES = 16 << 20
 LARGEST_LIGHT = 12
 LIST_SCAN = 4                      # cost of a list row (scan, positions, verification) in units of an enumerated row
@@ -78,10 +84,10 @@ def choose_boundary(histogram: dict[int, int]) -> int:
     return min(range(LARGEST_LIGHT + 1), key=lambda b: (cost(b), b))
 
 
-def keys_of(u: np.ndarray, boundary: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def keys_of(u: np.ndarray, boundary: int, frequent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(keys, places) of a set: places in the order for list keys, 0 for subsets.
 
-    ``frequent``: sorted shingles that come last."""
+    ``frequent``: sorted shingles that come last, in the order of their ``rank``."""
     s, keys, places = len(u), [], []
     if 0 < s <= boundary:
         for c in subset_sizes(s):
@@ -94,7 +100,7 @@ def keys_of(u: np.ndarray, boundary: int, frequent: np.ndarray) -> tuple[np.ndar
     if s and DEN * s // NUM > boundary:
         at = np.searchsorted(frequent, u)
         last = frequent[np.minimum(at, len(frequent) - 1)] == u if len(frequent) else np.zeros(s, bool)
-        order = np.concatenate([u[~last], u[last]])[:prefix_len(s)]
+        order = np.concatenate([u[~last], u[last][np.argsort(rank[at[last]], kind="stable")]])[:prefix_len(s)]
         keys.append(order)
         places.append(np.arange(len(order), dtype=np.int32))
     if not keys:
@@ -106,8 +112,13 @@ def _encoded(s: pd.Series) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in s]
 
 
-def statistics(docs: DataFrame, text_col: str) -> tuple[np.ndarray, dict[int, int]]:
-    """(at most FREQUENT frequent shingles, sorted; number of sets of each small size), over all rows."""
+def bitmap(u: np.ndarray) -> np.ndarray:
+    odd = np.bincount((u >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
+def statistics(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
+    """(at most FREQUENT frequent shingles, sorted; their ranks; number of sets of each small size), over all rows."""
     small = DEN * LARGEST_LIGHT // NUM
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,9 +134,20 @@ def statistics(docs: DataFrame, text_col: str) -> tuple[np.ndarray, dict[int, in
 
     counted = materialize(docs.select(F.col(text_col).alias("text")).mapInPandas(count, "kind int, value long, n long")
                           .groupBy("kind", "value").agg(F.sum("n").alias("n")))
-    often = counted.where("kind = 0").orderBy(F.desc("n"), "value").limit(FREQUENT).collect()
+    # the least count that FREQUENT shingles can have together (counts above 1000 as one)
+    by_count = {r["c"]: r["m"] for r in counted.where("kind = 0").groupBy(F.least("n", F.lit(1000)).alias("c")).agg(
+        F.count("*").alias("m")).collect()}
+    least, room = 1001, FREQUENT
+    while least - 1 >= LOCAL_REPEATS and by_count.get(least - 1, 0) <= room:
+        least -= 1
+        room -= by_count.get(least, 0)
+    often = counted.where((F.col("kind") == 0) & (F.col("n") >= least)).select("value", "n").toPandas()
+    value = often["value"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(value)
+    rank = np.empty(len(value), np.int32)
+    rank[np.lexsort((value, often["n"].to_numpy()))] = np.arange(len(value), dtype=np.int32)
     sizes = {r["value"]: r["n"] for r in counted.where("kind = 1 and n > 0").collect()}
-    return np.sort(np.array([r["value"] for r in often], np.int64).view(np.uint64)), sizes
+    return value[order], rank[order], sizes
 
 
 def vertex(id_col: Column, key: Column) -> Column:
@@ -133,26 +155,26 @@ def vertex(id_col: Column, key: Column) -> Column:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """vertex, size, set (digest), keys, places of every row."""
-    frequent, sizes = statistics(docs, text_col)
+    """vertex, size, set (digest), bits (bitmap), keys, places of every row."""
+    frequent, rank, sizes = statistics(docs, text_col)
     boundary = choose_boundary(sizes)
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, rank))
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
-        often = shared.value
+        often, rank = shared.value
         for b in batches:
             texts, vs = _encoded(b["text"]), b["vertex"].to_numpy()
             for lo, hi in chunks(texts):
                 sets = shingle_sets(texts[lo:hi], WIDTH)
-                both = [keys_of(u, boundary, often) for u in sets]
+                both = [keys_of(u, boundary, often, rank) for u in sets]
                 yield pd.DataFrame({
                     "vertex": vs[lo:hi], "size": [len(u) for u in sets],
-                    "set": [hashlib.md5(u.tobytes()).digest() for u in sets],
+                    "set": [hashlib.md5(u.tobytes()).digest() for u in sets], "bits": [bitmap(u) for u in sets],
                     "keys": [k.view(np.int64) for k, _ in both], "places": [p for _, p in both]})
 
     rows = docs.select(vertex(F.col(id_col), text_key(F.col(text_col))).alias("vertex"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(emit, "vertex long, size int, set binary, keys array<long>, places array<int>")
+    return rows.mapInPandas(emit, "vertex long, size int, set binary, bits array<long>, keys array<long>, places array<int>")
 
 
 def close_sizes(a: str, b: str) -> Column:
@@ -162,79 +184,85 @@ def close_sizes(a: str, b: str) -> Column:
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) that link, by the exact sets of both."""
     pairs = materialize(pairs)
-    wanted = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
+    wanted = sized(materialize(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()))
     rows = docs.select(vertex(F.col(id_col), text_key(F.col(text_col))).alias("v"), F.col(text_col).alias("text"))
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts, vs = _encoded(b["text"]), b["v"].to_numpy()
             for lo, hi in chunks(texts):
-                yield pd.DataFrame({"v": vs[lo:hi],
-                                    "u": [u.tobytes() for u in shingle_sets(texts[lo:hi], WIDTH)]})
-
-    sets = materialize(rows.join(wanted, "v", "left_semi").mapInPandas(make, "v long, u binary").dropDuplicates(["v"]))
-
-    @F.pandas_udf("boolean")
-    def link(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y):
-            a, b = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            at = np.searchsorted(a, b)
-            n = int((a[np.minimum(at, len(a) - 1)] == b).sum())
-            out.append(DEN * n >= NUM * (len(a) + len(b) - n))
-        return pd.Series(out, dtype=bool)
+                yield pd.DataFrame({"v": vs[lo:hi], "u": [u.view(np.int64) for u in shingle_sets(texts[lo:hi], WIDTH)]})
 
+    sets = materialize(rows.join(wanted, "v", "left_semi").mapInPandas(make, "v long, u array<long>"))
     left, right = sets.toDF("a", "ua"), sets.toDF("b", "ub")
-    return pairs.join(left, "a").join(right, "b").where(link("ua", "ub")).select("a", "b")
+    common = F.size(F.array_intersect("ua", "ub"))
+    # repeated rows of a document give their pair again
+    return pairs.join(left, "a").join(right, "b").where(
+        DEN * common >= NUM * (F.size("ua") + F.size("ub") - common)).select("a", "b").distinct()
 
 
 def lists(keyed_rows: DataFrame) -> DataFrame:
     """key, v, size, place of the keys that at least two classes have."""
     one = keyed_rows.where("size > 0").groupBy("set").agg(F.min("vertex").alias("v"))
-    k = F.xxhash64("v")
-    reps = keyed_rows.select(F.col("vertex").alias("v"), "size", "keys", "places").withColumn("k", k).join(
-        one.select("v").distinct().withColumn("k", k), ["k", "v"], "left_semi").drop("k")
+    reps = keyed_rows.select(F.col("vertex").alias("v"), "size", "keys", "places").join(
+        one.select("v").distinct(), "v", "left_semi")
     flat = reps.select("v", "size", F.explode(F.arrays_zip("keys", "places")).alias("z")).select(
         F.col("z.keys").alias("key"), "v", "size", F.col("z.places").alias("place"))
     counts = flat.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    h = F.xxhash64("key")
-    return materialize(flat.withColumn("h", h).join(counts.withColumn("h", h), ["h", "key"]).drop("h"))
+    return materialize(join_hot(flat, counts, ["key"]))
 
 
-def first_round(in_lists: DataFrame) -> DataFrame:
-    """a, b: each class with the smallest class of its lists, the one it shares most of them with."""
-    h = F.xxhash64("key")
-    pivot = in_lists.groupBy("key").agg(F.min(F.struct("v", "size")).alias("p"))
-    tied = in_lists.withColumn("h", h).join(pivot.withColumn("h", h), ["h", "key"]).select(
-        "v", "size", F.col("p.v").alias("b"), F.col("p.size").alias("b_size")).where(
-        (F.col("v") != F.col("b")) & close_sizes("size", "b_size"))
+def labelled(in_lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lists that still hold classes of different components, with each class's label."""
+    marked = materialize(in_lists.drop("label").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v")))
+    mixed = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    return materialize(join_hot(marked, mixed, ["key"]))
+
+
+def star(live: DataFrame, turn: int) -> DataFrame:
+    """a, b: each class with the first class of its lists, of those of another component the one it shares most lists with."""
+    order = F.xxhash64(F.lit(turn), "label") if turn else F.col("label")
+    pivot = live.groupBy("key").agg(F.min(F.struct(order.alias("o"), "label", "v", "size")).alias("p"))
+    tied = join_hot(live, pivot, ["key"]).select(
+        "v", "size", "label", F.col("p.v").alias("b"), F.col("p.size").alias("b_size"), F.col("p.label").alias("b_label")).where(
+        (F.col("label") != F.col("b_label")) & close_sizes("size", "b_size"))
     votes = tied.groupBy("v", "b").agg(F.count("*").alias("n"))
     return votes.groupBy("v").agg(F.max(F.struct("n", (-F.col("b")).alias("nb"))).alias("m")).select(
         F.col("v").alias("a"), (-F.col("m.nb")).alias("b"))
 
 
-def second_round(in_lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """a, b: classes of different components that share a list and can link."""
-    marked = materialize(in_lists.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v")))
-    mixed = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    h = F.xxhash64("key")
-    live = materialize(marked.withColumn("h", h).join(mixed.withColumn("h", h), ["h", "key"]).drop("h"))
+def rest(live: DataFrame, rows: DataFrame) -> DataFrame:
+    """a, b: all classes of different components that share a list and can link."""
     x, y = live.alias("x"), live.alias("y")
     # a list key's place bounds the overlap by what can still follow in both orders
     room = F.least("x.place", "y.place") + F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
     can = (room * (DEN + NUM) >= NUM * (F.col("x.size") + F.col("y.size")))
-    return x.join(y, "key").where((F.col("x.v") < F.col("y.v")) & (F.col("x.label") != F.col("y.label"))
-                                  & close_sizes("x.size", "y.size") & can).select(
-        F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct()
+    pairs = materialize(x.join(y, "key").where(
+        (F.col("x.v") < F.col("y.v")) & (F.col("x.label") != F.col("y.label")) & close_sizes("x.size", "y.size") & can).select(
+        F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct())
+    bits = materialize(rows.select(F.col("vertex").alias("v"), "size", "bits").join(
+        pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct(), "v", "left_semi").dropDuplicates(["v"]))
+    both = pairs.join(bits.toDF("a", "sa", "ba"), "a").join(bits.toDF("b", "sb", "bb"), "b")
+    differ = F.aggregate(F.zip_with("ba", "bb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
+    # shingles in one of the two sets only: at most this share of both sizes
+    return both.where(differ * (DEN + NUM) <= (DEN - NUM) * (F.col("sa") + F.col("sb"))).select("a", "b")
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows: vertex, size, set; labels: v, label of the classes that are linked)."""
     rows = materialize(keyed(docs, id_col, text_col))
-    own = lists(rows)
-    edges = materialize(verified(first_round(own), docs, id_col, text_col))
-    more = verified(second_round(own, components(edges)), docs, id_col, text_col)
-    return rows, components(edges.union(more))
+    live = lists(rows).withColumn("label", F.col("v"))
+    edges = docs.sparkSession.createDataFrame([], "a long, b long")
+    labels = docs.sparkSession.createDataFrame([], "v long, label long")
+    for turn in range(ROUNDS):
+        found = materialize(verified(star(live, turn), docs, id_col, text_col))
+        if found.isEmpty():
+            break
+        edges = edges.union(found)
+        labels = materialize(components(edges))
+        live = labelled(live, labels)
+    more = materialize(verified(rest(live, rows), docs, id_col, text_col))
+    return rows, labels if more.isEmpty() else materialize(components(edges.union(more)))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,8 +271,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     narrow = rows.select("vertex", "size", "set")
     one = narrow.where("size > 0").groupBy("set").agg(F.min("vertex").alias("v"))
     classed = one.join(labels, "v", "left").select("set", F.coalesce("label", "v").alias("component"))
-    h = F.xxhash64("set")
-    out = narrow.withColumn("h", h).join(classed.withColumn("h", h), ["h", "set"], "left")
+    out = join_hot(narrow, classed, ["set"], "left")
     # a text without words is alone
     component = F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("vertex"))
     return out.select(
