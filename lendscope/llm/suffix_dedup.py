@@ -165,15 +165,27 @@ def _find_own_repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
 
 
 def _cut_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    reach = LENGTH - GRAM
+    reach, rows = LENGTH - GRAM, 20_000
+
+    def frame(parts: list[tuple]) -> pd.DataFrame:
+        h, many, v, p, k, ctx = zip(*parts)
+        return pd.DataFrame({"h": np.concatenate(h), "many": np.concatenate(many), "v": np.concatenate(v),
+                             "pos": np.concatenate(p), "l": np.concatenate(k), "ctx": [c for x in ctx for c in x]})
+
+    parts, size = [], 0
     for b in batches:
         for v, text, pos, h, many in zip(b["v"], b["text"], b["pos"], b["h"], b["many"]):
-            pos, h, many = np.asarray(pos), np.asarray(h), np.asarray(many)
             left = np.minimum(pos, reach)
-            for at in range(0, len(pos), 20_000):
-                p, k = pos[at:at + 20_000], left[at:at + 20_000]
-                yield pd.DataFrame({"h": h[at:at + 20_000], "many": many[at:at + 20_000], "v": v, "pos": p, "l": k,
-                                    "ctx": [text[x - y:x + LENGTH] for x, y in zip(p, k)]})
+            for at in range(0, len(pos), rows):
+                p, k = pos[at:at + rows], left[at:at + rows]
+                ctx = [text[x:x + y + LENGTH] for x, y in zip((p - k).tolist(), k.tolist())]
+                parts.append((h[at:at + rows], many[at:at + rows], np.full(len(p), v), p, k, ctx))
+                size += len(p)
+                if size >= rows:
+                    yield frame(parts)
+                    parts, size = [], 0
+    if parts:
+        yield frame(parts)
 
 
 def _suffix_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
