@@ -26,12 +26,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendscope.llm.common import materialize, text_key
+from lendscope.llm.common import join_hot, materialize, sized, text_key
 from lendscope.llm.nptext import BASE, mix, powers
 
 MIN_CHARS = 16
 BLOCKS = 4
-BROADCAST_ROWS = 200_000
 NO_ID = 1 << 62
 _K = mix(np.arange(1, 5, dtype=np.uint64)) | np.uint64(1)
 _BLOCK = np.arange(BLOCKS, dtype=np.uint64) * _K[3]
@@ -94,16 +93,6 @@ def _vertex(id_col: Column, key: Column) -> Column:
     return F.coalesce(id_col.cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(key, 2))
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def _join_hot(rows: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
-    """Join with a table aggregated by ``on``; one more key makes both sides plain exchanges, which AQE can split."""
-    h = F.xxhash64(*on)
-    return rows.withColumn("__h", h).join(other.withColumn("__h", h), ["__h", *on]).drop("__h")
-
-
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """v, line (number), s (trimmed text) of the lines that are not blank."""
     rows = docs.select(_vertex(F.col(id_col), text_key(F.col(text_col))).alias("v"),
@@ -119,10 +108,17 @@ def _add_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _add_variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
+        parts, size = [], 0
         for v, line, s, slots in zip(b["v"], b["line"], b["s"], b["slots"]):
             for slot in slots:
                 kinds, keys = variants(s, int(slot))
-                yield pd.DataFrame({"key": keys, "kind": kinds, "v": v, "line": line})
+                parts.append((keys, np.array(kinds, np.int32), np.full(len(keys), v), np.full(len(keys), line, np.int32)))
+                size += len(keys)
+            if size >= 50_000:
+                yield pd.DataFrame(dict(zip(("key", "kind", "v", "line"), map(np.concatenate, zip(*parts)))))
+                parts, size = [], 0
+        if parts:
+            yield pd.DataFrame(dict(zip(("key", "kind", "v", "line"), map(np.concatenate, zip(*parts)))))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,7 +128,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                                      F.xxhash64(F.lit(1), "s").alias("h2"), "s").mapInPandas(
         _add_keys, "v long, line int, n int, h1 long, h2 long, keys array<long>"))
     firsts = materialize(lines.groupBy("h1", "h2").agg(F.min(F.struct("v", "line")).alias("g"), F.count("*").alias("times")))
-    exact = _join_hot(lines.select("h1", "h2", "v", "line"), firsts.where("times > 1").drop("times"), ["h1", "h2"]).where(
+    exact = join_hot(lines.select("h1", "h2", "v", "line"), firsts.where("times > 1").drop("times"), ["h1", "h2"]).where(
         F.struct("v", "line") != F.col("g")).select("v", "line", F.lit(False).alias("near"))
 
     # lines that meet another one without a block
@@ -140,9 +136,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     keyed = lines.where(F.col("n") >= MIN_CHARS).select("v", "line", "keys").join(first_at, ["v", "line"], "left_semi")
     keyed = keyed.dropDuplicates(["v", "line"]).select("v", "line", F.posexplode("keys").alias("slot", "key"))
     meets = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    live = materialize(_join_hot(keyed, meets, ["key"]).groupBy("v", "line").agg(F.collect_set("slot").alias("slots")))
+    live = materialize(join_hot(keyed, meets, ["key"]).groupBy("v", "line").agg(F.collect_set("slot").alias("slots")))
 
-    has_any = _sized(materialize(live.select("v").distinct()))
+    has_any = sized(materialize(live.select("v").distinct()))
     texts = materialize(split_lines(docs, id_col, text_col).join(has_any, "v", "left_semi").join(live, ["v", "line"])
                         .dropDuplicates(["v", "line"]))
     var = materialize(texts.mapInPandas(_add_variants, "key long, kind int, v long, line int"))
@@ -150,11 +146,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     me = F.struct("v", "line")
     placed = var.where("kind = 0")
     alike = placed.groupBy("key").agg(F.min(me).alias("g"), F.count("*").alias("c")).where("c > 1").drop("c")
-    pairs = _join_hot(placed, alike, ["key"]).where(me != F.col("g"))
+    pairs = join_hot(placed, alike, ["key"]).where(me != F.col("g"))
     ends = var.where("kind > 0").groupBy("key").agg(
         F.min(F.when(F.col("kind") == 2, me)).alias("short"), F.min(F.when(F.col("kind") == 1, me)).alias("long")
     ).where("short is not null and long is not null")
-    tied = _join_hot(var.where("kind > 0"), ends, ["key"]).withColumn(
+    tied = join_hot(var.where("kind > 0"), ends, ["key"]).withColumn(
         "g", F.when(F.col("kind") == 2, F.col("long")).otherwise(F.col("short"))).where(F.col("g") < me)
     pairs = pairs.select("v", "line", "g").union(tied.select("v", "line", "g")).select(
         "v", "line", F.col("g.v").alias("gv"), F.col("g.line").alias("gline")).distinct()
@@ -175,7 +171,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     n_lines = F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(F.size("lines"))
     rows = rows.withColumn("n_lines", n_lines.cast("long"))
     # only texts that lose lines meet their list
-    ids = _sized(materialize(gone.select("v")))
+    ids = sized(materialize(gone.select("v")))
     cut = rows.join(ids, "v", "left_semi").join(gone, "v").select(
         "id", "n_lines", F.size("equal").cast("long").alias("n_equal"), F.size("close").cast("long").alias("n_near"),
         F.array_join(F.filter("lines", lambda _, i: ~F.array_contains(F.array_union("equal", "close"), i)), "\n").alias("text"))
