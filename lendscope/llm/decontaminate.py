@@ -51,7 +51,7 @@ def doc_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def prefixes(wins: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """w, window, len, off, n_off: each window's rarest words in the corpus, at one place each."""
+    """w, window, len, off, bit, need: each window's rarest words in the corpus, at one place each."""
     placed = wins.select("window", "len", F.posexplode("ws").alias("off", "w"))
     vocab = materialize(placed.select("w").distinct())
     df = doc_words(docs, id_col, text_col).join(sized(vocab), "w").groupBy("w").agg(F.count("*").alias("n"))
@@ -63,7 +63,8 @@ def prefixes(wins: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
     whole = known.groupBy("window").agg(F.count("*").alias("c"))
     return (known.join(whole, "window").where("c = len").withColumn("r", F.row_number().over(rarest))
             .where(F.col("r") <= PREFIX)
-            .select("w", "window", "len", "off", F.least("len", F.lit(PREFIX)).alias("need")))
+            .select("w", "window", "len", "off", F.expr("shiftleft(1, r - 1)").alias("bit"),
+                    F.least("len", F.lit(PREFIX)).alias("need")))
 
 
 def candidates(docs: DataFrame, wins: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -71,9 +72,10 @@ def candidates(docs: DataFrame, wins: DataFrame, id_col: str, text_col: str) ->
     pre = materialize(prefixes(wins, docs, id_col, text_col))
     at = doc_words(docs, id_col, text_col).join(sized(pre), "w").where(
         (F.col("pos") >= F.col("off")) & (F.col("pos") - F.col("off") + F.col("len") <= F.col("total")))
+    # bits, not a count: rows that repeat id and text bring each prefix word once a row
     return (at.groupBy("id", "key", (F.col("pos") - F.col("off")).alias("start"), "window")
-            .agg(F.count("*").alias("c"), F.max("need").alias("need"), F.max("len").alias("len"))
-            .where("c = need").select("id", "key", "start", "window", "len"))
+            .agg(F.bit_or("bit").alias("bits"), F.max("need").alias("need"), F.max("len").alias("len"))
+            .where("bits = shiftleft(1, need) - 1").select("id", "key", "start", "window", "len"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text",

@@ -455,3 +455,12 @@ def test_decontamination_beyond_the_broadcast_bound(spark, monkeypatch):
     items = [x for x in X.ITEMS if x[0] is not None]
     got = decontaminate.scan(X.docs(spark), X.bench(spark, items))
     assert rows_of(got, "doc_id", "n_hit", "n_items") == X.repeat_rows([(i, *brute_hits(t, items)[1:3]) for i, t in X.texts()])
+
+
+def test_decontamination_of_repeated_rows(spark):
+    items = [x for x in X.ITEMS if x[0] is not None]
+    whole = "before " + X.ITEMS[0][1] + " after"
+    rows = X.texts() + [(810, whole)] * 2 + [(811, "short item words")] * 3 + [(None, whole)] * 2 + [(812, whole), (813, whole)]
+    got = decontaminate.scan(X.docs(spark, rows), X.bench(spark, items))
+    assert rows_of(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == \
+        X.repeat_rows([(i, *brute_hits(t, items)) for i, t in rows])
