@@ -32,6 +32,11 @@ LANDMARKS = 128
 SAMPLE_PER_LANG = 600
 RIDGE = 1e-2
 BATCH = 256
+#: Levels of similarity: from at least LEVEL_ROWS held-out rows, MARGIN times what all but LEVEL_SHARE of them reach.
+LEVEL_ROWS = 20
+LEVEL_SHARE = 0.01
+MARGIN = 0.9
+LENGTHS = 32             # classes of length: powers of two
 
 
 def grams(text: str) -> np.ndarray:
@@ -65,8 +70,13 @@ class Model:
     landmarks: np.ndarray    # LANDMARKS x DIM
     weights: np.ndarray      # LANDMARKS x languages: K_mm^(-1/2) times the ridge solution
 
+    def scored(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each language, and the kernel value of the nearest landmark."""
+        k = kernel(presence(texts), self.landmarks)
+        return k @ self.weights, k.max(1)
+
     def values(self, texts) -> np.ndarray:
-        return kernel(presence(texts), self.landmarks) @ self.weights
+        return self.scored(texts)[0]
 
 
 def solve(x: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
@@ -87,9 +97,12 @@ def has_letter(c: Column) -> Column:
     return F.coalesce(c.rlike(r"\p{L}"), F.lit(False))
 
 
-def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        per_lang: int = SAMPLE_PER_LANG) -> Model | None:
-    """Model of the labelled rows; None if there are none."""
+def length_class(c: Column) -> Column:
+    return F.least(F.floor(F.log2(F.greatest(F.length(c), F.lit(1)))).cast("int"), F.lit(LENGTHS - 1))
+
+
+def _drawn(train: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> DataFrame | None:
+    """lang, draw, text of about ``per_lang`` labelled rows of each language, by a hash of their id; None if there are none."""
     rows = train.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"),
                         F.col(text_col).alias("text")).where(F.col("lang").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -98,6 +111,16 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     draw = F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(1 << 30))
     share = F.element_at(F.create_map(*(v for k, n in sorted(counts.items())
                                         for v in (F.lit(k), F.lit(int(min(1.0, per_lang / n) * (1 << 30)))))), F.col("lang"))
+    return rows.withColumn("draw", draw).where((F.col("draw") < share) & has_letter(F.col("text"))).select(
+        "lang", "draw", "text")
+
+
+def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+        per_lang: int = SAMPLE_PER_LANG) -> Model | None:
+    """Model of the labelled rows; None if there are none."""
+    drawn = _drawn(train, id_col, text_col, lang_col, per_lang)
+    if drawn is None:
+        return None
 
     def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -107,8 +130,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
                 yield pd.DataFrame({"lang": part["lang"].to_numpy(), "draw": part["draw"].to_numpy(),
                                     "bits": [p.tobytes() for p in packed]})
 
-    drawn = rows.withColumn("draw", draw).where((F.col("draw") < share) & has_letter(F.col("text")))
-    got = drawn.select("lang", "draw", "text").mapInPandas(bits, "lang string, draw long, bits binary").collect()
+    got = drawn.mapInPandas(bits, "lang string, draw long, bits binary").collect()
     got = sorted(got, key=lambda r: (r["draw"], r["lang"], bytes(r["bits"])))
     if not got:
         return None
@@ -116,28 +138,67 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     return solve(x.astype(np.float32), [r["lang"] for r in got])
 
 
+def levels(held: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+           per_lang: int = SAMPLE_PER_LANG) -> list[float]:
+    """The least similarity of a text of a known language, by class of length, from labelled rows that ``model`` has not seen.
+
+    A class with few rows is taken together with shorter ones, whose similarities are lower; one for
+    which even that gives less than LEVEL_ROWS has level 0 and rules nothing out."""
+    drawn = None if model is None else _drawn(held, id_col, text_col, lang_col, per_lang)
+    if drawn is None:
+        return [0.0] * LENGTHS
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), BATCH):
+                part = b.iloc[at:at + BATCH]
+                yield pd.DataFrame({"c": part["c"].to_numpy(), "like": model.scored(list(part["text"]))[1].astype(float)})
+
+    # about ``per_lang`` pairs of numbers for each language
+    got = drawn.select(length_class(F.col("text")).alias("c"), "text").mapInPandas(measure, "c int, like double").collect()
+    by = [[r["like"] for r in got if r["c"] == c] for c in range(LENGTHS)]
+    out = []
+    for c in range(LENGTHS):
+        own = []
+        for k in range(c, -1, -1):
+            own += by[k]
+            if len(own) >= LEVEL_ROWS:
+                break
+        out.append(MARGIN * sorted(own)[int(LEVEL_SHARE * len(own))] if len(own) >= LEVEL_ROWS else 0.0)
+    return out
+
+
+def like_known(similarity: Column, text: Column, least: list[float]) -> Column:
+    """Whether a text is as similar to some landmark as texts of its length in a known language are."""
+    return similarity >= F.get(F.array(*map(F.lit, least)), length_class(text))
+
+
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_out: str = "lang_pred",
-            score_out: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and, from 0 to 1, how clearly it fits (1: like a training text)."""
+            score_out: str = "score", similarity_out: str | None = None) -> DataFrame:
+    """``docs`` with the predicted language and, from 0 to 1, how clearly it fits (1: like a training text).
+
+    ``similarity_out`` also names a column for the kernel value of the nearest landmark."""
     if model is None:
-        return docs.withColumns({lang_out: F.lit("und"), score_out: F.lit(0.0)})
+        more = {} if similarity_out is None else {similarity_out: F.lit(0.0)}
+        return docs.withColumns({lang_out: F.lit("und"), score_out: F.lit(0.0)} | more)
 
-    @F.pandas_udf("struct<lang string, score double>")
+    @F.pandas_udf("struct<lang string, score double, similarity double>")
     def classify(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
-            lang, score = np.full(len(s), "und", object), np.zeros(len(s))
+            lang, score, near = np.full(len(s), "und", object), np.zeros(len(s)), np.zeros(len(s))
             at = np.flatnonzero(s.notna().to_numpy())
             for k in range(0, len(at), BATCH):
                 own = at[k:k + BATCH]
-                v = model.values(list(s.iloc[own]))
+                v, near[own] = model.scored(list(s.iloc[own]))
                 best = v.argmax(1)
                 lang[own] = np.array(model.langs, object)[best]
                 score[own] = (np.clip(v[np.arange(len(own)), best], -1, 1) + 1) / 2
-            yield pd.DataFrame({"lang": lang, "score": score})
+            yield pd.DataFrame({"lang": lang, "score": score, "similarity": near})
 
     text = F.when(has_letter(F.col(text_col)), F.col(text_col))
+    more = {} if similarity_out is None else {similarity_out: F.col("__langid.similarity")}
     return (docs.withColumn("__langid", classify(text))
-            .withColumns({lang_out: F.col("__langid.lang"), score_out: F.col("__langid.score")}).drop("__langid"))
+            .withColumns({lang_out: F.col("__langid.lang"), score_out: F.col("__langid.score")} | more).drop("__langid"))
 
 
 def held_out(id_col: str) -> Column:

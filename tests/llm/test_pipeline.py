@@ -1,6 +1,8 @@
 """The pipeline's stages on awkward rows, and its queries in the entry file."""
 
+import base64
 import os
+import random
 import sys
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -42,6 +44,21 @@ def test_stages(spark, tmp_path):
     assert last.count() == fourth.count() and {"doc_id", "shard", "slot"} <= set(last.columns)
 
 
+def test_language_id_rejects_junk(spark):
+    rnd = random.Random(2)
+    words = {"en": "the quick thing over that with which there and she from have this would".split(),
+             "de": "der und nicht eine schön über auch werden durch ich wir haben mit noch".split()}
+    clean = [(i, " ".join(rnd.choice(words["de" if i % 2 else "en"]) for _ in range(rnd.randint(15, 120))), "de" if i % 2 else "en")
+             for i in range(600)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    junk = ["z" * 300, "q" * 100, "".join(rnd.choice(letters) for _ in range(400)),
+            " ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(2, 9))) for _ in range(60)),
+            base64.b64encode(rnd.randbytes(300)).decode(), "съешь ещё этих мягких французских булок да выпей же чаю " * 3]
+    docs = spark.createDataFrame(clean + [(1000 + i, t, None) for i, t in enumerate(junk)], "doc_id long, text string, lang string")
+    got = {r.doc_id for r in C.language_id(spark, docs, "").collect()}
+    assert not got & set(range(1000, 1000 + len(junk))) and got == set(range(600))
+
+
 def test_run_and_empty(spark, tmp_path):
     sf = tables(spark, tmp_path / "a", X.texts())
     got = C.run(spark, sf).collect()
