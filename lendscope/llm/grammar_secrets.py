@@ -9,8 +9,8 @@ is scored by its likelihood per symbol under each automaton against a uniform so
 ``format`` span when some automaton gives at least what all but 2 % of that kind's own
 credentials get.
 
-Fit: at most PER_KIND credentials of each kind from about SAMPLE_DOCS rows chosen by a hash of
-their id (a bound on fitting only; every row and whole text is scanned).
+Fit: the PER_KIND credentials of each kind that are first by hash, out of all rows (a bound on
+fitting only; every row and whole text is scanned).
 
 Defined results: a null text is empty and has no spans; rows keep their multiplicity; with too few
 credentials of a kind no automaton of it is used; an empty table gives an empty result; only the
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Patterns, least lengths and kinds (fixed by the result contract).
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -38,8 +39,8 @@ KINDS = ("assign", "access", "hex", "format")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 DIGIT = re.compile(r"[0-9]")
-SAMPLE_DOCS = 20_000
 PER_KIND = 400
+SALTS = 64
 MIN_CREDENTIALS = 20
 CONFIDENCE = 0.05
 
@@ -163,22 +164,36 @@ def infer(labelled: list[tuple[str, str]]) -> list[tuple[Automaton, float]]:
     return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[Automaton, float]]:
-    n = docs.count()
-    share = int(min(1.0, SAMPLE_DOCS / max(1, n)) * (1 << 30))
-    own = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(1 << 30))
+def first_by_hash(found: dict[str, dict[str, str]]) -> None:
+    """Of each kind the PER_KIND first values by hash stay."""
+    for kind, values in found.items():
+        if len(values) > PER_KIND:
+            found[kind] = dict(sorted(values.items(), key=lambda x: x[1])[:PER_KIND])
+
 
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[Automaton, float]]:
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[str, dict[str, str]] = {k: {} for k in KINDS}
         for b in batches:
-            found = [x for t in b["text"] for x in credentials(t)]
-            yield pd.DataFrame(found, columns=["kind", "value"])
-
-    rows = docs.where((own < share) & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
-    # format lengths are short; a longer value would only make the prefix tree deeper
-    found = rows.mapInPandas(find, "kind string, value string").where(F.length("value") <= 256).distinct()
-    # of each kind the PER_KIND first by hash: bounded before it reaches the driver
-    top = found.groupBy("kind").agg(F.expr(f"slice(array_sort(collect_list(struct(md5(value) as h, value))), 1, {PER_KIND})").alias("v"))
-    return infer([(r["kind"], x["value"]) for r in top.collect() for x in r["v"]])
+            for t in b["text"]:
+                for kind, value in credentials(t):
+                    # format lengths are short; a longer value would only make the prefix tree deeper
+                    if len(value) <= 256:
+                        found[kind][value] = hashlib.md5(value.encode()).hexdigest()
+                if any(len(v) > 4 * PER_KIND for v in found.values()):
+                    first_by_hash(found)
+        first_by_hash(found)
+        yield pd.DataFrame([(k, v, h) for k, values in found.items() for v, h in values.items()],
+                           columns=["kind", "value", "h"])
+
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
+    # at most PER_KIND of each kind from a task; equal values meet by hash, then again PER_KIND of each kind and salt
+    found = rows.mapInPandas(find, "kind string, value string, h string").distinct()
+    salt = F.pmod(F.xxhash64("value"), F.lit(SALTS))
+    for of in (["kind", salt], ["kind"]):
+        found = found.withColumn("r", F.row_number().over(Window.partitionBy(*of).orderBy("h", "value"))).where(
+            F.col("r") <= PER_KIND).drop("r")
+    return infer([(r["kind"], r["value"]) for r in found.collect()])
 
 
 def all_spans(text: str, grammars: list[tuple[Automaton, float]]) -> list[tuple[int, int, str]]:

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import os
+import random
 import sys
 import zlib
 from collections import Counter, defaultdict
@@ -344,6 +345,20 @@ def test_secrets(spark):
     assert grammar_secrets.scan(X.docs(spark, [])).count() == 0
 
 
+def test_secrets_rare_kind_is_learned(spark):
+    rnd = random.Random(8)
+    key = lambda: "AKIA" + "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
+    keys = [key() for _ in range(30)]
+    d = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2000 == 7, F.concat(F.lit("key "), F.element_at(
+        F.array(*map(F.lit, keys)), (F.col("id") / 2000).cast("int") + 1))).otherwise(F.lit("plain text")).alias("text"))
+    assert len(grammar_secrets.fit(d)) == 1
+    # what a fit on all rows gives, and no more than PER_KIND of a kind
+    many = [(i, f"AKIA{i:016d}") for i in range(1500)]
+    want = grammar_secrets.infer([("access", t) for _, t in many])
+    got = grammar_secrets.fit(spark.createDataFrame(many, "doc_id long, text string"))
+    assert [(a.n, a.next, least) for a, least in got] == [(a.n, a.next, least) for a, least in want]
+
+
 def test_automaton():
     a = grammar_secrets.Automaton(["AKIA" + "Q7" * 8] * 30 + ["AKIA" + "7Q" * 8] * 30)
     assert a.states < 40 and a.score("AKIA" + "Q7" * 8) > 0 and a.score("hello") == -math.inf
