@@ -9,6 +9,11 @@
    where e is the residual by domain - a handful of numbers.  So a step is one aggregate over the
    stored (tokens, posterior) table, and a document's rate follows from the residuals so far: no
    state is written between steps, and only the residuals pass through the driver.
+   That stops short of the targets of rare domains, as PULL is no smaller than their shares.  So
+   Newton steps on one multiplier a domain finish: the same sum with PULL at LEAST_PULL has the
+   rates r_i = max(0, 1 - p_i . m), and m follows from sums by domain and pair of domains, again one
+   aggregate a step.  They stop when every domain is within CLOSE of its target, or, where no rates
+   reach the targets, when the sum falls no more.
 3. Copies: floor(r_i + u_i) with u_i a hash of the document, so expected tokens stay as fitted.
 
 Fit bound: at most about SAMPLE labelled rows, chosen by a hash of their id; token counts,
@@ -42,6 +47,9 @@ FEATURES = 1 << 12
 STEPS = 40
 PULL = 0.005
 TOLERANCE = 1e-4
+LEAST_PULL = 1e-7
+CLOSE = 1e-4
+NEWTON_STEPS = 40
 
 
 def label_domain(labels: DataFrame) -> DataFrame:
@@ -126,13 +134,55 @@ def fit_rates(stored: DataFrame, targets: list[float], steps: int = STEPS, pull:
             break
         residuals.append(e)
 
+    start = np.array(residuals[-1] if residuals else [0.0] * len(targets)) / pull
+    m = _multipliers(flat, names, total, np.array(targets), start)
+
     @F.pandas_udf("double")
     def rate(p: pd.Series) -> pd.Series:
-        return pd.Series(_folded(np.stack(p.to_numpy()), residuals, step, pull)[0] if len(p) else [], dtype=float)
+        return pd.Series(np.maximum(0.0, 1.0 - np.stack(p.to_numpy()) @ m) if len(p) else [], dtype=float)
 
     return rate
 
 
+def _multipliers(flat: DataFrame, names: list[str], total: float, targets: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """m of the rates max(0, 1 - p . m) that meet the targets, from ``flat`` (tokens, a column for each domain)."""
+    k = len(names)
+    cols = ["v", *(f"s{d}" for d in range(k)), *(f"h{i}" for i in range(k * k))]
+
+    def sums(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The dual value, its gradient and minus its curvature at m."""
+        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                p, a = b[names].to_numpy(), b["tokens"].to_numpy().astype(float)
+                r = np.maximum(0.0, 1.0 - p @ m)
+                own = p[r > 0]
+                yield pd.DataFrame([[a @ (r * r) / 2, *((a * r) @ p), *((own * a[r > 0][:, None]).T @ own).ravel()]],
+                                   columns=cols)
+
+        got = flat.mapInPandas(part, ", ".join(f"{c} double" for c in cols)).agg(*(F.sum(c).alias(c) for c in cols)).first()
+        # rounded, so that the order of a parallel sum does not show in later steps
+        x = np.array([round((v or 0.0) / total, 12) for v in got])
+        value = -x[0] - targets @ m - LEAST_PULL / 2 * (m @ m)
+        return value, x[1:k + 1] - targets - LEAST_PULL * m, x[k + 1:].reshape(k, k) + LEAST_PULL * np.eye(k)
+
+    value, slope, curve = sums(m)
+    for _ in range(NEWTON_STEPS):
+        if (np.abs(slope + LEAST_PULL * m) <= CLOSE * targets + 1e-9).all():
+            break
+        way, length = np.linalg.solve(curve, slope), 1.0
+        if slope @ way <= 1e-12:
+            break
+        while length > 1e-6:
+            new = sums(m + length * way)
+            if new[0] >= value + 1e-4 * length * (slope @ way):
+                break
+            length /= 2
+        else:
+            break
+        m, (value, slope, curve) = m + length * way, new
+    return m
+
+
 def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id",
            text_col: str = "text") -> tuple[DataFrame, Callable, LogisticRegressionModel | int | None]:
     """The stored posteriors (id, key, tokens, p), the function from p to the rate, and the classifier."""

@@ -82,6 +82,24 @@ def test_mixing_awkward_and_empty(spark):
         mixing.rates(d, two, {})
 
 
+def test_mixing_meets_targets_of_rare_and_weak_domains(spark):
+    def share(p, tokens, rate, d):
+        return sum(t * v[d] * r for t, v, r in zip(tokens, p, rate)) / sum(tokens)
+
+    rnd = np.random.default_rng(4)
+    soft = [[v, 0.98 * (1 - v), 0.02 * (1 - v)] for v in np.clip(rnd.normal(0.3, 0.07, 600), 0, 1)]   # variance about 0.005
+    sure = [[1.0, 0.0, 0.0] if i % 100 == 0 else [0.0, 0.995, 0.005] if i % 2 else [0.0, 0.005, 0.995] for i in range(600)]
+    for p, targets in ((sure, [0.05, 0.45, 0.5]), (soft, [0.4, 0.588, 0.012])):
+        tokens = [int(v) for v in rnd.integers(20, 200, len(p))]
+        stored = spark.createDataFrame([(t, [float(x) for x in v]) for t, v in zip(tokens, p)], "tokens long, p array<double>")
+        rate = mixing.fit_rates(stored, targets)
+        got = [(r.tokens, r.p, r.rate) for r in stored.withColumn("rate", rate(F.col("p"))).collect()]
+        t, v, r = zip(*got)
+        assert min(r) >= 0
+        for d, want in enumerate(targets):
+            assert abs(share(v, t, r, d) - want) < 0.01 * want
+
+
 # --- 2 sharding ---------------------------------------------------------------------------------
 
 TREE = shard_tree.grid(2, 3, 4)
