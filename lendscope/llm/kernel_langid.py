@@ -165,7 +165,8 @@ def levels(held: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
             if len(own) >= LEVEL_ROWS:
                 break
         out.append(MARGIN * sorted(own)[int(LEVEL_SHARE * len(own))] if len(own) >= LEVEL_ROWS else 0.0)
-    return out
+    # similarity grows with length: no text needs more than longer ones do
+    return [min(out[c:]) for c in range(LENGTHS)]
 
 
 def like_known(similarity: Column, text: Column, least: list[float]) -> Column:
