@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lendscope.llm import (bloom_dedup, decontaminate, grammar_secrets, jaccard_join, kernel_langid, license_scan,
-                           line_dedup, mixing, shard_tree, suffix_dedup)
+from lendscope.llm import (bloom_dedup, decontaminate, grammar_secrets, hard_negatives, importance_resampling, jaccard_join,
+                           kernel_langid, license_scan, line_dedup, mixing, segment_search, shard_tree, suffix_dedup)
 from lendscope.llm.common import read
 
 QUERIES: dict = {}
@@ -73,6 +73,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@query
+def op11_segment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_search.top_k(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"), noise=(7, 10))
+
+
 # --- DuckDB twins -----------------------------------------------------------------------------
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -171,3 +186,66 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
   coalesce(len(ids), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM docs LEFT JOIN hit USING (r) LEFT JOIN its USING (r)"""
+
+
+# Sums of products of whole numbers below 2^53 are exact in doubles.
+_VECTORS = """
+rows AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(256 * x::DOUBLE))) = 0)"""
+
+ORACLE["op11_segment_search"] = f"""
+WITH {_VECTORS},
+scored AS (
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM rows q JOIN rows c ON q.r <> c.r AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM scored) WHERE rank <= 5"""
+
+ORACLE["op12_importance_resampling"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format(t="coalesce(text, '')")} AS ws FROM documents),
+feats AS (SELECT r, unnest(ws) AS w FROM docs),
+aims AS (SELECT unnest({_WORDS.format(t="coalesce(text, '')")}) AS w FROM benchmark),
+crc_table AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)),
+    lambda c, i: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+vocabulary AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(regexp_extract_all(hex(encode(w)), '..'), lambda h: ('0x' || h)::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b
+  FROM (SELECT w FROM feats UNION SELECT w FROM aims), crc_table),
+s AS (SELECT b, count(*) AS n FROM feats JOIN vocabulary USING (w) GROUP BY b),
+t AS (SELECT b, count(*) AS n FROM aims JOIN vocabulary USING (w) GROUP BY b),
+gain AS (
+  SELECT s.b, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM feats) + 10000)
+    / ((s.n + 1)::DOUBLE * ((SELECT count(*) FROM aims) + 10000))))::BIGINT AS g FROM s LEFT JOIN t USING (b)),
+mean AS (
+  SELECT r, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight
+  FROM feats JOIN vocabulary USING (w) JOIN gain USING (b) GROUP BY r),
+scored AS (
+  SELECT r, doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(
+    (('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM docs LEFT JOIN mean USING (r)),
+places AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS p, count(*) OVER () AS n
+  FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN p <= 10 * n // 100 THEN p END AS rank
+FROM scored LEFT JOIN places USING (r)"""
+
+ORACLE["op13_hard_negatives"] = f"""
+WITH {_VECTORS},
+labelled AS (
+  SELECT r, vec_id, v, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label FROM rows WHERE label IS NOT NULL),
+scored AS (
+  SELECT a.r AS anchor, a.vec_id AS anchor_id, c.r, c.vec_id, a.label = c.label AS alike, list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM labelled a JOIN labelled c ON a.r <> c.r AND len(a.v) = len(c.v) WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor, r, vec_id AS positive_id, score AS positive_score
+  FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST) AS p FROM scored WHERE alike) WHERE p <= 5),
+negatives AS (
+  SELECT anchor_id, positive_id, s.vec_id AS negative_id, positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY s.anchor, p.r ORDER BY s.score DESC, s.vec_id NULLS LAST) AS rank
+  FROM scored s JOIN positives p ON s.anchor = p.anchor AND NOT s.alike
+    AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 5"""
