@@ -96,7 +96,8 @@ def search(rows: DataFrame, asks: DataFrame, table: DataFrame, scorer: Scorer, k
                           "block", max(1, _blocks(*sizes)), "asks")
         numbers = F.filter(F.sequence(F.lit(0), F.lit(n)), lambda s: (s % step == 0) == F.lit(pilot))
         sent = blocks.select(F.explode(numbers).alias("slice"), *[F.col(c).alias(f"q_{c}") for c in ("row", "id", "label", "v", "asks")])
-        return sent.join(table, "slice").drop("slice").mapInArrow(_task(scorer, k, labels), FOUND)
+        # Spark's estimate does not know how often a block is sent, so it may not pick a broadcast here
+        return sent.hint("merge").join(table, "slice").drop("slice").mapInArrow(_task(scorer, k, labels), FOUND)
 
     first = _ranked(best(asks, True), k)
     if step == 1:
