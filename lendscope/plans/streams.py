@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendscope.functions.bands import edge_bin_sql
+from lendscope.operators import alerts as al
 from lendscope.operators import features as fe
 from lendscope.operators import scoring as sc
 from lendscope.plans.oracle_views import DECISION_SQL, with_views
@@ -26,16 +27,27 @@ SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, count(*) AS requests,
        round(avg(CASE WHEN event_type = 'error' THEN 1.0E0 ELSE 0.0E0 END), 6) AS error_rate
 FROM events GROUP BY 1""")
 def stream_api_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event-time windows of a bounded drain: all windows, the last ones too, in whatever order the files are."""
+    """Event-time windows in append mode: each leaves the state when it closes, the last ones at the closing flush."""
     api = sj.api_stream(_events_stream(spark, sf_dir))
-    w = sj.tumbling_api_metrics(api, "5 minutes", exact=True)
-    out = sj.run_available_now(w, "api_windows", mode="complete")
+    out = sj.run_to_end(api, "ts", sj.tumbling_api_metrics, "api_windows", due=sj.window_end("ts", "5 minutes"),
+                        keep=["request_id", "ts"]).rows
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "requests",
                       F.round("avg_response_time", 6).alias("avg_response_time"),
                       F.round("p95_response_time", 6).alias("p95_response_time"),
                       F.round("error_rate", 6).alias("error_rate"))
 
 
+@register("stream_alert_evaluations", ops=("ST-04", "ST-01", "JN-06", "MON-08"), sql=with_views("""
+SELECT alert_id, ts, name, severity, alert_type, metric_name, round(value, 8) AS current_value,
+       threshold AS threshold_value, 'Alert: ' || name AS title FROM fired""", "fired"))
+def stream_alert_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alerts of ``alert_evaluations`` from the request stream: hourly ticks, then the machine of each rule in keyed state."""
+    api = sj.api_stream(_events_stream(spark, sf_dir))
+    out = sj.stream_alerts(api, al.rules_table(spark), keep=["request_id", "ts"]).rows
+    fired = al.fired_alerts(out.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+    return fired.withColumn("current_value", F.round("current_value", 8))
+
+
 @register("stream_scoring_decisions", ops=("RSK-09", "RSK-08", "ST-02", "JN-01"), sql=with_views(f"""
 SELECT loan_purpose, {DECISION_SQL} AS decision, count(*) AS applications,
        round(sum(expected_loss), 6) AS expected_loss
@@ -126,6 +138,6 @@ SELECT date_trunc('hour', ts) AS hour, event_type AS endpoint, count(*) AS count
 def stream_hourly_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tumbling one-hour counts per endpoint, all hours of the drain."""
     api = sj.api_stream(_events_stream(spark, sf_dir))
-    h = sj.hourly_counts(api, "ts", "endpoint")
-    out = sj.run_available_now(h, "hourly", mode="complete")
+    out = sj.run_to_end(api, "ts", lambda s: sj.hourly_counts(s, "ts", "endpoint"), "hourly",
+                        due=sj.window_end("ts", "1 hour"), keep=["request_id", "ts"]).rows
     return out.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "endpoint", "count")

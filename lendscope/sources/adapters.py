@@ -7,7 +7,7 @@ engines use the same arithmetic.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendscope.functions.bands import clip, lookup
@@ -87,6 +87,11 @@ def api_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def host_sample(requests: Column, avg_response_time: Column) -> dict[str, Column]:
+    """Load of the host in an hour, from its requests (formulas are fixed values)."""
+    return {"cpu_percent": F.lit(20.0) + requests * F.lit(3.0), "memory_percent": F.lit(40.0) + avg_response_time * F.lit(20.0)}
+
+
 def system_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly host samples derived from the request log (formulas are fixed values)."""
     a = api_metrics(spark, sf_dir)
@@ -96,8 +101,7 @@ def system_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.avg("response_time").alias("avg_response_time"))
     return h.select(
         "timestamp",
-        (F.lit(20.0) + F.col("total_requests") * F.lit(3.0)).alias("cpu_percent"),
-        (F.lit(40.0) + F.col("avg_response_time") * F.lit(20.0)).alias("memory_percent"),
+        *[c.alias(n) for n, c in host_sample(F.col("total_requests"), F.col("avg_response_time")).items()],
         (F.lit(50.0) + F.hour("timestamp") * F.lit(1.5)).alias("disk_percent"),
         F.col("total_requests").cast("long").alias("total_requests"),
         "error_rate", "avg_response_time")

@@ -3,22 +3,21 @@
 Sources are file streams (parquet/CSV drop folders, SRC-19); every query has a
 checkpoint under the session's ``spark.checkpoint.dir`` so a restarted job
 resumes where it stopped (executor or driver loss).  Event time comes from the
-data and a 10-minute watermark bounds the state; late rows are dropped and show
-up in the progress metrics.
+data and a 10-minute watermark bounds the state; late rows go to a side table.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lendscope.session import run_dir
+from lendscope.streaming import keyed as ky
 
 WATERMARK = "10 minutes"
 
@@ -58,138 +57,177 @@ def api_stream(events: DataFrame) -> DataFrame:
         .otherwise(200).cast("int").alias("status_code"))
 
 
-def tumbling_api_metrics(api: DataFrame, window: str = "5 minutes", exact: bool = False) -> DataFrame:
-    """ST-01: event-time windows with count, mean, p95 and error rate.
+# ---- windows with bounded state (ST-01 / ST-02) -------------------------------------------
+SKETCH_K = 4096        # a KLL sketch of so many values: exact up to them, about 0.1 % of rank beyond
+RANKS = 2048           # ranks that are read from a sketch: windows of up to so many rows have exact quantiles
 
-    ``percentile_approx`` keeps bounded state per open window; ``exact`` keeps
-    every value of open windows (use only with small windows).
-    """
-    p95 = (F.percentile("response_time", 0.95) if exact
-           else F.percentile_approx("response_time", 0.95, 10000))
-    return (api.withWatermark("ts", WATERMARK)
-            .groupBy(F.window("ts", window).alias("w"))
-            .agg(F.count(F.lit(1)).alias("requests"), F.avg("response_time").alias("avg_response_time"),
-                 p95.alias("p95_response_time"),
-                 F.avg((F.col("status_code") >= 400).cast("double")).alias("error_rate"))
-            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "*").drop("w"))
+
+def sketch(value: str) -> Column:
+    """A mergeable quantile sketch; its size does not grow with the rows of a window beyond SKETCH_K."""
+    return F.expr(f"kll_sketch_agg_double(cast({value} AS DOUBLE), {SKETCH_K})")
+
+
+def sketch_quantile(sk: str, p: float) -> Column:
+    """Linear quantile from a sketch (NULL for no values).
+
+    A sketch is read at constant ranks only: value i of n lies at rank (i + 0.5) / n, and one of RANKS
+    evenly spaced ranks falls on it while n <= RANKS."""
+    ranks = ", ".join(f"{(j + 0.5) / RANKS}D" for j in range(RANKS))
+    values = F.expr(f"kll_sketch_get_quantile_double({sk}, array({ranks}))")
+    n = F.expr(f"kll_sketch_get_n_double({sk})")
+    at = F.lit(p) * (n - 1)
+    low = F.floor(at)
+
+    def value(i: Column) -> Column:
+        return F.element_at(values, (F.floor((i + 0.5) / n * RANKS) + 1).cast("int"))
+    return F.when(n > 0, value(low) + (value(F.least(low + 1, n - 1)) - value(low)) * (at - low))
+
+
+def tumbling_api_metrics(api: DataFrame, window: str = "5 minutes") -> DataFrame:
+    """ST-01: event-time windows with count, mean, p95 and error rate; ``api`` has a watermark on ``ts``.
+
+    State is one row a window that is still open: sums and a sketch."""
+    g = (api.groupBy(F.window("ts", window).alias("w"))
+         .agg(F.count(F.lit(1)).alias("requests"), F.avg("response_time").alias("avg_response_time"),
+              sketch("response_time").alias("_sketch"), F.avg((F.col("status_code") >= 400).cast("double")).alias("error_rate")))
+    return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+                    F.window_time("w").alias("window_time"), "requests", "avg_response_time",
+                    sketch_quantile("_sketch", 0.95).alias("p95_response_time"), "error_rate")
 
 
 def hourly_counts(stream: DataFrame, ts: str, key: str | None = None) -> DataFrame:
-    """ST-02: tumbling one-hour counts (predictions, alerts, drift events)."""
+    """ST-02: tumbling one-hour counts (predictions, alerts, drift events); ``stream`` has a watermark on ``ts``."""
     g = [F.window(ts, "1 hour").alias("w")] + ([F.col(key)] if key else [])
-    return (stream.withWatermark(ts, WATERMARK).groupBy(*g).agg(F.count(F.lit(1)).alias("count"))
+    return (stream.groupBy(*g).agg(F.count(F.lit(1)).alias("count"))
             .select(F.col("w.start").alias("hour"), *([key] if key else []), "count"))
 
 
-# ---- keyed state in event-time order: admission (ST-03 / ST-05) and dedup (ST-06) ----
-FOLD_SCHEMA = ("kind int, key1 string, key2 string, request_id long, ts timestamp, allowed boolean, remaining int, "
-               "reset_at timestamp")
-STATE, DECISION = 0, 1      # kinds of rows: a remembered request, a decided one
-
-
-class SlidingLog:
-    """At most ``limit`` recorded requests in the last ``window`` seconds; denied requests are not recorded.
-
-    A request that comes later than newer ones were decided is judged at the newest time seen."""
-
-    def __init__(self, limit: int, window_s: int):
-        self.limit, self.window, self.log, self.now = limit, pd.Timedelta(seconds=window_s), deque(), None
-
-    def remember(self, ts) -> None:
-        self.log.append(ts)
-        self.now = ts
-
-    def decide(self, ts):
-        self.now = ts if self.now is None or ts > self.now else self.now
-        while self.log and self.log[0] < self.now - self.window:     # keep t >= now - W
-            self.log.popleft()
-        ok = len(self.log) < self.limit
-        if ok:
-            self.log.append(self.now)
-        # the oldest kept request + W
-        return ok, max(self.limit - len(self.log), 0), (self.log[0] if self.log else self.now) + self.window
-
-
-class LastAccepted(SlidingLog):
-    """A repeat younger than the TTL of the last accepted request is suppressed."""
-
-    def __init__(self, ttl_s: int):
-        super().__init__(1, ttl_s)
-
-    def decide(self, ts):
-        self.now = ts if self.now is None or ts > self.now else self.now
-        ok = not self.log or self.now - self.log[-1] >= self.window    # a repeat counts while its age < TTL
-        if ok:
-            self.log.clear()
-            self.log.append(self.now)
-        return ok, 0, self.log[-1] + self.window
-
-
-def _folder(make):
-    """mapInPandas body over rows in order of (key1, key2, kind, ts, request_id); one key's memory is its log."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, fold = None, None
-        columns = [c.split()[0] for c in FOLD_SCHEMA.split(", ")]
-
-        def remembered():
-            return [(STATE, *key, None, t, None, None, None) for t in fold.log] if key is not None else []
-        for pdf in batches:
-            out = []
-            for kind, k1, k2, rid, ts in zip(pdf["kind"], pdf["key1"], pdf["key2"], pdf["request_id"], pdf["ts"]):
-                if (k1, k2) != key:
-                    out += remembered()
-                    key, fold = (k1, k2), make(k2)
-                if kind == STATE:
-                    fold.remember(ts)
-                else:
-                    out.append((DECISION, k1, k2, rid, ts, *fold.decide(ts)))
-            yield pd.DataFrame(out, columns=columns).astype({"request_id": "Int64", "allowed": "boolean", "remaining": "Int32"})
-        if key is not None:
-            yield pd.DataFrame(remembered(), columns=columns).astype(
-                {"request_id": "Int64", "allowed": "boolean", "remaining": "Int32"})
-    return run
-
-
-def decide(requests: DataFrame, state: DataFrame | None, make) -> DataFrame:
-    """Decisions and new state for a batch of requests (key1, key2, request_id, ts).
-
-    Rows are dealt by key and sorted by event time by Spark, so the order does not depend on Arrow
-    batches, files or partitions, and a busy client streams through one task without being gathered."""
-    rows = requests.select(F.lit(DECISION).alias("kind"), F.col("key1").cast("string").alias("key1"),
-                           F.col("key2").cast("string").alias("key2"), "request_id", "ts")
-    if state is not None:
-        rows = rows.union(state.select("kind", "key1", "key2", F.lit(None).cast("long"), "ts"))
-    return (rows.repartition("key1", "key2").sortWithinPartitions("key1", "key2", "kind", "ts", "request_id")
-            .mapInPandas(_folder(make), FOLD_SCHEMA))
-
-
-def fold_stream(requests: DataFrame, make, longest_s: int, name: str) -> DataFrame:
-    """Runs ``decide`` over everything available of a stream; the decisions as a batch frame.
-
-    Each epoch reads the state table of the one before and writes its own rows, so a restarted epoch
-    gives the same result.  Remembered requests older than ``longest_s`` are left behind."""
-    spark = requests.sparkSession
-    base = work_dir(spark, name)
-    out, ckpt = f"{base}/out", f"{base}/checkpoint"
-    schema = T._parse_datatype_string(FOLD_SCHEMA)
+def window_end(ts: str, window: str) -> Column:
+    return F.window(ts, window)["end"]
+
+
+# ---- running a bounded stream to its end ---------------------------------------------------
+END_OF_TIME = "9999-01-01 00:00:00"
+
+
+@dataclass
+class Drained:
+    """What a run has given so far: result rows, late rows, and the rows of state after each batch."""
+
+    rows: DataFrame
+    late: DataFrame
+    state_rows: list[int]
+
+
+def run_to_end(stream: DataFrame, at: str, build: Callable[[DataFrame], DataFrame], name: str, due: Column | None = None,
+               keep: list[str] | None = None, delay: str = WATERMARK, base: str | None = None, close: bool = True) -> Drained:
+    """Drain everything available through a stateful query in append mode, then close it.
+
+    ``build`` gets the stream with a watermark on ``at`` and returns the result.  Closed windows leave
+    the state as the watermark passes them.  ``close`` ends the stream: a closing row with the last
+    possible time goes through the same checkpoint, so the watermark passes all that is still open
+    and it is emitted; rows after that are late.  Without ``close`` a later run with the same
+    ``base`` goes on where this one stopped.
+
+    Spark drops a row whose ``due`` time (default ``at``; the end of its window for windows) the
+    watermark of late rows has passed.  Here these rows, with the columns ``keep``, go to a side table
+    in the same query, so every row is either in the result or in ``late``.
+
+    Each batch writes its own folder, so a repeated batch gives each row once."""
+    spark = stream.sparkSession
+    use_rocksdb_state(spark)
+    base = base or work_dir(spark, name)
+    out, closing = f"{base}/out", f"{base}/closing"
+    moment = f"{at} timestamp"
+    _write_row(spark, [], moment, closing)
+    marks = spark.readStream.schema(moment).parquet(closing)
+    marked = stream.unionByName(marks, allowMissingColumns=True).withWatermark(at, delay)
+    end = F.lit(END_OF_TIME).cast("timestamp")
+    result = build(marked.where(F.col(at) < end))     # names the time, else it would move below the watermark
+    kept = F.struct(*(keep or stream.columns))
+    none = F.lit(None)
+    late_type = marked.select(kept.alias("late")).schema["late"].dataType
+    row_type = T.StructType([T.StructField(f.name, f.dataType) for f in result.schema])
+    both = result.select(F.struct("*").cast(row_type).alias("row"), none.cast(late_type).alias("late"),
+                         none.cast("timestamp").alias("at"), none.cast("timestamp").alias("due")).union(
+        marked.select(none.cast(row_type), kept, _plain(F.col(at)), _plain(F.col(at) if due is None else due)))
+    states: list[int] = []
 
     def body(batch: DataFrame, epoch: int) -> None:
-        state = spark.read.schema(schema).parquet(f"{out}/epoch={epoch - 1}").where(F.col("kind") == STATE) if epoch else None
-        decide(batch, state, make).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-        if epoch:
-            last = spark.read.schema(schema).parquet(f"{out}/epoch={epoch}")
-            seen = last.agg(F.max("ts")).first()[0]
-            idle = state.join(last.select("key1", "key2").distinct(), ["key1", "key2"], "left_anti")
-            if seen is not None:
-                idle = idle.where(F.col("ts") >= F.lit(seen) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(longest_s)))
-            idle.select("kind", "key1", "key2", "request_id", "ts", "allowed", "remaining", "reset_at").write.mode(
-                "append").parquet(f"{out}/epoch={epoch}")
-
-    q = requests.writeStream.option("checkpointLocation", ckpt).foreachBatch(body).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{out}/epoch=*").where(F.col("kind") == DECISION).drop("kind")
+        _write_batch(batch, epoch, base, delay, end)
 
+    def run() -> None:
+        q = (both.writeStream.outputMode("append").option("checkpointLocation", f"{base}/checkpoint")
+             .foreachBatch(body).trigger(availableNow=True).start())
+        q.awaitTermination()
+        states.extend(sum(s.numRowsTotal for s in p.stateOperators) for p in q.recentProgress)
 
+    run()
+    if close:
+        _write_row(spark, [(END_OF_TIME,)], "t string", closing, F.col("t").cast("timestamp").alias(at))
+        run()
+    done = spark.read.schema(both.schema).parquet(f"{out}/epoch=*")
+    return Drained(done.where("row IS NOT NULL").select("row.*"), done.where("late IS NOT NULL").select("late.*"), states)
+
+
+def _plain(ts: Column) -> Column:
+    """A time without the mark of the watermark (two plain copies of that column break a rule of the optimizer)."""
+    return F.timestamp_micros(F.unix_micros(ts))
+
+
+def _write_row(spark: SparkSession, rows: list, schema: str, path: str, *columns: Column) -> None:
+    df = spark.createDataFrame(rows, schema)
+    (df.select(*columns) if columns else df).coalesce(1).write.mode("append").parquet(path)
+
+
+def _write_batch(batch: DataFrame, epoch: int, base: str, delay: str, end: Column) -> None:
+    """Result rows and late rows of a batch in one pass; the newest time seen is noted for the batches after it.
+
+    Spark holds a batch's rows against the watermark of the batch before, which comes from the times
+    seen before that: of all batches but the last one."""
+    spark = batch.sparkSession
+
+    def newest(e: int):
+        return spark.read.schema("newest timestamp").parquet(f"{base}/newest/epoch={e}").first()[0] if e >= 0 else None
+
+    seen, passed = Observation(), newest(epoch - 2)
+    mark = F.lit(None).cast("timestamp") if passed is None else F.lit(passed) - F.expr(f"INTERVAL {delay}")
+    late = F.col("late").isNotNull() & (F.col("at") < end) & (F.col("due") <= F.date_trunc("millisecond", mark))
+    (batch.observe(seen, F.max("at").alias("newest"))
+     .where(F.col("row").isNotNull() | F.coalesce(late, F.lit(False)))
+     .write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}"))
+    times = [t for t in (seen.get["newest"], newest(epoch - 1)) if t is not None]
+    spark.createDataFrame([(max(times, default=None),)], "newest timestamp").coalesce(1).write.mode("overwrite").parquet(
+        f"{base}/newest/epoch={epoch}")
+
+
+def rule_ticks(api: DataFrame, rules: DataFrame, tick: str = "1 hour") -> DataFrame:
+    """Ticks of the request metrics and host samples of a stream with a watermark, matched with alert rules.
+
+    ``window_time`` is the tick's event time, ``window_start`` its beginning."""
+    from lendscope.operators import alerts as al
+    from lendscope.sources.adapters import host_sample
+    w = tumbling_api_metrics(api, tick)
+    w = w.withColumns(host_sample(F.col("requests"), F.col("avg_response_time")))
+    names = ["requests", "error_rate", "avg_response_time", "p95_response_time", "cpu_percent", "memory_percent"]
+    long = w.select("window_time", "window_start", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("metric_name"), F.col(c).cast("double").alias("value")) for c in names])).alias("m")).select(
+        "window_time", "window_start", "m.*").where("value IS NOT NULL")
+    return al.match_rules(long, rules)
+
+
+def stream_alerts(api: DataFrame, rules: DataFrame, name: str = "alerts", tick: str = "1 hour", **run) -> Drained:
+    """ST-04 as a stream: requests -> ticks -> rules -> the machine of each rule, all in Spark's state.
+
+    Every tick is decided once its window has closed, in event-time order; ``ts`` is the tick's beginning."""
+    def build(s: DataFrame) -> DataFrame:
+        decided = ky.rules_on_stream(rule_ticks(s, rules, tick), "window_time")
+        return decided.withColumn("ts", F.window("window_time", tick)["start"]).drop("window_time")
+
+    return run_to_end(api, "ts", build, name, due=window_end("ts", tick), **run)
+
+
+# ---- keyed state in event-time order: admission (ST-03 / ST-05) and dedup (ST-06) ----
 def limits_of(rate_class: str | None, limit: int | None = None, window_s: int | None = None) -> tuple[int, int]:
     """(requests, seconds): tier classes carry an hourly quota, path classes their own window."""
     if rate_class in TIER_QUOTAS:
@@ -198,37 +236,42 @@ def limits_of(rate_class: str | None, limit: int | None = None, window_s: int |
     return limit or n, window_s or w
 
 
+DECIDED = "allowed boolean, remaining int, reset_at timestamp"
+
+
+def _decided(requests: DataFrame, keys: list[str], ts: str, make, forget_s: int, name: str) -> DataFrame:
+    fields = {"request_id": "bigint"}
+    if not requests.isStreaming:
+        return ky.in_event_order_of_table(requests, keys, ts, fields, make, DECIDED, "request_id")
+    return run_to_end(requests, ts, lambda s: ky.in_event_order(s, keys, ts, fields, make, DECIDED, "request_id", forget_s), name).rows
+
+
 def sliding_admission(requests: DataFrame, rate_class: str = "default", limit: int | None = None,
                       window_s: int | None = None, class_col: str | None = None, name: str = "admission") -> DataFrame:
     """ST-03 / ST-05: client_id, rate_class, request_id, ts, allowed, remaining, reset_at of every request.
 
-    State is kept by (client, rate class), D-17.  ``class_col`` names a column holding the class of
-    each request (e.g. a tier from a broadcast tier table).  ``requests`` may be a stream or a table."""
+    State is kept by (client, rate class), D-17, and goes when a client has sent nothing for as long as
+    its window.  ``class_col`` names a column holding the class of each request (e.g. a tier from a
+    broadcast tier table).  ``requests`` may be a stream or a table."""
     cls = F.col(class_col) if class_col else F.lit(rate_class)
-    rows = requests.select(F.col("client_id").alias("key1"), cls.alias("key2"), "request_id", "ts")
+    rows = requests.select("client_id", cls.cast("string").alias("rate_class"), "request_id", "ts")
 
-    def make(key):
-        return SlidingLog(*limits_of(key, limit, window_s))
+    def make(key, row):
+        return ky.SlidingLog(*limits_of(key[1], limit, window_s))
 
     longest = max([TIER_WINDOW_S, window_s or 0, *(w for _, w in RATE_LIMITS.values())])
-    out = (fold_stream(rows, make, longest, name) if requests.isStreaming
-           else decide(rows, None, make).where(F.col("kind") == DECISION))
-    return out.select(F.col("key1").cast(requests.schema["client_id"].dataType).alias("client_id"),
-                      F.col("key2").alias("rate_class"), "request_id", "ts", "allowed", "remaining", "reset_at")
+    return _decided(rows, ["client_id", "rate_class"], "ts", make, longest, name)
 
 
 def dedup_requests(requests: DataFrame, hash_col: str, ts: str, ttl_s: int = 300, id_col: str = "request_id",
                    name: str = "dedup") -> DataFrame:
     """ST-06: request_hash, request_id, ts of the requests that are not a repeat of an accepted one younger than the TTL."""
-    rows = requests.select(F.col(hash_col).alias("key1"), F.lit("").alias("key2"), F.col(id_col).alias("request_id"),
-                           F.col(ts).alias("ts"))
+    rows = requests.select(F.col(hash_col).alias("request_hash"), F.col(id_col).alias("request_id"), F.col(ts).alias("ts"))
 
-    def make(_):
-        return LastAccepted(ttl_s)
+    def make(key, row):
+        return ky.LastAccepted(ttl_s)
 
-    out = (fold_stream(rows, make, ttl_s, name) if requests.isStreaming
-           else decide(rows, None, make).where(F.col("kind") == DECISION))
-    return out.where("allowed").select(F.col("key1").alias("request_hash"), "request_id", "ts")
+    return _decided(rows, ["request_hash"], "ts", make, ttl_s, name).where("allowed").select("request_hash", "request_id", "ts")
 
 
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -247,8 +290,7 @@ def use_rocksdb_state(spark: SparkSession) -> None:
 def run_available_now(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Drain everything available into a parquet table and return it as a batch frame.
 
-    ``complete`` is for aggregates: the last windows are emitted too, and rows of files that are
-    not in order of time are never late.  Its state is one row a group."""
+    ``complete`` is for aggregates over a fixed set of groups; windows of time go through ``run_to_end``."""
     spark = df.sparkSession
     use_rocksdb_state(spark)
     base = work_dir(spark, name)
@@ -283,10 +325,9 @@ def daily_drift(stream: DataFrame, ref_hist: DataFrame, value: str, ts: str, bin
     Days of event time, so the result does not depend on how rows arrive in files."""
     from lendscope.functions.bands import edge_bin
     rng = ref_hist.select("lo", "hi").distinct()
-    binned = stream.crossJoin(F.broadcast(rng)).select(
-        F.window(ts, "1 day").alias("w"), edge_bin(F.col(value), F.col("lo"), F.col("hi"), bins).alias("bin"))
-    counts = run_available_now(binned.where("bin IS NOT NULL").groupBy("w", "bin").agg(F.count(F.lit(1)).alias("cur")),
-                               name, mode="complete").select(F.col("w.start").alias("day"), "bin", "cur")
+    binned = stream.crossJoin(F.broadcast(rng)).select(ts, edge_bin(F.col(value), F.col("lo"), F.col("hi"), bins).alias("bin"))
+    counts = run_to_end(binned.where("bin IS NOT NULL"), ts, lambda s: s.groupBy(F.window(ts, "1 day").alias("w"), "bin").agg(
+        F.count(F.lit(1)).alias("cur")), name, due=window_end(ts, "1 day")).rows.select(F.col("w.start").alias("day"), "bin", "cur")
     total = ref_hist.where("bin IS NOT NULL")
     ref = total.crossJoin(F.broadcast(total.agg(F.sum("ref").alias("tr")))).select("bin", "ref", "tr")
     days = counts.groupBy("day").agg(F.sum("cur").alias("tc"))
