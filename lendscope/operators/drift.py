@@ -194,21 +194,20 @@ def psi_history(long: DataFrame, period_col: str, bins: int = PSI_BINS) -> DataF
     """DR-09/12 over time: PSI of every (feature, period) of the current sample
     against the fixed reference sample.
 
-    Reference shares are one small table per feature (broadcast); current
-    counts are one aggregation over (feature, period, bin), so the reference is
-    never replicated per period.  Continuous features use the reference
+    Two passes over the samples: the reference range of each feature, then one aggregate over (feature,
+    period, bin) with a count for each sample.  That table is stored and everything else comes from it,
+    so the reference is never replicated per period.  Continuous features use the reference
     equal-width bins, categorical ones their categories.
     """
     x = long.withColumn("_key", F.when(F.col("category").isNotNull(), F.col("category")))
-    ref = x.where(_is_ref())
-    fit = ref.where(F.col("value").isNotNull()).groupBy("feature").agg(F.min("value").alias("lo"),
-                                                                       F.max("value").alias("hi"))
-    xb = x.join(fit, "feature", "left").withColumn(
+    fit = x.where(_is_ref() & F.col("value").isNotNull()).groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    binned = x.join(fit, "feature", "left").withColumn(
         "_bin", F.coalesce(F.col("_key"), edge_bin(F.col("value"), F.col("lo"), F.col("hi"), bins).cast("string")))
-    xb = xb.where(F.col("_bin").isNotNull())
-    rc = xb.where(_is_ref()).groupBy("feature", "_bin").agg(F.count(F.lit(1)).alias("ref"))
+    counts = materialize(binned.where(F.col("_bin").isNotNull()).groupBy("feature", period_col, "_bin").agg(
+        F.count_if(_is_ref()).alias("ref"), F.count_if(_is_cur()).alias("cur")))
+    rc = counts.where("ref > 0").groupBy("feature", "_bin").agg(F.sum("ref").alias("ref"))
     rt = rc.groupBy("feature").agg(F.sum("ref").alias("_tr"))
-    cc = xb.where(_is_cur()).groupBy("feature", period_col, "_bin").agg(F.count(F.lit(1)).alias("cur"))
+    cc = counts.where("cur > 0").drop("ref")
     ct = cc.groupBy("feature", period_col).agg(F.sum("cur").alias("_tc"))
     # every (feature, period) sees every reference bin plus its own current bins
     periods = ct.select("feature", period_col)

@@ -262,3 +262,35 @@ def drift_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = monthly_psi(spark, sf_dir)
     return h.groupBy(F.year("month").alias("year"), "drift_type").agg(
         F.count(F.lit(1)).alias("detections"), F.sum(F.col("drift_detected").cast("long")).alias("drifted"))
+
+
+_MODEL = "credit_risk_model"
+
+
+@register("drift_store_history", ops=("SRC-13", "DR-12", "PRJ-10", "DR-09"), sql=with_views(_HIST_SQL + f""",
+bounds AS (SELECT min(application_ts) AS rs, max(application_ts) AS re FROM credit_applications WHERE application_ts < TIMESTAMP '1998-04-15 00:00:00'),
+months AS (SELECT date_trunc('month', application_ts) AS month, min(application_ts) AS ds, max(application_ts) AS de
+           FROM credit_applications WHERE application_ts >= TIMESTAMP '1998-04-15 00:00:00' GROUP BY 1)
+SELECT psi.month AS timestamp, '{_MODEL}' AS model_name, 'v1' AS model_version, 'feature_drift_' || feature AS drift_type,
+       drift_score > 0.2E0 AS drift_detected, round(drift_score, 8) AS drift_score, 0.2E0 AS threshold_value,
+       rs AS reference_start, re AS reference_end, ds AS detection_start, de AS detection_end
+FROM psi JOIN months ON psi.month = months.month, bounds WHERE psi.month >= TIMESTAMP '2000-01-01 00:00:00'""",
+                                                             "credit_applications"))
+def drift_store_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly drift results with the periods of both samples go into the store, the last ones twice; history since 2000."""
+    from lendscope.session import cut_lineage, run_dir
+    from lendscope.sources.stores import DriftStore, with_periods
+    apps = ad.credit_applications(spark, sf_dir).select(
+        F.col("application_ts").alias("ts"), F.date_trunc("month", "application_ts").cast("timestamp_ntz").alias("month"),
+        F.when(F.col("application_ts") < F.lit(ad.DRIFT_SPLIT_TS).cast("timestamp_ntz"), "reference").otherwise("current").alias("sample"))
+    found = cut_lineage(with_periods(monthly_psi(spark, sf_dir), apps, "ts", "sample", ["month"]).select(
+        F.col("month").alias("timestamp"), F.lit(_MODEL).alias("model_name"), F.lit("v1").alias("model_version"), "drift_type",
+        "drift_detected", "drift_score", F.lit(0.2).alias("threshold_value"), "reference_start", "reference_end",
+        "detection_start", "detection_end"))
+    import uuid
+    store = DriftStore(spark, f"{run_dir(spark)}/drift-store-{uuid.uuid4().hex[:8]}")
+    store.write(found, "feature")
+    store.write(found.where(F.col("timestamp") >= F.lit("2001-01-01").cast("timestamp_ntz")), "feature")     # a repeated check
+    h = store.history("2000-01-01 00:00:00", model_name=_MODEL, drift_type="feature_drift")
+    return h.select("timestamp", "model_name", "model_version", "drift_type", "drift_detected", F.round("drift_score", 8).alias("drift_score"),
+                    "threshold_value", "reference_start", "reference_end", "detection_start", "detection_end")

@@ -157,3 +157,34 @@ def out_of_time_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref, cur = apps.where(F.col("application_ts") < split), apps.where(F.col("application_ts") >= split)
     f = fe.engineer_credit_features(cur, income_fit=fe.fit_income_quartiles(ref), rate_fit=fe.fit_rate_ranks(ref))
     return f.select("app_id", F.round("interest_rate_percentile", 8).alias("interest_rate_percentile"), "income_quartile")
+
+
+_BATCH_COLUMNS = ["app_id", "customer_id", "loan_amount", "loan_term", "loan_purpose", "home_ownership", "application_ts"]
+
+
+@register("ingestion_roundtrip", ops=("SRC-08", "SRC-11", "VAL-01", "VAL-03"), sql=with_views(f"""
+SELECT strftime(application_ts, '%Y') AS batch, CASE WHEN bad = 0 THEN 'success' WHEN good > 0 THEN 'partial' ELSE 'error' END AS status,
+       good AS records, bad AS rejected, attempts, round(exposure, 2) AS exposure, failures
+FROM (SELECT max(application_ts) AS application_ts, count(*) FILTER (WHERE ok) AS good, count(*) FILTER (WHERE NOT ok) AS bad,
+             1 AS attempts, sum(loan_amount) FILTER (WHERE ok) AS exposure, CAST(coalesce(sum(len(e)), 0) AS BIGINT) AS failures
+      FROM (SELECT *, len(e) = 0 AS ok FROM (SELECT *, list_filter({_RULES_SQL}, lambda x: x IS NOT NULL) AS e FROM credit_applications) r) v
+      GROUP BY strftime(application_ts, '%Y')) b""", "credit_applications"))
+def ingestion_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each application year is a batch of the store.  An attempt that dies before its commit, the append and a
+    repeated append: each row is read back once, with the log row and the quarantine of its batch."""
+    import uuid
+    from lendscope.session import run_dir
+    from lendscope.sources.stores import BatchStore
+    apps = credit_applications(spark, sf_dir)
+    store = BatchStore(spark, f"{run_dir(spark)}/applications-{uuid.uuid4().hex[:8]}", apps.select(*_BATCH_COLUMNS).schema)
+    batch = F.date_format("application_ts", "yyyy")
+    store.stage(apps, batch)                                        # killed: never committed
+    store.append(apps, batch, "credit", "orders")
+    store.append(apps, batch, "credit", "orders")                   # repeated
+    good = store.rows().groupBy("batch").agg(F.sum("loan_amount").alias("exposure"))
+    bad = store.quarantine().groupBy("batch").agg(F.sum(F.size("errors")).cast("long").alias("failures"))
+    log = store.log().groupBy("batch").agg(F.max("status").alias("status"), F.sum("record_count").alias("records"),
+                                           F.sum("rejected_count").alias("rejected"), F.count(F.lit(1)).cast("int").alias("attempts"))
+    return log.join(good, "batch", "left").join(bad, "batch", "left").select(
+        "batch", "status", "records", "rejected", "attempts", F.round("exposure", 2).alias("exposure"),
+        F.coalesce("failures", F.lit(0)).alias("failures"))

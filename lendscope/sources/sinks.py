@@ -1,25 +1,11 @@
-"""Sinks: partitioned appends, quarantine, logs and reports (SRC-08 .. SRC-13, SRC-20).
-
-Writes go to paths on shared storage; appends are idempotent per batch id when
-the caller passes one (re-running a failed job does not duplicate rows).
-"""
+"""Sinks: partitioned appends and reports (SRC-09, SRC-10, SRC-20).  Batches with quarantine and log, and drift
+results, are kept by ``stores``."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendscope.operators import quality as vq
-
-
-def append_applications(df: DataFrame, path: str, quarantine_path: str, batch_id: str) -> DataFrame:
-    """SRC-08: validate, append good rows, quarantine bad ones; returns the verdict row."""
-    v = vq.apply_rules(df, vq.application_rules()).withColumn("batch_id", F.lit(batch_id))
-    v.where("is_valid").drop("errors", "is_valid").write.mode("overwrite") \
-        .parquet(f"{path}/batch_id={batch_id}")
-    v.where(~F.col("is_valid")).write.mode("overwrite").parquet(f"{quarantine_path}/batch_id={batch_id}")
-    return vq.batch_verdict(v)
-
 
 def log_predictions(scored: DataFrame, path: str) -> None:
     """SRC-09: structs JSON-encoded, partitioned by date."""
@@ -35,33 +21,6 @@ def write_snapshot(snapshot: DataFrame, path: str) -> None:
         .partitionBy("snapshot_date").json(path)
 
 
-def ingestion_log(spark: SparkSession, rows) -> DataFrame:
-    """SRC-11 / AGG-20: step log (data_type, source, status, record_count, error)."""
-    return spark.createDataFrame(rows, "timestamp timestamp, data_type string, source string, status string, "
-                                       "record_count long, error_message string")
-
-
-def ingestion_summary(log: DataFrame) -> DataFrame:
-    """AGG-20: latest status and record count per source."""
-    return log.groupBy("data_type", "source").agg(
-        F.max_by("status", "timestamp").alias("status"), F.sum("record_count").alias("records"))
-
-
-def drift_results(report: DataFrame, model_name: str, model_version: str, samples: DataFrame | None = None) -> DataFrame:
-    """SRC-13: drift rows with reference / detection period bounds."""
-    out = report.select(F.lit(model_name).alias("model_name"), F.lit(model_version).alias("model_version"),
-                        "drift_type", F.col("drift_detected"), F.col("psi").alias("drift_score"),
-                        F.col("p_value"), F.col("test_statistic"))
-    if samples is not None and "ts" in samples.columns:
-        b = samples.groupBy().agg(
-            F.min(F.when(F.col("sample") == "reference", F.col("ts"))).alias("reference_start"),
-            F.max(F.when(F.col("sample") == "reference", F.col("ts"))).alias("reference_end"),
-            F.min(F.when(F.col("sample") == "current", F.col("ts"))).alias("detection_start"),
-            F.max(F.when(F.col("sample") == "current", F.col("ts"))).alias("detection_end"))
-        out = out.crossJoin(b)
-    return out
-
-
 def validation_report_rows(verdict: DataFrame) -> DataFrame:
     """SRC-20: validation summary as (section, metric, value, verdict) rows."""
     cols = [c for c in verdict.columns if c != "overall_pass"]

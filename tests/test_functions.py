@@ -148,16 +148,6 @@ def test_comparison_request_checks():
         rg.check_comparison_request(["v1", "v2"], ["pd_auc", "made_up"])
 
 
-def test_sinks_roundtrip(spark, tmp_path):
-    from lendscope.sources import sinks
-    from lendscope.sources.adapters import credit_applications
-    apps = credit_applications(spark, "/root/testdata/sf0.001")
-    v = sinks.append_applications(apps, str(tmp_path / "apps"), str(tmp_path / "quarantine"), "b1").collect()[0]
-    good = spark.read.parquet(str(tmp_path / "apps")).count()
-    bad = spark.read.parquet(str(tmp_path / "quarantine")).count()
-    assert good == v["valid_records"] and good + bad == v["total_records"]
-
-
 def test_lookup_flag_and_client_ids(spark):
     from lendscope.operators import rollups as ru
     log = spark.createDataFrame([(1, dt.datetime(2024, 1, 2), 0.2), (1, dt.datetime(2024, 1, 1), 0.4),
