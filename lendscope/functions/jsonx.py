@@ -87,8 +87,36 @@ def unflatten(df: DataFrame, sep: str = ".") -> DataFrame:                    #
     return df.select(*build(tree))
 
 
-def deep_merge_maps(left: Column, right: Column) -> Column:                  # FN-18
-    """Right wins on key conflicts (one level of MapType)."""
+def deep_merge_maps(left: Column, right: Column) -> Column:                  # FN-18, one level of MapType
+    """Right wins on key conflicts."""
     return F.map_from_entries(F.concat(
         F.filter(F.map_entries(left), lambda e: ~F.array_contains(F.map_keys(right), e["key"])),
         F.map_entries(right)))
+
+
+MERGE_DEPTH = 16
+
+
+def deep_merge(left: Column, right: Column, depth: int = MERGE_DEPTH) -> Column:
+    """FN-18: JSON objects merged as VARIANT: right wins, objects on both sides are merged in turn.
+
+    Takes JSON text and returns VARIANT (``to_json`` gives text).  Numbers, texts, arrays and JSON nulls keep their
+    types.  A null side gives the other side.  Levels are unrolled; objects on both sides that are nested
+    deeper than ``depth`` raise an error instead of being merged wrongly."""
+    return _merged(F.parse_json(left), F.parse_json(right), depth)
+
+
+def _is_object(v: Column) -> Column:
+    return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
+
+
+def _merged(a: Column, b: Column, depth: int) -> Column:
+    def fields(v: Column) -> Column:
+        return F.variant_get(v, "$", "map<string,variant>")
+
+    if depth == 0:
+        both = F.raise_error(F.lit("JSON objects are nested deeper than the merge allows")).cast("variant")
+    else:
+        merged = F.map_zip_with(fields(a), fields(b), lambda k, x, y: _merged(x, y, depth - 1))
+        both = F.to_variant_object(merged)
+    return F.when(b.isNull(), a).when(_is_object(a) & _is_object(b), both).otherwise(b)

@@ -11,7 +11,7 @@ and tick length, not by the data volume behind each tick.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RULE_SCHEMA = ("name string, metric_name string, operator string, threshold double, severity string, "
@@ -130,6 +130,76 @@ def lifecycle(events: DataFrame, as_of: Column) -> DataFrame:
                          (effective != "resolved").alias("is_active"))
 
 
+def status_intervals(events: DataFrame) -> DataFrame:
+    """MON-07: how long each status of an alert holds: alert_id, status, actor, valid_from, valid_to (exclusive, null: open).
+
+    ``events``: alert_id, status, actor, suppressed_until, event_ts, seq.  A suppression that nothing ends
+    before expires: from ``suppressed_until`` on the alert is active again.  Of events at the same time the
+    one with the highest ``seq`` holds."""
+    nxt = F.lead("event_ts").over(Window.partitionBy("alert_id").orderBy("event_ts", "seq"))     # a few events an alert
+    e = events.withColumn("next", nxt)
+    expires = F.coalesce((F.col("status") == "suppressed") & F.col("suppressed_until").isNotNull()
+                         & (F.col("next").isNull() | (F.col("suppressed_until") < F.col("next"))), F.lit(False))
+    first = F.struct("status", "actor", F.col("event_ts").alias("valid_from"),
+                     F.when(expires, F.greatest("event_ts", "suppressed_until")).otherwise(F.col("next")).alias("valid_to"))
+    second = F.when(expires, F.struct(F.lit("active").alias("status"), F.lit("expiry").alias("actor"),
+                                      F.greatest("event_ts", "suppressed_until").alias("valid_from"), F.col("next").alias("valid_to")))
+    out = e.select("alert_id", F.explode(F.array_compact(F.array(first, second))).alias("i")).select("alert_id", "i.*")
+    return out.where(F.col("valid_to").isNull() | (F.col("valid_from") < F.col("valid_to")))
+
+
+def status_as_of(intervals: DataFrame, as_of: list[str]) -> DataFrame:
+    """MON-07: the status of each alert that exists at each of the given times; ``is_active``: not resolved."""
+    times = F.array(*[F.lit(t).cast("timestamp_ntz") for t in as_of])
+    holds = (F.col("valid_from") <= F.col("as_of")) & (F.col("valid_to").isNull() | (F.col("as_of") < F.col("valid_to")))
+    return intervals.select("*", F.explode(times).alias("as_of")).where(holds).withColumn("is_active", F.col("status") != "resolved")
+
+
+# ---- UDF-03: predicates as text ------------------------------------------------
+#: Expressions of Spark's analysed plan that a rule may hold.
+ALLOWED = {"Alias", "AttributeReference", "Literal", "Cast", "And", "Or", "Not", "EqualTo", "EqualNullSafe", "GreaterThan",
+           "GreaterThanOrEqual", "LessThan", "LessThanOrEqual", "In", "IsNull", "IsNotNull", "IsNaN", "Add", "Subtract", "Multiply",
+           "Divide", "Remainder", "UnaryMinus", "UnaryPositive", "Abs", "Coalesce", "If", "CaseWhen", "Least", "Greatest", "Round",
+           "Floor", "Ceil", "Sqrt", "Log", "Exp", "Pow", "Lower", "Upper", "Like", "StartsWith", "EndsWith", "Contains",
+           "Between", "With", "CommonExpressionDef", "CommonExpressionRef"}     # the last four make up BETWEEN
+
+
+class ForbiddenPredicate(ValueError):
+    """A predicate holds something that a rule may not hold."""
+
+
+def checked_predicate(df: DataFrame, text: str) -> Column:
+    """The boolean column of a rule's text over the columns of ``df``.
+
+    The text is parsed and analysed by Spark, and every expression of the analysed plan must be on the
+    allow-list: no subqueries, user functions, reflection, aggregates, windows, generators or random values."""
+    planned = df.select(F.expr(text).alias("p"))
+    plan = planned._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "Project" or not plan.child().sameResult(df._jdf.queryExecution().analyzed()):
+        raise ForbiddenPredicate(f"not a row-wise expression: {text}")
+    names: set[str] = set()
+
+    def walk(e) -> None:
+        names.add(e.getClass().getSimpleName())
+        children = e.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(plan.projectList().head())
+    if names - ALLOWED:
+        raise ForbiddenPredicate(f"{', '.join(sorted(names - ALLOWED))} in: {text}")
+    if planned.schema["p"].dataType.simpleString() != "boolean":
+        raise ForbiddenPredicate(f"not a condition: {text}")
+    return F.expr(text)
+
+
+def match_predicates(metrics: DataFrame, ts: str, rules: dict[str, str]) -> DataFrame:
+    """UDF-03: ts, name, violated of each rule (name -> predicate text) at each tick; a null condition is no violation."""
+    checked = [F.struct(F.lit(n).alias("name"), F.coalesce(checked_predicate(metrics, t), F.lit(False)).alias("violated"))
+               for n, t in rules.items()]
+    return metrics.select(F.col(ts).alias("ts"), F.explode(F.array(*checked)).alias("r")).select("ts", "r.*")
+
+
 # ---- UDF-02: alert channels as sinks ------------------------------------------
 def deliver(routed: DataFrame, path: str) -> None:
     """Table sink for routed alerts, one folder per channel (e-mail / webhook

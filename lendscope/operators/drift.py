@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendscope.functions.bands import edge_bin
@@ -221,19 +221,51 @@ def psi_history(long: DataFrame, period_col: str, bins: int = PSI_BINS) -> DataF
                       "drift_score", (F.col("drift_score") > F.lit(0.2)).alias("drift_detected"))
 
 
+def wasserstein(values: DataFrame) -> DataFrame:
+    """Wasserstein-1 distance per feature: the area between the two distribution functions.
+
+    Prefix sums give both functions at every distinct value; each difference holds until the next value,
+    which for the last value of a range bucket is the first value of the next bucket."""
+    vc = _counted(values).where(F.col("value").isNotNull()).groupBy("feature", "value").agg(
+        F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
+    ps = prefix_sums(vc, "value", ["feature"], ("ref", "cur"), keep_bucket=True)
+    first = ps.groupBy("feature", "_bucket").agg(F.min("value").alias("_first"))
+    following = first.select("feature", "_bucket", F.lead("_first").over(Window.partitionBy("feature").orderBy("_bucket")).alias("_next"))
+    inside = F.lead("value").over(Window.partitionBy("feature", "_bucket").orderBy("value"))
+    gap = F.abs(F.try_divide(F.col("below_ref") + F.col("ref"), F.col("total_ref"))
+                - F.try_divide(F.col("below_cur") + F.col("cur"), F.col("total_cur")))
+    x = ps.withColumn("_inside", inside).join(following, ["feature", "_bucket"])
+    return x.groupBy("feature").agg(F.sum(gap * (F.coalesce("_inside", "_next", "value") - F.col("value"))).alias("wasserstein"))
+
+
 # ---- UDF-01: plug-in drift detectors ------------------------------------------
+#: name -> (function from samples or a value table to one row per feature, its column of the score)
 DETECTORS = {
-    "ks_test": lambda long: ks_statistics(long),
-    "chi_square": lambda long: chi_square(long),
-    "psi_continuous": lambda long: psi_continuous(long),
-    "psi_categorical": lambda long: psi_categorical(long),
+    "ks_test": (ks_statistics, "ks_statistic"),
+    "chi_square": (chi_square, "chi2_statistic"),
+    "psi_continuous": (psi_continuous, "psi"),
+    "psi_categorical": (psi_categorical, "psi"),
+    "wasserstein": (wasserstein, "wasserstein"),
 }
 
 
-def register_detector(name: str, fn) -> None:
-    """Add a detector: a function from long-form samples to one row per feature."""
-    DETECTORS[name] = fn
+def register_detector(name: str, fn, score: str) -> None:
+    """Add a detector: ``fn`` gets samples (or their value table) and returns one row per feature with the column ``score``."""
+    DETECTORS[name] = (fn, score)
 
 
 def run_detector(name: str, long: DataFrame) -> DataFrame:
-    return DETECTORS[name](long)
+    """feature, detector, drift_score of a registered detector."""
+    if name not in DETECTORS:
+        raise ValueError(f"unknown detector {name}; known: {', '.join(sorted(DETECTORS))}")
+    fn, score = DETECTORS[name]
+    return fn(long).select("feature", F.lit(name).alias("detector"), F.col(score).cast("double").alias("drift_score"))
+
+
+def run_detectors(names: Sequence[str], long: DataFrame) -> DataFrame:
+    """Several detectors over one stored value table, in one plan."""
+    values = materialize(value_table(long))
+    out = run_detector(names[0], values)
+    for name in names[1:]:
+        out = out.unionByName(run_detector(name, values))
+    return out

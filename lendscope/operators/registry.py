@@ -104,3 +104,49 @@ def compare_versions(registry: DataFrame, stats: DataFrame, versions) -> tuple[D
     rows = req.join(registry, "model_version", "inner").join(stats, "model_version", "left")
     missing = req.join(registry.select("model_version"), "model_version", "left_anti")
     return rows, missing
+
+
+# --- fixed values (must equal the reference for equal results) -------------
+SECTIONS = ["accuracy_metrics", "calibration_metrics", "business_metrics", "validation_results"]
+
+
+def sections(metrics_json: Column) -> list[Column]:
+    """PRJ-19: the four sections of a version's metrics JSON as maps; a missing section, or a missing or malformed JSON, is empty."""
+    parsed = F.from_json(metrics_json, ", ".join(f"{s} map<string,double>" for s in SECTIONS))
+    empty = F.create_map().cast("map<string,double>")
+    return [F.coalesce(parsed[s], empty).alias(s) for s in SECTIONS]
+
+
+def performance_record(registry: DataFrame, stats: DataFrame, versions: Sequence[str]) -> DataFrame:
+    """PRJ-19 / JN-08: one row for each requested version, side by side; an unknown version has only its error.
+
+    ``stats``: the prediction statistics of each version (AGG-11).  The requested versions are a short list
+    of names, so the registry and the statistics are read with a filter and never shuffled whole."""
+    names = list(dict.fromkeys(versions))
+    asked = registry.sparkSession.createDataFrame([(i, v) for i, v in enumerate(names)], "position int, model_version string")
+    known = registry.where(F.col("model_version").isin(names)).select(
+        "model_version", "status", F.col("updated_at").alias("last_evaluated"), *sections(F.col("performance_metrics")))
+    found = asked.join(F.broadcast(known), "model_version").join(
+        stats.where(F.col("model_version").isin(names)), "model_version", "left").withColumn("error", F.lit(None).cast("string"))
+    unknown = asked.join(known, "model_version", "left_anti").withColumn(
+        "error", F.format_string("Model version %s not found", "model_version"))
+    return found.unionByName(unknown, allowMissingColumns=True)
+
+
+def active_model_info(registry: DataFrame, model_name: str, feature_names: Sequence[str]) -> DataFrame:
+    """PRJ-18: the newest active version of a model with its feature count and its parsed metrics."""
+    act = registry.where((F.col("model_name") == model_name) & (F.col("status") == "active"))
+    row = act.agg(F.max_by(F.struct("model_version", "model_type", "performance_metrics", "created_at"),
+                           F.struct("updated_at", "model_version")).alias("r")).where("r IS NOT NULL")
+    return row.select(F.lit(model_name).alias("model_name"), "r.model_version", "r.model_type", F.lit(True).alias("is_loaded"),
+                      F.lit(len(feature_names)).alias("feature_count"),
+                      F.from_json("r.performance_metrics", "map<string,double>").alias("metrics"), "r.created_at")
+
+
+def performance_history(metrics: DataFrame, names: Sequence[str], model_name: str, as_of: str, days: int = 30) -> DataFrame:
+    """PRJ-07: model_name, model_version, metric_name, metric_value, timestamp of a model's last ``days`` days."""
+    t, now = F.col("timestamp"), F.lit(as_of).cast("timestamp_ntz")
+    rows = metrics.where((F.col("model_name") == model_name) & (t >= now - F.make_dt_interval(F.lit(days))) & (t <= now))
+    pairs = F.array(*[F.struct(F.lit(n).alias("metric_name"), F.col(n).cast("double").alias("metric_value")) for n in names])
+    return rows.select("model_name", "model_version", "timestamp", F.explode(pairs).alias("m")).select(
+        "model_name", "model_version", "m.*", "timestamp").where(F.col("metric_value").isNotNull())

@@ -234,18 +234,8 @@ def dashboard_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         "critical_alerts", "active_alerts")
 
 
-@register("alert_lifecycle", ops=("MON-07", "MON-08", "SRC-14"), sql=with_views("""
-SELECT CASE WHEN resolved_at IS NOT NULL AND resolved_at >= acked_at THEN 'resolved'
-            WHEN acked_at IS NOT NULL AND acked_at <= newest THEN 'acknowledged'
-            WHEN resolved_at IS NOT NULL THEN 'resolved' ELSE 'active' END AS status, count(*) AS alerts
-FROM (SELECT f.alert_id, CASE WHEN f.severity = 'critical' THEN f.ts + INTERVAL 1 HOUR END AS acked_at,
-             (SELECT min(m.ts) FROM rule_matches m WHERE m.name = f.name AND m.ts > f.ts AND NOT m.violated) AS resolved_at,
-             (SELECT max(ts) FROM rule_matches) AS newest FROM fired f) x
-GROUP BY 1""", "fired"))
-def alert_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event-sourced alert status: every fired alert opens as active, is
-    acknowledged one tick later when its severity is critical, and is resolved
-    at the first later tick where its rule passes; status as of the last tick."""
+def _status_events(spark: SparkSession, sf_dir: str):
+    """Matched ticks, fired alerts and their status events: opened, acknowledged, resolved."""
     m = matched(spark, sf_dir)
     ev = al.evaluate_rules(m)
     fired = al.fired_alerts(ev)
@@ -269,7 +259,69 @@ def alert_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("timestamp_ntz").alias("suppressed_until"), F.col("resolved_at").alias("event_ts"),
         F.lit(2).alias("seq"))
     events = opened.unionByName(acked).unionByName(resolved)
+    return m, fired, events
+
+
+@register("alert_lifecycle", ops=("MON-07", "MON-08", "SRC-14"), sql=with_views("""
+SELECT CASE WHEN resolved_at IS NOT NULL AND resolved_at >= acked_at THEN 'resolved'
+            WHEN acked_at IS NOT NULL AND acked_at <= newest THEN 'acknowledged'
+            WHEN resolved_at IS NOT NULL THEN 'resolved' ELSE 'active' END AS status, count(*) AS alerts
+FROM (SELECT f.alert_id, CASE WHEN f.severity = 'critical' THEN f.ts + INTERVAL 1 HOUR END AS acked_at,
+             (SELECT min(m.ts) FROM rule_matches m WHERE m.name = f.name AND m.ts > f.ts AND NOT m.violated) AS resolved_at,
+             (SELECT max(ts) FROM rule_matches) AS newest FROM fired f) x
+GROUP BY 1""", "fired"))
+def alert_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event-sourced alert status: every fired alert opens as active, is
+    acknowledged one tick later when its severity is critical, and is resolved
+    at the first later tick where its rule passes; status as of the last tick."""
+    m, _, events = _status_events(spark, sf_dir)
     as_of = m.agg(F.max("ts").alias("_asof"))
     events = events.crossJoin(F.broadcast(as_of)).where(F.col("event_ts") <= F.col("_asof")).drop("_asof")
     lc = al.lifecycle(events, F.lit(None).cast("timestamp_ntz"))
     return lc.groupBy("status").agg(F.count(F.lit(1)).alias("alerts"))
+
+
+LIFECYCLE_AS_OF = ["2024-01-08 12:00:00", "2024-01-16 06:45:00", "2024-01-31 00:00:00"]
+
+
+@register("alert_status_as_of", ops=("MON-07", "MON-08"), sql=with_views("""
+SELECT as_of, status, count(*) AS alerts, count(*) FILTER (WHERE status <> 'resolved') AS active
+FROM (SELECT as_of, alert_id, CASE WHEN s.status = 'suppressed' AND s.until <= as_of THEN 'active' ELSE s.status END AS status
+      FROM (SELECT as_of, alert_id, arg_max({'status': status, 'until': until}, (moment, seq)) AS s
+            FROM (SELECT alert_id, 'active' AS status, CAST(NULL AS TIMESTAMP) AS until, ts AS moment, 0 AS seq FROM fired
+                  UNION ALL SELECT alert_id, 'acknowledged', NULL, ts + INTERVAL 1 HOUR, 1 FROM fired WHERE severity = 'critical'
+                  UNION ALL SELECT alert_id, 'suppressed', ts + INTERVAL 300 MINUTE, ts + INTERVAL 30 MINUTE, 1 FROM fired WHERE severity <> 'critical'
+                  UNION ALL SELECT alert_id, 'resolved', NULL, r, 2 FROM (
+                    SELECT f.alert_id, (SELECT min(m.ts) FROM rule_matches m WHERE m.name = f.name AND m.ts > f.ts AND NOT m.violated) AS r
+                    FROM fired f) x WHERE r IS NOT NULL) e,
+                 (VALUES (TIMESTAMP '2024-01-08 12:00:00'), (TIMESTAMP '2024-01-16 06:45:00'), (TIMESTAMP '2024-01-31 00:00:00')) a(as_of)
+            WHERE moment <= as_of GROUP BY as_of, alert_id) l) c
+GROUP BY 1, 2""", "fired"))
+def alert_status_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status counts at three times: critical alerts are acknowledged after an hour, others are suppressed from half
+    an hour to five hours after firing and active again when that expires, all are resolved when their rule passes."""
+    _, fired, events = _status_events(spark, sf_dir)
+    suppressed = fired.where("severity <> 'critical'").select(
+        "alert_id", F.lit("suppressed").alias("status"), F.lit("on_call").alias("actor"),
+        (F.col("ts") + F.expr("INTERVAL 300 MINUTES")).alias("suppressed_until"),
+        (F.col("ts") + F.expr("INTERVAL 30 MINUTES")).alias("event_ts"), F.lit(1).alias("seq"))
+    held = al.status_as_of(al.status_intervals(events.unionByName(suppressed)), LIFECYCLE_AS_OF)
+    return held.groupBy("as_of", "status").agg(F.count(F.lit(1)).alias("alerts"), F.count_if("is_active").alias("active"))
+
+
+TEXT_RULES = {"busy_and_failing": "error_rate > 0.05 AND requests >= 10",
+              "heavy_tail": "p95_response_time > 1.8 * avg_response_time OR p95_response_time >= 9",
+              "loaded_host": "cpu_percent BETWEEN 60 AND 80 OR coalesce(memory_percent, 0) > 145"}
+
+
+@register("rule_predicates", ops=("UDF-03", "PRJ-12"), sql=with_views("""
+SELECT name, count(*) AS ticks, count(*) FILTER (WHERE v) AS violations, min(ts) FILTER (WHERE v) AS first_violation
+FROM (SELECT ts, 'busy_and_failing' AS name, error_rate > 0.05E0 AND requests >= 10 AS v FROM hourly_metrics
+      UNION ALL SELECT ts, 'heavy_tail', p95_response_time > 1.8E0 * avg_response_time OR p95_response_time >= 9 FROM hourly_metrics
+      UNION ALL SELECT ts, 'loaded_host', cpu_percent BETWEEN 60 AND 80 OR coalesce(memory_percent, 0) > 145 FROM hourly_metrics) r
+GROUP BY name""", "hourly_metrics"))
+def rule_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules whose condition is text over all metrics of a tick, checked against the allow-list before they run."""
+    v = al.match_predicates(ad.hourly_metrics(spark, sf_dir), "ts", TEXT_RULES)
+    return v.groupBy("name").agg(F.count(F.lit(1)).alias("ticks"), F.count_if("violated").alias("violations"),
+                                 F.min(F.when(F.col("violated"), F.col("ts"))).alias("first_violation"))

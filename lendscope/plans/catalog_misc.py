@@ -14,6 +14,7 @@ from lendscope.plans.oracle_views import with_views
 from lendscope.plans.registry import register
 from lendscope.session import materialize
 from lendscope.sources import adapters as ad
+from lendscope.sources.tables import Tables
 
 API_AS_OF = "2024-01-31 00:00:00"
 
@@ -488,3 +489,90 @@ def multi_source_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.col("c_custkey").cast("string").alias("customer_id"), F.lit("customers").alias("source"))
     u = chosen.unionByName(prospects, allowMissingColumns=True)
     return u.groupBy("source").agg(F.count(F.lit(1)).alias("records"), F.count("loan_amount").alias("with_amount"))
+
+
+_RECORD_SQL = """
+WITH m AS (SELECT model_version, count(*) AS n, avg(CAST((pd_score > 0.5E0) = is_default AS DOUBLE)) AS accuracy, avg(pd_score) AS mean_pd,
+                  avg(CAST(is_default AS DOUBLE)) AS default_rate, avg(expected_loss) AS el, avg(response_time_ms) AS ms,
+                  max(timestamp) AS last_evaluated FROM prediction_log GROUP BY 1)"""
+
+
+@register("model_performance_record", ops=("PRJ-19", "JN-08", "MV-15", "AGG-11"), sql=with_views(_RECORD_SQL + """
+SELECT position, a.model_version, last_evaluated, round(accuracy, 8) AS accuracy,
+       CASE WHEN a.model_version = 'v2' THEN NULL ELSE round(mean_pd - default_rate, 8) END AS calibration_gap,
+       round(el, 8) AS expected_loss_mean, CASE WHEN n IS NULL THEN NULL ELSE 0 END AS validation_results,
+       n AS total_predictions, round(ms, 6) AS avg_response_time_ms,
+       CASE WHEN n IS NULL THEN 'Model version ' || a.model_version || ' not found' END AS error
+FROM (VALUES (0, 'v2'), (1, 'v9'), (2, 'v1')) a(position, model_version) LEFT JOIN m ON m.model_version = a.model_version""",
+                                                                                                 "prediction_log"))
+def model_performance_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three requested versions side by side: v2 has no calibration section, v9 is unknown, nobody has validation results."""
+    p = ad.prediction_log(spark, sf_dir)
+    m = p.groupBy("model_name", "model_version").agg(
+        F.avg(((F.col("pd_score") > 0.5) == F.col("is_default")).cast("double")).alias("accuracy"), F.avg("pd_score").alias("mean_pd"),
+        F.avg(F.col("is_default").cast("double")).alias("default_rate"), F.avg("expected_loss").alias("el"),
+        F.avg("response_time_ms").alias("avg_response_time_ms"), F.count(F.lit(1)).alias("total_predictions"),
+        F.max("timestamp").alias("updated_at"))
+    m = materialize(m)                                    # one row a version, read by registry and statistics
+    gap = F.when(F.col("model_version") != "v2", F.struct((F.col("mean_pd") - F.col("default_rate")).alias("gap")))
+    reg = m.select("model_name", "model_version", F.lit("inactive").alias("status"), "updated_at", F.to_json(F.struct(
+        F.struct("accuracy").alias("accuracy_metrics"), gap.alias("calibration_metrics"),
+        F.struct(F.col("el").alias("expected_loss_mean")).alias("business_metrics"))).alias("performance_metrics"))
+    rec = rg.performance_record(reg, m.select("model_version", "total_predictions", "avg_response_time_ms"), ["v2", "v9", "v1", "v2"])
+    return rec.select(
+        "position", "model_version", "last_evaluated", F.round(F.col("accuracy_metrics")["accuracy"], 8).alias("accuracy"),
+        F.round(F.col("calibration_metrics")["gap"], 8).alias("calibration_gap"),
+        F.round(F.col("business_metrics")["expected_loss_mean"], 8).alias("expected_loss_mean"),
+        F.when(F.col("validation_results").isNotNull(), F.size("validation_results")).alias("validation_results"),
+        "total_predictions", F.round("avg_response_time_ms", 6).alias("avg_response_time_ms"), "error")
+
+
+@register("model_performance_history", ops=("PRJ-07", "SRC-12"), sql=with_views("""
+SELECT model_name, model_version, metric_name, round(metric_value, 8) AS metric_value, timestamp
+FROM (SELECT * FROM model_metrics WHERE timestamp >= (TIMESTAMP '1998-08-02 00:00:00' - INTERVAL 90 DAY) AND timestamp <= TIMESTAMP '1998-08-02 00:00:00')
+     UNPIVOT (metric_value FOR metric_name IN (accuracy, avg_prediction_time, avg_pd_score))""", "model_metrics"))
+def model_performance_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last 90 days of a model's metrics as rows of name and value."""
+    h = rg.performance_history(ad.model_metrics(spark, sf_dir), ["accuracy", "avg_prediction_time", "avg_pd_score"],
+                               "credit_risk_model", "1998-08-02 00:00:00", 90)
+    return h.withColumn("metric_value", F.round("metric_value", 8))
+
+
+@register("active_model", ops=("PRJ-18", "AGG-18", "ML-12"), sql=with_views(f"""
+SELECT 'credit_risk_model' AS model_name, model_version, 'scorecard' AS model_type, true AS is_loaded, 9 AS feature_count,
+       round(accuracy, 8) AS accuracy, 3 AS metrics, created_at
+FROM ({_VERSION_METRICS_SQL}) v WHERE model_version = 'v1'""", "prediction_log"))
+def active_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reg = rg.activate(registry_from_log(spark, sf_dir), "credit_risk_model", "v1", F.col("updated_at"))
+    info = rg.active_model_info(reg, "credit_risk_model", ad.CONTINUOUS_FEATURES + ad.CATEGORICAL_FEATURES)
+    return info.select("model_name", "model_version", "model_type", "is_loaded", "feature_count",
+                       F.round(F.col("metrics")["accuracy"], 8).alias("accuracy"), F.size("metrics").alias("metrics"), "created_at")
+
+
+_PATCH = '{"k": 7, "source": {"host": {"name": "a", "zone": {"id": 3, "tags": ["x", "y"]}}, "kind": "api"}}'
+_BASE = '{"source": {"host": {"zone": {"id": 1, "label": "old"}, "cpu": 4}, "kind": {"was": "object"}}}'
+
+
+@register("metadata_deep_merge", ops=("FN-18", "FN-03"), sql=f"""
+WITH b AS (SELECT event_id, props, json_merge_patch(props, CASE WHEN event_id % 3 = 0 THEN '{_BASE}' ELSE '{{}}' END) AS base FROM events),
+m AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN json_merge_patch(base, '{_PATCH}') ELSE base END AS j FROM b)
+SELECT event_id, CAST(json_extract(j, '$.k') AS BIGINT) AS k, json_extract_string(j, '$.source.kind') AS kind,
+       json_extract_string(j, '$.source.host.name') AS host, CAST(json_extract(j, '$.source.host.cpu') AS BIGINT) AS cpu,
+       CAST(json_extract(j, '$.source.host.zone.id') AS BIGINT) AS zone, json_extract_string(j, '$.source.host.zone.label') AS label,
+       CAST(coalesce(json_array_length(j, '$.source.host.zone.tags'), 0) AS INTEGER) AS tags
+FROM m WHERE json_extract_string(j, '$.source.kind') IS NOT NULL""")
+def metadata_deep_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request metadata of four levels merged with a base and a patch; arrays and texts are replaced, objects merged."""
+    e = Tables(spark, sf_dir).events
+    base = F.to_json(jx.deep_merge(F.col("props"), F.when(F.col("event_id") % 3 == 0, F.lit(_BASE))))
+    v = e.select("event_id", jx.deep_merge(base, F.when(F.col("event_id") % 2 == 0, F.lit(_PATCH))).alias("j"))
+
+    def get(path: str, kind: str):
+        return F.try_variant_get("j", f"$.{path}", kind)
+
+    kind = get("source.kind", "variant")
+    return v.where(kind.isNotNull()).select(
+        "event_id", get("k", "bigint").alias("k"), F.coalesce(get("source.kind", "string"), F.to_json(kind)).alias("kind"),
+        get("source.host.name", "string").alias("host"), get("source.host.cpu", "bigint").alias("cpu"),
+        get("source.host.zone.id", "bigint").alias("zone"), get("source.host.zone.label", "string").alias("label"),
+        F.coalesce(F.size(get("source.host.zone.tags", "array<string>")), F.lit(0)).alias("tags"))

@@ -264,6 +264,20 @@ def drift_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("detections"), F.sum(F.col("drift_detected").cast("long")).alias("drifted"))
 
 
+@register("drift_detectors", ops=("UDF-01", "DR-03", "DR-05"), sql=with_views("""
+WITH v AS (SELECT feature, value, sum(CAST(sample = 'reference' AS INT)) AS r, sum(CAST(sample = 'current' AS INT)) AS c
+           FROM drift_samples WHERE value IS NOT NULL GROUP BY 1, 2),
+f AS (SELECT feature, value, abs(sum(r) OVER w / sum(r) OVER (PARTITION BY feature) - sum(c) OVER w / sum(c) OVER (PARTITION BY feature)) AS gap,
+             lead(value) OVER (PARTITION BY feature ORDER BY value) AS next
+      FROM v WINDOW w AS (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING))
+SELECT feature, 'wasserstein' AS detector, round(sum(gap * (coalesce(next, value) - value)), 6) AS drift_score FROM f GROUP BY 1
+UNION ALL SELECT feature, 'ks_test', round(max(gap), 6) FROM f GROUP BY 1""", "drift_samples"))
+def drift_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detectors picked by name from the registry, one of them the Wasserstein distance, over one value table."""
+    out = dr.run_detectors(["wasserstein", "ks_test"], ad.drift_samples(spark, sf_dir).where("value IS NOT NULL"))
+    return out.withColumn("drift_score", F.round("drift_score", 6))
+
+
 _MODEL = "credit_risk_model"
 
 
