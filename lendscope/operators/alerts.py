@@ -1,7 +1,7 @@
 """Alert rules, evaluation state machine, routing and life cycle.
 
 Rules are data (UDF-03).  Metric observations are matched to the enabled
-rules of the same name by a broadcast equi-join (JN-06), the operator string
+rules of the same name by an equi-join (JN-06), the operator string
 becomes a comparison (PRJ-12), and the consecutive-failure / cooldown machine
 (ST-04) runs per rule with ``applyInPandas``.  The groups are metric *time
 series* (one row per evaluation tick), so their size is set by the time span
@@ -53,7 +53,7 @@ def long_metrics(df: DataFrame, ts: str, metric_cols) -> DataFrame:
 def match_rules(metrics_long: DataFrame, rules: DataFrame) -> DataFrame:
     """JN-06 + PRJ-12: every observation against the enabled rules of its metric."""
     r = rules.where("enabled")
-    j = metrics_long.join(F.broadcast(r), "metric_name")
+    j = metrics_long.join(r, "metric_name")          # rules are a user's table: Spark broadcasts it while it is small
     return j.withColumn("violated", F.coalesce(compare(F.col("value"), F.col("operator"), F.col("threshold")),
                                                F.lit(False)))
 
@@ -108,14 +108,13 @@ def route(alerts: DataFrame, rules: DataFrame) -> DataFrame:
     """JN-07: 'logging' plus the channels of the first rule (registration order,
     enabled or not) with the same metric or the same alert type; one row per
     distinct (alert, channel)."""
-    r = rules.select(F.col("rule_order").alias("_rule"), F.col("metric_name").alias("_metric"),
-                     F.col("alert_type").alias("_type"), "notification_channels")
-    cond = (F.col("metric_name") == F.col("_metric")) | (F.col("alert_type") == F.col("_type"))
-    j = alerts.join(F.broadcast(r), cond, "left")
-    first = j.groupBy("alert_id").agg(F.min_by("notification_channels", "_rule").alias("_ch"))
-    chans = first.select("alert_id", F.array_union(F.array(F.lit("logging")),
-                                                   F.coalesce("_ch", F.array().cast("array<string>"))).alias("channels"))
-    return alerts.join(chans, "alert_id").select("*", F.explode("channels").alias("channel")).drop("channels")
+    first = F.min(F.struct("rule_order", "notification_channels"))       # one row a metric, one a type
+    by_metric = rules.groupBy("metric_name").agg(first.alias("_m"))
+    by_type = rules.groupBy("alert_type").agg(first.alias("_t"))
+    j = alerts.join(by_metric, "metric_name", "left").join(by_type, "alert_type", "left")
+    chosen = F.when(F.col("_t.rule_order") < F.col("_m.rule_order"), F.col("_t")).otherwise(F.coalesce("_m", "_t"))
+    chans = F.array_union(F.array(F.lit("logging")), F.coalesce(chosen["notification_channels"], F.array().cast("array<string>")))
+    return j.select(*[F.col(c) for c in alerts.columns], F.explode(chans).alias("channel"))
 
 
 def lifecycle(events: DataFrame, as_of: Column) -> DataFrame:
@@ -198,17 +197,3 @@ def match_predicates(metrics: DataFrame, ts: str, rules: dict[str, str]) -> Data
     checked = [F.struct(F.lit(n).alias("name"), F.coalesce(checked_predicate(metrics, t), F.lit(False)).alias("violated"))
                for n, t in rules.items()]
     return metrics.select(F.col(ts).alias("ts"), F.explode(F.array(*checked)).alias("r")).select("ts", "r.*")
-
-
-# ---- UDF-02: alert channels as sinks ------------------------------------------
-def deliver(routed: DataFrame, path: str) -> None:
-    """Table sink for routed alerts, one folder per channel (e-mail / webhook
-    delivery is outside the library; their rows land here for a sender)."""
-    routed.write.mode("append").partitionBy("channel").parquet(path)
-
-
-def channel_sink(path: str):
-    """foreachBatch body delivering each micro-batch of routed alerts."""
-    def body(batch: DataFrame, epoch: int) -> None:
-        deliver(batch.withColumn("epoch", F.lit(epoch)), path)
-    return body

@@ -48,6 +48,30 @@ def stream_alert_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fired.withColumn("current_value", F.round("current_value", 8))
 
 
+_CHANNEL_SQL = """(SELECT * FROM (VALUES (0, 'error_rate', 'system', ['logging', 'email']), (1, 'avg_response_time', 'performance', ['logging']),
+  (2, 'p95_response_time', 'performance', ['webhook']), (3, 'cpu_percent', 'system', ['logging', 'webhook']),
+  (4, 'memory_percent', 'system', ['email']), (5, 'requests', 'availability', ['logging'])) c(i, metric, type, channels))"""
+
+
+@register("stream_alert_delivery", ops=("UDF-02", "JN-07", "ST-04"), sql=with_views(f"""
+SELECT channel, name, count(*) AS deliveries, min(ts) AS first_alert
+FROM (SELECT alert_id, name, ts, unnest(list_distinct(list_concat(['logging'], coalesce(arg_min(channels, i), [])))) AS channel
+      FROM fired LEFT JOIN {_CHANNEL_SQL} c ON metric_name = metric OR alert_type = type GROUP BY alert_id, name, ts) d
+GROUP BY 1, 2""", "fired"))
+def stream_alert_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alerts of the request stream, routed and handed to the channel sink; a second run of the sink adds nothing."""
+    from lendscope.streaming import channels as ch
+    api = sj.api_stream(_events_stream(spark, sf_dir))
+    out = sj.stream_alerts(api, al.rules_table(spark), keep=["request_id", "ts"]).rows
+    base = sj.work_dir(spark, "delivery")
+    al.fired_alerts(out).write.parquet(f"{base}/alerts")
+    routed = al.route(spark.readStream.schema(al.fired_alerts(out).schema).parquet(f"{base}/alerts"), al.rules_table(spark))
+    for _ in range(2):
+        ch.deliver(routed, f"{base}/channels", f"{base}/checkpoint")
+    got = ch.delivered(spark, f"{base}/channels", "alert_id string, name string, ts timestamp, channel string")
+    return got.groupBy("channel", "name").agg(F.count(F.lit(1)).alias("deliveries"), F.min("ts").cast("timestamp_ntz").alias("first_alert"))
+
+
 @register("stream_scoring_decisions", ops=("RSK-09", "RSK-08", "ST-02", "JN-01"), sql=with_views(f"""
 SELECT loan_purpose, {DECISION_SQL} AS decision, count(*) AS applications,
        round(sum(expected_loss), 6) AS expected_loss
