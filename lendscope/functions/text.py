@@ -125,3 +125,44 @@ def score_display(x) -> Column:                                              # P
 
 def ts_display(x, seconds: bool = True) -> Column:                           # PRJ-15
     return F.date_format(_c(x), "yyyy-MM-dd HH:mm:ss" if seconds else "yyyy-MM-dd HH:mm")
+
+
+# --- fixed values (must equal the reference for equal results) -------------
+AUDIENCE_FOCUS = {
+    "technical": "Focus on technical details, model mechanics, and statistical concepts.",
+    "business": "Emphasize business implications, practical applications, and strategic insights.",
+    "regulatory": "Highlight compliance considerations, regulatory requirements, and documentation needs.",
+    "executive": "Provide high-level strategic perspective with actionable recommendations.",
+}
+
+
+def _shown(v: Column, kind: str) -> Column:
+    """One value of a profile; null is N/A."""
+    if kind == "currency":       # thousands separators, decimals as they are (one at least for fractions)
+        digits = F.regexp_replace(F.format_number(v.cast("double"), 6), r"(\.\d+?)0+$", "$1")
+        text = F.concat(F.lit("$"), F.when(F.typeof(v).isin("int", "bigint", "smallint", "tinyint"), F.format_number(v.cast("double"), 0)).otherwise(digits))
+    elif kind == "percent":
+        text = F.concat(F.format_string("%.2f", v.cast("double") * 100), F.lit("%"))
+    elif kind == "ratio":
+        text = F.format_string("%.2f", v.cast("double"))
+    elif kind == "list":
+        text = F.array_join(v, ", ")
+    else:
+        text = v.cast("string")
+    return F.when(v.isNull(), F.lit("" if kind == "list" else "N/A")).otherwise(text)
+
+
+def profile_text(title: str, lines: list[tuple[str, Column, str]]) -> Column:    # FN-26
+    """A titled block of "- label: value" lines; kinds: text, currency, percent, ratio, list."""
+    shown = [F.concat(F.lit(f"- {label}: "), _shown(v, kind)) for label, v, kind in lines]
+    return F.concat_ws("\n", F.lit(f"{title}:"), *shown)
+
+
+def for_audience(text: Column, audience: Column) -> Column:                    # FN-27
+    """The text with the focus of its audience; an unknown audience leaves it unchanged."""
+    focus = F.create_map(*[F.lit(x) for kv in AUDIENCE_FOCUS.items() for x in kv])[audience]
+    return F.when(focus.isNotNull(), F.concat(text, F.lit("\n\nAUDIENCE FOCUS: "), focus)).otherwise(text)
+
+
+def with_context(text: Column, context: Column) -> Column:                     # FN-27
+    return F.when(context.isNotNull(), F.concat(text, F.lit("\n\nADDITIONAL CONTEXT:\n"), context)).otherwise(text)

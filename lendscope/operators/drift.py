@@ -221,6 +221,24 @@ def psi_history(long: DataFrame, period_col: str, bins: int = PSI_BINS) -> DataF
                       "drift_score", (F.col("drift_score") > F.lit(0.2)).alias("drift_detected"))
 
 
+def drift_sections(history: DataFrame, newest: int = 10) -> DataFrame:
+    """AGG-05: section, timestamp, drift_type, value of a drift history.
+
+    ``total``, ``feature`` and ``performance`` count results; ``trend`` counts them by hour and type (hours
+    without results are left out); ``recent`` are the ``newest`` results with their score (a top-k report)."""
+    kind = F.col("drift_type")
+    counts = history.agg(F.count(F.lit(1)).alias("total"), F.count_if(kind.contains("feature_drift")).alias("feature"),
+                         F.count_if(kind == "performance_drift").alias("performance"))
+    none = F.lit(None)
+    totals = counts.select(F.explode(F.create_map(*[x for c in counts.columns for x in (F.lit(c), F.col(c).cast("double"))])).alias(
+        "section", "value")).select("section", none.cast("timestamp_ntz").alias("timestamp"), none.cast("string").alias("drift_type"), "value")
+    trend = history.groupBy(F.date_trunc("hour", "timestamp").cast("timestamp_ntz").alias("timestamp"), "drift_type").agg(
+        F.count(F.lit(1)).cast("double").alias("value")).select(F.lit("trend").alias("section"), "timestamp", "drift_type", "value")
+    recent = history.orderBy(F.desc("timestamp"), "drift_type").limit(newest).select(
+        F.lit("recent").alias("section"), "timestamp", "drift_type", F.col("drift_score").alias("value"))
+    return totals.unionByName(trend).unionByName(recent)
+
+
 def wasserstein(values: DataFrame) -> DataFrame:
     """Wasserstein-1 distance per feature: the area between the two distribution functions.
 

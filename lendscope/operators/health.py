@@ -53,28 +53,40 @@ def _component(value: Column, cfg: dict) -> Column:
 
 
 def health_b(df: DataFrame) -> DataFrame:
-    """MON-02: weighted component scores, ``int`` of the sum; present metrics only."""
+    """MON-02: weighted component scores, ``int`` of the sum, and an issue for each metric at or past its target; present metrics only."""
     total = F.lit(0.0)
-    comps = []
+    comps, issues = [], []
     for name, cfg in HEALTH_B_COMPONENTS.items():
         if name not in df.columns:
             continue
         s = F.when(F.col(name).isNotNull(), _component(F.col(name), cfg))
         comps.append(s.alias(f"{name}_score"))
+        title, lower, v = name.replace("_", " ").title(), cfg["lower_is_better"], F.col(name)
+        shown = F.bround(v.cast("double"), 2)          # ties go to the even digit
+        bad = v >= cfg["critical"] if lower else v <= cfg["critical"]
+        off = v >= cfg["target"] if lower else v <= cfg["target"]
+        issues.append(F.when(bad, F.format_string(f"{title} is critical (%.2f)", shown))
+                      .when(off, F.format_string(f"{title} is {'above' if lower else 'below'} target (%.2f)", shown)))
         total = total + F.coalesce(s, F.lit(0.0)) * F.lit(cfg["weight"])
     status = (F.when(total >= 90, "excellent").when(total >= 75, "good").when(total >= 60, "warning")
               .otherwise("critical"))
-    return df.select("*", *comps, total.cast("int").alias("health_score"), status.alias("status"))
+    return df.select("*", *comps, total.cast("int").alias("health_score"), status.alias("status"),
+                     (F.array_compact(F.array(*issues)) if issues else F.array().cast("array<string>")).alias("issues"))
 
 
 def health_c(df: DataFrame, api_up: Column, tables_present: Column) -> DataFrame:
-    """MON-03: cpu > 80 -20, memory > 85 -20, API down -30, tables missing -25."""
-    score = F.lit(100)
-    for col, thr, pts, _ in HEALTH_C_DEDUCTIONS:
-        score = score - F.when(F.coalesce(F.col(col) > thr, F.lit(False)), F.lit(pts)).otherwise(F.lit(0))
-    score = score - F.when(~api_up, F.lit(30)).otherwise(F.lit(0)) \
-        - F.when(~tables_present, F.lit(25)).otherwise(F.lit(0))
-    return df.select("*", F.greatest(score, F.lit(0)).alias("health_score"))
+    """MON-03: cpu > 80 -20, memory > 85 -20, API down -30, tables missing -25, with the issues and the status band."""
+    score, issues = F.lit(100), []
+    for col, thr, pts, text in HEALTH_C_DEDUCTIONS:
+        hit = F.coalesce(F.col(col) > thr, F.lit(False))
+        score = score - F.when(hit, F.lit(pts)).otherwise(F.lit(0))
+        issues.append(F.when(hit, F.format_string(f"{text}: %.1f%%", F.col(col).cast("double"))))
+    for up, pts, text in ((api_up, 30, "API server not running"), (tables_present, 25, "Database not initialized")):
+        score = score - F.when(~up, F.lit(pts)).otherwise(F.lit(0))
+        issues.append(F.when(~up, F.lit(text)))
+    status = F.when(score >= 90, "healthy").when(score >= 70, "warning").otherwise("critical")
+    return df.select("*", F.greatest(score, F.lit(0)).alias("health_score"), status.alias("status"),
+                     F.array_compact(F.array(*issues)).alias("issues"))
 
 
 def component_rollup(components: DataFrame, group_cols=(), status: str = "status") -> DataFrame:

@@ -150,3 +150,15 @@ def performance_history(metrics: DataFrame, names: Sequence[str], model_name: st
     pairs = F.array(*[F.struct(F.lit(n).alias("metric_name"), F.col(n).cast("double").alias("metric_value")) for n in names])
     return rows.select("model_name", "model_version", "timestamp", F.explode(pairs).alias("m")).select(
         "model_name", "model_version", "m.*", "timestamp").where(F.col("metric_value").isNotNull())
+
+
+def filters(wanted: dict) -> Column:
+    """PRJ-11: a list is IN, a pair a closed range (an open end is None), anything else equality; all must hold."""
+    keep = F.lit(True)
+    for name, v in wanted.items():
+        if isinstance(v, tuple):
+            low, high = v
+            keep &= (F.lit(True) if low is None else F.col(name) >= low) & (F.lit(True) if high is None else F.col(name) <= high)
+        else:
+            keep &= F.col(name).isin(v) if isinstance(v, list) else F.col(name) == v
+    return keep

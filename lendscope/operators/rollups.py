@@ -77,17 +77,25 @@ def model_summary(metrics: DataFrame, as_of, minutes: int = 60) -> DataFrame:
         .alias("high_risk_rate"))
 
 
+CALENDAR = 10_000        # bins of one piece of a calendar
+
+
 def gap_fill(binned: DataFrame, bin_col: str, step_seconds: int, fill: dict | None = None,
              group_cols: Sequence[str] = ()) -> DataFrame:
     """JN-09: calendar of every bin between the first and last one, left-joined.
 
-    The calendar is generated from the (min, max) row; its size is the time span
-    divided by the step, independent of the data volume.
+    The calendar comes from the (min, max) row in pieces of CALENDAR bins that are dealt out to tasks
+    before they are unfolded, so a wrong date far away makes many small rows and no large one.
     """
     g = list(group_cols)
     bounds = binned.groupBy(*g).agg(F.min(bin_col).alias("_lo"), F.max(bin_col).alias("_hi"))
-    step = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(step_seconds))
-    cal = bounds.select(*g, F.explode(F.sequence("_lo", "_hi", step)).alias(bin_col))
+
+    def seconds(n: int) -> Column:
+        return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(n))
+
+    pieces = bounds.select(*g, "_hi", F.explode(F.sequence("_lo", "_hi", seconds(step_seconds * CALENDAR))).alias("_from"))
+    last = F.least(F.col("_from") + seconds(step_seconds * (CALENDAR - 1)), "_hi")
+    cal = pieces.repartition(*g, "_from").select(*g, F.explode(F.sequence("_from", last, seconds(step_seconds))).alias(bin_col))
     out = cal.join(binned, [*g, bin_col], "left")
     return out.fillna(fill) if fill else out
 

@@ -325,3 +325,135 @@ def rule_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = al.match_predicates(ad.hourly_metrics(spark, sf_dir), "ts", TEXT_RULES)
     return v.groupBy("name").agg(F.count(F.lit(1)).alias("ticks"), F.count_if("violated").alias("violations"),
                                  F.min(F.when(F.col("violated"), F.col("ts"))).alias("first_violation"))
+
+
+_LOWER = [("Api Response Time", "avg_response_time", 0.1, 1.0), ("Error Rate", "error_rate", 0.01, 0.05), ("Cpu Usage", "cpu_percent", 50.0, 90.0),
+          ("Memory Usage", "memory_percent", 60.0, 85.0)]
+_ISSUES_B = ", ".join(f"CASE WHEN {c} >= {bad}E0 THEN printf('{t} is critical (%.2f)', {c}) WHEN {c} >= {aim}E0 THEN printf('{t} is above target (%.2f)', {c}) END"
+                      for t, c, aim, bad in _LOWER)
+
+
+@register("health_components_by_hour", ops=("MON-02", "MON-03"), sql=with_views(f"""
+SELECT ts, CAST(trunc(s) AS INTEGER) AS weighted_score, CASE WHEN s >= 90 THEN 'excellent' WHEN s >= 75 THEN 'good' WHEN s >= 60 THEN 'warning' ELSE 'critical' END AS weighted_status,
+       array_to_string(list_filter([{_ISSUES_B}, CASE WHEN accuracy <= 0.7E0 THEN printf('Model Accuracy is critical (%.2f)', accuracy)
+         WHEN accuracy <= 0.85E0 THEN printf('Model Accuracy is below target (%.2f)', accuracy) END], lambda x: x IS NOT NULL), '; ') AS weighted_issues,
+       greatest(c, 0) AS host_score, CASE WHEN c >= 90 THEN 'healthy' WHEN c >= 70 THEN 'warning' ELSE 'critical' END AS host_status,
+       array_to_string(list_filter([CASE WHEN cpu_percent > 80.0E0 THEN printf('High CPU usage: %.1f%%', cpu_percent) END,
+         CASE WHEN memory_percent > 85.0E0 THEN printf('High memory usage: %.1f%%', memory_percent) END,
+         CASE WHEN NOT (error_rate < 0.5E0) THEN 'API server not running' END], lambda x: x IS NOT NULL), '; ') AS host_issues
+FROM (SELECT *, ({_comp_sql('avg_response_time', 0.1, 1.0)}) * 0.2E0 + ({_comp_sql('error_rate', 0.01, 0.05)}) * 0.25E0
+               + ({_comp_sql('cpu_percent', 50.0, 90.0)}) * 0.15E0 + ({_comp_sql('memory_percent', 60.0, 85.0)}) * 0.15E0
+               + ({_comp_sql('accuracy', 0.85, 0.7, False)}) * 0.25E0 AS s,
+             100 - (CASE WHEN cpu_percent > 80.0E0 THEN 20 ELSE 0 END) - (CASE WHEN memory_percent > 85.0E0 THEN 20 ELSE 0 END)
+                 - (CASE WHEN NOT (error_rate < 0.5E0) THEN 30 ELSE 0 END) AS c
+      FROM (SELECT *, 1.0E0 - error_rate AS accuracy FROM hourly_metrics) h) x""", "hourly_metrics"))
+def health_components_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted score with all five components (the share of requests without an error stands for accuracy) and host
+    score, each with its issues and status."""
+    h = ad.hourly_metrics(spark, sf_dir).select(
+        "ts", F.col("avg_response_time").alias("api_response_time"), "error_rate", F.col("cpu_percent").alias("cpu_usage"),
+        F.col("memory_percent").alias("memory_usage"), (F.lit(1.0) - F.col("error_rate")).alias("model_accuracy"))
+    b = hl.health_b(h).select(*h.columns, F.col("health_score").alias("weighted_score"), F.col("status").alias("weighted_status"),
+                              F.array_join("issues", "; ").alias("weighted_issues"))
+    c = hl.health_c(b, api_up=F.col("error_rate") < 0.5, tables_present=F.lit(True))
+    return c.select("ts", "weighted_score", "weighted_status", "weighted_issues", F.col("health_score").alias("host_score"),
+                    F.col("status").alias("host_status"), F.array_join("issues", "; ").alias("host_issues"))
+
+
+_DRIFT_ROWS_SQL = f"""
+WITH base AS (SELECT avg(avg_response_time) AS r, avg(cpu_percent) AS c, avg(error_rate) AS e FROM hourly_metrics WHERE ts < TIMESTAMP '{ad.EVENTS_SPLIT_TS}'),
+rows AS (SELECT ts, u.drift_type, u.score FROM (
+  SELECT ts, unnest([{{'drift_type': 'feature_drift_response_time', 'score': (avg_response_time - r) / r}}, {{'drift_type': 'feature_drift_cpu', 'score': (cpu_percent - c) / c}},
+                     {{'drift_type': 'performance_drift', 'score': (error_rate - e) / e}}]) AS u
+  FROM hourly_metrics, base WHERE ts >= TIMESTAMP '{ad.EVENTS_SPLIT_TS}') x)"""
+
+
+def _hourly_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A drift result for each hour and metric: the change against the first half of the month (DR-08)."""
+    from lendscope.operators import drift as dr
+    h = ad.hourly_metrics(spark, sf_dir)
+    split = F.lit(ad.EVENTS_SPLIT_TS).cast("timestamp_ntz")
+    names = {"feature_drift_response_time": "avg_response_time", "feature_drift_cpu": "cpu_percent", "performance_drift": "error_rate"}
+    base = h.where(F.col("ts") < split).agg(*[F.avg(c).alias(f"base_{c}") for c in names.values()])
+    j = h.where(F.col("ts") >= split).crossJoin(F.broadcast(base))                     # one row
+    each = [F.struct(F.lit(t).alias("drift_type"), dr.performance_drift(F.col(f"base_{c}"), F.col(c)).alias("d")) for t, c in names.items()]
+    return j.select(F.col("ts").alias("timestamp"), F.explode(F.array(*each)).alias("r")).select(
+        "timestamp", F.lit("credit_risk_model").alias("model_name"), F.lit("v1").alias("model_version"), "r.drift_type",
+        "r.d.drift_detected", F.col("r.d.relative_change").alias("drift_score"), F.lit(dr.PERFORMANCE_TOLERANCE).alias("threshold_value"))
+
+
+def _drift_store(spark: SparkSession, sf_dir: str):
+    import uuid
+    from lendscope.session import run_dir
+    from lendscope.sources.stores import DriftStore
+    store = DriftStore(spark, f"{run_dir(spark)}/hourly-drift-{uuid.uuid4().hex[:8]}")
+    store.write(_hourly_drift(spark, sf_dir), "hourly")
+    return store
+
+
+@register("drift_dashboard", ops=("AGG-05", "DR-12", "SRC-13", "SRT-03"), sql=with_views(_DRIFT_ROWS_SQL + """,
+last AS (SELECT * FROM rows WHERE ts >= TIMESTAMP '2024-01-29 12:00:00' AND ts < TIMESTAMP '2024-01-30 12:00:00')
+SELECT 'total' AS section, CAST(NULL AS TIMESTAMP) AS timestamp, CAST(NULL AS VARCHAR) AS drift_type, CAST(count(*) AS DOUBLE) AS value FROM last
+UNION ALL SELECT 'feature', NULL, NULL, CAST(count(*) AS DOUBLE) FROM last WHERE drift_type LIKE '%feature_drift%'
+UNION ALL SELECT 'performance', NULL, NULL, CAST(count(*) AS DOUBLE) FROM last WHERE drift_type = 'performance_drift'
+UNION ALL SELECT 'trend', date_trunc('hour', ts)::TIMESTAMP, drift_type, CAST(count(*) AS DOUBLE) FROM last GROUP BY ALL
+UNION ALL SELECT 'recent', ts, drift_type, round(score, 8) FROM (SELECT * FROM last ORDER BY ts DESC, drift_type LIMIT 10) r""", "hourly_metrics"))
+def drift_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift results of the store's last 24 hours: totals, counts by hour and type, the newest ten."""
+    from lendscope.operators import drift as dr
+    history = _drift_store(spark, sf_dir).history("2024-01-29 12:00:00", until="2024-01-30 12:00:00")
+    return dr.drift_sections(history).withColumn("value", F.round("value", 8))
+
+
+@register("dashboard_overview", ops=("AGG-17", "AGG-01", "AGG-02", "AGG-18", "MON-01", "MON-07"), sql=with_views(_DRIFT_ROWS_SQL + f""",
+api AS (SELECT count(*) AS n, avg(response_time) AS rt, avg(CASE WHEN status_code >= 400 THEN 1.0E0 ELSE 0.0E0 END) AS er
+        FROM api_metrics WHERE ts > TIMESTAMP '{DASH_AS_OF}' - INTERVAL 24 HOUR AND ts <= TIMESTAMP '{DASH_AS_OF}'),
+model AS (SELECT CAST(coalesce(sum(prediction_count), 0) AS BIGINT) AS n, avg(accuracy) AS acc, avg(avg_prediction_time) AS t,
+                 sum(high_risk_predictions) / sum(prediction_count) AS high
+          FROM model_metrics WHERE timestamp > TIMESTAMP '1998-07-01 00:00:00' AND timestamp <= TIMESTAMP '1998-07-31 00:00:00'),
+host AS (SELECT * FROM system_metrics ORDER BY timestamp DESC LIMIT 1),
+open AS (SELECT f.severity FROM fired f WHERE f.ts <= TIMESTAMP '{DASH_AS_OF}' AND NOT EXISTS (
+           SELECT 1 FROM rule_matches m WHERE m.name = f.name AND m.ts > f.ts AND NOT m.violated AND m.ts <= TIMESTAMP '{DASH_AS_OF}')),
+dr AS (SELECT count(*) FILTER (WHERE drift_type LIKE '%feature_drift%') AS features,
+              coalesce(bool_or(drift_type = 'performance_drift' AND abs(score) > 0.05E0), false) AS performance
+       FROM rows WHERE ts >= TIMESTAMP '{DASH_AS_OF}' - INTERVAL 24 HOUR AND ts < TIMESTAMP '{DASH_AS_OF}')
+SELECT api.n AS total_requests, round(coalesce(rt, 0.0E0), 6) AS avg_response_time, round(coalesce(er, 0.0E0), 6) AS error_rate,
+       round(api.n / 1440.0E0, 6) AS requests_per_minute, model.n AS total_predictions, round(coalesce(acc, 0.0E0), 6) AS avg_accuracy,
+       round(coalesce(high, 0.0E0), 6) AS high_risk_rate, round(coalesce(t, 0.0E0), 6) AS avg_prediction_time,
+       round(cpu_percent, 6) AS cpu_usage, round(memory_percent, 6) AS memory_usage, round(disk_percent, 6) AS disk_usage,
+       (SELECT count(*) FROM open) AS active_alerts, (SELECT count(*) FROM open WHERE severity = 'critical') AS critical_alerts,
+       features AS feature_drift_count, performance AS performance_drift_detected
+FROM api, model, host, dr""", "api_metrics", "model_metrics", "system_metrics", "fired"))
+def dashboard_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole summary row: request window, model window, newest host sample, alerts that are open, drift of the last day."""
+    api = ru.api_summary(ad.api_metrics(spark, sf_dir), DASH_AS_OF, minutes=1440).select(
+        "total_requests", "avg_response_time", "error_rate", "requests_per_minute")
+    model = ru.model_summary(ad.model_metrics(spark, sf_dir), "1998-07-31 00:00:00", minutes=30 * 1440)
+    host = ru.latest_per_key(ad.system_metrics(spark, sf_dir).withColumn("_k", F.lit(1)), ["_k"], "timestamp", "timestamp").select(
+        F.col("cpu_percent").alias("cpu_usage"), F.col("memory_percent").alias("memory_usage"), F.col("disk_percent").alias("disk_usage"))
+    _, fired, events = _status_events(spark, sf_dir)
+    held = al.status_as_of(al.status_intervals(events), [DASH_AS_OF]).where("is_active").join(fired.select("alert_id", "severity"), "alert_id")
+    alerts = held.agg(F.count(F.lit(1)).alias("active_alerts"), F.count_if(F.col("severity") == "critical").alias("critical_alerts"))
+    history = _drift_store(spark, sf_dir).history("2024-01-30 00:00:00", until=DASH_AS_OF)
+    drift = history.agg(F.count_if(F.col("drift_type").contains("feature_drift")).alias("feature_drift_count"),
+                        F.coalesce(F.bool_or((F.col("drift_type") == "performance_drift") & F.col("drift_detected")), F.lit(False))
+                        .alias("performance_drift_detected"))
+    row = api.crossJoin(model).crossJoin(host).crossJoin(alerts).crossJoin(drift)          # one row each
+    return row.select("total_requests", *[_r(c, 6) for c in ("avg_response_time", "error_rate", "requests_per_minute")], "total_predictions",
+                      *[_r(c, 6) for c in ("avg_accuracy", "high_risk_rate", "avg_prediction_time", "cpu_usage", "memory_usage", "disk_usage")],
+                      "active_alerts", "critical_alerts", "feature_drift_count", "performance_drift_detected")
+
+
+@register("health_with_drift_by_hour", ops=("MON-01", "DR-08"), sql=with_views(f"""
+WITH base AS (SELECT avg(error_rate) AS e FROM hourly_metrics WHERE ts < TIMESTAMP '{ad.EVENTS_SPLIT_TS}'),
+x AS (SELECT ts, error_rate > 0.05E0 AS a, avg_response_time > 1.0E0 AS b, memory_usage > 90.0E0 AS c, cpu_usage > 80.0E0 AS d, critical_alerts > 0 AS f,
+             abs(error_rate - e) > 0.05E0 * e AS g FROM ({_HOURLY_HEALTH_SQL}) h, base WHERE ts >= TIMESTAMP '{ad.EVENTS_SPLIT_TS}'),
+s AS (SELECT *, 100 - 20 * a::INT - 15 * b::INT - 25 * c::INT - 20 * d::INT - 30 * f::INT - 25 * g::INT AS score FROM x)
+SELECT ts, greatest(score, 0) AS health_score, CASE WHEN score >= 90 THEN 'healthy' WHEN score >= 70 THEN 'warning' ELSE 'critical' END AS status,
+       a::INT + b::INT + c::INT + d::INT + f::INT + g::INT AS issues, g AS drift FROM s""", "hourly_metrics", "rule_matches"))
+def health_with_drift_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Health with the drift deduction: hours of the second half of the month against the error rate of the first."""
+    h = hourly_health_inputs(spark, sf_dir)
+    found = _hourly_drift(spark, sf_dir).where("drift_type = 'performance_drift'").select(F.col("timestamp").alias("ts"), "drift_detected")
+    out = hl.health_a(h.join(found, "ts"), drift_col="drift_detected")
+    return out.select("ts", "health_score", "status", F.size("issues").alias("issues"), F.col("drift_detected").alias("drift"))

@@ -576,3 +576,34 @@ def metadata_deep_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
         get("source.host.name", "string").alias("host"), get("source.host.cpu", "bigint").alias("cpu"),
         get("source.host.zone.id", "bigint").alias("zone"), get("source.host.zone.label", "string").alias("label"),
         F.coalesce(F.size(get("source.host.zone.tags", "array<string>")), F.lit(0)).alias("tags"))
+
+
+@register("credit_filter", ops=("PRJ-11", "SRC-07"), sql=with_views("""
+SELECT app_id, loan_purpose, home_ownership, credit_score, round(loan_amount, 4) AS loan_amount FROM credit_applications
+WHERE loan_purpose IN ('CAR', 'MEDICAL') AND home_ownership = 'RENT' AND credit_score BETWEEN 600 AND 700""", "credit_applications"))
+def credit_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters by a list of values, by a value and by a closed range."""
+    a = ad.credit_applications(spark, sf_dir)
+    keep = rg.filters({"loan_purpose": ["CAR", "MEDICAL"], "home_ownership": "RENT", "credit_score": (600, 700)})
+    return a.where(keep).select("app_id", "loan_purpose", "home_ownership", "credit_score", _r("loan_amount", 4))
+
+
+@register("application_profile_text", ops=("FN-26", "FN-27"), sql=with_views("""
+SELECT app_id, 'BORROWER PROFILE:' || chr(10) || '- Borrower ID: ' || customer_id || chr(10) || '- Loan Amount: $' || format('{:,}', CAST(floor(loan_amount) AS BIGINT))
+  || chr(10) || '- Credit Score: ' || credit_score || chr(10) || '- Debt-to-Income Ratio: ' || printf('%.2f', debt_to_income * 100) || '%' || chr(10) || '- Industry: N/A'
+  || chr(10) || chr(10) || 'MODEL PREDICTIONS:' || chr(10) || '- Probability of Default (PD): ' || printf('%.2f', pd_score * 100) || '%' || chr(10) || '- Risk Rating: ' || risk_rating
+  || CASE app_id % 3 WHEN 0 THEN chr(10) || chr(10) || 'AUDIENCE FOCUS: Emphasize business implications, practical applications, and strategic insights.'
+                     WHEN 1 THEN chr(10) || chr(10) || 'AUDIENCE FOCUS: Provide high-level strategic perspective with actionable recommendations.' ELSE '' END AS text
+FROM scored_book""", "scored_book"))
+def application_profile_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profile and prediction text of each application, with the focus of its audience (one is unknown)."""
+    from lendscope.plans.book import scored_book
+    s = scored_book(spark, sf_dir, validate=False)
+    who = F.element_at(F.array(F.lit("business"), F.lit("executive"), F.lit("nobody")), (F.col("app_id") % 3 + 1).cast("int"))
+    profile = tx.profile_text("BORROWER PROFILE", [
+        ("Borrower ID", F.col("customer_id"), "text"), ("Loan Amount", F.floor("loan_amount"), "currency"),
+        ("Credit Score", F.col("credit_score"), "text"), ("Debt-to-Income Ratio", F.col("debt_to_income"), "percent"),
+        ("Industry", F.lit(None).cast("string"), "text")])
+    scores = tx.profile_text("MODEL PREDICTIONS", [("Probability of Default (PD)", F.col("pd_score"), "percent"),
+                                                   ("Risk Rating", F.col("risk_rating"), "text")])
+    return s.select("app_id", tx.for_audience(F.concat(profile, F.lit("\n\n"), scores), who).alias("text"))

@@ -321,3 +321,24 @@ def model_performance_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.avg("avg_prediction_time"), 6).alias("mean_time_ms"),
         F.round(F.avg("avg_pd_score"), 6).alias("mean_pd"),
         F.round(F.avg((F.col("avg_pd_score") > 0.15).cast("double")), 6).alias("high_pd_share"))
+
+
+@register("prediction_dashboard", ops=("AGG-06", "JN-09", "FN-02"), sql=with_views("""
+WITH p AS (SELECT *, date_trunc('hour', timestamp) AS hour FROM prediction_log
+           WHERE timestamp >= TIMESTAMP '1998-07-01 00:00:00' AND timestamp < TIMESTAMP '1998-07-21 00:00:00'),
+c AS (SELECT unnest(generate_series(min(hour)::TIMESTAMP, max(hour)::TIMESTAMP, INTERVAL 1 HOUR)) AS hour FROM p)
+SELECT c.hour, count(p.request_id) AS predictions,
+       round(coalesce(avg(try_cast(json_extract_string(prediction_result, '$.probability_of_default') AS DOUBLE)), 0.0E0), 6) AS avg_pd,
+       round(coalesce(avg(CASE WHEN pd_score > 0.1E0 THEN 1.0E0 ELSE 0.0E0 END) FILTER (WHERE p.request_id IS NOT NULL), 0.0E0), 6) AS high_risk_rate
+FROM c LEFT JOIN p ON p.hour = c.hour GROUP BY 1""", "prediction_log"))
+def prediction_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly prediction counts of twenty days with the hours between filled, scores read through safe JSON access."""
+    from lendscope.functions import jsonx as jx
+    since, until = (F.lit(t).cast("timestamp_ntz") for t in ("1998-07-01 00:00:00", "1998-07-21 00:00:00"))
+    p = ad.prediction_log(spark, sf_dir).where((F.col("timestamp") >= since) & (F.col("timestamp") < until))
+    score = F.coalesce(jx.safe_json(F.col("prediction_result"), "probability_of_default double")["probability_of_default"], F.lit(0.0))
+    h = p.groupBy(F.date_trunc("hour", "timestamp").cast("timestamp_ntz").alias("hour")).agg(
+        F.count(F.lit(1)).alias("predictions"), F.round(F.avg(score), 6).alias("avg_pd"),
+        F.round(F.avg((score > 0.1).cast("double")), 6).alias("high_risk_rate"))
+    return ru.gap_fill(h, "hour", 3600, {"predictions": 0, "avg_pd": 0.0, "high_risk_rate": 0.0}).select(
+        "hour", "predictions", "avg_pd", "high_risk_rate")

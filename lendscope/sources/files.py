@@ -90,35 +90,42 @@ def german_credit(spark: SparkSession, path: str) -> DataFrame:
         F.col("credit_amount").cast("double").alias("loan_amount"),
         F.col("duration").alias("loan_term"),
         (F.lit(0.08) + (F.lit(750) - score) / F.lit(10000.0)).alias("interest_rate"),
-        (F.col("credit_amount") / F.col("duration") * F.lit(36.0)).alias("income"),
+        (F.try_divide(F.col("credit_amount").cast("double"), F.col("duration")) * F.lit(36.0)).alias("income"),
         (F.col("installment_commitment") / F.lit(10.0)).alias("debt_to_income"),
         score.cast("int").alias("credit_score"),
         lookup(F.col("employment"), GERMAN_EMPLOYMENT, 5).cast("int").alias("employment_length"),
         lookup(F.col("housing"), GERMAN_HOUSING, "RENT").alias("home_ownership"),
         lookup(F.col("purpose"), GERMAN_PURPOSE, "other").alias("loan_purpose"),
         default.alias("is_default"),
-        F.when(default, F.lit(0.45)).otherwise(F.lit(0.0)).alias("loss_given_default"))
+        F.when(default, F.lit(0.45)).otherwise(F.lit(0.0)).alias("loss_given_default")).where(F.col("income").isNotNull())
 
 
 def credit_card_defaults(spark: SparkSession, path: str) -> DataFrame:
     """SRC-05 + PRJ-03: whole card file -> application schema.
 
     Delinquencies count the columns PAY_0 to PAY_5 that the file has; the reference's random
-    application date is left out."""
+    application date is left out.  An empty cell takes the column's default; a row with a cell that is
+    no number, or without a whole ID, is left out."""
     raw = spark.read.csv(path, header=True, inferSchema=False)
 
+    readable = F.col("ID").try_cast("double").isNotNull()
+    for c in ["EDUCATION", "LIMIT_BAL", "BILL_AMT1", "default payment next month", *(f"PAY_{k}" for k in range(6))]:
+        if c in raw.columns:
+            readable &= F.col(c).isNull() | F.col(c).try_cast("double").isNotNull()
+    raw = raw.where(readable)
+
     def num(c: str, missing: float) -> Column:
-        return F.coalesce(F.col(c).cast("double"), F.lit(missing)) if c in raw.columns else F.lit(missing)
+        return F.coalesce(F.col(c).try_cast("double"), F.lit(missing)) if c in raw.columns else F.lit(missing)
 
     p0, limit_bal, bill = num("PAY_0", 0.0), num("LIMIT_BAL", 50000.0), num("BILL_AMT1", 10000.0)
     label = "default payment next month"
-    default = F.coalesce(F.col(label).cast("int") == 1, F.lit(False)) if label in raw.columns else F.lit(False)
+    default = F.coalesce(F.col(label).try_cast("double").cast("int") == 1, F.lit(False)) if label in raw.columns else F.lit(False)
     late = F.lit(0)
     for k in range(6):
         late = late + (num(f"PAY_{k}", 0.0) > 0).cast("int")
-    education = F.coalesce(F.col("EDUCATION").cast("int").cast("string"), F.lit("3")) if "EDUCATION" in raw.columns else F.lit("3")
+    education = F.coalesce(F.col("EDUCATION").try_cast("double").cast("int").cast("string"), F.lit("3")) if "EDUCATION" in raw.columns else F.lit("3")
     return raw.select(
-        F.concat(F.lit("CC_"), F.col("ID").cast("int").cast("string")).alias("customer_id"), bill.alias("loan_amount"),
+        F.concat(F.lit("CC_"), F.col("ID").try_cast("double").cast("long").cast("string")).alias("customer_id"), bill.alias("loan_amount"),
         F.lit(36).alias("loan_term"), (F.lit(0.15) + p0 * F.lit(0.02)).alias("interest_rate"),
         (limit_bal * 2).alias("income"), (F.lit(0.3) + p0 * F.lit(0.1)).alias("debt_to_income"),
         (F.lit(750) - p0.cast("int") * 50).alias("credit_score"),

@@ -164,3 +164,73 @@ def test_active_model_and_history(spark):
                                  "model_name string, model_version string, timestamp timestamp_ntz, acc double, ms double")
     got = rg.performance_history(hist, ["acc", "ms"], "m", str(T0)).collect()
     assert [(r["metric_name"], r["metric_value"], r["timestamp"]) for r in got] == [("acc", 0.5, T0)]
+
+
+def test_health_issues(spark):
+    from lendscope.operators import health as hl
+    rows = [(0.05, 0.0, 10.0, 10.0, 0.9), (0.5, 0.05, 50.0, 85.0, 0.7), (None, 0.125, 95.0, None, 0.85)]
+    df = spark.createDataFrame(rows, "api_response_time double, error_rate double, cpu_usage double, memory_usage double, model_accuracy double")
+    a, b, c = hl.health_b(df).collect()
+    assert (a["health_score"], a["status"], a["issues"]) == (100, "excellent", [])
+    assert b["issues"] == ["Api Response Time is above target (0.50)", "Error Rate is critical (0.05)", "Cpu Usage is above target (50.00)",
+                           "Memory Usage is critical (85.00)", "Model Accuracy is critical (0.70)"]
+    assert c["issues"] == ["Error Rate is critical (0.12)", "Cpu Usage is critical (95.00)", "Model Accuracy is below target (0.85)"]
+    got = hl.health_c(df.withColumn("up", F.col("error_rate") < 0.1), F.col("up"), F.lit(False)).collect()
+    assert (got[0]["health_score"], got[0]["status"], got[0]["issues"]) == (75, "warning", ["Database not initialized"])
+    assert (got[2]["health_score"], got[2]["status"]) == (25, "critical")
+    assert got[2]["issues"] == ["High CPU usage: 95.0%", "API server not running", "Database not initialized"]
+    drift = hl.health_a(df.select("error_rate", F.lit(0.1).alias("avg_response_time"), F.lit(1.0).alias("memory_usage"), "cpu_usage",
+                                  F.lit(0).alias("critical_alerts"), (F.col("error_rate") > 0.1).alias("d")), "d").collect()
+    assert (drift[0]["health_score"], drift[0]["issues"]) == (100, [])
+    assert (drift[2]["health_score"], drift[2]["status"], drift[2]["issues"][-1]) == (35, "critical", "Performance drift detected")
+
+
+def test_calendar_with_a_wrong_date(spark):
+    from lendscope.operators import rollups as ru
+    far = T0 + dt.timedelta(days=70)
+    b = spark.createDataFrame([("a", T0, 1), ("a", far, 2), ("b", _at(5), 3)], "k string, t timestamp_ntz, n int")
+    got = ru.gap_fill(b, "t", 60, {"n": 0}, ["k"])
+    assert got.where("k = 'b'").count() == 1 and got.where("k = 'a'").count() == 70 * 1440 + 1
+    assert got.agg(F.sum("n"), F.count_distinct("t")).first() == (6, 70 * 1440 + 1)
+
+
+def test_texts(spark):
+    from lendscope.functions import text as tx
+    df = spark.createDataFrame([(1, 1234567.5, 0.12345, ["a", "b"], "executive", "more"), (None, None, None, None, "other", None)],
+                               "i int, amount double, share double, factors array<string>, who string, ctx string")
+    block = tx.profile_text("P", [("Id", F.col("i"), "text"), ("Amount", F.col("amount"), "currency"), ("Count", F.col("i") * 5000, "currency"),
+                                  ("Share", F.col("share"), "percent"), ("Ratio", F.col("share"), "ratio"), ("Factors", F.col("factors"), "list")])
+    a, b = [r[0] for r in df.select(block).collect()]
+    assert a == "P:\n- Id: 1\n- Amount: $1,234,567.5\n- Count: $5,000\n- Share: 12.35%\n- Ratio: 0.12\n- Factors: a, b"
+    assert b == "P:\n- Id: N/A\n- Amount: N/A\n- Count: N/A\n- Share: N/A\n- Ratio: N/A\n- Factors: "
+    a, b = [r[0] for r in df.select(tx.with_context(tx.for_audience(F.lit("t"), F.col("who")), F.col("ctx"))).collect()]
+    assert a == "t\n\nAUDIENCE FOCUS: Provide high-level strategic perspective with actionable recommendations.\n\nADDITIONAL CONTEXT:\nmore"
+    assert b == "t"
+
+
+def test_filters(spark):
+    df = spark.createDataFrame([(1, "a", 5), (2, "b", 7), (3, None, 9)], "i int, s string, n int")
+
+    def ids(wanted):
+        return [r["i"] for r in df.where(rg.filters(wanted)).collect()]
+
+    assert ids({"s": ["a", "b"], "n": (5, 6)}) == [1] and ids({"n": (None, 7)}) == [1, 2] and ids({"n": (7, None)}) == [2, 3]
+    assert ids({"s": "b"}) == [2] and ids({}) == [1, 2, 3] and ids({"s": []}) == []
+
+
+def test_drift_sections(spark):
+    rows = [(_at(60 * h + m), t, s) for h in range(5) for m, t, s in ((0, "feature_drift_x", 0.1 * h), (30, "feature_drift_x", 0.0), (0, "performance_drift", h * 1.0))]
+    got = dr.drift_sections(spark.createDataFrame(rows, "timestamp timestamp_ntz, drift_type string, drift_score double"), 4).collect()
+    assert {r["section"]: r["value"] for r in got if r["timestamp"] is None} == {"total": 15.0, "feature": 10.0, "performance": 5.0}
+    assert len([r for r in got if r["section"] == "trend"]) == 10 and sum(r["value"] for r in got if r["section"] == "trend") == 15
+    assert [(r["timestamp"], r["drift_type"]) for r in got if r["section"] == "recent"] == [
+        (_at(270), "feature_drift_x"), (_at(240), "feature_drift_x"), (_at(240), "performance_drift"), (_at(210), "feature_drift_x")]
+
+
+def test_card_file_leaves_out_unreadable_rows(spark, tmp_path):
+    from lendscope.sources import files as sf
+    (tmp_path / "cards.csv").write_text("ID,LIMIT_BAL,BILL_AMT1,PAY_0,PAY_2,EDUCATION,default payment next month\n"
+                                        "1,1000,500,1,0,2,1\n2,abc,500,0,0,2,0\nx,1000,500,0,0,2,0\n4,,,,,,\n5,1000.0,20,0,0,2.0,0.0\n")
+    got = {r["customer_id"]: r for r in sf.credit_card_defaults(spark, str(tmp_path / "cards.csv")).collect()}
+    assert sorted(got) == ["CC_1", "CC_4", "CC_5"] and got["CC_1"]["is_default"] and not got["CC_5"]["is_default"]
+    assert got["CC_4"]["loan_amount"] == 10000.0 and got["CC_4"]["income"] == 100000.0
