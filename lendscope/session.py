@@ -90,7 +90,9 @@ def cut_lineage(df, spark: SparkSession | None = None):
     spark = spark or df.sparkSession
     path = f"{run_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lendscope_path = path
+    return out
 
 
 def materialize(df, columns=None):
@@ -105,16 +107,30 @@ def materialize(df, columns=None):
     return out
 
 
+def _delete(spark: SparkSession, folder: str) -> bool:
+    """Uses the Hadoop file system of the folder, so it works for any shared storage."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(path) and fs.delete(path, True))
+
+
 def drop_materialized(spark: SparkSession) -> bool:
     """Remove the tables that this run wrote (never those of other runs).
 
     Call it when the results are written; they must not be read after this.
-    Uses the Hadoop file system of the folder, so it works for any shared storage.
     """
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(run_dir(spark))
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(path) and fs.delete(path, True))
+    return _delete(spark, run_dir(spark))
+
+
+def drop_tables(*tables) -> None:
+    """Remove tables of ``cut_lineage`` / ``materialize`` that nothing reads any more.
+
+    Only for steps of an operator whose own result is stored already; a frame that is not one of these
+    tables itself (a selection of one, say) is left alone."""
+    for t in tables:
+        path = getattr(t, "_lendscope_path", None)
+        if path:
+            _delete(t.sparkSession, path)
 
 
 def size_for_input(spark: SparkSession, input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024,

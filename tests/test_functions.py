@@ -163,9 +163,14 @@ def test_lookup_flag_and_client_ids(spark):
 
 
 def test_materialize_and_drop(spark):
-    from lendscope.session import drop_materialized, materialize
+    from lendscope.session import drop_materialized, drop_tables, materialize
     df = materialize(spark.range(10).withColumnRenamed("id", "x"), ["x"])
     assert df.count() == 10
+    other = materialize(spark.range(3))
+    drop_tables(df, other.select("id"), spark.range(2))
+    assert other.count() == 3
+    with pytest.raises(Exception):
+        df.count()
     assert drop_materialized(spark)
 
 
