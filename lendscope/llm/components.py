@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendscope.llm.common import join_hot, materialize
+from lendscope.llm.common import drop_tables, join_hot, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,8 +27,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = join_hot(large, least, ["u"]).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
         small = materialize(small.where("u <> v").distinct())
-        if small.exceptAll(pairs).isEmpty() and pairs.exceptAll(small).isEmpty():
-            break
+        done = small.exceptAll(pairs).isEmpty() and pairs.exceptAll(small).isEmpty()
+        drop_tables(pairs, large)
         pairs = small
+        if done:
+            break
     return pairs.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("label")).union(
         pairs.select("v", F.col("v").alias("label")).distinct())

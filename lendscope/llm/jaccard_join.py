@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendscope.llm.common import join_hot, materialize, sized, text_key
+from lendscope.llm.common import drop_tables, join_hot, materialize, sized, text_key
 from lendscope.llm.components import components
 from lendscope.llm.nptext import chunks, mix, shingle_sets
 
@@ -51,7 +51,7 @@ FREQUENT = 1 << 17
 LOCAL_REPEATS = 2                  # repeats within one chunk of texts that make a shingle a candidate for FREQUENT
 ROUNDS = 3
 BITS = 1024
-COUNT_BYTES = 16 << 20
+COUNT_BYTES = 4 << 20
 LARGEST_LIGHT = 12
 LIST_SCAN = 4                      # cost of a list row (scan, positions, verification) in units of an enumerated row
 NO_ID = 1 << 62                    # vertices of rows without an id lie above
@@ -182,9 +182,10 @@ def close_sizes(a: str, b: str) -> Column:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) that link, by the exact sets of both."""
+    """The pairs (a, b) that link, by the exact sets of both; stored."""
     pairs = materialize(pairs)
-    wanted = sized(materialize(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()))
+    ends = materialize(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct())
+    wanted = sized(ends)
     rows = docs.select(vertex(F.col(id_col), text_key(F.col(text_col))).alias("v"), F.col(text_col).alias("text"))
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,8 +198,10 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
     left, right = sets.toDF("a", "ua"), sets.toDF("b", "ub")
     common = F.size(F.array_intersect("ua", "ub"))
     # repeated rows of a document give their pair again
-    return pairs.join(left, "a").join(right, "b").where(
-        DEN * common >= NUM * (F.size("ua") + F.size("ub") - common)).select("a", "b").distinct()
+    found = materialize(pairs.join(left, "a").join(right, "b").where(
+        DEN * common >= NUM * (F.size("ua") + F.size("ub") - common)).select("a", "b").distinct())
+    drop_tables(pairs, ends, sets)
+    return found
 
 
 def lists(keyed_rows: DataFrame) -> DataFrame:
@@ -216,7 +219,9 @@ def labelled(in_lists: DataFrame, labels: DataFrame) -> DataFrame:
     """The lists that still hold classes of different components, with each class's label."""
     marked = materialize(in_lists.drop("label").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v")))
     mixed = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    return materialize(join_hot(marked, mixed, ["key"]))
+    out = materialize(join_hot(marked, mixed, ["key"]))
+    drop_tables(marked)
+    return out
 
 
 def star(live: DataFrame, turn: int) -> DataFrame:
@@ -251,17 +256,21 @@ def rest(live: DataFrame, rows: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows: vertex, size, set; labels: v, label of the classes that are linked)."""
     rows = materialize(keyed(docs, id_col, text_col))
-    live = lists(rows).withColumn("label", F.col("v"))
+    stored = lists(rows)
+    live = stored.withColumn("label", F.col("v"))
     edges = docs.sparkSession.createDataFrame([], "a long, b long")
     labels = docs.sparkSession.createDataFrame([], "v long, label long")
     for turn in range(ROUNDS):
-        found = materialize(verified(star(live, turn), docs, id_col, text_col))
+        found = verified(star(live, turn), docs, id_col, text_col)
         if found.isEmpty():
             break
         edges = edges.union(found)
         labels = materialize(components(edges))
         live = labelled(live, labels)
-    more = materialize(verified(rest(live, rows), docs, id_col, text_col))
+        drop_tables(stored)                    # the lists of the round before
+        stored = live
+    more = verified(rest(live, rows), docs, id_col, text_col)
+    drop_tables(stored)
     return rows, labels if more.isEmpty() else materialize(components(edges.union(more)))
 
 
