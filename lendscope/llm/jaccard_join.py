@@ -49,7 +49,8 @@ WIDTH = 5
 NUM, DEN = 80, 100                 # similarity of at least NUM / DEN
 FREQUENT = 1 << 17
 LOCAL_REPEATS = 2                  # repeats within one chunk of texts that make a shingle a candidate for FREQUENT
-ROUNDS = 3
+ROUNDS = 6                          # of stars at most; what they leave apart is joined pair by pair
+FEW = 200                          # a round that links fewer than one class in FEW is the last
 BITS = 1024
 COUNT_BYTES = 4 << 20
 LARGEST_LIGHT = 12
@@ -205,13 +206,13 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
 
 
 def lists(keyed_rows: DataFrame) -> DataFrame:
-    """key, v, size, place of the keys that at least two classes have."""
+    """key, v, size, place, n (length of the list) of the keys that at least two classes have."""
     one = keyed_rows.where("size > 0").groupBy("set").agg(F.min("vertex").alias("v"))
     reps = keyed_rows.select(F.col("vertex").alias("v"), "size", "keys", "places").join(
         one.select("v").distinct(), "v", "left_semi")
     flat = reps.select("v", "size", F.explode(F.arrays_zip("keys", "places")).alias("z")).select(
         F.col("z.keys").alias("key"), "v", "size", F.col("z.places").alias("place"))
-    counts = flat.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    counts = flat.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     return materialize(join_hot(flat, counts, ["key"]))
 
 
@@ -224,32 +225,41 @@ def labelled(in_lists: DataFrame, labels: DataFrame) -> DataFrame:
     return out
 
 
-def star(live: DataFrame, turn: int) -> DataFrame:
-    """a, b: each class with the first class of its lists, of those of another component the one it shares most lists with."""
-    order = F.xxhash64(F.lit(turn), "label") if turn else F.col("label")
+def star(live: DataFrame, turn: int, sketches: DataFrame) -> DataFrame:
+    """a, b: each class with the first class of its lists, of those of another component the one it shares most lists with.
+
+    In the first turn the first class of a list is the one with the longest lists: a text that others were
+    made from has no rare shingles of its own.  Later turns draw it by a hash."""
+    if turn:
+        order = F.xxhash64(F.lit(turn), "label")
+    else:
+        live = join_hot(live, live.groupBy("v").agg((-F.sum("n")).alias("order")), ["v"])
+        order = F.col("order")
     pivot = live.groupBy("key").agg(F.min(F.struct(order.alias("o"), "label", "v", "size")).alias("p"))
     tied = join_hot(live, pivot, ["key"]).select(
         "v", "size", "label", F.col("p.v").alias("b"), F.col("p.size").alias("b_size"), F.col("p.label").alias("b_label")).where(
         (F.col("label") != F.col("b_label")) & close_sizes("size", "b_size"))
     votes = tied.groupBy("v", "b").agg(F.count("*").alias("n"))
-    return votes.groupBy("v").agg(F.max(F.struct("n", (-F.col("b")).alias("nb"))).alias("m")).select(
-        F.col("v").alias("a"), (-F.col("m.nb")).alias("b"))
+    return plausible(votes.groupBy("v").agg(F.max(F.struct("n", (-F.col("b")).alias("nb"))).alias("m")).select(
+        F.col("v").alias("a"), (-F.col("m.nb")).alias("b")), sketches)
 
 
-def rest(live: DataFrame, rows: DataFrame) -> DataFrame:
+def rest(live: DataFrame, sketches: DataFrame) -> DataFrame:
     """a, b: all classes of different components that share a list and can link."""
     x, y = live.alias("x"), live.alias("y")
     # a list key's place bounds the overlap by what can still follow in both orders
     room = F.least("x.place", "y.place") + F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
     can = (room * (DEN + NUM) >= NUM * (F.col("x.size") + F.col("y.size")))
-    pairs = materialize(x.join(y, "key").where(
+    return plausible(x.join(y, "key").where(
         (F.col("x.v") < F.col("y.v")) & (F.col("x.label") != F.col("y.label")) & close_sizes("x.size", "y.size") & can).select(
-        F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct())
-    bits = materialize(rows.select(F.col("vertex").alias("v"), "size", "bits").join(
-        pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct(), "v", "left_semi").dropDuplicates(["v"]))
-    both = pairs.join(bits.toDF("a", "sa", "ba"), "a").join(bits.toDF("b", "sb", "bb"), "b")
+        F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct(), sketches)
+
+
+def plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs whose bitmaps do not rule a link out: bits that differ are shingles in one of the two sets only, and a
+    link has at most a share of both sizes of these."""
+    both = pairs.join(sketches.toDF("a", "sa", "ba"), "a").join(sketches.toDF("b", "sb", "bb"), "b")
     differ = F.aggregate(F.zip_with("ba", "bb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
-    # shingles in one of the two sets only: at most this share of both sizes
     return both.where(differ * (DEN + NUM) <= (DEN - NUM) * (F.col("sa") + F.col("sb"))).select("a", "b")
 
 
@@ -258,19 +268,25 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     rows = materialize(keyed(docs, id_col, text_col))
     stored = lists(rows)
     live = stored.withColumn("label", F.col("v"))
+    sketches = materialize(rows.select("vertex", "size", "bits").join(
+        stored.select(F.col("v").alias("vertex")).distinct(), "vertex", "left_semi").dropDuplicates(["vertex"]))
+    classes = sketches.count()
     edges = docs.sparkSession.createDataFrame([], "a long, b long")
     labels = docs.sparkSession.createDataFrame([], "v long, label long")
     for turn in range(ROUNDS):
-        found = verified(star(live, turn), docs, id_col, text_col)
-        if found.isEmpty():
+        found = verified(star(live, turn, sketches), docs, id_col, text_col)
+        n = found.count()
+        if not n:
             break
         edges = edges.union(found)
         labels = materialize(components(edges))
         live = labelled(live, labels)
         drop_tables(stored)                    # the lists of the round before
         stored = live
-    more = verified(rest(live, rows), docs, id_col, text_col)
-    drop_tables(stored)
+        if n * FEW < classes:
+            break
+    more = verified(rest(live, sketches), docs, id_col, text_col)
+    drop_tables(stored, sketches)
     return rows, labels if more.isEmpty() else materialize(components(edges.union(more)))
 
 
