@@ -49,7 +49,7 @@ WIDTH = 5
 NUM, DEN = 80, 100                 # similarity of at least NUM / DEN
 FREQUENT = 1 << 17
 LOCAL_REPEATS = 2                  # repeats within one chunk of texts that make a shingle a candidate for FREQUENT
-ROUNDS = 6                          # of stars at most; what they leave apart is joined pair by pair
+ROUNDS = 4                          # of stars at most; what they leave apart is joined pair by pair
 FEW = 200                          # a round that links fewer than one class in FEW is the last
 BITS = 1024
 COUNT_BYTES = 4 << 20
@@ -206,13 +206,13 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
 
 
 def lists(keyed_rows: DataFrame) -> DataFrame:
-    """key, v, size, place, n (length of the list) of the keys that at least two classes have."""
+    """key, v, size, place of the keys that at least two classes have."""
     one = keyed_rows.where("size > 0").groupBy("set").agg(F.min("vertex").alias("v"))
     reps = keyed_rows.select(F.col("vertex").alias("v"), "size", "keys", "places").join(
         one.select("v").distinct(), "v", "left_semi")
     flat = reps.select("v", "size", F.explode(F.arrays_zip("keys", "places")).alias("z")).select(
         F.col("z.keys").alias("key"), "v", "size", F.col("z.places").alias("place"))
-    counts = flat.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    counts = flat.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     return materialize(join_hot(flat, counts, ["key"]))
 
 
@@ -228,13 +228,9 @@ def labelled(in_lists: DataFrame, labels: DataFrame) -> DataFrame:
 def star(live: DataFrame, turn: int, sketches: DataFrame) -> DataFrame:
     """a, b: each class with the first class of its lists, of those of another component the one it shares most lists with.
 
-    In the first turn the first class of a list is the one with the longest lists: a text that others were
-    made from has no rare shingles of its own.  Later turns draw it by a hash."""
-    if turn:
-        order = F.xxhash64(F.lit(turn), "label")
-    else:
-        live = join_hot(live, live.groupBy("v").agg((-F.sum("n")).alias("order")), ["v"])
-        order = F.col("order")
+    In the first turn the first class of a list is the one with the fewest rarer shingles of its own (the
+    lowest place): a text that others were made from has none.  Later turns draw it by a hash."""
+    order = F.xxhash64(F.lit(turn), "label") if turn else F.col("place").cast("long")
     pivot = live.groupBy("key").agg(F.min(F.struct(order.alias("o"), "label", "v", "size")).alias("p"))
     tied = join_hot(live, pivot, ["key"]).select(
         "v", "size", "label", F.col("p.v").alias("b"), F.col("p.size").alias("b_size"), F.col("p.label").alias("b_label")).where(
