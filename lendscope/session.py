@@ -6,6 +6,7 @@ exists for tests, the bench and the command line only.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -126,11 +127,16 @@ def drop_tables(*tables) -> None:
     """Remove tables of ``cut_lineage`` / ``materialize`` that nothing reads any more.
 
     Only for steps of an operator whose own result is stored already; a frame that is not one of these
-    tables itself (a selection of one, say) is left alone."""
+    tables itself (a selection of one, say) is left alone.  Spark removes the shuffle files of finished
+    steps when the driver collects its garbage, which a driver with little to do may not do for long, so
+    that is asked for here."""
     for t in tables:
         path = getattr(t, "_lendscope_path", None)
         if path:
             _delete(t.sparkSession, path)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def size_for_input(spark: SparkSession, input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024,
