@@ -65,7 +65,7 @@ _CHANNELS_SQL = """(SELECT * FROM (VALUES (0, 'error_rate', 'system', ['logging'
   (4, 'memory_percent', 'system', ['email']), (5, 'requests', 'availability', ['logging'])) c(i, metric, type, channels))"""
 
 
-@register("alert_routing", ops=("JN-07", "UDF-02"), sql=with_views(f"""
+@register("alert_routing", ops=("JN-07",), sql=with_views(f"""
 SELECT channel, severity, count(*) AS deliveries
 FROM (SELECT alert_id, severity, unnest(list_distinct(list_concat(['logging'], coalesce(arg_min(channels, i), [])))) AS channel
       FROM fired LEFT JOIN {_CHANNELS_SQL} c ON metric_name = metric OR alert_type = type GROUP BY alert_id, severity) d

@@ -45,7 +45,7 @@ SELECT model_version, round(avg(CAST((pd_score > 0.5E0) = is_default AS DOUBLE))
 FROM prediction_log GROUP BY model_version"""
 
 
-@register("model_comparison", ops=("MV-15", "JN-08", "SRT-07", "PRJ-18", "PRJ-19", "D-13"), sql=with_views(f"""
+@register("model_comparison", ops=("MV-15", "SRT-07", "D-13"), sql=with_views(f"""
 SELECT metric, arg_min(model_version, (-s, model_version)) AS best_version
 FROM (SELECT model_version, 'accuracy' AS metric, accuracy AS s FROM ({_VERSION_METRICS_SQL}) v
       UNION ALL SELECT model_version, 'expected_loss_mean', -expected_loss_mean FROM ({_VERSION_METRICS_SQL}) v
@@ -224,7 +224,7 @@ def economic_snapshots(spark: SparkSession) -> DataFrame:
     ).withColumn("eff_from", F.col("eff_from").cast("timestamp_ntz"))
 
 
-@register("economic_context_asof", ops=("JN-02", "JN-01", "FE-17", "FE-18", "FE-19", "FE-20"), sql=with_views(f"""
+@register("economic_context_asof", ops=("JN-02", "FE-17", "FE-18", "FE-19"), sql=with_views(f"""
 SELECT loan_purpose, count(*) AS applications,
        round(avg(least(unemployment_rate / 15.0E0, 1.0E0) / 2 + least(fed_funds_rate / 10.0E0, 1.0E0) / 2), 8)
          AS avg_economic_stress_index,
@@ -350,7 +350,7 @@ def page_url_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
                     size.alias("html_size"))
 
 
-@register("ingestion_cycle_summary", ops=("SRC-08", "SRC-11", "AGG-20", "VAL-03", "D-02"), sql=with_views("""
+@register("ingestion_cycle_summary", ops=("AGG-20", "VAL-03", "D-02"), sql=with_views("""
 WITH b AS (SELECT date_trunc('year', application_ts) AS batch, count(*) AS records,
                   CAST(sum(CASE WHEN loan_amount BETWEEN 1000.0E0 AND 10000000.0E0 THEN 1 ELSE 0 END) AS BIGINT) AS valid
            FROM credit_applications GROUP BY 1),
@@ -535,7 +535,7 @@ def model_performance_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last 90 days of a model's metrics as rows of name and value."""
     h = rg.performance_history(ad.model_metrics(spark, sf_dir), ["accuracy", "avg_prediction_time", "avg_pd_score"],
                                "credit_risk_model", "1998-08-02 00:00:00", 90)
-    return h.withColumn("metric_value", F.round("metric_value", 8))
+    return h.withColumns({"metric_value": F.round("metric_value", 8), "timestamp": F.col("timestamp").cast("timestamp_ntz")})
 
 
 @register("active_model", ops=("PRJ-18", "AGG-18", "ML-12"), sql=with_views(f"""

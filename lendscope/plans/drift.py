@@ -90,7 +90,7 @@ def feature_drift_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stats_select(rep)
 
 
-@register("feature_drift_report", ops=("DR-03", "DR-04", "DR-09", "DR-14", "SRC-13", "UDF-01"))
+@register("feature_drift_report", ops=("DR-03", "DR-04", "DR-09", "DR-14"))
 def feature_drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With p-values (Kolmogorov / chi-square tails): rows-only check."""
     rep = dr.feature_drift(ad.drift_samples(spark, sf_dir), FLOAT_FEATURES, with_p_values=True)
@@ -241,7 +241,7 @@ psi AS (SELECT j.feature, j.month,
 """
 
 
-@register("drift_history", ops=("DR-09", "DR-12", "PRJ-10", "SRC-13"), sql=with_views(_HIST_SQL + """
+@register("drift_history", ops=("DR-09", "PRJ-10"), sql=with_views(_HIST_SQL + """
 SELECT feature, month, 'feature_drift_' || feature AS drift_type, round(drift_score, 8) AS drift_score,
        drift_score > 0.2E0 AS drift_detected
 FROM psi WHERE month >= TIMESTAMP '2000-01-01 00:00:00'""", "credit_applications"))
@@ -253,7 +253,7 @@ def drift_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("feature", "month", "drift_type", F.round("drift_score", 8).alias("drift_score"), "drift_detected")
 
 
-@register("drift_analysis", ops=("AGG-05", "DR-12", "SRT-03"), sql=with_views(_HIST_SQL + """
+@register("drift_analysis", ops=("DR-12",), sql=with_views(_HIST_SQL + """
 SELECT CAST(year(month) AS INTEGER) AS year, 'feature_drift_' || feature AS drift_type, count(*) AS detections,
        CAST(sum(CASE WHEN drift_score > 0.2E0 THEN 1 ELSE 0 END) AS BIGINT) AS drifted
 FROM psi GROUP BY 1, 2""", "credit_applications"))

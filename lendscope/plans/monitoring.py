@@ -86,7 +86,7 @@ def error_rate_last_100(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("endpoint", _r("error_rate"), "requests")
 
 
-@register("prediction_analysis", ops=("AGG-06", "AGG-10", "FN-02", "D-12"), sql=with_views("""
+@register("prediction_analysis", ops=("AGG-06", "AGG-10", "D-12"), sql=with_views("""
 SELECT count(*) AS predictions,
        round(avg(coalesce(try_cast(json_extract_string(prediction_result, '$.probability_of_default') AS DOUBLE), 0.0E0)), 6) AS avg_pd,
        round(avg(coalesce(try_cast(json_extract_string(prediction_result, '$.loss_given_default') AS DOUBLE), 0.0E0)), 6) AS avg_lgd,
@@ -128,7 +128,7 @@ def predictions_daily_gapfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ru.gap_fill(d, "day", 86400, {"predictions": 0}).select("day", "predictions")
 
 
-@register("per_version_stats", ops=("AGG-11", "PRJ-07"), sql=with_views(f"""
+@register("per_version_stats", ops=("AGG-11",), sql=with_views(f"""
 SELECT model_version, count(*) AS total_predictions, round(avg(response_time_ms), 6) AS avg_response_time_ms,
        min(timestamp) AS period_start, max(timestamp) AS period_end
 FROM prediction_log

@@ -47,7 +47,7 @@ def validation_rule_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vq.rule_failure_counts(v)
 
 
-@register("validation_verdict", ops=("VAL-03", "VAL-07", "SRC-08"), sql=with_views(f"""
+@register("validation_verdict", ops=("VAL-03",), sql=with_views(f"""
 SELECT total_records, valid_records, total_records - valid_records AS invalid_records,
        round(valid_records / total_records, 6) AS completeness, total_records > 0 AS non_empty,
        valid_records / total_records >= 0.95E0 AS meets_completeness,

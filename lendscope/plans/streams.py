@@ -20,7 +20,7 @@ def _events_stream(spark, sf_dir):
     return sj.event_stream(spark, table_path(sf_dir, "events"), Tables(spark, sf_dir).events.schema)
 
 
-@register("stream_api_windows", ops=("ST-01", "SRC-12", "SRC-19", "MON-09"), sql="""
+@register("stream_api_windows", ops=("ST-01", "SRC-12", "SRC-19"), sql="""
 SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, count(*) AS requests,
        round(avg(value / 100.0E0), 6) AS avg_response_time,
        round(quantile_cont(value / 100.0E0, 0.95), 6) AS p95_response_time,
@@ -72,7 +72,7 @@ def stream_alert_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("channel", "name").agg(F.count(F.lit(1)).alias("deliveries"), F.min("ts").cast("timestamp_ntz").alias("first_alert"))
 
 
-@register("stream_scoring_decisions", ops=("RSK-09", "RSK-08", "ST-02", "JN-01"), sql=with_views(f"""
+@register("stream_scoring_decisions", ops=("RSK-09", "RSK-08"), sql=with_views(f"""
 SELECT loan_purpose, {DECISION_SQL} AS decision, count(*) AS applications,
        round(sum(expected_loss), 6) AS expected_loss
 FROM scored_book GROUP BY 1, 2""", "scored_book"))
@@ -135,7 +135,7 @@ def stream_request_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                    F.count_distinct("request_hash").alias("distinct_hashes"))
 
 
-@register("stream_drift_check", ops=("ST-07", "DR-05", "UDF-02"), sql=f"""
+@register("stream_drift_check", ops=("ST-07", "DR-05"), sql=f"""
 WITH a AS (SELECT ts, value / 100.0E0 AS v, ts < TIMESTAMP '{EVENTS_SPLIT_TS}' AS is_ref FROM events),
 fit AS (SELECT min(v) AS lo, max(v) AS hi FROM a WHERE is_ref),
 b AS (SELECT is_ref, date_trunc('day', ts)::TIMESTAMP AS day, {edge_bin_sql('v', 'lo', 'hi', 10)} AS bin FROM a, fit),
