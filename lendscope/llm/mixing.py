@@ -96,8 +96,9 @@ def posteriors(docs: DataFrame, model: LogisticRegressionModel | int | None, nam
     if model is None or isinstance(model, int):
         p = F.array(*(F.lit(1.0 / len(names) if model is None else float(i == model)) for i in range(len(names))))
         return rows.select("row", "id", "key", "tokens", p.alias("p"))
-    p = vector_to_array("probability")
-    padded = F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.coalesce(F.get(p, i), F.lit(0.0)))
+    # no lambda around the probabilities: it would run the model anew for every domain
+    missing = F.array_repeat(F.lit(0.0), len(names) - model.numClasses)
+    padded = F.concat(vector_to_array("probability"), missing)
     return model.transform(_features(rows)).select("row", "id", "key", "tokens", padded.alias("p"))
 
 
