@@ -19,6 +19,7 @@ text's hash; an empty table gives an empty result; only the named columns are us
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendscope.llm.common import join_hot, materialize, sized, text_key
+from lendscope.llm.common import drop_tables, join_hot, materialize, sized, text_key
 from lendscope.llm.nptext import BASE, mix, powers
 
 MIN_CHARS = 16
@@ -100,10 +101,13 @@ def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("v", "line", F.trim("s").alias("s")).where("s <> ''")
 
 
+KEYS = [f"k{i}" for i in range(2 * BLOCKS)]
+
+
 def _add_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         keys = block_keys(list(b["s"])) if len(b) else np.zeros((0, 2 * BLOCKS), np.int64)
-        yield b[["v", "line", "n", "h1", "h2"]].assign(keys=list(keys))
+        yield b.drop(columns="s").assign(**dict(zip(KEYS, keys.T)))
 
 
 def _add_variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,20 +127,29 @@ def _add_variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """v, line, near: the lines that go; near tells those with an earlier line at one edit from those with an equal one."""
-    split = split_lines(docs, id_col, text_col)
-    lines = materialize(split.select("v", "line", F.length("s").alias("n"), F.xxhash64("s").alias("h1"),
-                                     F.xxhash64(F.lit(1), "s").alias("h2"), "s").mapInPandas(
-        _add_keys, "v long, line int, n int, h1 long, h2 long, keys array<long>"))
-    firsts = materialize(lines.groupBy("h1", "h2").agg(F.min(F.struct("v", "line")).alias("g"), F.count("*").alias("times")))
-    exact = join_hot(lines.select("h1", "h2", "v", "line"), firsts.where("times > 1").drop("times"), ["h1", "h2"]).where(
-        F.struct("v", "line") != F.col("g")).select("v", "line", F.lit(False).alias("near"))
-
-    # lines that meet another one without a block
-    first_at = firsts.select(F.col("g.v").alias("v"), F.col("g.line").alias("line"))
-    keyed = lines.where(F.col("n") >= MIN_CHARS).select("v", "line", "keys").join(first_at, ["v", "line"], "left_semi")
-    keyed = keyed.dropDuplicates(["v", "line"]).select("v", "line", F.posexplode("keys").alias("slot", "key"))
-    meets = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    live = materialize(join_hot(keyed, meets, ["key"]).groupBy("v", "line").agg(F.collect_set("slot").alias("slots")))
+    lines = split_lines(docs, id_col, text_col).select(
+        "v", "line", F.length("s").alias("n"), F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(1), "s").alias("h2"), "s")
+    keyed = lines.mapInPandas(_add_keys, "v long, line int, n int, h1 long, h2 long, " + ", ".join(f"{k} long" for k in KEYS))
+    # one row a distinct line before any key is sent; equal lines have equal keys
+    firsts = materialize(keyed.groupBy("h1", "h2").agg(
+        F.min(F.struct("v", "line")).alias("g"), F.count("*").alias("times"), F.max("n").alias("n"),
+        *[F.max(k).alias(k) for k in KEYS]))
+    again = firsts.where("times > 1").select("h1", "h2", "g")
+    exact = materialize(join_hot(lines.select("h1", "h2", "v", "line"), again, ["h1", "h2"]).where(
+        F.struct("v", "line") != F.col("g")).select("v", "line", F.lit(False).alias("near")))
+
+    # Lines that meet another one without a block.  Keys of different blocks never meet, so the blocks
+    # go one after the other: the shuffle files of one are gone before the next writes its own.
+    met = []
+    for b in range(BLOCKS):
+        of_block = firsts.where(F.col("n") >= MIN_CHARS).select(F.col("g.v").alias("v"), F.col("g.line").alias("line"), F.explode(
+            F.array(*[F.struct(F.lit(i).alias("slot"), F.col(KEYS[i]).alias("key")) for i in (b, b + BLOCKS)])).alias("x"))
+        of_block = of_block.select("v", "line", "x.slot", "x.key")
+        meets = materialize(of_block.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
+        met.append(materialize(of_block.join(meets, "key").select("v", "line", "slot")))
+        drop_tables(meets)
+    live = materialize(functools.reduce(DataFrame.union, met).groupBy("v", "line").agg(F.collect_set("slot").alias("slots")))
+    drop_tables(firsts, *met)
 
     has_any = sized(materialize(live.select("v").distinct()))
     texts = materialize(split_lines(docs, id_col, text_col).join(has_any, "v", "left_semi").join(live, ["v", "line"])
