@@ -169,8 +169,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         "v", "line", F.col("g.v").alias("gv"), F.col("g.line").alias("gline")).distinct()
 
     own = texts.select("v", "line", "s")
-    near = pairs.join(own, ["v", "line"]).join(own.toDF("gv", "gline", "gs"), ["gv", "gline"]).where(
-        F.levenshtein("s", "gs", 1) == 1).select("v", "line", F.lit(True).alias("near")).distinct()
+    near = materialize(pairs.join(own, ["v", "line"]).join(own.toDF("gv", "gline", "gs"), ["gv", "gline"]).where(
+        F.levenshtein("s", "gs", 1) == 1).select("v", "line", F.lit(True).alias("near")).distinct())
+    drop_tables(live, texts, var)
     return exact.union(near)
 
 
@@ -180,16 +181,16 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         F.collect_set(F.when(~F.col("near"), F.col("line"))).alias("equal"),
         F.collect_set(F.when(F.col("near"), F.col("line"))).alias("close")))
     rows = docs.select(F.col(id_col).alias("id"), _vertex(F.col(id_col), text_key(F.col(text_col))).alias("v"),
-                       F.split(text_col, "\n").alias("lines"), F.col(text_col).alias("text"))
-    n_lines = F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(F.size("lines"))
-    rows = rows.withColumn("n_lines", n_lines.cast("long"))
-    # only texts that lose lines meet their list
+                       F.col(text_col).alias("text"))
+    n_lines = F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    # only texts that lose lines meet their list; they are split after that, as a text is smaller than its lines
     ids = sized(materialize(gone.select("v")))
+    left = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.array_union("equal", "close"), i))
     cut = rows.join(ids, "v", "left_semi").join(gone, "v").select(
-        "id", "n_lines", F.size("equal").cast("long").alias("n_equal"), F.size("close").cast("long").alias("n_near"),
-        F.array_join(F.filter("lines", lambda _, i: ~F.array_contains(F.array_union("equal", "close"), i)), "\n").alias("text"))
+        "id", n_lines.alias("n_lines"), F.size("equal").cast("long").alias("n_equal"),
+        F.size("close").cast("long").alias("n_near"), F.array_join(left, "\n").alias("text"))
     whole = rows.join(ids, "v", "left_anti").select(
-        "id", "n_lines", F.lit(0).cast("long").alias("n_equal"), F.lit(0).cast("long").alias("n_near"), "text")
+        "id", n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_equal"), F.lit(0).cast("long").alias("n_near"), "text")
     return cut.union(whole)
 
 
