@@ -98,23 +98,55 @@ def first_in_text(own: np.ndarray, h: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
-def order_suffixes(group: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, run) of equally long byte strings: lexicographic within each group; equal strings share a run."""
-    pad = -contexts.shape[1] % 8
-    words = np.ascontiguousarray(np.pad(contexts, ((0, 0), (0, pad)))).view(">u8").astype(np.uint64)
-    order = np.lexsort((*words.T[::-1], group))
-    w, g = words[order], group[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (g[1:] != g[:-1]) | (w[1:] != w[:-1]).any(1)
-    return order, np.cumsum(new) - 1
-
-
-def has_previous(order: np.ndarray, run: np.ndarray, position: np.ndarray) -> np.ndarray:
-    """Whether LPF reaches the strings' length: in its run a string has a smaller position before or after it."""
-    ranked = position[order]
-    least = np.minimum.reduceat(ranked, np.flatnonzero(np.diff(run, prepend=-1)))
-    out = np.zeros(len(order), bool)
-    out[order] = ranked > least[run]
+def as_words(strings: np.ndarray) -> np.ndarray:
+    """The rows of bytes as big-endian 8-byte words, which compare like the bytes."""
+    pad = -strings.shape[1] % 8
+    return np.ascontiguousarray(np.pad(strings, ((0, 0), (0, pad)))).view(">u8").astype(np.uint64)
+
+
+def order_suffixes(group: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Places of equally long byte strings in lexicographic order within each group."""
+    return np.lexsort((*words.T[::-1], group))
+
+
+def smaller_neighbours(ranked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the nearest one before (else -1) and after it (else the size) with a smaller value."""
+    def before(x: np.ndarray) -> np.ndarray:
+        near = np.arange(len(x)) - 1
+        todo = np.arange(len(x))
+        while len(todo):
+            todo = todo[near[todo] >= 0]
+            todo = todo[x[near[todo]] >= x[todo]]
+            near[todo] = near[near[todo]]      # all that lies between is no smaller
+        return near
+
+    return before(ranked), len(ranked) - 1 - before(ranked[::-1])[::-1]
+
+
+def common_prefix(a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Number of first bytes that the rows of a and b (see ``as_words``) share, at most ``length``."""
+    differ = a != b
+    word = differ.argmax(1)
+    at = np.arange(len(a))
+    x = a[at, word] ^ b[at, word]
+    same = 8 * word + sum((x < np.uint64(1 << (8 * k))).astype(np.int64) for k in range(1, 8))
+    return np.where(x == 0, length, np.minimum(same, length))
+
+
+def longest_previous_factor(group: np.ndarray, words: np.ndarray, position: np.ndarray, length: int) -> np.ndarray:
+    """LPF of every string: its longest match with a string of a smaller position in its group.
+
+    In suffix order that is the longer of the matches with the nearest strings on both sides that have a
+    smaller position."""
+    order = order_suffixes(group, words)
+    g, w = group[order], words[order]
+    found = np.zeros(len(order), np.int64)
+    for other in smaller_neighbours(position[order]):
+        at = np.flatnonzero((other >= 0) & (other < len(order)))
+        at = at[g[at] == g[other[at]]]
+        found[at] = np.maximum(found[at], common_prefix(w[at], w[other[at]], length))
+    out = np.zeros(len(order), np.int64)
+    out[order] = found
     return out
 
 
@@ -129,8 +161,8 @@ def covered_starts(group: np.ndarray, position: np.ndarray, left: np.ndarray, ct
     for before in range(reach + 1):
         live = np.flatnonzero((left >= before) & (sizes - left >= length - before))
         if len(live) > 1:
-            order, run = order_suffixes(group[live], table[live, reach - before:reach - before + length])
-            found = has_previous(order, run, position[live])
+            words = as_words(table[live, reach - before:reach - before + length])
+            found = longest_previous_factor(group[live], words, position[live], length) >= length
             if found.any():
                 yield live[found], before
 

@@ -283,9 +283,24 @@ def test_suffix_rows_without_id_come_last(spark):
 def test_longest_previous_factor():
     group = np.array([0, 0, 0, 1, 1])
     ctx = np.frombuffer(b"abcabxabcabcabx", np.uint8).reshape(5, 3)
-    order, run = suffix_dedup.order_suffixes(group, ctx)
-    assert [bytes(ctx[i]) for i in order] == [b"abc", b"abc", b"abx", b"abc", b"abx"] and list(run) == [0, 0, 1, 2, 3]
-    assert list(suffix_dedup.has_previous(order, run, np.array([7, 1, 3, 0, 2]))) == [True, False, False, False, False]
+    words = suffix_dedup.as_words(ctx)
+    assert [bytes(ctx[i]) for i in suffix_dedup.order_suffixes(group, words)] == [b"abc", b"abc", b"abx", b"abc", b"abx"]
+    assert list(suffix_dedup.longest_previous_factor(group, words, np.array([7, 1, 3, 0, 2]), 3)) == [3, 0, 2, 0, 2]
+    before, after = suffix_dedup.smaller_neighbours(np.array([3, 5, 4, 1, 2]))
+    assert list(before) == [-1, 0, 0, -1, 3] and list(after) == [3, 2, 3, 5, 5]
+
+    rnd = np.random.default_rng(7)
+    for size, length in ((300, 20), (1, 8), (0, 8), (200, 100)):
+        ctx = rnd.integers(0, 2, (size, length)).astype(np.uint8)
+        ctx[rnd.integers(0, max(size, 1), size // 2)] = ctx[:1]
+        group, position = rnd.integers(0, 3, size), rnd.permutation(size)
+
+        def lcp(i, j):
+            return int(np.argmax(np.append(ctx[i] != ctx[j], True)))
+
+        want = [max([lcp(i, j) for j in range(size) if group[i] == group[j] and position[j] < position[i]], default=0)
+                for i in range(size)]
+        assert list(suffix_dedup.longest_previous_factor(group, suffix_dedup.as_words(ctx), position, length)) == want
 
 
 # --- 7 language ID ------------------------------------------------------------------------------
