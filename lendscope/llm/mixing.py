@@ -3,17 +3,16 @@
 1. A classifier (multinomial logistic regression on hashed words, ``pyspark.ml``) learns the
    domains of labelled rows and gives every document a posterior over the domains.
 2. Rates: document i is to be used r_i >= 0 times.  With shares a_i = tokens_i / all tokens, the
-   expected share of domain d is sum_i a_i p_id r_i.  Projected gradient descent (accelerated)
-   minimises  1/2 sum_d (sum_i a_i p_id r_i - target_d)^2 + PULL/2 sum_i a_i (r_i - 1)^2  over r >= 0.
-   With steps measured in the weights a_i, the gradient of document i is p_i . e + PULL (r_i - 1),
-   where e is the residual by domain - a handful of numbers.  So a step is one aggregate over the
-   stored (tokens, posterior) table, and a document's rate follows from the residuals so far: no
-   state is written between steps, and only the residuals pass through the driver.
-   That stops short of the targets of rare domains, as PULL is no smaller than their shares.  So
-   Newton steps on one multiplier a domain finish: the same sum with PULL at LEAST_PULL has the
-   rates r_i = max(0, 1 - p_i . m), and m follows from sums by domain and pair of domains, again one
-   aggregate a step.  They stop when every domain is within CLOSE of its target, or, where no rates
-   reach the targets, when the sum falls no more.
+   expected share of domain d is sum_i a_i p_id r_i; e is the residual, these shares less the targets.
+   Projected gradient descent (accelerated, started again when the sum rises) from r = 1 minimises
+   1/2 e . W e over r >= 0, W being the inverse of G = sum_i a_i p_i p_i' over all rows.  Where the
+   targets can be reached e is 0 there, whatever W is; W makes rare domains and domains that are hard to
+   tell apart converge like the others, and 1 a safe step (no set of rows with r > 0 curves more than G).
+   With steps measured in the weights a_i, the gradient of document i is p_i . W e - a handful of
+   numbers for all documents.  So a step is one aggregate over the stored (tokens, posterior) table, and
+   a document's rate follows from the residuals so far: no state is written between steps, and only
+   the residuals pass through the driver.  The steps end when every domain is within CLOSE of its
+   target, relative to it, or, where no rates reach the targets, when the sum hardly falls in PATIENCE steps.
 3. Copies: floor(r_i + u_i) with u_i a hash of the document, so expected tokens stay as fitted.
 
 Fit bound: at most about SAMPLE labelled rows, chosen by a hash of their id; token counts,
@@ -44,12 +43,10 @@ from lendscope.llm.common import materialize, text_key
 TARGETS = {"low": 0.10, "high": 0.85, "toxic": 0.05}
 SAMPLE = 4000
 FEATURES = 1 << 12
-STEPS = 40
-PULL = 0.005
-TOLERANCE = 1e-4
-LEAST_PULL = 1e-7
+STEPS = 200
 CLOSE = 1e-4
-NEWTON_STEPS = 40
+PATIENCE = 20
+FALL = 1e-3                       # of the sum, at least, in PATIENCE steps
 
 
 def label_domain(labels: DataFrame) -> DataFrame:
@@ -102,88 +99,67 @@ def posteriors(docs: DataFrame, model: LogisticRegressionModel | int | None, nam
     return model.transform(_features(rows)).select("row", "id", "key", "tokens", padded.alias("p"))
 
 
-def _folded(p: np.ndarray, residuals: list[list[float]], step: float, pull: float) -> tuple[np.ndarray, np.ndarray]:
-    """(rates, extrapolated rates) of rows with posteriors p after the steps with these residuals."""
+def _folded(p: np.ndarray, slopes: list[list[float]], step: float, pull: float = 0.0,
+            restarts: frozenset[int] = frozenset()) -> tuple[np.ndarray, np.ndarray]:
+    """(rates, extrapolated rates) of rows with posteriors p after steps with these slopes by domain.
+
+    ``pull`` holds the rates near 1; the momentum begins anew at the steps in ``restarts``."""
     r = y = np.ones(len(p))
-    for k, e in enumerate(residuals):
+    k = 0
+    for i, e in enumerate(slopes):
+        k = 0 if i in restarts else k
         new = np.maximum(0.0, y - step * (p @ np.array(e) + pull * (y - 1.0)))
         r, y = new, new + k / (k + 3.0) * (new - r)
+        k += 1
     return r, y
 
 
-def fit_rates(stored: DataFrame, targets: list[float], steps: int = STEPS, pull: float = PULL,
-              tolerance: float = TOLERANCE) -> Callable[[Column], Column]:
+def _gram(flat: DataFrame, names: list[str], total: float) -> np.ndarray:
+    """Sum of a_i p_i p_i' over all rows."""
+    k = len(names)
+    got = flat.agg(*(F.sum(F.col("tokens") * F.col(a) * F.col(b)) for a in names for b in names)).first()
+    return np.array([round((v or 0.0) / total, 12) for v in got]).reshape(k, k)
+
+
+def fit_rates(stored: DataFrame, targets: list[float], steps: int = STEPS, close: float = CLOSE) -> Callable[[Column], Column]:
     """From the column of posteriors to the column of rates, fitted to ``stored`` (tokens, p)."""
     total = float(stored.agg(F.sum("tokens")).first()[0] or 0)
     if total == 0:
         return lambda p: F.lit(1.0)
-    step, residuals = 1.0 / (1.0 + pull), []
     names = [f"d{d}" for d in range(len(targets))]
     flat = stored.select("tokens", *(F.get("p", F.lit(d)).alias(n) for d, n in enumerate(names)))
-    for _ in range(steps):
-        def expected(batches: Iterator[pd.DataFrame], so_far=tuple(residuals)) -> Iterator[pd.DataFrame]:
+    # directions that no posterior tells apart, such as a domain nobody has, stay out
+    metric = np.linalg.pinv(_gram(flat, names, total), rcond=1e-7, hermitian=True)
+    slopes: list[list[float]] = []
+    sums: list[float] = []
+    restarts: frozenset[int] = frozenset()
+    for n in range(steps):
+        def expected(batches: Iterator[pd.DataFrame], so_far=tuple(slopes), anew=restarts) -> Iterator[pd.DataFrame]:
             for b in batches:
                 p = b[names].to_numpy()
-                _, y = _folded(p, list(so_far), step, pull)
+                _, y = _folded(p, list(so_far), 1.0, restarts=anew)
                 yield pd.DataFrame([(b["tokens"].to_numpy() * y) @ p], columns=names)
 
-        got = flat.mapInPandas(expected, ", ".join(f"{n} double" for n in names)).agg(
-            *(F.sum(n).alias(n) for n in names)).first()
+        got = flat.mapInPandas(expected, ", ".join(f"{c} double" for c in names)).agg(
+            *(F.sum(c).alias(c) for c in names)).first()
         # rounded, so that the order of a parallel sum does not show in later steps
-        e = [round((got[n] or 0.0) / total - t, 9) for n, t in zip(names, targets)]
-        if residuals and max(abs(a - b) for a, b in zip(e, residuals[-1])) < tolerance:
+        e = np.array([round((got[c] or 0.0) / total - t, 9) for c, t in zip(names, targets)])
+        if sums and e @ metric @ e > sums[-1]:
+            restarts |= {n}
+        sums.append(float(e @ metric @ e))
+        slopes.append([float(v) for v in metric @ e])
+        if (np.abs(e) <= close * np.array(targets) + 1e-9).all():
+            break
+        if n >= PATIENCE and min(sums[-PATIENCE:]) > (1 - FALL) * min(sums[:-PATIENCE]):
             break
-        residuals.append(e)
-
-    start = np.array(residuals[-1] if residuals else [0.0] * len(targets)) / pull
-    m = _multipliers(flat, names, total, np.array(targets), start)
 
     @F.pandas_udf("double")
     def rate(p: pd.Series) -> pd.Series:
-        return pd.Series(np.maximum(0.0, 1.0 - np.stack(p.to_numpy()) @ m) if len(p) else [], dtype=float)
+        return pd.Series(_folded(np.stack(p.to_numpy()), slopes, 1.0, restarts=restarts)[0] if len(p) else [], dtype=float)
 
     return rate
 
 
-def _multipliers(flat: DataFrame, names: list[str], total: float, targets: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """m of the rates max(0, 1 - p . m) that meet the targets, from ``flat`` (tokens, a column for each domain)."""
-    k = len(names)
-    cols = ["v", *(f"s{d}" for d in range(k)), *(f"h{i}" for i in range(k * k))]
-
-    def sums(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """The dual value, its gradient and minus its curvature at m."""
-        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                p, a = b[names].to_numpy(), b["tokens"].to_numpy().astype(float)
-                r = np.maximum(0.0, 1.0 - p @ m)
-                own = p[r > 0]
-                yield pd.DataFrame([[a @ (r * r) / 2, *((a * r) @ p), *((own * a[r > 0][:, None]).T @ own).ravel()]],
-                                   columns=cols)
-
-        got = flat.mapInPandas(part, ", ".join(f"{c} double" for c in cols)).agg(*(F.sum(c).alias(c) for c in cols)).first()
-        # rounded, so that the order of a parallel sum does not show in later steps
-        x = np.array([round((v or 0.0) / total, 12) for v in got])
-        value = -x[0] - targets @ m - LEAST_PULL / 2 * (m @ m)
-        return value, x[1:k + 1] - targets - LEAST_PULL * m, x[k + 1:].reshape(k, k) + LEAST_PULL * np.eye(k)
-
-    value, slope, curve = sums(m)
-    for _ in range(NEWTON_STEPS):
-        if (np.abs(slope + LEAST_PULL * m) <= CLOSE * targets + 1e-9).all():
-            break
-        way, length = np.linalg.solve(curve, slope), 1.0
-        if slope @ way <= 1e-12:
-            break
-        while length > 1e-6:
-            new = sums(m + length * way)
-            if new[0] >= value + 1e-4 * length * (slope @ way):
-                break
-            length /= 2
-        else:
-            break
-        m, (value, slope, curve) = m + length * way, new
-    return m
-
-
 def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id",
            text_col: str = "text") -> tuple[DataFrame, Callable, LogisticRegressionModel | int | None]:
     """The stored posteriors (id, key, tokens, p), the function from p to the rate, and the classifier."""
