@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 64
 MIN_BUCKETS = 8
+BUCKET_ROWS = 200_000     # distinct values a bucket: the sort and the windows of a task hold a few buckets, however many rows there are
 
 
 def _n_buckets(df: DataFrame, n_buckets: int | None) -> int:
@@ -64,7 +65,10 @@ def prefix_sums(vc: DataFrame, value: str, group_cols: Sequence[str] = (),
     ``nb`` rows and broadcast.
     """
     g = list(group_cols)
-    nb = _n_buckets(vc, n_buckets)
+    from lendscope.session import cut_lineage
+    # stored first, since the sampled bounds and the exchange read it once each
+    vc = cut_lineage(vc)
+    nb = n_buckets or max(_n_buckets(vc, None), -(-vc.count() // BUCKET_ROWS))
     # Range partitions over (group, value): Spark samples the bounds and places
     # each row by binary search (O(log nb) per row for any nb, so nb can follow
     # the cluster size); partition ids increase with (group, value), which is
@@ -74,7 +78,6 @@ def prefix_sums(vc: DataFrame, value: str, group_cols: Sequence[str] = (),
     # The sampled bounds belong to one evaluation: every later use (running sums,
     # totals, position lookups) must see the same bucket ids, also after a task
     # retry, so the bucketed distinct values are written once.
-    from lendscope.session import cut_lineage
     b = cut_lineage(b)
 
     # One exchange by (group, bucket): running sums inside the bucket and the
@@ -82,7 +85,8 @@ def prefix_sums(vc: DataFrame, value: str, group_cols: Sequence[str] = (),
     # groups x nb rows) is read back through the reused exchange.
     wrun = Window.partitionBy(*g, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     wall = Window.partitionBy(*g, "_bucket")
-    w = b.select("*", *[F.coalesce(F.sum(m).over(wrun), F.lit(0)).alias(f"_in_{m}") for m in measures],
+    # as many tasks as buckets: joined into larger ones, they would sort and hold many buckets at once
+    w = b.repartition(nb, *g, "_bucket").select("*", *[F.coalesce(F.sum(m).over(wrun), F.lit(0)).alias(f"_in_{m}") for m in measures],
                  *[F.sum(m).over(wall).alias(f"_bt_{m}") for m in measures])
     tot = w.groupBy(*g, "_bucket").agg(*[F.first(f"_bt_{m}").alias(f"_bt_{m}") for m in measures])
     gpart = [F.col(c) for c in g] or [F.lit(0)]
