@@ -6,9 +6,10 @@ LANDMARKS training texts as landmarks, features are K_nm K_mm^(-1/2).  One ridge
 each language against the rest; the language with the largest value wins.  Whole texts are
 scored in batches by two matrix products.
 
-Fit: on at most SAMPLE_PER_LANG labelled rows of each language, chosen by a hash of their id (a
-bound on fitting only; every row is scored).  Executors turn the sample into bit sets of DIM / 8
-bytes; only those reach the driver.  The number of languages is that of the world, not of rows.
+Fit: on every labelled row.  The landmarks are LANDMARKS of them, taken from each language in turn by a
+hash of their id; then one pass over all rows adds up K_mn K_nm and K_mn of each language.  Kernel values
+count in units of 1 / UNIT, so the sums are whole numbers, exact in any order.  The driver gets LANDMARKS
+squared numbers and LANDMARKS for each language; the number of languages is that of the world, not of rows.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; so is every text if
 no row has a label.  Ties go to the first language in order.  Rows keep their multiplicity; an
@@ -29,7 +30,8 @@ DIM_BITS = 12
 DIM = 1 << DIM_BITS
 NGRAMS = 3
 LANDMARKS = 128
-SAMPLE_PER_LANG = 600
+UNIT = 1 << 16           # kernel values are summed in these units
+STEPS = 1 << 12          # similarities of held-out rows are counted in these
 RIDGE = 1e-2
 BATCH = 256
 #: Levels of similarity: from at least LEVEL_ROWS held-out rows, MARGIN times what all but LEVEL_SHARE of them reach.
@@ -79,17 +81,20 @@ class Model:
         return self.scored(texts)[0]
 
 
-def solve(x: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+def choose_landmarks(x: np.ndarray, langs: list[str], landmarks: int = LANDMARKS) -> np.ndarray:
+    """The first rows in turn from each language."""
     names = sorted(set(langs))
     own = np.array([names.index(v) for v in langs])
-    # landmarks in turn from each language
     turns = sorted(range(len(own)), key=lambda i: (int((own[:i] == own[i]).sum()), own[i]))
-    mark = x[turns[:landmarks]]
+    return x[turns[:landmarks]]
+
+
+def solve(mark: np.ndarray, names: list[str], counts: np.ndarray, gram: np.ndarray, sums: np.ndarray, ridge: float = RIDGE) -> Model:
+    """``counts``: rows of each language; ``gram``: K_mn K_nm of all rows; ``sums``: K_mn summed over each language's rows."""
     value, vector = np.linalg.eigh(kernel(mark, mark).astype(np.float64))
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
-    phi = kernel(x, mark) @ root
-    y = np.where(own[:, None] == np.arange(len(names))[None, :], 1.0, -1.0)
-    w = np.linalg.solve(phi.T @ phi + ridge * len(own) / len(names) * np.eye(len(root)), phi.T @ y)
+    right = root.T @ (2 * sums - sums.sum(0)).T            # own rows count 1, all others -1
+    w = np.linalg.solve(root.T @ gram @ root + ridge * counts.sum() / len(names) * np.eye(len(root)), right)
     return Model(names, mark, (root @ w).astype(np.float32))
 
 
@@ -101,26 +106,20 @@ def length_class(c: Column) -> Column:
     return F.least(F.floor(F.log2(F.greatest(F.length(c), F.lit(1)))).cast("int"), F.lit(LENGTHS - 1))
 
 
-def _drawn(train: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> DataFrame | None:
-    """lang, draw, text of about ``per_lang`` labelled rows of each language, by a hash of their id; None if there are none."""
-    rows = train.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"),
-                        F.col(text_col).alias("text")).where(F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return None
-    draw = F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(1 << 30))
-    share = F.element_at(F.create_map(*(v for k, n in sorted(counts.items())
-                                        for v in (F.lit(k), F.lit(int(min(1.0, per_lang / n) * (1 << 30)))))), F.col("lang"))
-    return rows.withColumn("draw", draw).where((F.col("draw") < share) & has_letter(F.col("text"))).select(
-        "lang", "draw", "text")
+def _labelled(rows: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """lang, draw (a hash of id and text), text of the rows with a label and a letter."""
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col)), F.lit(1 << 30))
+    return rows.where(F.col(lang_col).isNotNull() & has_letter(F.col(text_col))).select(
+        F.col(lang_col).cast("string").alias("lang"), draw.alias("draw"), F.col(text_col).alias("text"))
 
 
-def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        per_lang: int = SAMPLE_PER_LANG) -> Model | None:
-    """Model of the labelled rows; None if there are none."""
-    drawn = _drawn(train, id_col, text_col, lang_col, per_lang)
-    if drawn is None:
-        return None
+def _landmarks(rows: DataFrame, draws: dict[str, int], landmarks: int) -> np.ndarray:
+    """Presence rows of the landmarks: those with the smallest draws of each language in turn.
+
+    ``draws``: about how many different ones each language has; repeated rows are one."""
+    # about twice what a language can give; all of a language that has no more
+    share = F.element_at(F.create_map(*(v for k, n in sorted(draws.items())
+                                        for v in (F.lit(k), F.lit(int(min(1.0, (2 * landmarks + 64) / n) * (1 << 30)))))), F.col("lang"))
 
     def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -130,41 +129,76 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
                 yield pd.DataFrame({"lang": part["lang"].to_numpy(), "draw": part["draw"].to_numpy(),
                                     "bits": [p.tobytes() for p in packed]})
 
+    drawn = rows.where(F.col("draw") < share).dropDuplicates(["lang", "draw"])
     got = drawn.mapInPandas(bits, "lang string, draw long, bits binary").collect()
-    got = sorted(got, key=lambda r: (r["draw"], r["lang"], bytes(r["bits"])))
     if not got:
-        return None
+        got = rows.orderBy("draw", "lang").limit(landmarks).mapInPandas(bits, "lang string, draw long, bits binary").collect()
+    got = sorted(got, key=lambda r: (r["draw"], r["lang"], bytes(r["bits"])))
     x = np.unpackbits(np.frombuffer(b"".join(bytes(r["bits"]) for r in got), np.uint8).reshape(len(got), -1), axis=1)
-    return solve(x.astype(np.float32), [r["lang"] for r in got])
+    return choose_landmarks(x.astype(np.float32), [r["lang"] for r in got], landmarks)
 
 
-def levels(held: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-           per_lang: int = SAMPLE_PER_LANG) -> list[float]:
-    """The least similarity of a text of a known language, by class of length, from labelled rows that ``model`` has not seen.
+def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+        landmarks: int = LANDMARKS) -> Model | None:
+    """Model of all labelled rows; None if there are none."""
+    rows = _labelled(train, id_col, text_col, lang_col)
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("draw").alias("draws")).collect()
+    if not found:
+        return None
+    counts = {r["lang"]: r["n"] for r in found}
+    names = sorted(counts)
+    mark = _landmarks(rows, {r["lang"]: max(1, r["draws"]) for r in found}, landmarks)
+    m = len(mark)
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Row i < m: row i of the gram matrix; row m + c: the sum of language c."""
+        total = np.zeros((m + len(names), m), np.int64)
+        for b in batches:
+            own = np.array([names.index(v) for v in b["lang"]], np.int64)
+            for at in range(0, len(b), BATCH):
+                k = np.rint(kernel(presence(list(b["text"].iloc[at:at + BATCH])), mark).astype(np.float64) * UNIT)
+                total[:m] += (k.T @ k).astype(np.int64)          # below 2^53: exact
+                np.add.at(total, m + own[at:at + BATCH], k.astype(np.int64))
+        i, j = np.nonzero(total)
+        yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "v": total[i, j]})
+
+    total = np.zeros((m + len(names), m))
+    got = rows.select("lang", "text").mapInPandas(add_up, "i int, j int, v long").groupBy("i", "j").agg(
+        F.sum(F.col("v").cast("decimal(20,0)")).cast("double").alias("v")).toPandas()
+    total[got["i"], got["j"]] = got["v"]
+    return solve(mark, names, np.array([counts[c] for c in names]), total[:m] / UNIT ** 2, total[m:] / UNIT)
+
+
+def levels(held: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[float]:
+    """The least similarity of a text of a known language, by class of length, from all labelled rows that ``model`` has not seen.
 
     A class with few rows is taken together with shorter ones, whose similarities are lower; one for
-    which even that gives less than LEVEL_ROWS has level 0 and rules nothing out."""
-    drawn = None if model is None else _drawn(held, id_col, text_col, lang_col, per_lang)
-    if drawn is None:
+    which even that gives less than LEVEL_ROWS has level 0 and rules nothing out.  Similarities are
+    counted by class in STEPS steps, rounded down."""
+    if model is None:
         return [0.0] * LENGTHS
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), BATCH):
                 part = b.iloc[at:at + BATCH]
-                yield pd.DataFrame({"c": part["c"].to_numpy(), "like": model.scored(list(part["text"]))[1].astype(float)})
-
-    # about ``per_lang`` pairs of numbers for each language
-    got = drawn.select(length_class(F.col("text")).alias("c"), "text").mapInPandas(measure, "c int, like double").collect()
-    by = [[r["like"] for r in got if r["c"] == c] for c in range(LENGTHS)]
+                like = model.scored(list(part["text"]))[1].astype(float)
+                yield pd.DataFrame({"c": part["c"].to_numpy(), "step": np.floor(like * STEPS).astype(np.int32)})
+
+    rows = _labelled(held, id_col, text_col, lang_col).select(length_class(F.col("text")).alias("c"), "text")
+    # at most LENGTHS * (STEPS + 1) counts
+    got = rows.mapInPandas(measure, "c int, step int").groupBy("c", "step").agg(F.count("*").alias("n")).toPandas()
+    by = np.zeros((LENGTHS, max(STEPS, int(got["step"].max()) if len(got) else 0) + 1), np.int64)
+    by[got["c"], got["step"]] = got["n"]
     out = []
     for c in range(LENGTHS):
-        own = []
+        own = np.zeros(by.shape[1], np.int64)
         for k in range(c, -1, -1):
             own += by[k]
-            if len(own) >= LEVEL_ROWS:
+            if own.sum() >= LEVEL_ROWS:
                 break
-        out.append(MARGIN * sorted(own)[int(LEVEL_SHARE * len(own))] if len(own) >= LEVEL_ROWS else 0.0)
+        n = int(own.sum())
+        out.append(MARGIN * float(np.searchsorted(own.cumsum(), int(LEVEL_SHARE * n), "right")) / STEPS if n >= LEVEL_ROWS else 0.0)
     # similarity grows with length: no text needs more than longer ones do
     return [min(out[c:]) for c in range(LENGTHS)]
 
