@@ -8,7 +8,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendscope.session import drop_tables, materialize
+from lendscope.session import drop_tables, empty_exchanges, materialize
 from lendscope.sources.tables import table_path
 
 # Words are runs of digits, letters and non-ASCII characters (fixed by the result contracts).
@@ -68,5 +68,5 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-__all__ = ["WORD", "WORD_ANY_CASE", "ascii_lower", "drop_tables", "join_hot", "materialize", "n_words", "next_pow2", "read", "same", "sized",
+__all__ = ["WORD", "WORD_ANY_CASE", "ascii_lower", "drop_tables", "empty_exchanges", "join_hot", "materialize", "n_words", "next_pow2", "read", "same", "sized",
            "text_key", "words"]

@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendscope.llm.common import drop_tables, join_hot, materialize, sized, text_key
+from lendscope.llm.common import drop_tables, empty_exchanges, join_hot, materialize, sized, text_key
 from lendscope.llm.components import components
 from lendscope.llm.nptext import chunks, mix, shingle_sets
 
@@ -208,12 +208,16 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
 def lists(keyed_rows: DataFrame) -> DataFrame:
     """key, v, size, place of the keys that at least two classes have."""
     one = keyed_rows.where("size > 0").groupBy("set").agg(F.min("vertex").alias("v"))
-    reps = keyed_rows.select(F.col("vertex").alias("v"), "size", "keys", "places").join(
-        one.select("v").distinct(), "v", "left_semi")
+    first = materialize(one.select("v").distinct())
+    reps = keyed_rows.select(F.col("vertex").alias("v"), "size", "keys", "places").join(first, "v", "left_semi")
     flat = reps.select("v", "size", F.explode(F.arrays_zip("keys", "places")).alias("z")).select(
         F.col("z.keys").alias("key"), "v", "size", F.col("z.places").alias("place"))
-    counts = flat.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return materialize(join_hot(flat, counts, ["key"]))
+    # stored, so that the exchange it comes from and that of the join are not on disk together
+    counts = materialize(flat.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    empty_exchanges(keyed_rows.sparkSession)
+    out = materialize(join_hot(flat, counts, ["key"]))
+    drop_tables(first, counts)
+    return out
 
 
 def labelled(in_lists: DataFrame, labels: DataFrame) -> DataFrame:
