@@ -1,10 +1,10 @@
 """Keyed state in Spark's state store, in event-time order.
 
-``EventOrder`` is a ``StatefulProcessor``: rows of a key wait in list state until the watermark has
-passed the newest of their batch, then an event-time timer hands over all that the watermark has
-passed, in order of time (ties by ``order``).  So the result does not depend on how rows arrive in
-files, batches or partitions.  What a key remembers between rows is a list of numbers in value
-state.  A restarted query goes on from its checkpoint; rows that come later than the watermark are
+``EventOrder`` is a ``StatefulProcessor`` over BUCKETS of keys: rows wait in list state until the
+watermark has passed the newest of their batch, then an event-time timer hands over all that the
+watermark has passed, in order of time (ties by ``order``).  So the result does not depend on how
+rows arrive in files, batches or partitions.  What a key remembers between rows is a list of numbers;
+those of a bucket's keys are one value in value state.  A restarted query goes on from its checkpoint; rows that come later than the watermark are
 Spark's late rows (``jobs.run_to_end`` keeps them).
 
 Three machines stand on it: alert rules (ST-04), sliding-log admission (ST-03 / ST-05) and
@@ -14,6 +14,7 @@ repeated-request suppression (ST-06).
 from __future__ import annotations
 
 import datetime as dt
+import pickle
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -106,77 +107,105 @@ class LastAccepted(SlidingLog):
 
 
 class EventOrder(StatefulProcessor):
-    """Hands the rows of a key to its machine once the watermark has passed them.
+    """Hands the rows of a bucket of keys to their machines once the watermark has passed them.
 
-    ``fields``: DDL of the waiting rows, beginning with ``at timestamp``; the last columns of
-    ``order`` break ties.  ``make(key, row)`` builds the machine of a key from its first row's
-    fields.  ``forget_s``: a key without rows for so long loses its state (None: it stays)."""
+    Every call of the state store is a trip between Python and the JVM, so there are a few for each bucket
+    and batch and none for a key or a row: an Arrow batch waits as one value, and so does what the keys of
+    a bucket remember.
 
-    def __init__(self, fields: str, columns: list[str], make: Callable[[tuple, tuple], Machine], out: list[str],
-                 order: int, forget_s: int | None):
-        self.fields, self.columns, self.make, self.out, self.order, self.forget = fields, columns, make, out, order, forget_s
+    ``keys`` of a row come first, then its time in microseconds (``at``) and the other fields; ``whole``
+    are the places of whole numbers, which come as text, since a null beside them would round them.
+    ``make(key, row)`` builds the machine of a key from its first row's fields; the field at ``order``
+    breaks ties.  ``forget_s``: a key without rows for so long loses its state (None: it stays)."""
+
+    def __init__(self, columns: list[str], keys: int, whole: list[int], make: Callable[[tuple, tuple], Machine],
+                 out: list[str], order: int, forget_s: int | None):
+        self.columns, self.keys, self.whole, self.make, self.out, self.order, self.forget = (
+            columns, keys, whole, make, out, order, forget_s)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.fields)
-        self.memory = handle.getValueState("memory", "numbers array<bigint>, until bigint")
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.memory = handle.getValueState("memory", "machines binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         newest = None
-        for pdf in rows:                                  # Arrow batches: a busy key is never gathered
-            part = [tuple(None if v is pd.NA or v is pd.NaT else v for v in r)
-                    for r in pdf[self.columns].astype(object).itertuples(index=False, name=None)]
-            self.waiting.appendList(part)
-            last = max(r[0] for r in part)
+        for pdf in rows:                                  # Arrow batches: a busy bucket is never gathered here
+            values = [pdf[c].tolist() for c in self.columns]
+            for i in self.whole:
+                values[i] = [None if v is None else int(v) for v in values[i]]
+            part = [(r[:self.keys], r[self.keys:]) for r in zip(*values)]
+            self.waiting.appendValue((pickle.dumps(part),))
+            last = max(values[self.keys])
             newest = last if newest is None else max(newest, last)
         if newest is not None:
-            self.handle.registerTimer(self._due(newest))  # one timer a key and batch
+            self.handle.registerTimer(self._due(newest))  # one timer a bucket and batch
         return iter(())
 
     @staticmethod
-    def _due(at) -> int:
-        return -(-micros(at) // 1000)                     # milliseconds, rounded up
+    def _due(at: int) -> int:
+        return -(-at // 1000)                             # milliseconds, rounded up
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         limit = timerValues.getCurrentWatermarkInMs()
-        held = list(self.waiting.get()) if self.waiting.exists() else []
-        ready = sorted((r for r in held if self._due(r[0]) <= limit), key=lambda r: (r[0], r[self.order]))
-        numbers, until = self.memory.get() if self.memory.exists() else (None, 0)
-        if not ready:                                     # an earlier timer of this batch took the rows, or nothing came for long
-            if self.forget is not None and until <= limit and not held and numbers is not None:
-                self.memory.clear()
-            return
-        machine = self.make(key, ready[0])
-        if numbers is not None:
-            machine.restore(list(numbers))
-        out = []
-        for r in ready:
-            out.append((*key, *r, *machine.decide(micros(r[0]), r)))
-        later = [r for r in held if self._due(r[0]) > limit]
-        self.waiting.put(later) if later else self.waiting.clear()
-        until = self._due(ready[-1][0]) + (self.forget or 0) * 1000 + 1
-        self.memory.update((machine.saved(), until))
-        if self.forget is not None:
-            self.handle.registerTimer(until)
-        yield pd.DataFrame(out, columns=self.out)
+        held = [kr for v in self.waiting.get() for kr in pickle.loads(v[0])] if self.waiting.exists() else []
+        ready = sorted((kr for kr in held if self._due(kr[1][0]) <= limit),
+                       key=lambda kr: (kr[1][0], kr[1][self.order] is not None, kr[1][self.order]))
+        memory = pickle.loads(self.memory.get()[0]) if self.memory.exists() else {}
+        known, out, machines = len(memory), [], {}
+        for k, r in ready:
+            machine = machines.get(k)
+            if machine is None:
+                machine = machines[k] = self.make(k, r)
+                if k in memory:
+                    machine.restore(list(memory[k][0]))
+            out.append((*k, *r, *machine.decide(r[0], r)))
+            memory[k] = None, self._due(r[0]) + (self.forget or 0) * 1000 + 1
+        if machines:
+            until = max(memory[k][1] for k in machines)
+            memory.update((k, (m.saved(), memory[k][1])) for k, m in machines.items())
+            later = [kr for kr in held if self._due(kr[1][0]) > limit]
+            self.waiting.put([(pickle.dumps(later),)]) if later else self.waiting.clear()
+            if self.forget is not None and until > limit:
+                self.handle.registerTimer(until)
+        if self.forget is not None:                       # later rows are younger than what these remember
+            memory = {k: m for k, m in memory.items() if m[1] > limit}
+        if not memory:
+            self.memory.clear()
+        elif machines or len(memory) != known:
+            self.memory.update((pickle.dumps(memory),))
+        if out:
+            pdf = pd.DataFrame(out, columns=self.out)
+            at = self.out[self.keys]
+            pdf[at] = pd.to_datetime(pdf[at], unit="us")
+            yield pdf
 
     def close(self) -> None:
         pass
 
 
+BUCKETS = 4096                    # of keys; fixed for the life of a checkpoint
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
 def in_event_order(stream: DataFrame, keys: list[str], at: str, fields: dict[str, str], make, adds: str, order: str,
                    forget_s: int | None = None) -> DataFrame:
     """``stream`` (with a watermark on ``at``) through one ``Machine`` for each key.
 
     Returns the keys, ``at``, the ``fields`` (name -> type) and what the machine ``adds`` (DDL).  Rows
     without a time are left out."""
-    columns = [at, *fields]
-    kinds = {c: t for c, t in stream.dtypes}
-    waiting = ", ".join(f"{c} {t}" for c, t in [(at, "timestamp"), *fields.items()])
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), waiting, adds])
+    kinds = dict(stream.dtypes)
+    columns = [*keys, at, *fields]
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{at} timestamp", *(f"{c} {t}" for c, t in fields.items()), adds])
     out = [c.split()[0] for c in schema.split(", ")]
-    machine = EventOrder(waiting, columns, make, out, columns.index(order), forget_s)
-    return stream.where(F.col(at).isNotNull()).select(*keys, *columns).groupBy(*keys).transformWithStateInPandas(
+    whole = [i for i, c in enumerate(columns) if c != at and kinds[c] in WHOLE]
+    sent = [f"sent_{c}" if c == at or i in whole else c for i, c in enumerate(columns)]
+    machine = EventOrder(sent, len(keys), whole, make, out, [at, *fields].index(order), forget_s)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("bucket_of_keys")
+    ready = [F.unix_micros(c).alias(n) if c == at else F.col(c).cast("string").alias(n) if n != c else F.col(c)
+             for n, c in zip(sent, columns)]
+    return stream.where(F.col(at).isNotNull()).select(bucket, at, *ready).groupBy(
+        "bucket_of_keys").transformWithStateInPandas(
         statefulProcessor=machine, outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
