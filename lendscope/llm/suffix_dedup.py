@@ -44,7 +44,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendscope.llm.common import join_hot, materialize, sized, text_key
+from lendscope.llm.common import drop_tables, empty_exchanges, join_hot, materialize, sized, text_key
 from lendscope.llm.nptext import chunks, mix, powers, sums
 
 LENGTH = 100
@@ -172,28 +172,23 @@ def _vertex(id_col: Column, key: Column) -> Column:
 
 
 def _find_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """First occurrences of the anchors of each text (stop -1), and the stretches [pos, stop) that the later ones cover."""
     for b in batches:
         texts, vs = [bytes(t) for t in b["text"]], b["v"].to_numpy()
         for lo, hi in chunks(texts):
             own, pos, h, c, r = anchors(texts[lo:hi])
             k = first_in_text(own, h, c)
             yield pd.DataFrame({"h": h[k], "c": c[k], "v": vs[lo:hi][own[k]], "pos": pos[k].astype(np.int32),
-                                "r": r[k].astype(np.int32)})
-
-
-def _find_own_repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        texts, vs = [bytes(t) for t in b["text"]], b["v"].to_numpy()
-        for lo, hi in chunks(texts):
-            own, pos, h, c, r = anchors(texts[lo:hi])
-            k = ~first_in_text(own, h, c)
+                                "r": r[k].astype(np.int32), "stop": np.int64(-1)})
+            k = ~k
             own, start, stop = own[k], pos[k] - np.minimum(pos[k], LENGTH - GRAM), pos[k] + r[k]
             if len(own):
                 # in order of position; overlapping neighbours make one stretch
                 new = np.concatenate([[True], (own[1:] != own[:-1]) | (start[1:] > np.maximum.accumulate(
                     stop + own * (1 << 40))[:-1] - own[1:] * (1 << 40))])
                 at = np.flatnonzero(new)
-                yield pd.DataFrame({"v": vs[lo:hi][own[at]], "start": start[at], "stop": np.maximum.reduceat(stop, at)})
+                yield pd.DataFrame({"h": np.int64(0), "c": np.int64(0), "v": vs[lo:hi][own[at]], "pos": start[at].astype(np.int32),
+                                    "r": np.int32(0), "stop": np.maximum.reduceat(stop, at)})
 
 
 def _cut_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -256,10 +251,14 @@ def _suffix_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def stretches(docs: DataFrame) -> DataFrame:
     """v, start, stop: covered stretches, which may overlap.  ``docs``: v, text (binary), one row for each."""
-    inside = docs.mapInPandas(_find_own_repeats, "v long, start long, stop long")
-    found = docs.mapInPandas(_find_anchors, "h long, c long, v long, pos int, r int")
-    repeated = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # stored: three steps read it, and each would look for the anchors of all texts again
+    scanned = materialize(docs.mapInPandas(_find_anchors, "h long, c long, v long, pos int, r int, stop long"))
+    inside = materialize(scanned.where("stop >= 0").select("v", F.col("pos").cast("long").alias("start"), "stop"))
+    found = scanned.where("stop < 0").drop("stop")
+    repeated = materialize(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    empty_exchanges(docs.sparkSession)
     met = materialize(join_hot(found, repeated, ["h"]))
+    drop_tables(scanned, repeated)
     firsts = materialize(met.groupBy("h", "c").agg(F.min(F.struct("v", "pos")).alias("g"), F.count("*").alias("times")))
     left = F.least("pos", F.lit(LENGTH - GRAM))
     later = join_hot(met, firsts.where("times > 1").drop("times"), ["h", "c"]).where(
