@@ -15,7 +15,7 @@ Lists are scanned in rounds, so that a group of near copies does not become all
     first class of its lists in an order that changes by round, taking the one it shares most
     lists with;
  2. of the classes that share a list but not yet a component, all pairs that can still link by
-    their sizes, their places in the lists and their bitmaps are verified.
+    their sizes, their places in the lists, the number of lists they can still share and their bitmaps are verified.
 So no link between two components is lost, and pairs inside a component are not formed.  The
 bitmap of a set has bit i set if an odd number of its shingles hash to i; two bitmaps differ in at
 most as many bits as the sets differ in shingles, so it rules out pairs without their sets.
@@ -38,7 +38,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendscope.llm.common import drop_tables, empty_exchanges, join_hot, materialize, sized, text_key
@@ -86,7 +86,7 @@ def choose_boundary(histogram: dict[int, int]) -> int:
 
 
 def keys_of(u: np.ndarray, boundary: int, frequent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, places) of a set: places in the order for list keys, 0 for subsets.
+    """(keys, places) of a set: places in the order for list keys, -1 for subsets.
 
     ``frequent``: sorted shingles that come last, in the order of their ``rank``."""
     s, keys, places = len(u), [], []
@@ -97,7 +97,7 @@ def keys_of(u: np.ndarray, boundary: int, frequent: np.ndarray, rank: np.ndarray
                 with np.errstate(over="ignore"):
                     weight = mix(np.arange(1, c + 1, dtype=np.uint64)) | np.uint64(1)
                     keys.append(mix((subs * weight).sum(1, dtype=np.uint64) + np.uint64(c)))
-                places.append(np.zeros(len(keys[-1]), np.int32))
+                places.append(np.full(len(keys[-1]), -1, np.int32))
     if s and DEN * s // NUM > boundary:
         at = np.searchsorted(frequent, u)
         last = frequent[np.minimum(at, len(frequent) - 1)] == u if len(frequent) else np.zeros(s, bool)
@@ -245,11 +245,20 @@ def star(live: DataFrame, turn: int, sketches: DataFrame) -> DataFrame:
 
 
 def rest(live: DataFrame, sketches: DataFrame) -> DataFrame:
-    """a, b: all classes of different components that share a list and can link."""
-    x, y = live.alias("x"), live.alias("y")
-    # a list key's place bounds the overlap by what can still follow in both orders
-    room = F.least("x.place", "y.place") + F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
-    can = (room * (DEN + NUM) >= NUM * (F.col("x.size") + F.col("y.size")))
+    """a, b: all classes of different components that share a list and can link.
+
+    Of the shingles that two linked sets share, the first in the order is a list of both, and it has nothing shared
+    before it: all they share follows from its place on.  That is at most what follows in either set, and at most
+    what follows of the lists still live in either set (``left``) with what the set whose prefix ends first has
+    beyond its prefix.  Subsets (place -1) pass both bounds."""
+    later = Window.partitionBy("v").orderBy(F.desc("place"))
+    left = F.when(F.col("place") < 0, F.col("size")).otherwise(F.count("*").over(later))
+    counted = live.select("key", "v", "size", "place", "label", left.alias("left"),
+                          (F.ceil(F.col("size") * NUM / DEN) - 1).alias("beyond"))
+    x, y = counted.alias("x"), counted.alias("y")
+    follow = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+    shared = F.least("x.left", "y.left") + F.greatest("x.beyond", "y.beyond")
+    can = (F.least(follow, shared) * (DEN + NUM) >= NUM * (F.col("x.size") + F.col("y.size")))
     return plausible(x.join(y, "key").where(
         (F.col("x.v") < F.col("y.v")) & (F.col("x.label") != F.col("y.label")) & close_sizes("x.size", "y.size") & can).select(
         F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct(), sketches)
