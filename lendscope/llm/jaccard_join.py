@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -52,6 +53,7 @@ LOCAL_REPEATS = 2                  # repeats within one chunk of texts that make
 ROUNDS = 4                          # of stars at most; what they leave apart is joined pair by pair
 FEW = 200                          # a round that links fewer than one class in FEW is the last
 BITS = 1024
+PARTS = 4                          # of the keys; only one part's exchange is on disk at a time
 COUNT_BYTES = 4 << 20
 LARGEST_LIGHT = 12
 LIST_SCAN = 4                      # cost of a list row (scan, positions, verification) in units of an enumerated row
@@ -212,11 +214,16 @@ def lists(keyed_rows: DataFrame) -> DataFrame:
     reps = keyed_rows.select(F.col("vertex").alias("v"), "size", "keys", "places").join(first, "v", "left_semi")
     flat = reps.select("v", "size", F.explode(F.arrays_zip("keys", "places")).alias("z")).select(
         F.col("z.keys").alias("key"), "v", "size", F.col("z.places").alias("place"))
-    # stored, so that the exchange it comes from and that of the join are not on disk together
-    counts = materialize(flat.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    empty_exchanges(keyed_rows.sparkSession)
-    out = materialize(join_hot(flat, counts, ["key"]))
-    drop_tables(first, counts)
+    found = []
+    for part in range(PARTS):
+        own = flat.where(F.pmod("key", F.lit(PARTS)) == part)
+        # stored, so that the exchange it comes from and that of the join are not on disk together
+        counts = materialize(own.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+        empty_exchanges(keyed_rows.sparkSession)
+        found.append(materialize(join_hot(own, counts, ["key"])))
+        drop_tables(counts)
+    out = materialize(reduce(DataFrame.unionByName, found))
+    drop_tables(first, *found)
     return out
 
 
@@ -274,8 +281,10 @@ def plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows: vertex, size, set; labels: v, label of the classes that are linked)."""
-    rows = materialize(keyed(docs, id_col, text_col))
-    stored = lists(rows)
+    whole = materialize(keyed(docs, id_col, text_col))
+    stored = lists(whole)
+    rows = materialize(whole.select("vertex", "size", "set", "bits"))
+    drop_tables(whole)
     live = stored.withColumn("label", F.col("v"))
     sketches = materialize(rows.select("vertex", "size", "bits").join(
         stored.select(F.col("v").alias("vertex")).distinct(), "vertex", "left_semi").dropDuplicates(["vertex"]))
