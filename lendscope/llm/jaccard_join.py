@@ -207,11 +207,22 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
     return found
 
 
-def lists(keyed_rows: DataFrame) -> DataFrame:
+def representatives(keyed_rows: DataFrame) -> DataFrame:
+    """v, size, keys, places of the rows whose vertex stands for a class; stored.
+
+    Rows with their keys are wide, so they are matched once, not for each part, and with the vertices that stand for
+    none, which are mostly few."""
+    sets = keyed_rows.where("size > 0").select("set", F.col("vertex").alias("v"))
+    first = materialize(sets.groupBy("set").agg(F.min("v").alias("v")).select("v").distinct())
+    others = materialize(sets.select("v").distinct().join(first, "v", "left_anti"))
+    out = materialize(keyed_rows.where("size > 0").select(F.col("vertex").alias("v"), "size", "keys", "places").join(
+        sized(others), "v", "left_anti"))
+    drop_tables(first, others)
+    return out
+
+
+def lists(reps: DataFrame) -> DataFrame:
     """key, v, size, place of the keys that at least two classes have."""
-    one = keyed_rows.where("size > 0").groupBy("set").agg(F.min("vertex").alias("v"))
-    first = materialize(one.select("v").distinct())
-    reps = keyed_rows.select(F.col("vertex").alias("v"), "size", "keys", "places").join(first, "v", "left_semi")
     flat = reps.select("v", "size", F.explode(F.arrays_zip("keys", "places")).alias("z")).select(
         F.col("z.keys").alias("key"), "v", "size", F.col("z.places").alias("place"))
     found = []
@@ -219,11 +230,11 @@ def lists(keyed_rows: DataFrame) -> DataFrame:
         own = flat.where(F.pmod("key", F.lit(PARTS)) == part)
         # stored, so that the exchange it comes from and that of the join are not on disk together
         counts = materialize(own.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-        empty_exchanges(keyed_rows.sparkSession)
+        empty_exchanges(reps.sparkSession)
         found.append(materialize(join_hot(own, counts, ["key"])))
         drop_tables(counts)
     out = materialize(reduce(DataFrame.unionByName, found))
-    drop_tables(first, *found)
+    drop_tables(*found)
     return out
 
 
@@ -282,9 +293,11 @@ def plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows: vertex, size, set; labels: v, label of the classes that are linked)."""
     whole = materialize(keyed(docs, id_col, text_col))
-    stored = lists(whole)
     rows = materialize(whole.select("vertex", "size", "set", "bits"))
+    reps = representatives(whole)
     drop_tables(whole)
+    stored = lists(reps)
+    drop_tables(reps)
     live = stored.withColumn("label", F.col("v"))
     sketches = materialize(rows.select("vertex", "size", "bits").join(
         stored.select(F.col("v").alias("vertex")).distinct(), "vertex", "left_semi").dropDuplicates(["vertex"]))

@@ -60,3 +60,18 @@ def test_no_link_near_the_bound_is_lost(spark, monkeypatch, turns):
     rows = [(i, t) for i, t in rows if t]
     out = J.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in out} == brute(rows)
+
+
+def test_rows_with_their_keys_are_matched_once(spark, monkeypatch):
+    """Each join or exchange of these rows sends about half of the input again."""
+    rows = [(n, " ".join(f"w{n // 2}x{i}" for i in range(40))) for n in range(60)]
+    plans, store = [], J.materialize
+
+    def keep(df, *more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, *more)
+
+    monkeypatch.setattr(J, "materialize", keep)
+    out = J.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == {n: n // 2 * 2 for n, _ in rows}
+    assert sum("keys#" in p and ("LeftSemi" in p or "LeftAnti" in p) for p in plans) == 1
