@@ -6,14 +6,30 @@ its operator states; all but the last return the columns of their input.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendscope.llm import decontaminate, jaccard_join, kernel_langid, mixing, shard_tree
 from lendscope.llm.common import materialize, read, same, text_key
 from lendscope.llm.queries import SHARD_TREE
+from lendscope.session import apply_defaults
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def stage(fn: Stage) -> Stage:
+    """A stage may be run by itself, not through ``queries()``, and its Arrow batches must be as small there."""
+    @wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        apply_defaults(spark)
+        return fn(spark, docs, sf_dir)
+    return run_stage
 
 
+@stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go: no letter, or too unlike all landmarks for a text of their length."""
     held = kernel_langid.held_out("doc_id")
@@ -24,11 +40,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.where((F.col("__lang") != "und") & known).select(*_columns(docs))
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents stays, the one with the smallest doc_id."""
     return jaccard_join.keep_first(docs)
 
 
+@stage
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
     found = decontaminate.hits(docs, read(spark, sf_dir, "benchmark"))
@@ -38,11 +56,13 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return docs.join(decontaminate.sized(bad), has, "left_anti")
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows are repeated or dropped as their fitted rates say."""
     return mixing.mix(docs, mixing.label_domain(read(spark, sf_dir, "labels")))
 
 
+@stage
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot, grown_shard of every row."""
     return shard_tree.assign(docs, SHARD_TREE)
@@ -61,6 +81,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+    for _, step in STAGES[:-1]:
+        docs = materialize(step(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

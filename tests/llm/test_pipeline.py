@@ -70,3 +70,25 @@ def test_registered():
     import __spark_entry__ as E
     names = [n for n in E.queries() if n.startswith("op") and n[2].isdigit()]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in E.queries()
+
+
+def test_a_stage_run_by_itself_sends_small_batches(spark, tmp_path):
+    """A stage that is not run through ``queries()`` must not send Spark's 10,000 whole texts at a time to a worker."""
+    import pandas as pd
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    sf = tables(spark, tmp_path, X.texts())
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before = spark.conf.get(size)
+
+    def lengths(batches):
+        for b in batches:
+            yield pd.DataFrame({"n": [len(b)]})
+
+    try:
+        for name, step in C.STAGES:
+            spark.conf.set(size, "10000")
+            step(spark, docs, sf)
+            sent = spark.range(0, 9000, 1, 1).mapInPandas(lengths, "n long").collect()
+            assert max(r["n"] for r in sent) <= 2000, name
+    finally:
+        spark.conf.set(size, before)
